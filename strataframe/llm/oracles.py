@@ -18,4 +18,21 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1}
+OP8 = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (SELECT item_id, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k, ws FROM iw WHERE len(ws) > 0),
+wins AS (SELECT DISTINCT item_id, array_to_string(ws[k:k + 9], ' ') AS g, least(len(ws), 10) AS n FROM i),
+d AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM dw),
+sizes AS (SELECT DISTINCT n FROM wins),
+g AS (SELECT doc_id, k, 10 AS n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g,
+             count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM d),
+hits AS (SELECT doc_id, k, item_id, g.n FROM g JOIN wins USING (g) WHERE m = 10 AND wins.n = 10),
+per AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hits GROUP BY doc_id),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN cov USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op8_decontamination": OP8}

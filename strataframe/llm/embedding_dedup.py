@@ -23,13 +23,9 @@ PAIRS_AT_ONCE = 1 << 16
 def _pack(table: pa.Table) -> pa.Table:
     order = np.argsort(table["rep"].to_numpy(), kind="stable")
     vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[order]
-    one = lambda name: [table[name][0].as_py()]
     return pa.table(
-        {
-            "label": one("label"),
-            "dim": pa.array(one("dim"), pa.int32()),
-            "block": pa.array(one("block"), pa.int32()),
-            "blocks": pa.array(one("blocks"), pa.int32()),
+        {name: table[name].slice(0, 1) for name in ("label", "dim", "block", "blocks")}
+        | {
             "ids": pa.array([table["rep"].to_numpy()[order].tobytes()], pa.binary()),
             "copies": pa.array([table["copies"].to_numpy()[order].tobytes()], pa.binary()),
             "vecs": pa.array([vectors.astype(np.float64).tobytes()], pa.binary()),

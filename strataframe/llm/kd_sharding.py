@@ -7,22 +7,21 @@ driver sees two numbers for each node and pass, never rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._frames import written
+from ._frames import drop_written, written
 
-#: Bits of the key that one histogram pass resolves, and how many passes: 48 of 62 bits, half of them from the tie-break.
-PASS_BITS, PASSES = 16, 3
+#: Bits of the key that one histogram pass resolves, and how many passes: 24 bits of the dimension and 12 of the tie-break.
+PASS_BITS, PASSES = 18, 2
+DIM_BITS, TIE_BITS = 24, 32
 NUMBERED_ROWS = 4096
-_TOP = (1 << 30) - 1
+_TOP = (1 << DIM_BITS) - 1
 
 
 def _scaled(df: DataFrame, column: str, bounds) -> Column:
-    """A column as an integer of 30 bits that keeps its order (numbers) or its equality (anything else); null is lowest."""
+    """A column as an integer of DIM_BITS bits that keeps its order (numbers) or its equality (anything else); null is lowest."""
     kind = dict(df.dtypes)[column]
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         low, high = bounds
@@ -53,16 +52,14 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         F.col(id_col).alias("_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(id_col, text), F.lit(1 << 32)).alias("_tie"),
+        F.pmod(F.xxhash64(id_col, text), F.lit(1 << TIE_BITS)).alias("_tie"),
         *[_scaled(docs, d, limits.get(d)).alias(f"_d{i}") for i, d in enumerate(dims)],
     )
-    slim = written(slim, "kd-slim")
     columns = [f"_d{i}" for i in range(len(dims))] or ["_tie"]
 
-    node: Column = F.lit(0)
-    levels = shards.bit_length() - 1
-    for level in range(levels):
-        here = slim.withColumn("_node", node)
+    slim = written(slim.withColumn("_node", F.lit(0)), "kd-slim")
+    for _ in range(shards.bit_length() - 1):
+        here = slim
         boxes = here.groupBy("_node").agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns], F.sum("size").alias("_bytes")).collect()
         widest = {b["_node"]: max(columns, key=lambda c: b[c] or 0) for b in boxes}  # noqa: B023
         half = {b["_node"]: b["_bytes"] / 2 for b in boxes}
@@ -70,11 +67,11 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         by_node = F.lit(0).cast("long")
         for n, c in widest.items():
             by_node = F.when(F.col("_node") == n, F.col(c)).otherwise(by_node)
-        key = by_node * F.lit(1 << 32) + F.col("_tie")
+        key = by_node * F.lit(1 << TIE_BITS) + F.col("_tie")
         keyed = here.select("_node", "size", key.alias("_key"))
         prefix, before = dict.fromkeys(widest, 0), dict.fromkeys(widest, 0)
         for turn in range(PASSES):
-            shift = 62 - PASS_BITS * (turn + 1)
+            shift = DIM_BITS + TIE_BITS - PASS_BITS * (turn + 1)
             inside = F.lit(False)
             for n, p in prefix.items():
                 inside = inside | ((F.col("_node") == n) & (F.shiftright("_key", shift + PASS_BITS) == p))
@@ -92,11 +89,13 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
                 if turn == PASSES - 1:
                     # The median's bucket goes to the side that leaves the halves closer.
                     prefix[n] += abs(last[0] - half[n]) < abs(before[n] - half[n])
-        cut_shift = 62 - PASS_BITS * PASSES
-        right = reduce(lambda acc, n: F.when(node == n, (F.shiftright(F.col(widest[n]) * F.lit(1 << 32) + F.col("_tie"), cut_shift) >= prefix[n]).cast("int")).otherwise(acc), widest, F.lit(0))
-        slim = written(slim.withColumn("_leaf", node * 2 + right), "kd-level") if level == levels - 1 else slim.withColumn(f"_n{level}", node * 2 + right)
-        node = F.col("_leaf") if level == levels - 1 else F.col(f"_n{level}")
-    slim = slim.withColumn("shard", node.cast("int"))
+        cut_shift = DIM_BITS + TIE_BITS - PASS_BITS * PASSES
+        wide = F.coalesce(*[F.when(F.col("_node") == n, F.col(c)) for c in columns for n in widest if widest[n] == c], F.lit(0))
+        cut = F.coalesce(*[F.when(F.col("_node") == n, F.lit(p)) for n, p in prefix.items()], F.lit(0))
+        goes_right = F.shiftright(wide * F.lit(1 << TIE_BITS) + F.col("_tie"), cut_shift) >= cut
+        slim = written(here.withColumn("_node", F.col("_node") * 2 + goes_right.cast("int")), "kd-level")
+        drop_written(here)
+    slim = slim.withColumnRenamed("_node", "shard")
 
     parts = max(1, -(-total // (NUMBERED_ROWS * shards)))
     slim = slim.withColumn("_part", F.pmod(F.col("_tie"), F.lit(parts)).cast("int"))

@@ -12,6 +12,7 @@ from . import oracles
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .kd_sharding import kd_shards
+from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .substring_dedup import substring_dedup
 
@@ -28,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -52,5 +57,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
 ORACLES: dict[str, str] = oracles.ORACLES

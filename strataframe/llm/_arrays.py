@@ -62,6 +62,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix(raw ^ ((ends - starts).astype(U64) * U64(_P)))
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """Hash of the bytes of each span; with fold, A-Z count as a-z."""
+    return span_hashes(_TABLES[fold][raw], starts, ends, _P)
+
+
 def column_slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of each row in them) for runs of rows of about limit bytes; nulls are empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]

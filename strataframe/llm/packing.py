@@ -8,7 +8,6 @@ space; when a new bin is needed and all are open, the fullest closes. Bins that
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,24 +16,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import Words, column_slices
+from ._arrays import U64, Words, column_slices, word_hashes
 from ._frames import written
 
 OPEN_BINS = 4096
 ITEMS_PER_PACKER = 8192
 #: Bins with at least this share of free space are packed again.
 SLACK = 1 / 64
-CACHED_WORDS = 600_000
-SLICE = 4 << 20
+CACHED_WORDS = 1_000_000
+JOINED = 512
 END_ID = 1
-_TAIL = ".,;:!?"
+#: Marks that are one pre-token of their own after letters, and how many of them are split off a word.
+TAIL, TAIL_BYTES = b".,;:!?", 4
+_IS_TAIL = np.isin(np.arange(256), list(TAIL))
+
+
+class WordTable:
+    """64-bit keys to slots by open addressing, looked up and filled with whole arrays."""
+
+    def __init__(self, bits: int = 21):
+        self.mask = U64((1 << bits) - 1)
+        self.keys, self.slots, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, at = np.arange(len(keys)), (keys >> U64(17)) & self.mask
+        while len(todo):
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.slots[at[hit]]
+            go = ~hit & (there != 0)
+            todo, at = todo[go], (at[go] + U64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Distinct keys that are not in the table."""
+        self.size += len(keys)
+        todo, at = np.arange(len(keys)), (keys >> U64(17)) & self.mask
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[todo[free]]
+            won = free & (self.keys[at] == keys[todo])
+            self.slots[at[won]] = slots[todo[won]]
+            todo, at = todo[~won], (at[~won] + U64(1)) & self.mask
 
 
 class WordEncoder:
     """Token ids of whitespace-free words, each distinct word encoded once while it is cached.
 
     The tokenizers' pre-tokens and normaliser never reach across ASCII white space, so a text's ids are its words' ids
-    in order. Words of Latin letters with trailing marks are encoded as the letters, many in one call, and the marks.
+    in order. A word of Latin letters with trailing marks is its letters, then its marks; letters are lower-cased here
+    and encoded many words in one call, each word ending at its one token with the end-of-word suffix.
     """
 
     def __init__(self, path: str):
@@ -43,61 +76,96 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.start = array("I"), array("q", [0])
-        self.cores: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {"": []}
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        plain, rest, fresh = {}, [], set()
-        for n, word in enumerate(words):
-            low = word.lower()
-            core = low.rstrip(_TAIL)
-            if core.isascii() and core.isalpha() or core.isalpha() and max(core) < "ɐ" and max(word) < "ɐ":
-                plain[n] = (core, low[len(core) :])
-                if core not in self.cores:
-                    fresh.add(core)
-            else:
-                rest.append(n)
-        todo = sorted(fresh)
-        for core, ids in zip(todo, (e.ids for e in self.letters.encode_batch_fast(todo, add_special_tokens=False)), strict=True):
-            self.cores[core] = ids
-        tails = sorted({t for _, t in plain.values()} - self.tails.keys())
-        self.tails |= dict(zip(tails, self._ids(tails), strict=True))
-        other = dict(zip(rest, self._ids([words[n] for n in rest]), strict=True))
-        for n, key in enumerate(keys):
-            if n in other:
-                self.flat.extend(other[n])
-            else:
-                core, tail = plain[n]
-                self.flat.extend(self.cores[core])
-                self.flat.extend(self.tails[tail])
-            self.slot[key] = len(self.start) - 1
-            self.start.append(len(self.flat))
+        self.cores, self.words = WordTable(), WordTable(19)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        # Slot 0 is the empty sequence; a negative length marks a core that only its whole word can stand for.
+        self.start, self.length, self.slots, self.filled = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 1, 0
+        self.tails: dict[bytes, int] = {b"": 0}
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Slots of new sequences, given end to end."""
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.slots + len(lengths) > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        real = np.maximum(lengths, 0)
+        self.start[self.slots : self.slots + len(lengths)] = self.filled + np.cumsum(real) - real
+        self.length[self.slots : self.slots + len(lengths)] = lengths
+        self.filled += len(ids)
+        self.slots += len(lengths)
+        return np.arange(self.slots - len(lengths), self.slots)
+
+    def _whole(self, words: list[str]) -> np.ndarray:
+        got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return self._store(np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
+
+    def _learn_cores(self, keys: np.ndarray, cores: list[bytes]) -> None:
+        lengths, plain = np.full(len(cores), -1, np.int64), []
+        for n, core in enumerate(cores):
+            low = core.decode().lower()
+            if low.isalpha() and max(low) < "\u0250":
+                plain.append((n, low))
+        parts = []
+        for a in range(0, len(plain), JOINED):
+            some = plain[a : a + JOINED]
+            ids = np.array(self.letters.encode(" ".join(w for _, w in some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            assert len(ends) == len(some), "every word ends in one end-of-word token"
+            lengths[[n for n, _ in some]] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        self.cores.add(keys, self._store(np.concatenate(parts) if parts else np.zeros(0, np.uint32), lengths))
+
+    def _slots(self, table: WordTable, keys: np.ndarray, learn, spans) -> np.ndarray:
+        slots = table.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh, at = np.unique(keys[new], return_index=True)
+            learn(fresh, [spans(w) for w in new[at]])
+            slots[new] = table.find(keys[new])
+        return slots
 
     def encode(self, words: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and where each word's begin (one more entry than words)."""
-        if len(self.slot) > CACHED_WORDS:
+        if self.cores.size > CACHED_WORDS or self.words.size > CACHED_WORDS // 4:
             self.clear()
-        keys, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = [self.slot.get(k) for k in keys.tolist()]
-        new = [n for n, s in enumerate(known) if s is None]
-        if new:
-            spans = [(words.starts[at[n]], words.ends[at[n]]) for n in new]
-            self._learn([int(keys[n]) for n in new], [raw[a:b].tobytes().decode() for a, b in spans])
-            known = [self.slot[k] for k in keys.tolist()]
-        slot = np.array(known, np.int64)[back] if len(keys) else np.zeros(0, np.int64)
-        flat, start = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64)
-        size = start[slot + 1] - start[slot] if len(slot) else slot
+        stop = words.ends.copy()
+        for _ in range(TAIL_BYTES):
+            stop -= _IS_TAIL[raw[stop - 1]] & (stop > words.starts)
+        text = lambda a, b: raw[a:b].tobytes()
+        fold = word_hashes(raw, words.starts, stop, fold=True) | U64(1)
+        core = self._slots(self.cores, fold, self._learn_cores, lambda w: text(words.starts[w], stop[w]))
+        tail = np.zeros(len(core), np.int64)
+        has_tail = np.flatnonzero(stop < words.ends)
+        if len(has_tail):
+            code = np.zeros(len(has_tail), np.int64)
+            for k in range(TAIL_BYTES):
+                at = stop[has_tail] + k
+                code = code * 256 + np.where(at < words.ends[has_tail], raw[np.minimum(at, len(raw) - 1)], 0)
+            kinds, at, back = np.unique(code, return_index=True, return_inverse=True)
+            marks = [text(stop[has_tail[n]], words.ends[has_tail[n]]) for n in at]
+            for mark in marks:
+                if mark not in self.tails:
+                    self.tails[mark] = int(self._whole([mark.decode()])[0])
+            tail[has_tail] = np.array([self.tails[m] for m in marks])[back]
+        odd = np.flatnonzero(self.length[core] < 0)
+        if len(odd):
+            keys = word_hashes(raw, words.starts[odd], words.ends[odd], fold=False) | U64(1)
+            learn = lambda fresh, cores: self.words.add(fresh, self._whole([c.decode() for c in cores]))
+            core[odd] = self._slots(self.words, keys, learn, lambda w: text(words.starts[odd[w]], words.ends[odd[w]]))
+            tail[odd] = 0
+        slot = np.stack([core, tail], 1).ravel()
+        size = self.length[slot].astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(start[slot] - edge[:-1], size) + np.arange(edge[-1])] if len(slot) else flat[:0]
-        return ids.copy(), edge
+        ids = self.flat[np.repeat(self.start[slot] - edge[:-1], size) + np.arange(edge[-1])]
+        return ids, edge[::2]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -108,7 +176,7 @@ def _pieces(path: str, size: int, with_ids: bool):
         encoder = _encoders.setdefault(path, None) or WordEncoder(path)
         _encoders[path] = encoder
         for batch in batches:
-            for i, j, raw, offsets in column_slices(batch["text"], SLICE):
+            for i, j, raw, offsets in column_slices(batch["text"]):
                 words = Words(raw, offsets)
                 ids, edge = encoder.encode(words, raw)
                 ends = edge[words.first]

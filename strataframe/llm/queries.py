@@ -15,6 +15,7 @@ from .kd_sharding import kd_shards
 from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .substring_dedup import substring_dedup
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)
@@ -57,5 +62,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -11,6 +11,7 @@ from ..session import ship
 from . import oracles
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
+from .html_extraction import extract_main_text
 from .kd_sharding import kd_shards
 from .minhash_dedup import minhash_dedup
 from .packing import pack
@@ -44,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,5 +67,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -15,7 +15,9 @@ from .html_extraction import extract_main_text
 from .kd_sharding import kd_shards
 from .minhash_dedup import minhash_dedup
 from .packing import pack
+from .quotation_linking import link_quotations
 from .substring_dedup import substring_dedup
+from .token_counts import count_with_edits
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,14 +37,35 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
-def word_tokenizer() -> str:
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no quotes, so each message is first made to quote the two before it, as mail does."""
+    messages = table(spark, sf_dir, "conversations")
+    back = lambda n: messages.select("conv_id", (F.col("turn") + n).alias("turn"), F.split("text", "\n").alias(f"lines{n}"))
+    mark = lambda column, marks: F.transform(F.coalesce(column, F.array()), lambda x: F.concat(F.lit(marks), x))
+    mailed = messages.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    lines = F.concat(mark(F.col("lines2"), "> > "), mark(F.col("lines1"), "> "), F.split("text", "\n"))
+    linked = link_quotations(mailed.select("conv_id", "turn", "role", F.array_join(lines, "\n").alias("text")))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
+
+
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every text: an insertion at a quarter, a deletion at half and a replacement at three quarters."""
+    docs, n = table(spark, sf_dir, "documents"), F.length(F.coalesce("text", F.lit("")))
+    at = lambda k: F.floor(n * k / 4).cast("int")
+    edit = lambda start, size, text: F.struct(start.alias("start"), (start + size).alias("end"), text.alias("text"))
+    piece = F.upper(F.substring("text", at(3), F.lit(5)))
+    edits = F.array(edit(at(1), F.lit(0), F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" "))), edit(at(2), F.lit(7), F.lit("")), edit(at(3), F.lit(5), piece))
+    return count_with_edits(docs.withColumn("edits", edits), tokenizer_path("byte_bpe_50k.json"), "edits")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +90,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op4_best_fit_packing, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quotation_linking, op4_best_fit_packing, op5_edit_aware_counts, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -3,9 +3,9 @@
 Two small collections A and B of HASHES groups of BAND minhashes each give HASHES**2 table keys (A[i], B[j]), so
 2 * HASHES * BAND minhashes do the work of HASHES**2 * 2 * BAND. Two sets of similarity J meet in some table with
 probability (1 - (1 - J**BAND)**HASHES)**2: 0.9998 at 0.85, 0.99999 at 0.9. Documents with equal shingle sets are one
-class from the start. Keys that more than one class has are found by a packed exchange; within such a key hubs are
-compared with members of other components only, a growing share of the members being hubs until each candidate pair is
-either compared on its full sets or already connected.
+class from the start. A packed exchange joins the classes of each key to the key's smallest id; what these edges connect
+is a candidate group. Groups are compared on their full sets, in tiles where they are large, and a tile tells a spanning
+forest of its links, never its pairs; so no candidate is left out, and no group is spelt out in pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import U64, Words, column_slices, mix, shingle_sets
-from ._frames import among, distinct_keys, drop_written, heads_of, packed_schema, partitions, shared_keys, to_buckets, unpacked, written
+from ._frames import among, heads_of, packed_by_frame, packed_schema, partitions, spans_of, to_buckets, unpacked, written
 from .components import connected_components
+from .embedding_dedup import forest
 
 HASHES, BAND = 10, 3
 FRAME_ROWS, BUCKET_KEYS = 4096, 400_000
-#: Up to so many ids (8 bytes each) of candidates are broadcast to read their texts; beyond, the join shuffles.
+#: Up to so many candidates (16 bytes each) are broadcast to read their texts; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
-FIRST_HUBS, HUB_GROWTH = 2.0, 8.0
+#: Classes in a cell of a large group, and in a task of small groups.
+CELL, SMALL_ROWS = 512, 2048
+#: A value in this many pairs of sets is counted by a matrix product of so many columns; other values in so many at once.
+DENSE_PAIRS, DENSE_COLUMNS, SPARSE_ENTRIES = 64, 4096, 1 << 16
 
 
 def _minhashes(row: np.ndarray, value: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -81,42 +85,188 @@ def _tables(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _own_keys(buckets: int):
+    """Each distinct key of a frame with the smallest id that has it, and 1 where two classes of the frame have it."""
+
     def kernel(table: pa.Table) -> pa.Table:
         owner, keys = _tables(table)
-        return to_buckets(table["frame"][0].as_py(), buckets, *distinct_keys(keys, owner))
+        reps = table["rep"].to_numpy()[owner]
+        order = np.lexsort((reps, keys))
+        keys, reps = keys[order], reps[order]
+        heads = heads_of(keys)
+        twice = (np.maximum.reduceat(reps, heads) != reps[heads]).astype(np.uint8)
+        return to_buckets(table["frame"][0].as_py(), buckets, keys[heads], reps[heads], twice)
 
     return kernel
 
 
-def _members(table: pa.Table, shared: pa.Table) -> pa.Table:
+def _hubs(table: pa.Table) -> pa.Table:
+    """The smallest id of each key that two classes have, told to every frame that has the key."""
+    keys, sizes = unpacked(table["c0"])
+    reps, _ = unpacked(table["c1"], np.int64)
+    twice, _ = unpacked(table["c2"], np.uint8)
+    frame = np.repeat(table["frame"].to_numpy(), sizes)
+    order = np.lexsort((reps, keys))
+    keys, reps, twice, frame = keys[order], reps[order], twice[order], frame[order]
+    heads = heads_of(keys)
+    counts = np.diff([*heads, len(keys)])
+    use = np.repeat((counts > 1) | (np.maximum.reduceat(twice, heads) > 0), counts)
+    hubs = np.repeat(reps[heads], counts)
+    return packed_by_frame(frame[use], keys[use], hubs[use])
+
+
+def _edges(table: pa.Table, told: pa.Table) -> pa.Table:
+    """Each class of the frame joined to the hubs of its keys."""
     owner, keys = _tables(table)
-    use = among(keys, np.sort(unpacked(shared["c0"])[0]))
-    owner, keys = owner[use], keys[use]
-    return pa.table({"key": keys.view(np.int64), "rep": table["rep"].to_numpy()[owner], "n": table["n_shingles"].to_numpy()[owner]})
-
-
-def _confirm(shingle: int, numerator: int, denominator: int):
-    def sets(column) -> list[np.ndarray]:
-        out = []
-        for i, j, raw, offsets in column_slices(column):
-            row, value = shingle_sets(Words(raw, offsets, fold=True), shingle)
-            at = np.searchsorted(row, np.arange(j - i + 1))
-            out += [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    pool, hubs = unpacked(told["c0"])[0], unpacked(told["c1"], np.int64)[0]
+    order = np.argsort(pool, kind="stable")
+    pool, hubs = pool[order], hubs[order]
+    use = among(keys, pool)
+    reps = table["rep"].to_numpy()[owner[use]]
+    hub = hubs[np.searchsorted(pool, keys[use])]
+    pairs = np.unique(np.stack([reps, hub], 1)[reps != hub], axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+class Sets:
+    """Shingle sets end to end, with where each begins."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes = values, sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    def take(self, which: np.ndarray) -> Sets:
+        at = np.concatenate([[0], np.cumsum(self.sizes)])
+        parts = [self.values[at[k] : at[k + 1]] for k in which]
+        return Sets(np.concatenate(parts) if parts else self.values[:0], self.sizes[which])
+
+
+def sets_of(column, shingle: int) -> Sets:
+    values, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j, raw, offsets in column_slices(column):
+        row, value = shingle_sets(Words(raw, offsets, fold=True), shingle)
+        values.append(value)
+        sizes.append(np.bincount(row, minlength=j - i))
+    return Sets(np.concatenate(values), np.concatenate(sizes))
+
+
+def intersections(a: Sets, b: Sets) -> np.ndarray:
+    """Sizes of all intersections. Values in many sets of both sides are counted by matrix products, others one by one."""
+    out = np.zeros((len(a.sizes), len(b.sizes)), np.int64)
+    common = np.intersect1d(a.values, b.values)
+    if not len(common):
         return out
+    (col_a, doc_a), (col_b, doc_b) = ((np.searchsorted(common, s.values[u]), s.owner[u]) for s in (a, b) for u in [among(s.values, common)])
+    n_a, n_b = np.bincount(col_a, minlength=len(common)), np.bincount(col_b, minlength=len(common))
+    often = n_a * n_b >= DENSE_PAIRS
+    place = np.cumsum(often) - 1
+    for low in range(0, int(often.sum()), DENSE_COLUMNS):
+        sides = []
+        for col, doc, n in ((col_a, doc_a, len(a.sizes)), (col_b, doc_b, len(b.sizes))):
+            use = often[col] & (place[col] >= low) & (place[col] < low + DENSE_COLUMNS)
+            m = np.zeros((n, DENSE_COLUMNS), np.float32)
+            m[doc[use], place[col[use]] - low] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    use_a, use_b = ~often[col_a], ~often[col_b]
+    col_a, doc_a, col_b, doc_b = col_a[use_a], doc_a[use_a], col_b[use_b], doc_b[use_b]
+    order = np.argsort(col_b, kind="stable")
+    col_b, doc_b = col_b[order], doc_b[order]
+    first = np.searchsorted(col_b, col_a)
+    for low in range(0, len(col_a), SPARSE_ENTRIES):
+        part = slice(low, low + SPARSE_ENTRIES)
+        times = n_b[col_a[part]]
+        shift = np.cumsum(times) - times
+        other = doc_b[np.repeat(first[part] - shift, times) + np.arange(times.sum())]
+        cell = np.repeat(doc_a[part], times) * len(b.sizes) + other
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def linked_roots(ids: np.ndarray, a: Sets, b: Sets | None, numerator: int, denominator: int) -> np.ndarray:
+    """For each id (of a, then of b) the smallest that links inside a, or between a and b, reach."""
+    both = intersections(a, a if b is None else b)
+    sizes_b = (a if b is None else b).sizes
+    i, j = np.nonzero(denominator * both >= numerator * (a.sizes[:, None] + sizes_b[None, :] - both))
+    if b is not None:
+        j = j + len(a.sizes)
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    return ids[order][forest(len(ids), rank[i], rank[j])[rank]]
+
+
+def _small_groups(shingle: int, numerator: int, denominator: int):
+    """Whole candidate groups of at most CELL classes, many in one task."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        ids, group = table["rep"].to_numpy(), table["group"].to_numpy()
+        sets = sets_of(table["text"], shingle)
+        order = np.argsort(group, kind="stable")
+        out_a, out_b = [], []
+        for x, y in spans_of(group[order]):
+            own = order[x:y]
+            root = linked_roots(ids[own], sets.take(own), None, numerator, denominator)
+            out_a.append(ids[own])
+            out_b.append(root)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    return kernel
+
+
+def _cell(shingle: int):
+    def kernel(table: pa.Table) -> pa.Table:
+        sets = sets_of(table["text"], shingle)
+        one = {name: table[name].slice(0, 1) for name in ("group", "step", "block", "same", "above", "below")}
+        packed = {"ids": table["rep"].to_numpy(), "sizes": sets.sizes.astype(np.int64), "sets": sets.values}
+        return pa.table(one | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
+
+    return kernel
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hubs = batch["hub_text"].dictionary_encode()
-            hub_sets = sets(hubs.dictionary)
-            keep = []
-            for left, right in zip((hub_sets[k] for k in hubs.indices.to_pylist()), sets(batch["text"]), strict=True):
-                both = int(among(right, left).sum())
-                keep.append(denominator * both >= numerator * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch["hub"], batch["rep"]], ["hub", "rep"]).filter(pa.array(keep, pa.bool_()))
+
+def _cell_pair(numerator: int, denominator: int):
+    def kernel(table: pa.Table) -> pa.Table:
+        read = lambda name, r, kind: np.frombuffer(table[name][r].as_py(), kind)
+        ids = [read("ids", r, np.int64) for r in range(table.num_rows)]
+        sets = [Sets(read("sets", r, U64), read("sizes", r, np.int64)) for r in range(table.num_rows)]
+        every = np.concatenate(ids)
+        root = linked_roots(every, sets[0], sets[1] if len(sets) > 1 else None, numerator, denominator)
+        return pa.table({"a": every[every != root], "b": root[every != root]})
 
     return kernel
 
 
+def _linked(members: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """members (rep, group, n, text) -> (a, b): a spanning forest of the links inside every candidate group.
+
+    Larger groups are dealt to cells by steps of set size (a step is the largest ratio of linked sizes, so links stay in
+    a step or go to the next) and by a hash; pairs of cells are compared, each telling no more edges than it has ids.
+    """
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
+    sized = members.join(sizes, "group")
+    n_small = sizes.filter(F.col("m") <= CELL).agg(F.sum("m")).first()[0] or 0
+    bins = max(1, -(-n_small // SMALL_ROWS))
+    small = sized.filter(F.col("m") <= CELL).select(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("int").alias("bin"), "rep", "group", "text")
+    links = small.groupBy("bin").applyInArrow(_small_groups(shingle, numerator, denominator), "a long, b long")
+
+    step = F.floor(F.log("n") / F.log(F.lit(denominator / numerator)) + 1e-9).cast("int")
+    large = sized.filter(F.col("m") > CELL).select("rep", "group", "text", step.alias("step"))
+    cells = large.groupBy("group", "step").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("same"))
+    shifted = lambda by, name: cells.select("group", (F.col("step") - by).alias("step"), F.col("same").alias(name))
+    cells = cells.join(shifted(1, "above"), ["group", "step"], "left").join(shifted(-1, "below"), ["group", "step"], "left").na.fill(0, ["above", "below"])
+    dealt = large.join(cells, ["group", "step"]).withColumn("block", F.pmod(F.xxhash64("rep"), "same").cast("int"))
+    packed = dealt.groupBy("group", "step", "block").applyInArrow(_cell(shingle), "group long, step int, block int, same int, above int, below int, ids binary, sizes binary, sets binary")
+    every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    b, s = F.col("block"), F.col("step")
+    tiles = F.concat(
+        F.transform(every("same"), lambda o: F.struct(s.alias("step"), F.least(b, o).alias("low"), F.greatest(b, o).alias("high"), F.lit(0).alias("up"))),
+        F.transform(every("above"), lambda o: F.struct(s.alias("step"), b.alias("low"), o.alias("high"), F.lit(1).alias("up"))),
+        F.transform(every("below"), lambda o: F.struct((s - 1).alias("step"), o.alias("low"), b.alias("high"), F.lit(1).alias("up"))),
+    )
+    tiled = packed.select("group", F.explode(tiles).alias("t"), "ids", "sizes", "sets").select("group", "t.*", "ids", "sizes", "sets")
+    return links.unionByName(tiled.groupBy("group", "step", "low", "high", "up").applyInArrow(_cell_pair(numerator, denominator), "a long, b long"))
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
     """Link documents whose sets of distinct word shingles have intersection / union >= threshold (as a fraction).
 
@@ -140,39 +290,20 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = partitions(spark)
     frames = max(1, -(-n_classes // FRAME_ROWS))
     buckets = max(1, -(-n_classes * HASHES * HASHES // BUCKET_KEYS))
-    framed = classes.select(F.pmod(F.xxhash64("rep"), F.lit(frames)).cast("int").alias("frame"), "rep", "n_shingles", "bands").repartition(parts, "frame")
-    shared = shared_keys(framed.groupBy("frame").applyInArrow(_own_keys(buckets), packed_schema(2)), parts)
-    members = framed.groupBy("frame").cogroup(shared.groupBy("frame")).applyInArrow(_members, "key long, rep long, n long")
-    # u orders the members of every key alike; each candidate pair belongs to the round in which its first becomes a hub.
-    members = written(members.distinct().withColumn("u", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)), "members")
-    reps = classes.select("rep", *same)
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    involved = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    texts = written(texts.join(involved, "id", "left_semi"), "candidate-texts")
-    label, confirmed = None, None
-    low, share, rows = 0.0, FIRST_HUBS, members
-    while True:
-        # Keys stay open while they hold two components and members that have not been hubs.
-        labelled = rows.withColumn("component", F.col("rep")) if label is None else rows.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("u").alias("u0"))
-        open_keys = open_keys.filter((F.col("c0") != F.col("c1")) & (F.col("m") > low)).select("key", "m", "u0")
-        last, rows = rows, written(labelled.join(open_keys, "key"), "open-keys")
-        drop_written(last)
-        if rows.isEmpty():
-            break
-        # Hubs: u in [low/m, share/m) of their key, and each key's first member in the first round.
-        is_hub = (F.col("u") < share / F.col("m")) & (F.col("u") >= low / F.col("m")) | ((F.col("u") == F.col("u0")) if low == 0 else F.lit(False))
-        hubs = rows.filter(is_hub).select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u"), F.col("component").alias("hub_c"))
-        fits = denominator * F.least("n", "hub_n") >= numerator * F.greatest("n", "hub_n")
-        pairs = rows.join(hubs, "key").filter((F.col("u") > F.col("hub_u")) & (F.col("component") != F.col("hub_c")) & fits).select("hub", "rep").distinct()
-        with_hub = pairs.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-        with_both = with_hub.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("hub", "hub_text", "rep", "text")
-        links = written(with_both.mapInArrow(_confirm(shingle, numerator, denominator), "hub long, rep long"), "links")
-        confirmed = links if confirmed is None else confirmed.unionByName(links)
-        label = connected_components(confirmed, "hub", "rep").select(F.col("id").alias("rep"), "component")
-        rows, low, share = rows.select("key", "rep", "n", "u"), share, share * HUB_GROWTH
-    found = reps if label is None else reps.join(label, "rep", "left")
-    component = F.col("rep") if label is None else F.coalesce("component", "rep")
-    out = sketched.drop("bands").join(found.select(*same, component.alias("component")), same, "left")
+    framed = classes.select(F.pmod(F.xxhash64("rep"), F.lit(frames)).cast("int").alias("frame"), "rep", "bands").repartition(parts, "frame")
+    told = framed.groupBy("frame").applyInArrow(_own_keys(buckets), packed_schema(3)).groupBy("bucket").applyInArrow(_hubs, packed_schema(2)).repartition(parts, "frame")
+    edges = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_edges, "a long, b long")
+    groups = connected_components(edges)
+
+    heads = groups.select(F.col("component").alias("id")).distinct()
+    grouped = written(groups.select("id", F.col("component").alias("group")).unionByName(heads.select("id", F.col("id").alias("group"))), "groups")
+    near = F.broadcast(grouped) if grouped.count() <= BROADCAST_IDS else grouped
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"))
+    members = texts.join(near, "id").join(sizes, "id").select(F.col("id").alias("rep"), "group", "n", "text")
+    links = connected_components(_linked(written(members, "candidates"), shingle, numerator, denominator))
+
+    found = classes.select("rep", *same).join(links.withColumnRenamed("id", "rep"), "rep", "left")
+    found = found.select(*same, F.coalesce("component", "rep").alias("component"))
+    out = sketched.drop("bands").join(found, same, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import grids
+
+FAMILIES = (grids,)
+FLAGSHIP = "zonal_gradient"
+QUERIES: dict = {k: f for m in FAMILIES for k, f in m.C.queries.items()}
+ORACLES: dict = {k: s for m in FAMILIES for k, s in m.C.oracles.items()}

@@ -51,8 +51,8 @@ def interpolate(knots: DataFrame, queries: DataFrame, by: list[str], at: str, va
     w = Window.partitionBy(*by).orderBy(at, "_q")
     back = F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = marks.unionByName(asks).withColumns({"_b": back, "_f": ahead}).filter("_q = 1")
-    b, f, p = F.col("_b"), F.col("_f"), F.col(at)
+    d = marks.unionByName(asks).withColumns({"_back": back, "_ahead": ahead}).filter("_q = 1")
+    b, f, p = F.col("_back"), F.col("_ahead"), F.col(at)
     line = b.v + (f.v - b.v) * (p - b.p) / (f.p - b.p)
     return d.select(*by, at, *keep, F.when(b.isNull(), f.v).when(f.isNull() | (b.p == p), b.v).otherwise(line).alias(value))
 

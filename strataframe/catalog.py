@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import grids, physics, traces
+from .plans import grids, physics, spectral, traces
 
-FAMILIES = (grids, traces, physics)
+FAMILIES = (grids, traces, physics, spectral)
 FLAGSHIP = "zonal_gradient"
 QUERIES: dict = {k: f for m in FAMILIES for k, f in m.C.queries.items()}
 ORACLES: dict = {k: s for m in FAMILIES for k, s in m.C.oracles.items()}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 DX = DY = 100.0
 
 GRID_SQL = "g AS (SELECT (p_partkey // 50)::INT AS i, (p_partkey % 50)::INT AS j, 100.0::DOUBLE * (p_partkey % 50) AS x, 100.0::DOUBLE * (p_partkey // 50) AS y, p_retailprice AS value, p_size::DOUBLE AS band, (p_size % 5)::DOUBLE AS zone FROM part)"
@@ -17,6 +19,7 @@ DEPOSIT_SQL = "dep AS (SELECT s_suppkey AS id, ((s_suppkey * 613) % 5000)::DOUBL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

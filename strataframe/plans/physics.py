@@ -73,11 +73,15 @@ def heat_flow(spark, d):
 RADIO = "SELECT well, seq, phi * 20 AS k, gr / 40 AS u, rt / 5 AS th FROM w"
 
 
-@C.add("gamma_spec", f"WITH {WELL_SQL}, r AS ({RADIO}) SELECT well, seq, round(th / greatest(k, 1e-6), 9) + 0.0 AS th_k, {rnd(u_k='u / greatest(k, 1e-6)', u_th='u / greatest(th, 1e-6)', f_parameter='k * u / greatest(th, 1e-6)', dose_rate='13.078 * k + 5.675 * u + 2.494 * th')} FROM r")
+NINE = "round({}, 9) + 0.0 AS {}"
+GAMMA_SQL = ", ".join(NINE.format(e, n) for n, e in {"u_k": "u / greatest(k, 1e-6)", "th_k": "th / greatest(k, 1e-6)", "u_th": "u / greatest(th, 1e-6)", "f_parameter": "k * u / greatest(th, 1e-6)", "dose_rate": "13.078 * k + 5.675 * u + 2.494 * th"}.items())
+
+
+@C.add("gamma_spec", f"WITH {WELL_SQL}, r AS ({RADIO}) SELECT well, seq, {GAMMA_SQL} FROM r")
 def gamma_spec(spark, d):
     w = wells(spark, d).select("well", "seq", (F.col("phi") * 20).alias("k"), (F.col("gr") / 40).alias("u"), (F.col("rt") / 5).alias("th"))
-    g = P.gamma_spectrometry(w, "k", "u", "th").drop("k", "u", "th").withColumn("th_k", t("th_k", 9))
-    return _tidied(g, ["well", "seq", "th_k"])
+    g = P.gamma_spectrometry(w, "k", "u", "th")
+    return g.select("well", "seq", *[t(c, 9).alias(c) for c in ("u_k", "th_k", "u_th", "f_parameter", "dose_rate")])
 
 
 @C.add("heat_prod_table", f"WITH {WELL_SQL}, r AS ({RADIO}) SELECT well, seq, round(0.0267 * (9.52 * u + 2.56 * th + 3.48 * k), 6) + 0.0 AS a FROM r")
@@ -125,10 +129,10 @@ def tem(spark, d):
     return r.select("trace", "k", t("rho").alias("rho"), t("diffusion_depth").alias("diffusion_depth"), t("power").alias("power"), t("decay_constant", 9).alias("decay_constant"))
 
 
-@C.add("aem_cdt", f"WITH {SECTION_SQL}, v AS (SELECT trace, 1e-5 * pow(1.1, k) AS t, 1e-3 * exp(-0.1 * k) AS v FROM tr), r AS (SELECT *, {MU0 / (4 * math.pi)!r}::DOUBLE / t * pow({2 * MU0 * 5e5 / 5!r}::DOUBLE / (t * v), 2.0 / 3) AS rho FROM v), q AS (SELECT trace, 0.707 * sqrt(2 * rho * t / {MU0!r}::DOUBLE) AS z, 1 / rho AS sg FROM r), a AS (SELECT trace, min(z) AS a, max(z) AS b FROM q GROUP BY trace), d AS (SELECT trace, a, b, n * 20.0::DOUBLE AS z FROM a, (SELECT unnest(range(16)) AS n)), l AS (SELECT d.trace, d.z, max_by(struct_pack(z := q.z, s := sg), q.z) FILTER (WHERE q.z <= d.z) AS lo, min_by(struct_pack(z := q.z, s := sg), q.z) FILTER (WHERE q.z >= d.z) AS hi FROM d JOIN q USING (trace) WHERE d.z BETWEEN a AND b GROUP BY 1, 2) SELECT trace, z AS depth, round(CASE WHEN lo.z = hi.z THEN lo.s ELSE lo.s + (hi.s - lo.s) * (z - lo.z) / (hi.z - lo.z) END, 9) + 0.0 AS sigma FROM l")
+@C.add("aem_cdt", f"WITH {SECTION_SQL}, v AS (SELECT trace, 1e-5 * pow(1.1, k) AS t, 1e-3 * exp(-0.1 * k) AS v FROM tr), r AS (SELECT *, {MU0 / (4 * math.pi)!r}::DOUBLE / t * pow({2 * MU0 * 5e5 / 5!r}::DOUBLE / (t * v), 2.0 / 3) AS rho FROM v), q AS (SELECT trace, 0.707 * sqrt(2 * rho * t / {MU0!r}::DOUBLE) AS z, 1 / rho AS sg FROM r), a AS (SELECT trace, min(z) AS a, max(z) AS b FROM q GROUP BY trace), d AS (SELECT trace, a, b, n * 2.0::DOUBLE AS z FROM a, (SELECT unnest(range(151)) AS n)), l AS (SELECT d.trace, d.z, max_by(struct_pack(z := q.z, s := sg), q.z) FILTER (WHERE q.z <= d.z) AS lo, min_by(struct_pack(z := q.z, s := sg), q.z) FILTER (WHERE q.z >= d.z) AS hi FROM d JOIN q USING (trace) WHERE d.z BETWEEN a AND b GROUP BY 1, 2) SELECT trace, z AS depth, round(CASE WHEN lo.z = hi.z THEN lo.s ELSE lo.s + (hi.s - lo.s) * (z - lo.z) / (hi.z - lo.z) END, 9) + 0.0 AS sigma FROM l")
 def aem_cdt(spark, d):
     s = section(spark, d).select("trace", (1e-5 * F.pow(F.lit(1.1), F.col("k"))).alias("t"), (1e-3 * F.exp(-0.1 * F.col("k"))).alias("v"))
-    return P.conductivity_depth(s, ["trace"], "t", "v", step=20.0).filter("sigma IS NOT NULL").select("trace", "depth", t("sigma", 9).alias("sigma"))
+    return P.conductivity_depth(s, ["trace"], "t", "v", step=2.0).filter("sigma IS NOT NULL").select("trace", "depth", t("sigma", 9).alias("sigma"))
 
 
 _W = 2 * math.pi * 9800

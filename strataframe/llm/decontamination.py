@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many rows the terms of the benchmark are broadcast; beyond, the join shuffles. A row is a term and its windows.
-BROADCAST_TERMS = 50_000
+#: Up to so many rows and bytes the terms or windows of the benchmark are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
 
 
@@ -29,10 +31,11 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
     return starts.select("item", F.slice("words", F.col("at"), F.lit(window)).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
-def _sized(df: DataFrame, measure: Column):
-    """df, broadcast if its rows and bytes are within the bounds."""
+def _sized(df: DataFrame, measure: Column) -> tuple[DataFrame, bool]:
+    """df, broadcast if its rows and bytes are within the bounds, and whether it is."""
     n, total = df.agg(F.count(F.lit(1)), F.sum(measure)).first()
-    return F.broadcast(df) if n <= BROADCAST_TERMS and (total or 0) <= BROADCAST_BYTES else df
+    small = n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+    return (F.broadcast(df) if small else df), small
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, slop: int | None = None) -> DataFrame:
@@ -49,31 +52,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_row"), words_of(F.col(text_col)).alias("_words"))
     wins = item_windows(items, item_id, item_text, window)
     vocab = wins.select(F.explode("words").alias("term")).distinct()
-    counts = texts.select(F.explode("_words").alias("term")).join(_sized(vocab, F.octet_length("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select(F.explode("_words").alias("term")).join(_sized(vocab, F.octet_length("term"))[0], "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
     place = wins.select("words", "items", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
     rarest = place.groupBy("words").agg(F.min(F.struct("n", "term", "off")).alias("r"), F.count("n").alias("known"), F.first("items").alias("items"))
-    found = rarest.filter(F.col("known") == F.size("words")).select(F.col("r.term").alias("term"), F.struct(F.col("r.off").alias("off"), F.size("words").alias("len"), "words", "items").alias("w"))
-    looked_up = found.groupBy("term").agg(F.collect_list("w").alias("wins"))
+    found = rarest.filter(F.col("known") == F.size("words")).select(F.col("r.term").alias("term"), F.col("r.off").alias("off"), F.size("words").alias("len"), "words", "items")
+    found = written(found, "windows")
     # The empty term closes every document: its posting stands at the number of words.
-    closing = looked_up.sparkSession.sql("SELECT '' AS term, CAST(NULL AS INT) AS none").join(looked_up.limit(0), "term", "left").select("term", "wins")
-    looked_up = looked_up.unionByName(closing)
+    closing = found.sparkSession.sql("SELECT '' AS term, 0 AS off, 0 AS len, CAST(array() AS ARRAY<STRING>) AS words, CAST(array() AS ARRAY<STRING>) AS items")
+    looked_up, small = _sized(found.unionByName(closing), F.octet_length(F.concat_ws("", "words")) + 64)
 
-    weight = F.coalesce(F.size("wins") * 200, F.lit(1))
+    reach = window - 1 + (slop or 0)
     posted = texts.select(id_col, "_row", "_words", F.posexplode(F.array_append("_words", "")).alias("_pos", "term"))
-    met = posted.join(_sized(looked_up, weight), "term")
-    whole = F.filter("wins", lambda w: (F.col("_pos") >= w.off) & (F.slice("_words", F.greatest(F.col("_pos") - w.off + 1, F.lit(1)), w.len) == w.words))
-    near = F.filter("wins", lambda w: F.size(F.array_except(w.words, F.slice("_words", F.greatest(F.col("_pos") - w.off + 1 - (slop or 0), F.lit(1)), w.len + 2 * (slop or 0)))) == 0)
-    is_end = F.col("term") == ""
-    met = met.select(id_col, "_row", "_pos", is_end.alias("_end"), F.when(~is_end, F.transform(whole, lambda w: F.struct((F.col("_pos") - w.off).alias("start"), (F.col("_pos") - w.off + w.len).alias("end"), w["items"].alias("items")))).alias("_hits"), F.when(~is_end, F.size(near)).alias("_near"))
-    met = met.filter(F.col("_end") | (F.size("_hits") > 0) | ((F.col("_near") > 0) if slop is not None else F.lit(False)))
-
-    hits = F.flatten(F.collect_list("_hits"))
+    low = F.greatest(F.col("_pos") - reach, F.lit(0))
+    if small:  # the whole text stays beside its postings, and only hits are written out
+        around, shift = F.col("_words"), F.lit(0)
+    else:  # a posting takes along only the words that a window could reach
+        posted = posted.select(id_col, "_row", "_pos", "term", low.alias("_low"), F.slice("_words", low + 1, 2 * reach + 1).alias("_near_words"))
+        around, shift = F.col("_near_words"), F.col("_low")
+    start = F.col("_pos") - F.col("off")
+    whole = (start >= 0) & (F.slice(around, F.greatest(start - shift + 1, F.lit(1)), F.col("len")) == F.col("words"))
+    wide = F.slice(around, F.greatest(start - (slop or 0) - shift + 1, F.lit(1)), F.col("len") + 2 * (slop or 0))
+    near = F.size(F.array_except("words", wide)) == 0
+    met = posted.join(looked_up, "term").filter(whole if slop is None else whole | near)
+    met = met.select(id_col, "_row", (F.col("len") == 0).alias("_end"), "_pos", F.when((F.col("len") > 0) & whole, F.struct(start.alias("start"), (start + F.col("len")).alias("end"), F.col("items"))).alias("_hit"), (F.col("len") > 0).cast("long").alias("_near"))
     by_row = met.groupBy(id_col, "_row").agg(
         F.max(F.when(F.col("_end"), F.col("_pos"))).cast("long").alias("n_words"),
         F.count_if("_end").alias("_copies"),
-        hits.alias("_hits"),
-        F.coalesce(F.sum("_near"), F.lit(0)).cast("long").alias("_near"),
+        F.collect_list("_hit").alias("_hits"),
+        F.sum("_near").alias("_near"),
     )
     spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: F.struct(h.start, h.end))))
     covered = F.aggregate(

@@ -27,7 +27,7 @@ FRAME_ROWS, BUCKET_KEYS = 4096, 400_000
 #: Up to so many candidates (16 bytes each) are broadcast to read their texts; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 #: Classes in a cell of a large group, and in a task of small groups.
-CELL, SMALL_ROWS = 512, 2048
+CELL, SMALL_ROWS = 512, 256
 #: A value in this many pairs of sets is counted by a matrix product of so many columns; other values in so many at once.
 DENSE_PAIRS, DENSE_COLUMNS, SPARSE_ENTRIES = 64, 4096, 1 << 16
 

@@ -204,12 +204,14 @@ def mt_layers(df: DataFrame, frequency: str, rho: str, thick: str) -> DataFrame:
         z0 = z_of(r)
         g = F.sqrt(omega * MU0 / (2 * r)) * h
         ta, tb = complex_tanh(g, g)
-        # z0 (1 + i): multiply out (z + z0 t) / (z0 + z t) for t = ta + i tb.
-        na, nb = z["re"] + z0 * (ta - tb), z["im"] + z0 * (ta + tb)
-        da, db = z0 + z["re"] * ta - z["im"] * tb, z0 + z["re"] * tb + z["im"] * ta
-        d2 = da * da + db * db
-        qa, qb = (na * da + nb * db) / d2, (nb * da - na * db) / d2
-        return F.struct((z0 * (qa - qb)).alias("re"), (z0 * (qa + qb)).alias("im"))
+        bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  evaluates value once
+
+        def ratio(s):
+            # z0 (1 + i): multiply out (z + z0 t) / (z0 + z t) for t = ta + i tb.
+            parts = F.struct((z["re"] + s.z0 * (s.a - s.b)).alias("na"), (z["im"] + s.z0 * (s.a + s.b)).alias("nb"), (s.z0 + z["re"] * s.a - z["im"] * s.b).alias("da"), (s.z0 + z["re"] * s.b + z["im"] * s.a).alias("db"), s.z0.alias("z0"))
+            return bind(parts, lambda p: bind(F.struct(((p.na * p.da + p.nb * p.db) / (p.da * p.da + p.db * p.db)).alias("a"), ((p.nb * p.da - p.na * p.db) / (p.da * p.da + p.db * p.db)).alias("b")), lambda q: F.struct((p.z0 * (q.a - q.b)).alias("re"), (p.z0 * (q.a + q.b)).alias("im"))))
+
+        return bind(F.struct(z0.alias("z0"), ta.alias("a"), tb.alias("b")), ratio)
 
     layers = F.when(n > 1, F.reverse(F.sequence(F.lit(1), n - 1))).otherwise(F.array().cast("array<int>"))
     z = F.aggregate(layers, F.struct(bottom.alias("re"), bottom.alias("im")), up)

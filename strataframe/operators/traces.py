@@ -252,8 +252,8 @@ def longman_tide(time: Column, latitude: float, longitude: float, height: float
     return (gm + gs) * 1e3 * love
 
 
-def vsp_corridor(df: DataFrame, trace: str, at: str, value: str, first_break: str, traces: int, corridor: int) -> DataFrame:
-    """sample, stack, fold: the up-going field in a corridor after each first break, at two-way time in samples.
+def vsp_corridor(df: DataFrame, by: list[str], trace: str, at: str, value: str, first_break: str, traces: int, corridor: int) -> DataFrame:
+    """by, sample, stack, fold: the up-going field in a corridor after each first break, at two-way time in samples.
 
     Traces are flattened on their first break (samples, linear between), the median over an odd number of traces is taken
     off as the down-going field, and what is left is put back and shifted by the first break.
@@ -261,11 +261,11 @@ def vsp_corridor(df: DataFrame, trace: str, at: str, value: str, first_break: st
     shifted = df.withColumn("_k", F.col(at) - F.col(first_break))
     whole = F.floor("_k")
     a = shifted.withColumns({"_i": whole, "_f": F.col("_k") - whole})
-    w = Window.partitionBy(trace).orderBy(at)
+    w = Window.partitionBy(*by, trace).orderBy(at)
     # The value at whole shifts: between this sample and the next.
     flat = a.withColumns({"_v": F.when(F.col("_f") == 0, F.col(value)).otherwise(F.col(value) + (F.lead(value).over(w) - F.col(value)) * (1 - F.col("_f"))), "_p": F.when(F.col("_f") == 0, F.col("_i")).otherwise(F.col("_i") + 1)}).filter("_v IS NOT NULL")
     side = traces // 2
-    across = Window.partitionBy("_p").orderBy(trace)
+    across = Window.partitionBy(*by, "_p").orderBy(trace)
     down = F.expr("percentile(_v, 0.5)").over(across.rowsBetween(-side, side))
     up = flat.withColumn("_up", F.col("_v") - down).filter((F.col("_p") >= 0) & (F.col("_p") < corridor))
-    return up.groupBy((F.col("_p") + F.bround(2 * F.col(first_break))).cast("long").alias("sample")).agg(F.avg("_up").alias("stack"), F.count(F.lit(1)).alias("fold"))
+    return up.groupBy(*by, (F.col("_p") + F.bround(2 * F.col(first_break))).cast("long").alias("sample")).agg(F.avg("_up").alias("stack"), F.count(F.lit(1)).alias("fold"))

@@ -289,11 +289,7 @@ def fractal(spark, d):
     return _tidied(A.fractal_dimension(grid(spark, d), ["grid_id"], 3).drop("grid_id"), [])
 
 
-@C.add("fractal_map", f"WITH {GRID_SQL}, m AS (SELECT max(i) + 1 AS ny FROM g), wi AS (SELECT unnest(range(0, 13))::INT AS wi), wj AS (SELECT unnest(range(0, 13))::INT AS wj), c AS (SELECT wi, wj, i, j, value FROM g, wi, wj, m WHERE i BETWEEN 4 * wi AND 4 * wi + 3 AND j BETWEEN 4 * wj AND 4 * wj + 7 AND 4 * wi + 4 <= ny AND 4 * wj + 8 <= 50 AND wi < 13), h AS (SELECT unnest(range(1, 4))::INT AS h), d AS (SELECT a.wi, a.wj, h, b.value - a.value AS d FROM c a, h, c b WHERE a.wi = b.wi AND a.wj = b.wj AND ((b.i = a.i AND b.j = a.j + h) OR (b.j = a.j AND b.i = a.i + h))), q AS (SELECT wi, wj, h, avg(d * d) / 2 AS g FROM d GROUP BY 1, 2, 3), s AS (SELECT wi, wj, greatest(least(regr_slope(ln(g), ln(h)) / 2, 1), 0) AS hu FROM q WHERE g > 0 GROUP BY 1, 2) SELECT wi::BIGINT AS wi, wj::BIGINT AS wj, {rnd(hurst='hu', dimension='3 - hu')} FROM s")
+@C.add("fractal_map", f"WITH {GRID_SQL}, m AS (SELECT max(i) + 1 AS ny FROM g), c AS (SELECT i // 4 AS wi, j // 4 AS wj, i, j, value FROM g, m WHERE 4 * (i // 4) + 4 <= ny AND 4 * (j // 4) + 4 <= 50), h AS (SELECT unnest(range(1, 4))::INT AS h), d AS (SELECT a.wi, a.wj, h, b.value - a.value AS d FROM c a, h, c b WHERE a.wi = b.wi AND a.wj = b.wj AND ((b.i = a.i AND b.j = a.j + h) OR (b.j = a.j AND b.i = a.i + h))), q AS (SELECT wi, wj, h, avg(d * d) / 2 AS g FROM d GROUP BY 1, 2, 3), s AS (SELECT wi, wj, greatest(least(regr_slope(ln(g), ln(h)) / 2, 1), 0) AS hu FROM q WHERE g > 0 GROUP BY 1, 2) SELECT wi::BIGINT AS wi, wj::BIGINT AS wj, {rnd(hurst='hu', dimension='3 - hu')} FROM s")
 def fractal_map(spark, d):
-    cells = grid(spark, d).filter("i < 52")
-    tall = A.window_members(cells.select("grid_id", "i", "j", "value"), 4, 4).drop("wj")
-    last = F.least(F.floor(F.col("j") / 4), F.lit(10))
-    first = F.greatest(F.ceil((F.col("j") - 7) / 4), F.lit(0))
-    both = tall.withColumn("wj", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    both = A.window_members(grid(spark, d).select("grid_id", "i", "j", "value"), 4, 4)
     return _tidied(A.fractal_dimension(both, ["wi", "wj"], 3), ["wi", "wj"])

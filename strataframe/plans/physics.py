@@ -170,12 +170,12 @@ def hyperbola_velocity(spark, d):
     return grid(spark, d).select("i", "j", t(P.hyperbola_velocity(F.col("band"), F.col("value") * 1e-9) / 1e6).alias("v"))
 
 
-PM_SQL = f"{WELL_SQL}, a AS (SELECT well, seq, 5.0::DOUBLE * seq AS x, 0.02 + 0.002 * seq + gr * 1e-6 AS tf, 0.02 + 0.002 * (1000 - seq) + rt * 1e-6 AS tr FROM w WHERE seq <= 200), b AS (SELECT well, max_by(tf, x) AS rt, 2 / regr_slope(tf - tr, x) AS v2 FROM a GROUP BY well)"
+PM_SQL = f"{WELL_SQL}, a AS (SELECT well, seq, 5.0::DOUBLE * seq AS x, 0.02 + 0.002 * seq + gr * 1e-6 AS tf, 0.02 + 0.002 * (1000 - seq) + rt * 1e-6 AS tr FROM w), b AS (SELECT well, max_by(tf, x) AS rt, 2 / regr_slope(tf - tr, x) AS v2 FROM a GROUP BY well)"
 
 
 @C.add("plus_minus", f"WITH {PM_SQL} SELECT well, seq, round(v2, 4) AS v2, round((tf + tr - rt) * 500 / (2 * sqrt(1 - pow(500 / v2, 2))), 6) + 0.0 AS depth FROM a JOIN b USING (well)")
 def plus_minus(spark, d):
-    w = wells(spark, d).filter("seq <= 200").select("well", "seq", (5.0 * F.col("seq")).alias("x"), (0.02 + 0.002 * F.col("seq") + F.col("gr") * 1e-6).alias("tf"), (0.02 + 0.002 * (1000 - F.col("seq")) + F.col("rt") * 1e-6).alias("tr"))
+    w = wells(spark, d).select("well", "seq", (5.0 * F.col("seq")).alias("x"), (0.02 + 0.002 * F.col("seq") + F.col("gr") * 1e-6).alias("tf"), (0.02 + 0.002 * (1000 - F.col("seq")) + F.col("rt") * 1e-6).alias("tr"))
     return P.plus_minus(w, ["well"], "x", "tf", "tr", 500.0).select("well", "seq", F.round("v2", 4).alias("v2"), t("depth").alias("depth"))
 
 

@@ -135,23 +135,23 @@ def cpd(spark, d):
     return c.select(F.col("grid_id").alias("tile"), t("top", 4).alias("top"), t("centroid", 4).alias("centroid"), t(F.coalesce("curie", F.lit(-1.0)), 4).alias("curie"))
 
 
-ANALYTIC_SQL = f"{SECTION_SQL}, sp AS (SELECT trace, m, sum(amp * cos({TWO_PI!r} * m * k / 64)) AS re, -sum(amp * sin({TWO_PI!r} * m * k / 64)) AS im FROM tr, (SELECT unnest(range(33)) AS m) WHERE cmp = 3 GROUP BY trace, m), z AS (SELECT trace, k, sum(CASE WHEN m IN (0, 32) THEN 1 ELSE 2 END * (re * cos({TWO_PI!r} * m * k / 64) - im * sin({TWO_PI!r} * m * k / 64))) / 64 AS x, sum(CASE WHEN m IN (0, 32) THEN 1 ELSE 2 END * (re * sin({TWO_PI!r} * m * k / 64) + im * cos({TWO_PI!r} * m * k / 64))) / 64 AS y FROM sp, (SELECT unnest(range(64)) AS k) GROUP BY trace, k)"
+ANALYTIC_SQL = f"{SECTION_SQL}, sp AS (SELECT trace, m, sum(amp * cos({TWO_PI!r} * m * k / 64)) AS re, -sum(amp * sin({TWO_PI!r} * m * k / 64)) AS im FROM tr, (SELECT unnest(range(33)) AS m) GROUP BY trace, m), z AS (SELECT trace, k, sum(CASE WHEN m IN (0, 32) THEN 1 ELSE 2 END * (re * cos({TWO_PI!r} * m * k / 64) - im * sin({TWO_PI!r} * m * k / 64))) / 64 AS x, sum(CASE WHEN m IN (0, 32) THEN 1 ELSE 2 END * (re * sin({TWO_PI!r} * m * k / 64) + im * cos({TWO_PI!r} * m * k / 64))) / 64 AS y FROM sp, (SELECT unnest(range(64)) AS k) GROUP BY trace, k)"
 
 
 @C.add("complex_trace", f"WITH {ANALYTIC_SQL} SELECT trace, k::INT AS k, {rnd(envelope='sqrt(x * x + y * y)', phase='atan2(y, x)', cos_phase='cos(atan2(y, x))')} FROM z")
 def complex_trace(spark, d):
-    c = S.complex_trace(section(spark, d).filter("cmp = 3"), ["trace"], "k", "amp", 0.004)
+    c = S.complex_trace(section(spark, d), ["trace"], "k", "amp", 0.004)
     return c.select("trace", F.col("sample").alias("k"), t("envelope").alias("envelope"), t("phase").alias("phase"), t("cos_phase").alias("cos_phase"))
 
 
 def specdecomp_sql() -> str:
     g = f"(0.5 - 0.5 * cos({TWO_PI!r} * (o + 8) / 16))"
-    return f"WITH {SECTION_SQL}, q AS (SELECT unnest([20.0, 40.0])::DOUBLE AS frequency, unnest([1, 3]) AS b), w AS (SELECT unnest(range(-8, 8)) AS o), s AS (SELECT a.trace, a.k, frequency, sum({g} * x.amp * cos({TWO_PI!r} * b * (o + 8) / 16)) AS re, sum({g} * x.amp * sin({TWO_PI!r} * b * (o + 8) / 16)) AS im FROM tr a, q, w, tr x WHERE x.trace = a.trace AND x.k = a.k + o AND a.cmp = 3 GROUP BY 1, 2, 3) SELECT trace, k, frequency, round(sqrt(re * re + im * im) / 8, 6) + 0.0 AS amplitude FROM s"
+    return f"WITH {SECTION_SQL}, q AS (SELECT unnest([20.0, 40.0])::DOUBLE AS frequency, unnest([1, 3]) AS b), w AS (SELECT unnest(range(-8, 8)) AS o), s AS (SELECT a.trace, a.k, frequency, sum({g} * x.amp * cos({TWO_PI!r} * b * (o + 8) / 16)) AS re, sum({g} * x.amp * sin({TWO_PI!r} * b * (o + 8) / 16)) AS im FROM tr a, q, w, tr x WHERE x.trace = a.trace AND x.k = a.k + o GROUP BY 1, 2, 3) SELECT trace, k, frequency, round(sqrt(re * re + im * im) / 8, 6) + 0.0 AS amplitude FROM s"
 
 
 @C.add("specdecomp", specdecomp_sql())
 def specdecomp(spark, d):
-    r = S.spectral_decomposition(section(spark, d).filter("cmp = 3"), ["trace"], "k", "amp", 0.004, [20.0, 40.0], 16)
+    r = S.spectral_decomposition(section(spark, d), ["trace"], "k", "amp", 0.004, [20.0, 40.0], 16)
     return r.select("trace", "k", "frequency", t("amplitude").alias("amplitude"))
 
 
@@ -167,22 +167,23 @@ def q(spark, d):
 
 
 FK_V = "CASE WHEN kx <> 0 THEN abs(ky) / abs(kx) ELSE 1e300 END"
-FK_SQL = f"{SECTION_SQL}, g AS (SELECT 0 AS t, k AS i, (row_number() OVER (PARTITION BY k ORDER BY trace) - 1)::INT AS j, amp AS value FROM tr WHERE trace < 40)"
+FK_SQL = f"{SECTION_SQL}, g AS (SELECT (trace // 50)::INT AS t, k AS i, (trace % 50)::INT AS j, amp AS value FROM tr)"
 
 
 def _fk_cells(spark, d):
-    s = section(spark, d).filter("trace < 40")
-    return s.select(F.lit("0").alias("grid_id"), F.col("k").cast("int").alias("i"), F.col("trace").cast("int").alias("j"), F.col("amp").alias("value"))
+    """Sections of 50 traces."""
+    s = section(spark, d)
+    return s.select(F.floor(F.col("trace") / 50).cast("string").alias("grid_id"), F.col("k").cast("int").alias("i"), (F.col("trace") % 50).cast("int").alias("j"), F.col("amp").alias("value"))
 
 
-@C.add("fk", f"WITH {FK_SQL}, {dft_sql('x', 'value', f'CASE WHEN {FK_V} >= 1500 THEN 1 WHEN {FK_V} <= 1200 THEN 0 ELSE 0.5 - 0.5 * cos({math.pi!r} * ({FK_V} - 1200) / 300) END', dx=50.0, dy=0.004, padding='none', nx=40)} SELECT i::INT AS i, j::INT AS j, round(f, 6) + 0.0 AS filtered FROM x")
+@C.add("fk", f"WITH {FK_SQL}, {dft_sql('x', 'value', f'CASE WHEN {FK_V} >= 1500 THEN 1 WHEN {FK_V} <= 1200 THEN 0 ELSE 0.5 - 0.5 * cos({math.pi!r} * ({FK_V} - 1200) / 300) END', dx=50.0, dy=0.004, padding='none', nx=50)} SELECT t::VARCHAR AS part, i::INT AS i, j::INT AS j, round(f, 6) + 0.0 AS filtered FROM x")
 def fk(spark, d):
-    return S.fk_filter(_fk_cells(spark, d), 50.0, 0.004, 1500.0).select("i", "j", t("filtered").alias("filtered"))
+    return S.fk_filter(_fk_cells(spark, d), 50.0, 0.004, 1500.0).select(F.col("grid_id").alias("part"), "i", "j", t("filtered").alias("filtered"))
 
 
 @C.add("stolt")
 def stolt(spark, d):
-    return S.stolt(_fk_cells(spark, d), 50.0, 0.004, 2000.0).select("i", "j", t("migrated").alias("migrated"))
+    return S.stolt(_fk_cells(spark, d), 50.0, 0.004, 2000.0).select(F.col("grid_id").alias("part"), "i", "j", t("migrated").alias("migrated"))
 
 
 @C.add("decon")

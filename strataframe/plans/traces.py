@@ -175,7 +175,7 @@ def cross_section(spark, d):
     return J.bilinear(p, grid(spark, d), 0.0, 0.0, 100.0, 100.0, ["n"]).select("n", t("value").alias("value"))
 
 
-@C.add("vsp", f"WITH {SECTION_SQL}, f AS (SELECT trace, k - (trace % 7 + 3) AS p, amp, trace % 7 + 3 AS fb FROM tr WHERE cmp = 3), m AS (SELECT *, quantile_cont(amp, 0.5) OVER (PARTITION BY p ORDER BY trace ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS down FROM f) SELECT (p + 2 * fb)::BIGINT AS sample, round(avg(amp - down), 6) + 0.0 AS stack, count(*) AS fold FROM m WHERE p >= 0 AND p < 20 GROUP BY 1")
+@C.add("vsp", f"WITH {SECTION_SQL}, f AS (SELECT trace, k - (trace % 7 + 3) AS p, amp, trace % 7 + 3 AS fb, cmp FROM tr), m AS (SELECT f.*, quantile_cont(amp, 0.5) OVER (PARTITION BY cmp, p ORDER BY trace ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS down FROM f) SELECT cmp, (p + 2 * fb)::BIGINT AS sample, round(avg(amp - down), 6) + 0.0 AS stack, count(*) AS fold FROM m WHERE p >= 0 AND p < 20 GROUP BY 1, 2")
 def vsp(spark, d):
-    s = section(spark, d).filter("cmp = 3").withColumn("fb", (F.col("trace") % 7 + 3).cast("double"))
-    return T.vsp_corridor(s, "trace", "k", "amp", "fb", 5, 20).select("sample", t("stack").alias("stack"), "fold")
+    s = section(spark, d).withColumn("fb", (F.col("trace") % 7 + 3).cast("double"))
+    return T.vsp_corridor(s, ["cmp"], "trace", "k", "amp", "fb", 5, 20).select("cmp", "sample", t("stack").alias("stack"), "fold")

@@ -66,14 +66,15 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     plain = parts.groupBy(*keys).agg(texts.alias("text"), F.count_if((F.col("level") > 0) & ~F.col("blank")).alias("n_quotes"))
     out = written(base.drop("_text").join(plain, keys).join(parent, keys, "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0))), "linked")
 
-    # The first turn of each thread: pointers to parents double their reach each round.
-    ahead = written(out.select("_conv", "_turn", F.coalesce("parent_turn", "_turn").alias("_root")), "roots")
+    # The first turn of each thread: pointers to parents double their reach each round, while they have not ended at one.
+    ahead = written(out.select("_conv", "_turn", F.coalesce("parent_turn", "_turn").alias("_root"), F.col("parent_turn").isNotNull().alias("_open")), "roots")
     for _ in range(MAX_DOUBLINGS):
-        far = ahead.select("_conv", F.col("_turn").alias("_root"), F.col("_root").alias("_next"))
-        last, ahead = ahead, written(ahead.join(far, ["_conv", "_root"]).select("_conv", "_turn", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("moved")), "roots")
-        drop_written(last)
-        if not ahead.filter("moved").limit(1).count():
+        if ahead.filter("_open").isEmpty():
             break
+        far = ahead.select("_conv", F.col("_turn").alias("_root"), F.col("_root").alias("_next"), F.col("_open").alias("_more"))
+        moved = ahead.filter("_open").join(far, ["_conv", "_root"]).select("_conv", "_turn", F.col("_next").alias("_root"), F.col("_more").alias("_open"))
+        last, ahead = ahead, written(ahead.filter("NOT _open").unionByName(moved), "roots")
+        drop_written(last)
     formatted = F.concat(F.lit("<|"), F.coalesce("_role", F.lit("unknown")), F.lit("|>\n"), "text", F.lit("\n<|end|>"))
     rows = out.join(ahead.select("_conv", "_turn", F.col("_root").alias("thread")), keys)
     return rows.select(F.col("_conv").alias(conv_col), F.col("_turn").alias(turn_col), F.col("_role").alias(role_col), "text", F.col("n_quotes").cast("long").alias("n_quotes"), F.col("n_linked").cast("long").alias("n_linked"), "parent_turn", "thread", formatted.alias("formatted"))

@@ -176,3 +176,72 @@ def local_std(cells: DataFrame, half: int = 2) -> DataFrame:
     want = want.select("grid_id", "i", "j", mirror(F.col("i") + F.col("a"), F.col("ny")).alias("ii"), mirror(F.col("j") + F.col("b"), F.col("nx")).alias("jj"))
     from_cells = cells.select("grid_id", F.col("i").alias("ii"), F.col("j").alias("jj"), "value")
     return want.join(from_cells, ["grid_id", "ii", "jj"]).groupBy("grid_id", "i", "j").agg(F.stddev_pop("value").alias("texture"))
+
+
+def trend_terms(order: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(order + 1) for b in range(order + 1 - a)]
+
+
+def trend_surface(cells: DataFrame, order: int = 2) -> DataFrame:
+    """Columns trend and residual: all x^a y^b with a + b <= order on centred, scaled axes, by least squares.
+
+    One aggregate of moments for each grid; the small normal system is solved for each grid's one row.
+    """
+    import numpy as np
+
+    axes = cells.groupBy("grid_id").agg(*[f for c in "xy" for f in (F.avg(c).alias(f"_m{c}"), F.greatest(F.max(c) - F.min(c), F.lit(1e-12)).alias(f"_r{c}"))])
+    u, v = (F.col("x") - F.col("_mx")) / F.col("_rx"), (F.col("y") - F.col("_my")) / F.col("_ry")
+    d = cells.join(F.broadcast(axes), "grid_id").withColumns({"_u": u, "_v": v})
+    power = lambda c, n: F.lit(1.0) if n == 0 else F.pow(F.col(c), F.lit(float(n)))
+    terms = trend_terms(order)
+    moments = sorted({(a + c, b + e) for a, b in terms for c, e in terms})
+    sums = d.filter(F.col("value").isNotNull()).groupBy("grid_id").agg(*[F.sum(power("_u", a) * power("_v", b)).alias(f"s{a}_{b}") for a, b in moments], *[F.sum(F.col("value") * power("_u", a) * power("_v", b)).alias(f"t{a}_{b}") for a, b in terms])
+
+    def solve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                m = np.array([[row[f"s{a + c}_{b + e}"] for c, e in terms] for a, b in terms])
+                out.append(np.linalg.lstsq(m, np.array([row[f"t{a}_{b}"] for a, b in terms]), rcond=None)[0].tolist())
+            yield pa.RecordBatch.from_arrays([batch["grid_id"], pa.array(out, pa.list_(pa.float64()))], ["grid_id", "_c"])
+
+    fit = sums.mapInArrow(solve, "grid_id string, _c array<double>")
+    surface = sum((F.col("_c")[n] * power("_u", a) * power("_v", b) for n, (a, b) in enumerate(terms)), F.lit(0.0))
+    d = d.join(F.broadcast(fit), "grid_id").withColumn("trend", surface)
+    return d.withColumn("residual", F.col("value") - F.col("trend")).drop("_u", "_v", "_mx", "_my", "_rx", "_ry", "_c")
+
+
+def lineament_density(lines: DataFrame, cells: DataFrame, radius: float, pieces: int = 20) -> DataFrame:
+    """grid_id, i, j, density in km of line per km2 within the radius; lines: x1, y1, x2, y2 as `pieces` equal parts."""
+    from math import pi
+
+    from .joins import radius_join
+
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: (k + 0.5) / pieces)).alias("s")
+    p = lines.select("*", part).select(F.monotonically_increasing_id().alias("piece"), (F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("s")).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("s")).alias("y"), (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / pieces).alias("length"))
+    c = cells.select(F.concat_ws(":", "grid_id", "i", "j").alias("cell"), "grid_id", "i", "j", "x", "y")
+    # Lengths ride along through the join as the other side's id, so the numbering is never joined back.
+    tagged = p.select(F.struct("piece", "length").alias("piece"), "x", "y")
+    near = radius_join(c.select("cell", "x", "y"), tagged, radius, "cell", "piece")
+    total = near.groupBy("cell").agg((F.sum("piece.length") / 1e3 / (pi * radius * radius / 1e6)).alias("density"))
+    return c.join(total, "cell", "left").select("grid_id", "i", "j", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def terrain_correction(stations: DataFrame, cells: DataFrame, dx: float, dy: float, radius: float, density: float = 2670.0) -> DataFrame:
+    """id, terrain: sum of |gz| of the prisms between each station's height and the cells' heights within the radius.
+
+    stations: id, x, y, height. Cells nearer than half a cell and prisms thinner than 1e-6 m are left out.
+    """
+    from .joins import radius_join
+    from .physics import prism_gz
+
+    c = cells.select(F.struct("i", "j", "x", "y", "value").alias("cell"), "x", "y")
+    s = stations.select(F.struct("id", "x", "y", "height").alias("station"), "x", "y")
+    d = radius_join(s, c, radius, "station", "cell").filter(F.col("distance") > min(dx, dy) / 2)
+    top, base = F.least("station.height", "cell.value"), F.greatest("station.height", "cell.value")
+    p = {"x1": F.col("cell.x") - dx / 2, "x2": F.col("cell.x") + dx / 2, "y1": F.col("cell.y") - dy / 2, "y2": F.col("cell.y") + dy / 2, "z1": F.col("station.height") - base, "z2": F.col("station.height") - top}
+    d = d.filter(base - top > 1e-6).select("station.id", F.abs(prism_gz(F.col("station.x"), F.col("station.y"), F.lit(0.0), p) * density).alias("g"))
+    got = d.groupBy("id").agg(F.sum("g").alias("terrain"))
+    return stations.select("id").join(got, "id", "left").na.fill(0.0, ["terrain"])

@@ -293,3 +293,30 @@ def fractal(spark, d):
 def fractal_map(spark, d):
     both = A.window_members(grid(spark, d).select("grid_id", "i", "j", "value"), 4, 4)
     return _tidied(A.fractal_dimension(both, ["wi", "wj"], 3), ["wi", "wj"])
+
+
+@C.add("trend")
+def trend(spark, d):
+    return _tidied(G.trend_surface(grid(spark, d), 2).select("i", "j", "trend", "residual"), ["i", "j"])
+
+
+@C.add("trend_plane", f"WITH {GRID_SQL}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(value) AS mv FROM g), s AS (SELECT sum((x - mx) * (value - mv)) / sum((x - mx) ** 2) AS bx, sum((y - my) * (value - mv)) / sum((y - my) ** 2) AS b, any_value(mx) AS mx, any_value(my) AS my, any_value(mv) AS mv FROM g, m) SELECT i, j, round(s.mv + bx * (x - s.mx) + b * (y - s.my), 6) + 0.0 AS trend FROM g, s")
+def trend_plane(spark, d):
+    return G.trend_surface(grid(spark, d), 1).select("i", "j", t("trend").alias("trend"))
+
+
+LINE_SQL = "ln AS (SELECT ((s_suppkey * 613) % 5000)::DOUBLE AS x1, ((s_suppkey * 389) % 4000)::DOUBLE AS y1, ((s_suppkey * 613) % 5000)::DOUBLE + s_acctbal / 10 AS x2, ((s_suppkey * 389) % 4000)::DOUBLE + 300 AS y2 FROM supplier), pc AS (SELECT x1 + (x2 - x1) * (k + 0.5) / 20 AS x, y1 + (y2 - y1) * (k + 0.5) / 20 AS y, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 20 AS len FROM ln, (SELECT unnest(range(20)) AS k))"
+
+
+@C.add("lin_density", f"WITH {GRID_SQL}, {LINE_SQL} SELECT i, j, round(coalesce(sum(len), 0) / 1000 / (pi() * 0.16), 6) + 0.0 AS density FROM g LEFT JOIN pc ON (g.x - pc.x) ** 2 + (g.y - pc.y) ** 2 <= 160000 GROUP BY i, j")
+def lin_density(spark, d):
+    s = table(spark, d, "supplier")
+    x, y = (F.col("s_suppkey") * 613 % 5000).cast("double"), (F.col("s_suppkey") * 389 % 4000).cast("double")
+    lines = s.select(x.alias("x1"), y.alias("y1"), (x + F.col("s_acctbal") / 10).alias("x2"), (y + 300).alias("y2"))
+    return G.lineament_density(lines, grid(spark, d), 400.0).select("i", "j", t("density").alias("density"))
+
+
+@C.add("terrain")
+def terrain(spark, d):
+    p = deposits(spark, d).withColumn("height", F.lit(920.0))
+    return G.terrain_correction(p, grid(spark, d), DX, DY, 500.0).select("id", t("terrain").alias("terrain"))

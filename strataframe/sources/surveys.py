@@ -53,7 +53,7 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
 def read_traces(spark: SparkSession, path: str, dt: float, spacing: float = 1.0) -> DataFrame:
     """section, trace, x, dt, amp (array by sample) of files that hold a samples x traces matrix."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("section"), "value")
-    rows = files.select("section", F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("k", "line"))
+    rows = files.select("section", F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("k", "line"))
     cells = rows.select("section", "k", F.posexplode(F.split(F.trim("line"), r"[,;\s]+")).alias("trace", "v"))
     amp = F.array_sort(F.collect_list(F.struct("k", F.expr("try_cast(v AS DOUBLE)").alias("a"))))["a"]
     return cells.groupBy("section", "trace").agg(amp.alias("amp")).select("section", "trace", (F.col("trace") * float(spacing)).alias("x"), F.lit(float(dt)).alias("dt"), "amp")

@@ -246,3 +246,39 @@ def plus_minus(df: DataFrame, by: list[str], x: str, forward: str, reverse: str,
     d = df.withColumns({"_t": t, "v2": v2}).withColumn("v2", F.when(F.col("v2") > v1, F.col("v2")).otherwise(F.raise_error(F.lit("the refractor is not faster")).cast("double")))
     cos = F.sqrt(1 - F.pow(v1 / F.col("v2"), F.lit(2.0)))
     return d.withColumn("depth", (F.col(forward) + F.col(reverse) - F.col("_t")) * v1 / (2 * cos)).drop("_t")
+
+
+def generalised_reciprocal(df: DataFrame, by: list[str], x: str, forward: str, reverse: str, v1: float, separations: list[float], least: int = 4) -> DataFrame:
+    """by, xy, v2, roughness, x, depth: the reciprocal method at the separation XY whose velocity function is smoothest.
+
+    Times are read at x + XY/2 (forward) and x - XY/2 (reverse), linear between stations; stations whose readings fall off
+    the spread do not count, and a separation needs `least` of them.
+    """
+    ends = df.groupBy(*by).agg(F.min(x).alias("_a"), F.max(x).alias("_b"), F.max_by(forward, x).alias("_t"))
+    tried = df.select(*by, F.col(x).alias("_x"), F.explode(F.array(*[F.lit(float(s)) for s in separations])).alias("xy")).join(F.broadcast(ends), by)
+    tried = tried.filter((F.col("_x") + F.col("xy") / 2 <= F.col("_b")) & (F.col("_x") - F.col("xy") / 2 >= F.col("_a")))
+    read = lambda value, sign, out: interpolate(df.select(*by, F.col(x).alias("_at"), F.col(value).alias(out)), tried.withColumn("_at", F.col("_x") + sign * F.col("xy") / 2).select(*by, "_at", "_x", "xy", "_t"), by, "_at", out, ["_x", "xy", "_t"]).drop("_at")
+    both = read(forward, 1, "_f").join(read(reverse, -1, "_r").drop("_t"), [*by, "_x", "xy"])
+    v = (F.col("_f") - F.col("_r") + F.col("_t")) / 2
+    w = Window.partitionBy(*by, "xy")
+    d = both.withColumn("_v", v).withColumns({"_n": F.count(F.lit(1)).over(w), "_s": F.regr_slope("_v", "_x").over(w), "_c": F.regr_intercept("_v", "_x").over(w)}).filter(F.col("_n") >= least)
+    d = d.withColumn("roughness", F.stddev_pop(F.col("_v") - F.col("_c") - F.col("_s") * F.col("_x")).over(w))
+    best = d.filter("_s > 0").groupBy(*by).agg(F.min_by("xy", F.struct("roughness", "xy")).alias("xy"))
+    d = d.join(best, [*by, "xy"]).withColumn("v2", 1 / F.col("_s"))
+    time_depth = (F.col("_f") + F.col("_r") - F.col("_t") - F.col("xy") / F.col("v2")) / 2
+    return d.filter(F.col("v2") > v1).select(*by, "xy", "v2", "roughness", F.col("_x").alias(x), (time_depth * v1 * F.col("v2") / F.sqrt(F.col("v2") * F.col("v2") - v1 * v1)).alias("depth"))
+
+
+def body_columns(vertices: DataFrame, width: float, strike: float) -> DataFrame:
+    """body, x1..z2: polygons (body, seq, x, z) cut into upright prisms of a width, strike to either side of the profile."""
+    ring = Window.partitionBy("body").orderBy("seq")
+    first = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = vertices.select("body", F.col("x").alias("ax"), F.col("z").alias("az"), F.coalesce(F.lead("x").over(ring), F.first("x").over(first)).alias("bx"), F.coalesce(F.lead("z").over(ring), F.first("z").over(first)).alias("bz"))
+    span = F.sequence(F.floor(F.least("ax", "bx") / width), F.floor(F.greatest("ax", "bx") / width))
+    c = e.select("*", F.explode(span).alias("k")).withColumn("xc", (F.col("k") + 0.5) * width)
+    c = c.filter((F.col("ax") <= F.col("xc")) != (F.col("bx") <= F.col("xc")))
+    z = F.col("az") + (F.col("bz") - F.col("az")) * (F.col("xc") - F.col("ax")) / (F.col("bx") - F.col("ax"))
+    g = c.groupBy("body", "k").agg(F.array_sort(F.collect_list(z)).alias("z"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("z") / 2).cast("int") - 1), lambda n: F.struct(F.element_at("z", 2 * n + 1).alias("z1"), F.element_at("z", 2 * n + 2).alias("z2")))
+    p = g.filter(F.size("z") >= 2).select("body", "k", F.explode(pairs).alias("p"))
+    return p.select("body", (F.col("k") * width).alias("x1"), ((F.col("k") + 1) * width).alias("x2"), F.lit(-float(strike)).alias("y1"), F.lit(float(strike)).alias("y2"), "p.z1", "p.z2")

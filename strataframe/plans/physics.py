@@ -182,3 +182,21 @@ def plus_minus(spark, d):
 @C.add("magnetisation", f"WITH {GRID_SQL} SELECT i, j, round(band / 100 * 50000 * 1e-9 / {MU0!r}::DOUBLE, 6) + 0.0 AS m FROM g")
 def magnetisation(spark, d):
     return grid(spark, d).select("i", "j", t(P.susceptibility_to_magnetisation(F.col("band") / 100, 50000.0)).alias("m"))
+
+
+@C.add("grm")
+def grm(spark, d):
+    w = wells(spark, d).select("well", (5.0 * F.col("seq")).alias("x"), (0.02 + 0.002 * F.col("seq") + F.col("gr") * 1e-6).alias("tf"), (0.02 + 0.002 * (1000 - F.col("seq")) + F.col("rt") * 1e-6).alias("tr"))
+    r = P.generalised_reciprocal(w, ["well"], "x", "tf", "tr", 500.0, [0.0, 10.0, 20.0, 30.0])
+    return r.select("well", "xy", F.round("v2", 4).alias("v2"), "x", t("depth", 4).alias("depth"))
+
+
+BODY = [("a", s, x, z) for s, (x, z) in enumerate([(200.0, 100.0), (700.0, 80.0), (620.0, 300.0), (310.0, 260.0)])]
+
+
+@C.add("forward25d")
+def forward25d(spark, d):
+    body = spark.createDataFrame(BODY, "body string, seq int, x double, z double")
+    prisms = P.body_columns(body, 25.0, 2000.0).withColumn("rho", F.lit(300.0))
+    s = stations(spark, d).select("id", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return P.prism_effects(s, prisms, "id", P.prism_gz, "rho").select("id", t("effect").alias("effect"))

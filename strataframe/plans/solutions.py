@@ -192,3 +192,15 @@ def lineaments(spark, d):
     cells = grid(spark, d).select("grid_id", "i", "j", "band")
     parts = I.connected_cells(cells, F.col("band") >= 38)
     return _tidied(I.lineaments(cells, parts, 100.0, 100.0, 4), ["grid_id", "component", "n"])
+
+
+@C.add("contour")
+def contour(spark, d):
+    r = I.contour_lines(grid(spark, d).select("grid_id", "i", "j", "x", "y", "value"), [910.0, 930.0])
+    return _tidied(r.drop("grid_id"), ["line_id"])
+
+
+@C.add("ras2vec")
+def ras2vec(spark, d):
+    r = I.class_outlines(grid(spark, d).select("grid_id", "i", "j", "x", "y", F.col("zone").alias("value")), [0.0, 1.0, 2.0, 3.0, 4.0])
+    return _tidied(r.drop("grid_id"), [])

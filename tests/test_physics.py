@@ -110,3 +110,33 @@ def test_residual_verdict_on_a_trend(spark):
     d = spark.createDataFrame([(i, float(i), 0.0) for i in range(40)], "n int, o double, p double")
     r = aggregates.residual_report(d, "n", "o", "p", F.lit(1.0)).first()
     assert r.verdict == "underfit" and r.lag1 > 0.5 and r.durbin_watson < 0.1
+
+
+def test_contour_of_a_plane_is_one_straight_line(spark):
+    from strataframe.operators.iterate import contour_lines
+
+    z = [[float(j) for j in range(5)] for _ in range(4)]
+    rows = contour_lines(cells_of(spark, z), [1.5]).collect()
+    assert len(rows) == 3 and len({r.line_id for r in rows}) == 1
+    assert all(r.ax == r.bx == 150.0 for r in rows)
+
+
+def test_reciprocal_method_recovers_a_flat_refractor(spark):
+    v1, v2, h, end = 500.0, 2500.0, 20.0, 200.0
+    delay = h * math.sqrt(1 - (v1 / v2) ** 2) / v1
+    rows = [(1, x, x / v2 + 2 * delay, (end - x) / v2 + 2 * delay) for x in np.arange(0, end + 1, 10).tolist()]
+    d = spark.createDataFrame(rows, "s int, x double, tf double, tr double")
+    got = physics.generalised_reciprocal(d, ["s"], "x", "tf", "tr", v1, [0.0, 20.0]).toPandas()
+    assert len(got) >= 4 and np.allclose(got.v2, v2) and np.allclose(got.depth, h)
+
+
+def test_body_columns_of_a_box(spark):
+    v = spark.createDataFrame([("b", n, x, z) for n, (x, z) in enumerate([(0.0, 10.0), (40.0, 10.0), (40.0, 30.0), (0.0, 30.0)])], "body string, seq int, x double, z double")
+    got = physics.body_columns(v, 10.0, 5.0).collect()
+    assert len(got) == 4 and {(r.z1, r.z2, r.y1, r.y2) for r in got} == {(10.0, 30.0, -5.0, 5.0)}
+
+
+def test_trend_surface_is_exact_for_a_parabola(spark):
+    z = [[1 + 2 * j + 3 * i + 0.5 * i * j + j * j for j in range(6)] for i in range(5)]
+    d = grids.trend_surface(cells_of(spark, z), 2)
+    assert np.allclose(array_of(d, "residual", (5, 6)), 0, atol=1e-8)

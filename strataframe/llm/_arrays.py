@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BIG = np.int64(1 << 60)
 
 _P = 0x9E3779B97F4A7C15 | 1

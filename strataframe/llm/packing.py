@@ -23,7 +23,7 @@ OPEN_BINS = 4096
 ITEMS_PER_PACKER = 8192
 #: Bins with at least this share of free space are packed again.
 SLACK = 1 / 64
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 JOINED = 512
 END_ID = 1
 #: Marks that are one pre-token of their own after letters, and how many of them are split off a word.
@@ -34,7 +34,7 @@ _IS_TAIL = np.isin(np.arange(256), list(TAIL))
 class WordTable:
     """64-bit keys to slots by open addressing, looked up and filled with whole arrays."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.mask = U64((1 << bits) - 1)
         self.keys, self.slots, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
 
@@ -82,7 +82,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.cores, self.words = WordTable(), WordTable(19)
+        self.cores, self.words = WordTable(), WordTable(18)
         self.flat = np.zeros(1 << 20, np.uint32)
         # Slot 0 is the empty sequence; a negative length marks a core that only its whole word can stand for.
         self.start, self.length, self.slots, self.filled = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 1, 0

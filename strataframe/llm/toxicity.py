@@ -25,6 +25,8 @@ TRAIN_ROWS = 20_000
 LEXICON_WORDS = 500
 TREES, DEPTH, STEP = 12, 3, 0.3
 NEAR = 5
+#: Bytes of text at a time: a dozen running sums stand beside them.
+SLICE = 1 << 19
 
 #: Insults that count without any label.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "jerk", "fool", "bastard", "bitch", "asshole", "crap", "filth", "vermin", "retard", "whore", "slut", "connard", "salaud", "abruti", "crétin", "ordure", "arschloch", "trottel", "abschaum", "dummkopf", "imbécil", "estúpido", "basura", "cabrón")
@@ -98,7 +100,7 @@ def _featurise(lexicon: tuple[str, ...]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, second = _pool(lexicon), _pool(SECOND_PERSON)
         for batch in batches:
-            for i, j, raw, offsets in column_slices(batch["text"]):
+            for i, j, raw, offsets in column_slices(batch["text"], SLICE):
                 x = features_of(raw, offsets, words, second)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["row"].slice(i, j - i), values], ["id", "row", "features"])

@@ -32,7 +32,7 @@ _IS_TAIL = np.isin(np.arange(256), list(TAIL))
 
 
 class WordTable:
-    """64-bit keys to slots by open addressing, looked up and filled with whole arrays."""
+    """64-bit keys to slots by open addressing, looked up and filled with whole arrays. At most half its places are taken."""
 
     def __init__(self, bits: int = 20):
         self.mask = U64((1 << bits) - 1)
@@ -51,7 +51,12 @@ class WordTable:
         return out
 
     def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        """Distinct keys that are not in the table."""
+        """Distinct keys that are not in the table, which doubles until twice as many places as keys are there."""
+        bits = (2 * (self.size + len(keys)) - 1).bit_length()
+        if 1 << bits > len(self.keys):
+            full = self.keys != 0
+            keys, slots = np.concatenate([self.keys[full], keys]), np.concatenate([self.slots[full], slots])
+            self.__init__(bits)
         self.size += len(keys)
         todo, at = np.arange(len(keys)), (keys >> U64(17)) & self.mask
         while len(todo):

@@ -15,7 +15,7 @@ from strataframe.llm.decontamination import decontaminate
 from strataframe.llm.embedding_dedup import embedding_dedup, quantised
 from strataframe.llm.html_extraction import main_text, min_cut
 from strataframe.llm.kd_sharding import kd_shards
-from strataframe.llm.packing import best_fit, pack
+from strataframe.llm.packing import WordTable, best_fit, pack
 from strataframe.llm.quotation_linking import link_quotations
 from strataframe.llm.token_counts import Counter, SegmentTree, count_with_edits, leaves_of
 from strataframe.llm.toxicity import score_toxicity
@@ -152,6 +152,23 @@ def test_packing(spark, docs):
     assert pack(docs.limit(0), WORDS).count() == 0
 
 
+def test_packing_a_text_of_many_numbers(spark):
+    from tokenizers import Tokenizer
+
+    text = " ".join(map(str, range(1_000_000, 1_400_000)))
+    ids = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids + [1]
+    rows = pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORDS).collect()
+    assert {r.piece: r.ids_crc32 for r in rows} == {k: zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()) for k, a in enumerate(range(0, len(ids), 4096))}
+
+
+def test_word_table_grows_past_its_first_size():
+    table, keys = WordTable(4), np.random.default_rng(1).integers(1, 2**63, 5000).astype(np.uint64)
+    for a in range(0, 5000, 700):
+        table.add(keys[a : a + 700], np.arange(a, min(a + 700, 5000)))
+        assert 2 * table.size <= len(table.keys)
+    assert (table.find(keys) == np.arange(5000)).all() and (table.find(~keys) == -1).all()
+
+
 def test_best_fit_closes_the_fullest():
     bins, offsets = best_fit([6, 5, 8, 2, 4], 10, open_bins=2)
     assert bins == [0, 1, 2, 2, 1] and offsets == [0, 0, 0, 8, 5]

@@ -259,15 +259,20 @@ def steepest(cells: DataFrame, dx: float, dy: float) -> DataFrame:
     return cells.join(best, ["grid_id", "i", "j"], "left").withColumns({"to_i": F.col("i") + F.col("b.a"), "to_j": F.col("j") + F.col("b.b")}).drop("b")
 
 
-def viewshed(cells: DataFrame, oi: int, oj: int, dx: float, dy: float, eye: float = 2.0, target: float = 0.0, samples: int = 20) -> DataFrame:
-    """Column visible: no sample of the bilinear terrain between the observer's cell and this one stands above the sight line."""
+def viewshed(cells: DataFrame, oi: int, oj: int, dx: float, dy: float, eye: float = 2.0, target: float = 0.0, samples: int = 200) -> DataFrame:
+    """Column visible: no sample of the bilinear terrain between the observer's cell and this one stands above the sight line.
+
+    A ray is cut into samples - 1 steps, and into two a cell of its longer side where that is more.
+    """
     from .joins import bilinear
 
     watch = F.broadcast(cells.filter((F.col("i") == oi) & (F.col("j") == oj)).select("grid_id", (F.col("value") + eye).alias("_oz")))
     d = cells.join(watch, "grid_id")
-    steps = F.transform(F.sequence(F.lit(1), F.lit(samples - 2)), lambda n: n / F.lit(float(samples - 1)))
-    rays = d.select("grid_id", "i", "j", (F.col("value") + target).alias("_tz"), "_oz", F.posexplode(steps).alias("n", "s"))
-    rays = rays.withColumns({"x": (oj + (F.col("j") - oj) * F.col("s")) * dx, "y": (oi + (F.col("i") - oi) * F.col("s")) * dy, "_line": F.col("_oz") + (F.col("_tz") - F.col("_oz")) * F.col("s"), "id": F.concat_ws(":", "i", "j", "n")})
-    ground = bilinear(rays.select("grid_id", "id", "x", "y"), cells, 0.0, 0.0, dx, dy, ["id"])
-    hidden = rays.join(ground, "id").groupBy("grid_id", "i", "j").agg(F.bool_or(F.col("value") > F.col("_line") + 1e-6).alias("h"))
+    steps = F.greatest(2 * F.abs(F.col("i") - oi), 2 * F.abs(F.col("j") - oj), F.lit(samples - 1)).cast("int")
+    rays = d.select(F.col("grid_id"), F.col("grid_id").alias("_grid"), F.col("i").alias("_ti"), F.col("j").alias("_tj"), (F.col("value") + target).alias("_tz"), "_oz", steps.alias("_steps"))
+    rays = rays.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_steps") - 1))).withColumn("_s", F.col("_n") / F.col("_steps"))
+    rays = rays.withColumns({"x": (oj + (F.col("_tj") - oj) * F.col("_s")) * dx, "y": (oi + (F.col("_ti") - oi) * F.col("_s")) * dy, "_line": F.col("_oz") + (F.col("_tz") - F.col("_oz")) * F.col("_s")})
+    keys = ["_grid", "_ti", "_tj", "_n", "_line"]
+    ground = bilinear(rays.select("grid_id", *keys, "x", "y"), cells, 0.0, 0.0, dx, dy, keys)
+    hidden = ground.groupBy(F.col("_grid").alias("grid_id"), F.col("_ti").alias("i"), F.col("_tj").alias("j")).agg(F.bool_or(F.col("value") > F.col("_line") + 1e-6).alias("h"))
     return d.join(hidden, ["grid_id", "i", "j"], "left").withColumn("visible", ~F.coalesce("h", F.lit(False))).drop("h", "_oz")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import aggregates, grids, joins, physics, quality, spectral, traces
+from strataframe.operators import aggregates, grids, joins, physics, quality, solutions, spectral, traces
 
 
 def cells_of(spark, z, step=100.0):
@@ -140,3 +140,33 @@ def test_trend_surface_is_exact_for_a_parabola(spark):
     z = [[1 + 2 * j + 3 * i + 0.5 * i * j + j * j for j in range(6)] for i in range(5)]
     d = grids.trend_surface(cells_of(spark, z), 2)
     assert np.allclose(array_of(d, "residual", (5, 6)), 0, atol=1e-8)
+
+
+def seen(z, oi, oj, eye, steps):
+    """Cells that no terrain on the way hides, by walking every ray."""
+    out = np.ones(z.shape, bool)
+    for i, j in np.ndindex(z.shape):
+        n = steps(i, j)
+        for k in range(1, n):
+            y, x = oi + (i - oi) * k / n, oj + (j - oj) * k / n
+            a, b = min(int(y), z.shape[0] - 2), min(int(x), z.shape[1] - 2)
+            fy, fx = y - a, x - b
+            ground = (1 - fy) * ((1 - fx) * z[a, b] + fx * z[a, b + 1]) + fy * ((1 - fx) * z[a + 1, b] + fx * z[a + 1, b + 1])
+            out[i, j] &= ground <= z[oi, oj] + eye + (z[i, j] - z[oi, oj] - eye) * k / n + 1e-6
+    return out
+
+
+def test_viewshed_sees_a_ridge_of_one_cell_on_long_rays(spark):
+    z = np.zeros((3, 260))
+    z[:, 101] = 50.0
+    got = array_of(solutions.viewshed(cells_of(spark, z), 1, 0, 100.0, 100.0, 10.0), "visible", z.shape)
+    assert (got == seen(z, 1, 0, 10.0, lambda i, j: 10 * max(abs(i - 1), j, 1))).all()
+    assert got[:, :102].all() and not got[:, 102:].any()
+
+
+def test_viewshed_of_two_grids_matches_every_ray(spark):
+    z = np.random.default_rng(4).uniform(0, 30, (2, 9, 11))
+    both = cells_of(spark, z[0]).union(cells_of(spark, z[1]).withColumn("grid_id", F.lit("h")))
+    got = solutions.viewshed(both, 2, 3, 100.0, 100.0, 5.0)
+    for name, one in zip("gh", z, strict=True):
+        assert (array_of(got.filter(F.col("grid_id") == name), "visible", one.shape) == seen(one, 2, 3, 5.0, lambda i, j: 199)).all()

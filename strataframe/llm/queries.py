@@ -38,12 +38,17 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations hold no quotes, so each message is first made to quote the two before it, as mail does."""
+    """The conversations hold no quotes, so each message is first made to quote the two before it, as mail does.
+
+    Messages of odd turns quote without the first and the last line where that leaves two lines or more, one with text.
+    """
     messages = table(spark, sf_dir, "conversations")
     back = lambda n: messages.select("conv_id", (F.col("turn") + n).alias("turn"), F.split("text", "\n").alias(f"lines{n}"))
     mark = lambda column, marks: F.transform(F.coalesce(column, F.array()), lambda x: F.concat(F.lit(marks), x))
     mailed = messages.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
-    lines = F.concat(mark(F.col("lines2"), "> > "), mark(F.col("lines1"), "> "), F.split("text", "\n"))
+    inner = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 2, F.lit(0)))
+    cut = lambda c: F.when((F.col("turn") % 2 == 1) & (F.size(c) > 3) & F.exists(inner(c), lambda x: x.rlike(r"\S")), inner(c)).otherwise(F.col(c))
+    lines = F.concat(mark(cut("lines2"), "> > "), mark(cut("lines1"), "> "), F.split("text", "\n"))
     linked = link_quotations(mailed.select("conv_id", "turn", "role", F.array_join(lines, "\n").alias("text")))
     return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
 

@@ -2,7 +2,8 @@
 
 Lines of a message are parsed for nested quote marks ('>' with any blanks between). A passage is a run of lines of one
 level. Quoted passages are hashed after normalising and joined to the messages of the same conversation whose own lines,
-or run of own lines, have that hash. The nearest earlier message that a first-level quote came from is the parent; each
+or run of own lines, have that hash; an excerpt of several lines is looked up by its rarest line and compared with the own
+lines around it. Blank lines do not count. The nearest earlier message that a first-level quote came from is the parent; each
 thread of replies is then numbered from its first message, without the quotes.
 """
 
@@ -39,6 +40,18 @@ def _passages(lines: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "part", "level").agg(body.alias("body"))
 
 
+def _excerpts(quoted: DataFrame, own_lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """_conv, _by, part, level, _turn: earlier messages that have all lines of a quoted passage one after another in a run."""
+    passage = ["_conv", "_by", "part"]
+    often = own_lines.groupBy("_conv", "hash").agg(F.count(F.lit(1)).alias("_often"))
+    asked = quoted.select(*passage, F.posexplode("lines").alias("_place", "hash")).join(often, ["_conv", "hash"])
+    rarest = asked.groupBy(*passage).agg(F.count(F.lit(1)).alias("_known"), F.min_by(F.struct("_place", "hash"), F.struct("_often", "_place")).alias("_r")).select(*passage, "_known", "_r.*")
+    known = quoted.drop("hash").join(rarest, passage).filter(F.col("_known") == F.size("lines"))
+    met = known.join(own_lines, ["_conv", "hash"]).filter("_turn < _by AND _at >= _place").drop("hash")
+    same = F.slice("_own", F.col("_at") - F.col("_place") + 1, F.size("lines")) == F.col("lines")
+    return met.join(runs.drop("hash"), ["_conv", "_turn", "_run"]).filter(same).select(*passage, "level", "_turn")
+
+
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Messages without their quotes, linked to what they quote, in reply order.
 
@@ -54,12 +67,17 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     base = messages.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     base = base.filter("_conv IS NOT NULL AND _turn IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("_role", "_text")).alias("m")).select(*keys, "m._role", "m._text")
     lines = parsed_lines(base, keys, "_text")
-    parts = written(_passages(lines, keys).withColumn("hash", F.xxhash64(_normal(F.col("body")))).withColumn("blank", _normal(F.col("body")) == ""), "passages")
-
-    quoted = parts.filter("level > 0 AND NOT blank").select("_conv", F.col("_turn").alias("_by"), "part", "level", "hash")
-    own_lines = lines.filter("level = 0").select("_conv", "_turn", F.xxhash64(_normal(F.col("body"))).alias("hash"))
-    own = own_lines.unionByName(parts.filter("level = 0 AND NOT blank").select("_conv", "_turn", "hash")).distinct()
-    links = quoted.join(own, ["_conv", "hash"]).filter("_turn < _by").groupBy("_conv", "_by", "part", "level").agg(F.max("_turn").alias("_from"))
+    by_line = F.filter(F.transform(F.split("body", "\n"), _normal), lambda x: x != "")
+    parts = _passages(lines, keys).withColumns({"hash": F.xxhash64(_normal(F.col("body"))), "blank": _normal(F.col("body")) == "", "lines": F.transform(by_line, lambda x: F.xxhash64(x))})
+    parts = written(parts, "passages")
+
+    quoted = parts.filter("level > 0 AND NOT blank").select("_conv", F.col("_turn").alias("_by"), "part", "level", "hash", "lines")
+    runs = parts.filter("level = 0 AND NOT blank").select("_conv", "_turn", F.col("part").alias("_run"), "hash", F.col("lines").alias("_own"))
+    own_lines = runs.select("_conv", "_turn", "_run", F.posexplode("_own").alias("_at", "hash"))
+    own = own_lines.select("_conv", "_turn", "hash").unionByName(runs.select("_conv", "_turn", "hash")).distinct()
+    found = quoted.drop("lines").join(own, ["_conv", "hash"]).filter("_turn < _by").select("_conv", "_by", "part", "level", "_turn")
+    found = found.unionByName(_excerpts(quoted.filter(F.size("lines") > 1), own_lines, runs))
+    links = found.groupBy("_conv", "_by", "part", "level").agg(F.max("_turn").alias("_from"))
     parent = links.groupBy("_conv", F.col("_by").alias("_turn")).agg(F.count(F.lit(1)).alias("n_linked"), F.coalesce(F.max(F.when(F.col("level") == 1, F.col("_from"))), F.max("_from")).alias("parent_turn"))
 
     texts = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("part", "body")))), lambda x: x["body"]), "\n"))

@@ -127,6 +127,12 @@ def test_quotations(spark):
     assert link_quotations(d.limit(0)).count() == 0
 
 
+def test_quoted_excerpts(spark):
+    rows = [(1, 0, "One\nTwo\n\nThree\nFour\nFive"), (1, 1, "> two\n> THREE\nYes"), (1, 2, "> > Three\n> >\n> > Four\n> Yes\nMore"), (1, 3, "> Two\n> Four\nNot in a row"), (1, 4, "> Four\n> Two\nNor so"), (1, 5, "Two\nThree"), (1, 6, "> Two\n> Three\nThe latest"), (1, 7, "> One Two\n> Three Four Five\nWrapped anew"), (2, 0, "> Two\n> Three\nElsewhere")]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_turn, r.thread) for r in link_quotations(spark.createDataFrame([(*r, "u") for r in rows], "conv_id int, turn int, text string, role string")).collect()}
+    assert got == {(1, 0): (0, 0, None, 0), (1, 1): (1, 1, 0, 0), (1, 2): (2, 2, 1, 0), (1, 3): (1, 0, None, 3), (1, 4): (1, 0, None, 4), (1, 5): (0, 0, None, 5), (1, 6): (1, 1, 5, 5), (1, 7): (1, 1, 0, 0), (2, 0): (1, 0, None, 0)}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -80,6 +80,28 @@ def horizontal_gradient(cells: DataFrame, dx: float, dy: float) -> DataFrame:
     return gradients(cells, dx, dy).withColumn("thg", F.hypot("gx", "gy"))
 
 
+def ridges(cells: DataFrame, dx: float, dy: float, percentile: float = 85.0, total: bool = True) -> DataFrame:
+    """Column ridge: cells of a complete grid whose thg (with total False: value) is no less than both neighbours along its
+    own gradient, in the nearest of four directions, and than the grid's percentile. Edges repeat outwards."""
+    d = horizontal_gradient(cells, dx, dy) if total else cells.withColumn("thg", F.col("value"))
+    d = gradients(d.withColumn("thg", F.when(~F.isnan("thg"), F.col("thg"))), 1.0, 1.0, "thg", False, ("_gj", "_gi"))
+
+    def beside(name: str, step: int, w) -> Column:
+        there = F.lag(F.struct(F.col(name).alias("v")), -step).over(w)
+        return F.when(there.isNull(), F.col(name)).otherwise(there["v"])
+
+    d = d.withColumns({"_r": beside("thg", 1, along_row()), "_l": beside("thg", -1, along_row())})
+    d = d.withColumns({f"_{k}{v}": beside(name, step, along_column()) for k, name in (("c", "thg"), ("r", "_r"), ("l", "_l")) for v, step in (("u", 1), ("d", -1))})
+    angle = F.pmod(F.rint(F.degrees(F.atan2("_gi", "_gj")) / 45) * 45, F.lit(180.0))
+    pairs = {0.0: ("_r", "_l"), 45.0: ("_ru", "_ld"), 90.0: ("_cu", "_cd"), 135.0: ("_lu", "_rd")}
+    top = F.lit(False)
+    for a, (fore, back) in pairs.items():
+        top = top | ((angle == a) & (F.col("thg") >= F.col(fore)) & (F.col("thg") >= F.col(back)))
+    limits = d.groupBy("grid_id").agg(F.percentile("thg", F.lit(percentile / 100)).alias("_limit"))
+    d = d.join(F.broadcast(limits), "grid_id").withColumn("ridge", F.coalesce(top & (F.col("thg") >= F.col("_limit")), F.lit(False)))
+    return d.select(*cells.columns, "ridge")
+
+
 def terrain(cells: DataFrame, dx: float, dy: float) -> DataFrame:
     """Slope (degrees), aspect, profile and plan curvature, from first-order edges; flat cells have curvature 0."""
     d = gradients(cells, dx, dy, second=False, names=("zx", "zy"))

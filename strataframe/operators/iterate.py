@@ -128,13 +128,23 @@ def connected_cells(cells: DataFrame, member: Column) -> DataFrame:
     return _settled(start, step)
 
 
-def lineaments(cells: DataFrame, component_cells: DataFrame, dx: float, dy: float, least: int = 8) -> DataFrame:
-    """grid_id, component, n, azimuth, length, linearity of connected edge cells, from their covariance in closed form."""
-    x, y = F.col("j") * dx, F.col("i") * dy
-    g = component_cells.groupBy("grid_id", "component").agg(F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("a"), F.covar_pop(x, y).alias("b"), F.var_pop(y).alias("c")).filter(F.col("n") >= least)
+def lineaments(cells: DataFrame, component_cells: DataFrame, least: int = 8) -> DataFrame:
+    """grid_id, component, n, x_center, y_center, azimuth, length, x1, y1, x2, y2, linearity of connected edge cells.
+
+    The main axis is the covariance's in closed form, length and end points are the cells' extremes along it, and
+    linearity is the larger singular value's share of both.
+    """
+    placed = component_cells.join(cells.select("grid_id", "i", "j", "x", "y"), ["grid_id", "i", "j"])
+    g = placed.groupBy("grid_id", "component").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x_center"), F.avg("y").alias("y_center"), F.var_pop("x").alias("a"), F.covar_pop("x", "y").alias("b"), F.var_pop("y").alias("c")).filter(F.col("n") >= least)
     half, diff = (F.col("a") + F.col("c")) / 2, F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, F.lit(2.0)) + F.col("b") * F.col("b"))
-    angle = 0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))
-    return g.select("grid_id", "component", "n", F.pmod(90 - F.degrees(angle), F.lit(180.0)).alias("azimuth"), (F.sqrt(12 * (half + diff))).alias("length"), F.when(half + diff > 0, 1 - (half - diff) / (half + diff)).otherwise(0.0).alias("linearity"))
+    large, small = F.sqrt(half + diff), F.sqrt(F.greatest(half - diff, F.lit(0.0)))
+    g = g.select("grid_id", "component", "n", "x_center", "y_center", (0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("c"))).alias("_t"), F.when(large > 0, large / (large + small)).otherwise(0.0).alias("linearity"))
+    along = (F.col("x") - F.col("x_center")) * F.cos("_t") + (F.col("y") - F.col("y_center")) * F.sin("_t")
+    ends = placed.join(g, ["grid_id", "component"]).groupBy("grid_id", "component").agg(F.min(along).alias("_p"), F.max(along).alias("_q"))
+    at = lambda p: [(F.col("x_center") + F.cos("_t") * F.col(p)), (F.col("y_center") + F.sin("_t") * F.col(p))]
+    (x1, y1), (x2, y2) = at("_p"), at("_q")
+    out = g.join(ends, ["grid_id", "component"])
+    return out.select("grid_id", "component", "n", "x_center", "y_center", F.pmod(90 - F.degrees("_t"), F.lit(180.0)).alias("azimuth"), (F.col("_q") - F.col("_p")).alias("length"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), "linearity")
 
 
 def contour_segments(cells: DataFrame, levels: list[float]) -> DataFrame:

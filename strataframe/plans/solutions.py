@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tidy as t
+from ..operators import grids as G
 from ..operators import iterate as I
 from ..operators import solutions as S
 from .fixtures import GRID_SQL, SECTION_SQL, Catalog, deposits, grid, section, series
@@ -189,9 +190,9 @@ def cost_distance(spark, d):
 
 @C.add("lineaments")
 def lineaments(spark, d):
-    cells = grid(spark, d).select("grid_id", "i", "j", "band")
-    parts = I.connected_cells(cells, F.col("band") >= 38)
-    return _tidied(I.lineaments(cells, parts, 100.0, 100.0, 4), ["grid_id", "component", "n"])
+    cells = G.ridges(grid(spark, d).select("grid_id", "i", "j", "x", "y", "value"), 100.0, 100.0)
+    parts = I.connected_cells(cells, F.col("ridge"))
+    return _tidied(I.lineaments(cells, parts, 4), ["grid_id", "component", "n"])
 
 
 @C.add("contour")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import aggregates, grids, joins, physics, quality, solutions, spectral, traces
+from strataframe.operators import aggregates, grids, iterate, joins, physics, quality, solutions, spectral, traces
 
 
 def cells_of(spark, z, step=100.0):
@@ -170,3 +170,24 @@ def test_viewshed_of_two_grids_matches_every_ray(spark):
     got = solutions.viewshed(both, 2, 3, 100.0, 100.0, 5.0)
     for name, one in zip("gh", z, strict=True):
         assert (array_of(got.filter(F.col("grid_id") == name), "visible", one.shape) == seen(one, 2, 3, 5.0, lambda i, j: 199)).all()
+
+
+def test_ridges_match_a_walk_over_the_grid(spark):
+    z = np.random.default_rng(5).normal(size=(13, 17)).cumsum(0).cumsum(1)
+    gy, gx = np.gradient(z, 100.0, 100.0, edge_order=2)
+    g = np.hypot(gx, gy)
+    gi, gj = np.gradient(g)
+    angle = (np.round(np.degrees(np.arctan2(gi, gj)) / 45) * 45) % 180
+    pad, want = np.pad(g, 1, mode="edge"), np.zeros(g.shape, bool)
+    for i, j in np.ndindex(g.shape):
+        a, b = {0: (0, 1), 45: (1, 1), 90: (1, 0), 135: (1, -1)}[int(angle[i, j])]
+        want[i, j] = g[i, j] >= max(pad[1 + i + a, 1 + j + b], pad[1 + i - a, 1 + j - b], np.percentile(g, 85))
+    assert want.any() and (array_of(grids.ridges(cells_of(spark, z), 100.0, 100.0), "ridge", z.shape) == want).all()
+
+
+def test_lineament_of_a_step_has_its_ends(spark):
+    z = [[1 / (1 + math.exp(7 - j)) for j in range(15)] for _ in range(12)]
+    cells = grids.ridges(cells_of(spark, z), 100.0, 100.0)
+    r = iterate.lineaments(cells, iterate.connected_cells(cells, F.col("ridge"))).collect()
+    assert len(r) == 1 and r[0].n == 12 and r[0].azimuth == pytest.approx(0)
+    assert [r[0].length, r[0].x1, r[0].y1, r[0].x2, r[0].y2, r[0].linearity] == pytest.approx([1100, 700, 0, 700, 1100, 1])

@@ -6,13 +6,13 @@ Everything here works on one bounded slice of a column at a time and is called f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-BIG = np.int64(1 << 60)
 
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD1342543DE82EF95
@@ -28,43 +28,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(fold: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=U64) * U64(_P))
-    if fold:
-        table[65:91] = table[97:123]
-    return table
-
-
-_TABLES = {fold: _byte_table(fold) for fold in (False, True)}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between slices."""
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, U64)
-        steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
-
-
-_INVERSE = {b: pow(b, -1, 1 << 64) for b in (_P, _Q)}
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _Q) -> np.ndarray:
-    """Hash of values[start:end] for each span, from one running sum; equal spans get equal hashes."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * _power(base, n), out=total[1:])
-    raw = (total[ends] - total[starts]) * _power(_INVERSE[base], n + 1)[starts]
-    return mix(raw ^ ((ends - starts).astype(U64) * U64(_P)))
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 64
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """Hash of the bytes of each span; with fold, A-Z count as a-z."""
-    return span_hashes(_TABLES[fold][raw], starts, ends, _P)
+    """Hash of the bytes of each span; with fold, A-Z count as a-z.
+
+    Eight bytes a step, each step passed through mix: no sum of terms, so unequal spans meet by chance alone (2**-64).
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = _FOLD[raw] if fold else raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    out = left.astype(U64) * U64(_P)
+    todo, at = np.flatnonzero((left > 0) & (left <= LONG_SPAN)), starts
+    at, left = starts[todo], left[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] * U64(_Q) + (eight[at] & _KEPT[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for n in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[n] = int.from_bytes(blake2b(padded[starts[n] : ends[n]], digest_size=8).digest(), "little")
+    return out
+
+
+class Runs:
+    """Hashes of runs of at most `most` words from those of 1, 2, 4 .. words, which each hash two of the one before."""
+
+    def __init__(self, value: np.ndarray, most: int):
+        self.powers = [value]
+        for j in range(max(most, 1).bit_length() - 1):
+            last, step = self.powers[-1], 1 << j
+            out = last * U64(_Q)
+            out[:-step or None] += last[step:]
+            self.powers.append(mix(out))
+
+    def of(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """The hash of the `size` words from each start on."""
+        out = np.zeros(len(starts), U64) + np.asarray(size).astype(U64) * U64(_P)
+        at = starts.copy()
+        for j in range(len(self.powers) - 1, -1, -1):
+            has = np.broadcast_to(np.asarray(size) >> j & 1 > 0, at.shape)
+            if not has.any():
+                continue
+            use = slice(None) if has.all() else has
+            out[use] = mix(out[use] * U64(_Q) + self.powers[j][at[use]])
+            at[use] += 1 << j
+        return out
 
 
 def column_slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,32 +119,29 @@ class Words:
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
-        self.hash = span_hashes(_TABLES[fold][raw], self.starts, self.ends, _P)
+        self.hash = word_hashes(raw, self.starts, self.ends, fold)
 
     def __len__(self) -> int:
         return len(self.starts)
 
 
-def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: Words, k: int, runs: Runs | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every run of k words that lies in one row."""
     n = len(words)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     starts = np.flatnonzero(words.row[: n - k + 1] == words.row[k - 1 :])
-    value = np.zeros(n - k + 1, U64)
-    for j in range(k):
-        value *= U64(_Q)
-        value += words.hash[j : n - k + 1 + j]
-    return starts, mix(value[starts])
+    return starts, (runs or Runs(words.hash, k)).of(starts, k)
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct k-word shingles, sorted by both; a shorter row's whole sequence is its only one."""
-    starts, value = windows(words, k)
+    runs = Runs(words.hash, k)
+    starts, value = windows(words, k, runs)
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < k))
     row = np.concatenate([words.row[starts], short])
-    value = np.concatenate([value, span_hashes(words.hash, words.first[short], words.first[short + 1]) ^ U64(_P)])
+    value = np.concatenate([value, runs.of(words.first[short], counts[short])])
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     if len(row):
@@ -137,77 +150,116 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, value
 
 
-def _round(name, cl, cr, row, salt: int):
-    """One round of recompression: name maximal runs, then name neighbouring pairs of the classes left and right.
+class Symbols:
+    """The symbols left of one row after another: name, first word, row; and the words left:right that decide each symbol
+    (the same words elsewhere give the same symbol there), or None once no symbol is decided by few words."""
+
+    __slots__ = ("name", "start", "row", "left", "right", "fresh")
+
+    def __init__(self, name, start, row, left=None, right=None):
+        self.name, self.start, self.row, self.left, self.right = name, start, row, left, right
+        self.fresh = np.ones(len(name), bool)
+
+    def take(self, at: np.ndarray) -> None:
+        for k in self.__slots__:
+            if getattr(self, k) is not None:
+                setattr(self, k, getattr(self, k)[at])
+
+
+_EDGE = np.int32(2**31 - 1)
+
+
+def _before(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[head] = -_EDGE
+    return out
+
+
+def _after(x: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[:-1] = x[1:]
+    out[tail] = _EDGE
+    return out
+
+
+def _name_round(s: Symbols, salt: int) -> None:
+    """One round: maximal runs of a name become one symbol each, then each left symbol with a right one after it.
 
-    cl, cr hold for each symbol the words that decide it: the same words elsewhere give the same symbol there.
+    A run is maximal only beside its neighbours, so they decide it too; left and right are bits of the names.
     """
-    n = len(name)
-    change = np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])])
-    first = np.flatnonzero(change)
-    last = np.concatenate([first[1:], [n]]) - 1
-    length = last - first + 1
-    named = name[first]
-    runs = length > 1
-    named[runs] = mix(named[runs] * U64(_Q) + length[runs].astype(U64) * U64(_P) + U64(salt))
-    own = row[first]
-    inner = own[1:] == own[:-1]
-    left = np.full(len(first), -BIG)
-    left[1:][inner] = np.minimum(cl[first[1:]], cl[first[1:] - 1])[inner]
-    right = np.full(len(first), BIG)
-    right[:-1][inner] = np.maximum(cr[last[:-1]], cr[last[:-1] + 1])[inner]
-
-    name, cl, cr, row = named, left, right, own
-    is_left = (mix(name ^ U64(salt * 31 + 7)) & U64(1)) == 0
-    pair = np.zeros(len(name), bool)
-    pair[:-1] = is_left[:-1] & ~is_left[1:] & inner
-    second = np.concatenate([[False], pair[:-1]])
-    next_cl = np.concatenate([cl[1:], [-BIG]])
-    next_cr = np.concatenate([cr[1:], [BIG]])
-    prev_cl = np.concatenate([[-BIG], cl[:-1]])
-    prev_cr = np.concatenate([[BIG], cr[:-1]])
-    has_next = np.concatenate([inner, [False]])
-    has_prev = np.concatenate([[False], inner])
-    new_cl = np.where(is_left, np.minimum(cl, np.where(has_next, next_cl, cl)), np.minimum(cl, np.where(has_prev, prev_cl, -BIG)))
-    new_cr = np.where(is_left, np.maximum(cr, np.where(has_next, next_cr, BIG)), np.maximum(cr, np.where(has_prev, prev_cr, cr)))
-    merged = name * U64(_Q) + np.concatenate([name[1:], [U64(0)]]) * U64(_P) + U64(salt + 1)
-    out = np.where(pair, mix(merged), name)
-    keep = ~second
-    return out[keep], new_cl[keep], new_cr[keep], row[keep]
-
-
-def anchors(words: Words, k: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each k-word window its start, its hash, and the key of the symbol that stands for it.
-
-    A window's symbol is, among those of all rounds that the window's own words decide, the one decided by the most
-    words (ties: the largest key). So equal windows, wherever they stand, have equal keys.
+    s.fresh = np.zeros(len(s.name), bool)
+    with_next = s.row[1:] == s.row[:-1]
+    equal = with_next & (s.name[1:] == s.name[:-1])
+    if equal.any():
+        first = np.flatnonzero(np.concatenate([[True], ~equal]))
+        length = np.diff(np.concatenate([first, [len(s.name)]]))
+        right = None if s.right is None else s.right[first + length - 1]
+        s.take(first)
+        s.right, many = right, length > 1
+        s.name[many] = mix(s.name[many] * U64(_Q) + length[many].astype(U64) * U64(_P) + U64(salt))
+        s.fresh = many
+        with_next = s.row[1:] == s.row[:-1]
+    is_left = s.name * (mix(np.array([salt], U64)) | U64(1)) >> U64(63) == 0
+    if s.left is not None:
+        head, tail = np.concatenate([[True], ~with_next]), np.concatenate([~with_next, [True]])
+        left, right = _before(s.left, head), _after(s.right, tail)
+        s.left, s.right = np.where(is_left, left, _before(left, head)), np.where(is_left, _after(right, tail), right)
+    pair = np.flatnonzero(is_left[:-1] & ~is_left[1:] & with_next)
+    s.name[pair] = mix(s.name[pair] * U64(_Q) + s.name[pair + 1] * U64(_P) + U64(salt + 1))
+    s.fresh[pair] = True
+    keep = np.ones(len(s.name), bool)
+    keep[pair + 1] = False
+    s.take(np.flatnonzero(keep))
+
+
+def rounds_of(words: Words, decided_by: int) -> Iterator[Symbols]:
+    """Recompression to the end: rounds until every row is one symbol. left and right are kept while some symbol is
+    decided by at most so many words."""
+    here = np.arange(len(words), dtype=np.int32)
+    s, salt = Symbols(words.hash.copy(), here, words.row.astype(np.int32), here, here + np.int32(1)), 1000
+    if not decided_by:
+        s.left = s.right = None
+    while len(s.name):
+        _name_round(s, salt)
+        yield s
+        if s.left is not None and not ((s.left >= 0) & (s.right < _EDGE) & (s.right - np.maximum(s.left, 0) <= decided_by)).any():
+            s.left = s.right = None
+        several = s.row[1:] == s.row[:-1]
+        s.take(np.flatnonzero(np.concatenate([[False], several]) | np.concatenate([several, [False]])))
+        salt += 17
+
+
+def recompressed(words: Words, k: int, least: int, with_anchors: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(each word's anchor key as the first of a k-word window; starts, ends and names of symbols of `least` words or more).
+
+    A window's anchor is, among the symbols of all rounds that the window's own words decide, the one decided by the most
+    words (ties: the largest key). So equal windows, wherever they stand, have equal anchors. Places that begin no window
+    have keys of no meaning.
     """
-    starts, value = windows(words, k)
     n = len(words)
-    best = np.zeros(n, U64)
-    if not len(starts):
-        return starts, value, best[:0]
-    here = np.arange(n, dtype=np.int64)
-    name, cl, cr, row = words.hash, here, here + 1, words.row
-    for r in range(rounds):
-        name, cl, cr, row = _round(name, cl, cr, row, 1000 + 17 * r)
-        size = cr - cl
-        ok = (cl >= 0) & (cr <= n) & (size <= k)
-        if not ok.any():
-            break
-        a, b, size = cl[ok], cr[ok], size[ok]
-        key = span_hashes(words.hash, a, b) ^ mix(name[ok] + U64(r))
-        key = (size.astype(U64) << U64(59)) | (mix(key) >> U64(5))
+    best = np.zeros(n if with_anchors else 0, U64)
+    runs = Runs(words.hash, k) if with_anchors else None
+    begin, end, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for r, s in enumerate(rounds_of(words, k if with_anchors else 0)):
+        stop = np.append(s.start[1:], np.int32(n))
+        last = np.flatnonzero(np.append(s.row[1:] != s.row[:-1], True))
+        stop[last] = words.first[s.row[last] + 1]
+        big = np.flatnonzero(s.fresh & (stop - s.start >= least))
+        begin.append(s.start[big].astype(np.int64))
+        end.append(stop[big].astype(np.int64))
+        names.append(s.name[big])
+        if s.left is None:
+            continue
+        ok = np.flatnonzero((s.left >= 0) & (s.right < _EDGE) & (s.right - np.maximum(s.left, 0) <= k))
+        a, size = s.left[ok], s.right[ok] - s.left[ok]
+        key = mix(runs.of(a, size) ^ mix(s.name[ok] + U64(r)))
+        key = (size.astype(U64) << U64(59)) | (key >> U64(5))
         for back in range(k - 1):
             fits = (size + back <= k) & (a >= back)
             np.maximum.at(best, a[fits] - back, key[fits])
-    best = best[starts]
-    bare = best == 0
-    if bare.any():
+    bare = np.flatnonzero(best[: max(n - k + 1, 0)] == 0)
+    if len(bare):
         single = (U64(1) << U64(59)) | (mix(words.hash) >> U64(5))
-        at = starts[bare]
-        top = single[at]
-        for j in range(1, k):
-            top = np.maximum(top, single[at + j])
-        best[bare] = top
-    return starts, value, best
+        best[bare] = np.max([single[bare + j] for j in range(k)], axis=0)
+    return best, np.concatenate(begin), np.concatenate(end), np.concatenate(names)

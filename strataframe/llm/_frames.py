@@ -70,8 +70,8 @@ def spans_of(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(heads, [*heads[1:], len(values)], strict=True)) if len(heads) else []
 
 
-def to_buckets(frame: int, buckets: int, keys: np.ndarray, *more: np.ndarray) -> pa.Table:
-    """One row for each bucket that has keys: bucket, frame, and the packed keys and companions."""
+def to_buckets(frame: int, buckets: int, keys: np.ndarray, *more: np.ndarray, first: int = 0) -> pa.Table:
+    """One row for each bucket (numbered from first on) that has keys: bucket, frame, and the packed keys and companions."""
     if not len(keys):
         return packed_table([], [], *[[] for _ in range(1 + len(more))])
     bucket = ((mix(keys) >> U64(32)) * U64(buckets)) >> U64(32)
@@ -80,7 +80,7 @@ def to_buckets(frame: int, buckets: int, keys: np.ndarray, *more: np.ndarray) ->
     spans = spans_of(bucket)
     heads = [a for a, _ in spans]
     columns = [[x[a:b].tobytes() for a, b in spans] for x in (y[order] for y in (keys, *more))]
-    return packed_table(bucket[heads].astype(np.int32), np.full(len(heads), frame, np.int32), *columns)
+    return packed_table((bucket[heads] + U64(first)).astype(np.int32), np.full(len(heads), frame, np.int32), *columns)
 
 
 def packed_table(first, second, *columns) -> pa.Table:
@@ -88,13 +88,13 @@ def packed_table(first, second, *columns) -> pa.Table:
     return pa.table([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names)
 
 
-def packed_by_frame(frame: np.ndarray, *columns: np.ndarray) -> pa.Table:
+def packed_by_frame(frame: np.ndarray, *columns: np.ndarray, bucket: int = 0) -> pa.Table:
     """One row for each frame with its values packed."""
     order = np.argsort(frame, kind="stable")
     frame = frame[order]
     spans = spans_of(frame)
     packed = [[x[a:b].tobytes() for a, b in spans] for x in (y[order] for y in columns)]
-    return packed_table(np.zeros(len(spans), np.int32), frame[heads_of(frame)].astype(np.int32), *packed)
+    return packed_table(np.full(len(spans), bucket, np.int32), frame[heads_of(frame)].astype(np.int32), *packed)
 
 
 def packed_schema(columns: int) -> str:
@@ -108,7 +108,7 @@ def unpacked(column: pa.ChunkedArray, kind=U64) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), sizes
 
 
-def _shared_in_bucket(table: pa.Table) -> pa.Table:
+def shared_in_bucket(table: pa.Table) -> pa.Table:
     """Keys that two frames hold, or two rows of one frame (flag 1), sent back to every frame that has them."""
     keys, sizes = unpacked(table["c0"])
     flags, _ = unpacked(table["c1"], np.uint8)
@@ -123,11 +123,6 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
     return packed_by_frame(frame, keys)
 
 
-def shared_keys(entries: DataFrame, parts: int) -> DataFrame:
-    """entries (bucket, frame, c0 distinct keys, c1 flags) -> (bucket, frame, c0): each frame's keys that more than one row has."""
-    return entries.groupBy("bucket").applyInArrow(_shared_in_bucket, packed_schema(1)).repartition(parts, "frame")
-
-
 def distinct_keys(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of a frame, and 1 where two owners of the frame have the key."""
     if not len(keys):

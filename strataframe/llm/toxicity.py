@@ -55,12 +55,14 @@ def _pool(words) -> np.ndarray:
 
 
 def _trimmed(raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word spans without surrounding marks (eight on each side at most); a word of marks alone keeps its last."""
-    a, b = words.starts.copy(), words.ends.copy()
-    for _ in range(8):
-        b -= _MARK[raw[b - 1]] & (b > a + 1)
-        a += _MARK[raw[a]] & (b > a + 1)
-    return a, b
+    """Word spans without surrounding marks, however many; a word of marks alone keeps its first."""
+    inner = np.flatnonzero(~_MARK[raw])
+    if not len(inner):
+        return words.starts, words.starts + 1
+    first, last = np.searchsorted(inner, words.starts), np.searchsorted(inner, words.ends) - 1
+    some = first <= last
+    a = np.where(some, inner[np.minimum(first, len(inner) - 1)], words.starts)
+    return a, np.where(some, inner[last] + 1, a + 1)
 
 
 def features_of(raw: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -141,7 +143,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     part = part.withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 5)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    part = F.broadcast(part)  # train_rows bounds it
+    if part.count() <= 2 * train_rows:  # else a few ids hold very many labels
+        part = F.broadcast(part)
     sample = written(texts.join(part, "id").select("id", "y", "fold", "text"), "toxic-sample")
     lexicon = _lexicon(sample.filter("fold <> 1"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -5,7 +5,9 @@ Everything here works on one bounded slice of a column at a time and is called f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from hashlib import blake2b
 
 import numpy as np
@@ -18,6 +20,13 @@ _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD1342543DE82EF95
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the machine: a reused worker would keep it beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> U64(30))

@@ -185,7 +185,7 @@ def test_edit_aware_counts(spark):
     full = lambda x: len(counter.tokenizer.encode(x, add_special_tokens=False).ids)
     rng = random.Random(2)
     for text in ["", "  ", " a  b\n\n c\t d  ", "don't stop  \n\n now " * 40, corpus()[-1][1]]:
-        tree = SegmentTree(leaves_of(text), counter.counts(leaves_of(text)))
+        tree = SegmentTree.of(leaves_of(text), counter.counts(leaves_of(text)))
         for _ in range(15):
             a = rng.randint(0, len(text))
             b = min(len(text), a + rng.choice([0, 1, 5, 60]))

@@ -1,21 +1,28 @@
-"""Benchmark decontamination over a positional inverted index, in DataFrame operations alone.
+"""Benchmark decontamination over a distributed positional inverted index, in DataFrame operations alone.
 
-A first pass over the training texts posts every token that any benchmark window uses and counts it. Each window is then
-looked up from its rarest term: only that term's postings are taken, and its other terms are intersected at their offsets.
+A first pass counts the benchmark's terms in the training texts. Each window is to be looked up from its rarest terms, so
+the postings (term, document, position) of these terms are stored, once, whatever the number of windows that ask for them.
+A window's places are its rarest term's positions less the term's offset; they are intersected with the next terms' lists
+at their own offsets, and what is left is confirmed on the words of the few documents concerned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._frames import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many rows and bytes the terms or windows of the benchmark are broadcast; beyond, the join shuffles.
+#: How many posting lists of a window are intersected before its words are compared.
+LISTS = 3
+#: Up to so many rows and bytes a table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
+#: A document: hashes of id and text, and of the text alone.
+DOC = ["_doc", "_text_hash"]
 
 
 def words_of(text: Column) -> Column:
@@ -24,18 +31,32 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """(words, items): the distinct windows of the items, each with the items that have it."""
+    """(win, words, item): the windows of each item, win being a hash of the words."""
     split = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words"))
     size = F.size("words")
     starts = split.filter(size > 0).select("item", "words", F.explode(F.sequence(F.lit(1), F.greatest(size - window + 1, F.lit(1)))).alias("at"))
-    return starts.select("item", F.slice("words", F.col("at"), F.lit(window)).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
+    return starts.select("item", F.slice("words", F.col("at"), F.lit(window)).alias("words")).distinct().select(F.xxhash64("words").alias("win"), "words", "item")
 
 
-def _sized(df: DataFrame, measure: Column) -> tuple[DataFrame, bool]:
-    """df, broadcast if its rows and bytes are within the bounds, and whether it is."""
+def _sized(df: DataFrame, measure: Column) -> DataFrame:
+    """df, broadcast if its rows and bytes are within the bounds."""
     n, total = df.agg(F.count(F.lit(1)), F.sum(measure)).first()
-    small = n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
-    return (F.broadcast(df) if small else df), small
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias(DOC[0]), F.xxhash64(F.lit(17), text_col).alias(DOC[1]))
+
+
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of the terms stands in the texts; those that never do are absent."""
+    return texts.select(F.explode(words_of(F.col("_text"))).alias("term")).join(_sized(terms, F.octet_length("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index of the terms, as a stored table: term, document, pos (words before it). Repeated rows are one document."""
+    every = texts.select(*DOC, F.posexplode(words_of(F.col("_text"))).alias("pos", "term"))
+    return written(every.join(_sized(terms, F.octet_length("term")), "term").select("term", *DOC, "pos").distinct(), "postings")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, slop: int | None = None) -> DataFrame:
@@ -49,46 +70,47 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null or empty texts have no words. An item without an id marks words but is in no list. Rows that repeat an id are
     reported each by its own text. Empty tables give no hits or no rows. Other columns of either table are not read.
     """
-    texts = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_row"), words_of(F.col(text_col)).alias("_words"))
-    wins = item_windows(items, item_id, item_text, window)
-    vocab = wins.select(F.explode("words").alias("term")).distinct()
-    counts = texts.select(F.explode("_words").alias("term")).join(_sized(vocab, F.octet_length("term"))[0], "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-    place = wins.select("words", "items", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
-    rarest = place.groupBy("words").agg(F.min(F.struct("n", "term", "off")).alias("r"), F.count("n").alias("known"), F.first("items").alias("items"))
-    found = rarest.filter(F.col("known") == F.size("words")).select(F.col("r.term").alias("term"), F.col("r.off").alias("off"), F.size("words").alias("len"), "words", "items")
-    found = written(found, "windows")
-    # The empty term closes every document: its posting stands at the number of words.
-    closing = found.sparkSession.sql("SELECT '' AS term, 0 AS off, 0 AS len, CAST(array() AS ARRAY<STRING>) AS words, CAST(array() AS ARRAY<STRING>) AS items")
-    looked_up, small = _sized(found.unionByName(closing), F.octet_length(F.concat_ws("", "words")) + 64)
-
-    reach = window - 1 + (slop or 0)
-    posted = texts.select(id_col, "_row", "_words", F.posexplode(F.array_append("_words", "")).alias("_pos", "term"))
-    low = F.greatest(F.col("_pos") - reach, F.lit(0))
-    if small:  # the whole text stays beside its postings, and only hits are written out
-        around, shift = F.col("_words"), F.lit(0)
-    else:  # a posting takes along only the words that a window could reach
-        posted = posted.select(id_col, "_row", "_pos", "term", low.alias("_low"), F.slice("_words", low + 1, 2 * reach + 1).alias("_near_words"))
-        around, shift = F.col("_near_words"), F.col("_low")
-    start = F.col("_pos") - F.col("off")
-    whole = (start >= 0) & (F.slice(around, F.greatest(start - shift + 1, F.lit(1)), F.col("len")) == F.col("words"))
-    wide = F.slice(around, F.greatest(start - (slop or 0) - shift + 1, F.lit(1)), F.col("len") + 2 * (slop or 0))
-    near = F.size(F.array_except("words", wide)) == 0
-    met = posted.join(looked_up, "term").filter(whole if slop is None else whole | near)
-    met = met.select(id_col, "_row", (F.col("len") == 0).alias("_end"), "_pos", F.when((F.col("len") > 0) & whole, F.struct(start.alias("start"), (start + F.col("len")).alias("end"), F.col("items"))).alias("_hit"), (F.col("len") > 0).cast("long").alias("_near"))
-    by_row = met.groupBy(id_col, "_row").agg(
-        F.max(F.when(F.col("_end"), F.col("_pos"))).cast("long").alias("n_words"),
-        F.count_if("_end").alias("_copies"),
-        F.collect_list("_hit").alias("_hits"),
-        F.sum("_near").alias("_near"),
-    )
-    spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: F.struct(h.start, h.end))))
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("total"), F.lit(0).alias("to")),
-        lambda a, s: F.struct((a.total + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s.start))).alias("total"), F.greatest(a["to"], s["end"]).alias("to")),
-        lambda a: a.total.cast("long"),
-    )
-    out = by_row.select(id_col, "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))).alias("items"), (F.size("_hits") > 0).alias("contaminated"), (F.col("_near") / F.col("_copies")).cast("long").alias("n_near"), "_copies")
-    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copies", "_copy")
-    return out if slop is not None else out.drop("n_near")
+    texts = documents(docs, id_col, text_col)
+    every = written(item_windows(items, item_id, item_text, window), "item-windows")
+    wins = every.select("win", "words").distinct()
+    counts = written(term_counts(texts, wins.select(F.explode("words").alias("term")).distinct()), "term-counts")
+
+    # A window's terms, rarest first, each at its first place; windows with a term that no text has can't occur.
+    place = wins.select("win", "words", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
+    firsts = place.groupBy("win", "words", "term").agg(F.min("off").alias("off"), F.first("n").alias("n"))
+    asked = firsts.groupBy("win", "words").agg(F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("lists"), F.count("n").alias("known"))
+    asked = asked.filter(F.col("known") == F.size("lists")).select("win", "words", F.slice("lists", 1, LISTS).alias("lists"))
+    asked = written(asked, "windows")
+    index = postings(texts, asked.select(F.explode("lists.term").alias("term")).distinct())
+
+    lists = _sized(asked.select("win", "lists", F.col("lists")[0]["term"].alias("term")), F.lit(24 * LISTS) + F.octet_length(F.concat_ws("", "lists.term")))
+    start = F.col("pos") - F.col("lists")[0]["off"]
+    found = index.join(lists, "term").select("win", "lists", *DOC, start.alias("start"))
+    exact = found.filter("start >= 0")
+    for k in range(1, LISTS):
+        nth = F.col("lists")[k]
+        more = exact.filter(F.size("lists") > k).withColumns({"term": nth["term"], "pos": F.col("start") + nth["off"]})
+        exact = exact.filter(F.size("lists") <= k).unionByName(more.join(index, ["term", *DOC, "pos"], "left_semi").drop("term", "pos"))
+
+    def confirmed(places: DataFrame, same: Column) -> DataFrame:
+        places = _sized(written(places.select("win", *DOC, "start"), "places"), F.lit(32))
+        met = texts.select("_text", *DOC).join(places, DOC).join(_sized(asked.select("win", "words"), F.octet_length(F.concat_ws("", "words")) + 64), "win")
+        return met.withColumn("_words", words_of(F.col("_text"))).filter(same).select("win", *DOC, "start", F.size("words").alias("len")).distinct()
+
+    whole = F.slice("_words", F.col("start") + 1, F.size("words")) == F.col("words")
+    hits = written(confirmed(exact, whole), "hits")
+    spans = hits.select(*DOC, "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    upto = F.max("end").over(Window.partitionBy(*DOC).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(upto, F.lit(0))))
+    covered = spans.withColumn("_new", fresh).groupBy(*DOC).agg(F.sum("_new").cast("long").alias("n_hit"))
+    owners = hits.select(*DOC, "win").distinct().join(every.select("win", "item"), "win").groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    told = covered.join(owners, DOC)
+    if slop is not None:
+        low = F.greatest(F.col("start") - slop, F.lit(0))
+        wide = F.slice("_words", low + 1, F.greatest(F.col("start") + F.size("words") + slop - low, F.lit(0)))
+        in_place = (F.col("start") >= 0) & (F.slice("_words", F.greatest(F.col("start") + 1, F.lit(1)), F.size("words")) == F.col("words"))
+        near = confirmed(found, (F.size(F.array_except("words", wide)) == 0) | in_place)
+        told = told.join(near.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_near")), DOC, "full")
+    told = _sized(written(told, "contaminated"), F.lit(64) + F.octet_length(F.array_join("items", ",")))
+    n_words = F.size(words_of(F.col("_text"))).cast("long")
+    return texts.join(told, DOC, "left").select(id_col, n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), *[F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")] * (slop is not None))

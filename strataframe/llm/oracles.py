@@ -36,14 +36,15 @@ FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN cov USING (doc_id)
 """
 
 OP3 = r"""
-WITH m AS (SELECT conv_id, turn, role, text, lag(turn, 1) OVER w AS before, lag(turn, 2) OVER w AS second FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH m AS (SELECT conv_id, turn, role, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS text, lag(turn, 1) OVER w AS before, lag(turn, 2) OVER w AS second FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT *, CASE WHEN before = turn - 1 THEN before END AS parent_turn, CASE WHEN second = turn - 2 THEN second END AS grand FROM m),
 t AS (SELECT *, sum(CASE WHEN parent_turn IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM p)
-SELECT conv_id, turn, role, trim(text) AS text,
+SELECT conv_id, turn, role, text,
        ((parent_turn IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT) AS n_quotes,
        ((parent_turn IS NOT NULL)::BIGINT + (grand IS NOT NULL)::BIGINT) AS n_linked,
        coalesce(parent_turn, -1) AS parent_turn, min(turn) OVER (PARTITION BY conv_id, run) AS thread,
-       '<|' || role || '|>' || chr(10) || trim(text) || chr(10) || '<|end|>' AS formatted
+       row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS place,
+       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' AS formatted
 FROM t
 """
 

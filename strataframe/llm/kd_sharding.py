@@ -115,19 +115,19 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     count, total, *bounds = slim.agg(F.count(F.lit(1)), F.sum("size"), *[f(f"_d{i}") for i in range(len(dims)) for f in (F.min, F.max)]).first()
     shard_bytes = max(1, (total or 0) / shards)
 
-    groups = slim.groupBy(*GROUP).agg(F.sum("size").alias("_bytes"), *[F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(dims))])
-    groups = written(groups.withColumn("_parts", F.when(F.col("_bytes") > shard_bytes * GROUP_SHARE, F.ceil(F.col("_bytes") / (shard_bytes * PART_SHARE))).otherwise(1).cast("int")), "kd-groups")
-    large = groups.filter("_parts > 1").select(*GROUP, "_parts")
+    sizes = slim.groupBy(*GROUP).agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > shard_bytes * GROUP_SHARE)
+    large = written(sizes.select(*GROUP, F.ceil(F.col("_bytes") / (shard_bytes * PART_SHARE)).cast("int").alias("_parts")), "kd-large")
     large = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
-    rows = slim.drop(*[f"_d{i}" for i in range(len(dims))]).join(large, list(GROUP), "left")
+    rows = slim.join(large, list(GROUP), "left")
     rows = rows.withColumn("_part", F.pmod(F.col("_h3"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
 
     scaled = [_scaled(F.col(f"_d{i}"), kinds[d], bounds[2 * i], bounds[2 * i + 1]).alias(f"_d{i}") for i, d in enumerate(dims)]
-    units = groups.select(*GROUP, (F.col("_bytes") / F.col("_parts")).alias("_bytes"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), *scaled)
+    units = rows.groupBy(*GROUP, "_part").agg(F.sum("size").alias("_bytes"), *[F.min(f"_d{i}").alias(f"_d{i}") for i in range(len(dims))])
+    units = units.select(*GROUP, "_part", "_bytes", *scaled)
     columns = [f"_d{i}" for i in range(len(dims))] or ["_tie"]
     units = units.withColumn("_tie", F.pmod(F.xxhash64(*GROUP, "_part"), F.lit(1 << TIE_BITS)))
     shard = _grown(units, columns, shards).select(*GROUP, "_part", F.col("_node").cast("int").alias("shard"))
-    dealt = written(rows.join(shard, [*GROUP, "_part"]), "kd-dealt")
+    dealt = written(rows.drop(*[f"_d{i}" for i in range(len(dims))]).join(shard, [*GROUP, "_part"]), "kd-dealt")
 
     parts = max(1, -(-count // (NUMBERED_ROWS * shards)))
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_h3", "_h1"), F.lit(parts)).cast("int"))

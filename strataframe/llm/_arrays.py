@@ -6,6 +6,7 @@ Everything here works on one bounded slice of a column at a time and is called f
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Iterator
 from contextlib import suppress
 from hashlib import blake2b
@@ -20,6 +21,11 @@ _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD1342543DE82EF95
 
 
+def one_thread() -> None:
+    """The tokenizers library takes as many threads as the machine has, each with memory of its own; a task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def release() -> None:
     """Give freed memory of this Python worker back to the machine: a reused worker would keep it beside the next stage."""
     pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, Words, column_slices, release, word_hashes
+from ._arrays import U64, Words, column_slices, one_thread, release, word_hashes
 from ._frames import written
 
 #: Open bins of the packers that take pieces as they come, and of those that pack loose bins' pieces again.
@@ -79,6 +79,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        one_thread()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)

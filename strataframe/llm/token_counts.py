@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, column_slices, release, word_hashes
+from ._arrays import U64, column_slices, one_thread, release, word_hashes
 from .packing import WordTable
 
 #: Words in one call of the tokenizer.
@@ -71,6 +71,7 @@ class Counter:
     """Token counts of leaves, each distinct leaf encoded once while it is cached."""
 
     def __init__(self, path: str):
+        one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -274,6 +275,7 @@ def _kernel(path: str):
             values = np.array(out, np.int64).reshape(-1, 4)
             names = [n for n in batch.schema.names if n not in ("_text", "_edits")]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *(pa.array(values[:, k]) for k in range(4))], [*names, "n_leaves", "n_before", "n_after", "n_encoded_again"])
+            release()
         del counter
         release()
 

@@ -73,7 +73,7 @@ def fractal_dimension(cells: DataFrame, by: list[str], max_lag: int = 10) -> Dat
 
 def window_members(cells: DataFrame, size: int, step: int) -> DataFrame:
     """Each cell once for every whole window (wi, wj) that it is in; windows start at multiples of step."""
-    shape = F.broadcast(cells.groupBy("grid_id").agg((F.max("i") + 1).alias("ny"), (F.max("j") + 1).alias("nx")))
+    shape = cells.groupBy("grid_id").agg((F.max("i") + 1).alias("ny"), (F.max("j") + 1).alias("nx"))
     d = cells.join(shape, "grid_id")
     first = lambda c: F.greatest(F.ceil((F.col(c) - size + 1) / step), F.lit(0))
     last = lambda c, n: F.least(F.floor(F.col(c) / step), F.floor((F.col(n) - size) / step))

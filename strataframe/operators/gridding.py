@@ -40,6 +40,17 @@ def nearest_grid(targets: DataFrame, points: DataFrame, target_id: str, point_id
     return near.join(points.select(point_id, F.col(value).alias("value")), point_id).select(target_id, "value")
 
 
+def fill_nearest(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+    """cells (i, j, value) with missing values taken from the nearest cell that has one (ties: the smaller row, column)."""
+    at = F.struct("i", "j")
+    placed = cells.select("*", (F.col("j") * dx).alias("x"), (F.col("i") * dy).alias("y"), at.alias("_cell"))
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    points = placed.filter(known).select(F.col("_cell").alias("_point"), "x", "y", F.col("value").alias("_value"))
+    near = nearest_neighbours(placed.filter(~known).select("_cell", "x", "y"), points, 1, "_cell", "_point", 2 * max(dx, dy))
+    found = near.join(points.select("_point", "_value"), "_point").select("_cell", "_value")
+    return placed.join(found, "_cell", "left").withColumn("value", F.when(known, F.col("value")).otherwise(F.col("_value"))).select(*cells.columns)
+
+
 def _shape(model: str, h: np.ndarray, a: float) -> np.ndarray:
     r = h / a
     if model == "spherical":
@@ -52,7 +63,7 @@ def _gathered(targets: DataFrame, points: DataFrame, target_id: str, point_id: s
     near = nearest_neighbours(targets, points, k, target_id, point_id, tile)
     d = near.join(points.select(point_id, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).cast("double").alias("_v")), point_id)
     rows = d.groupBy(target_id).agg(F.array_sort(F.collect_list(F.struct("rank", "_x", "_y", "_v"))).alias("near"))
-    return targets.select(target_id, "x", "y").join(rows, target_id).select(F.col(target_id).alias("id"), "x", "y", F.col("near._x").alias("px"), F.col("near._y").alias("py"), F.col("near._v").alias("pv"))
+    return targets.join(rows, target_id).select(F.col(target_id).alias("id"), "x", "y", *["extra"] * ("extra" in targets.columns), F.col("near._x").alias("px"), F.col("near._y").alias("py"), F.col("near._v").alias("pv"))
 
 
 def _solved(gathered: DataFrame, solve, target_id: str, columns: str) -> DataFrame:
@@ -68,7 +79,8 @@ def _solved(gathered: DataFrame, solve, target_id: str, columns: str) -> DataFra
                 at = np.flatnonzero(sizes == n)
                 part = batch.take(pa.array(at))
                 px, py, pv = (part[c].flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for c in ("px", "py", "pv"))
-                got = solve(part["x"].to_numpy(), part["y"].to_numpy(), px, py, pv)
+                more = [part["extra"].to_numpy()] if "extra" in part.schema.names else []
+                got = solve(part["x"].to_numpy(), part["y"].to_numpy(), px, py, pv, *more)
                 out = np.full((batch.num_rows, len(got)), np.nan) if out is None else out
                 for c, g in enumerate(got):
                     out[at, c] = g
@@ -96,6 +108,32 @@ def kriging(targets: DataFrame, points: DataFrame, target_id: str, point_id: str
     return _solved(_gathered(targets, points, target_id, point_id, value, k, tile), solve, target_id, "value double, variance double")
 
 
+def cokriging(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, value: str, secondary: str, k: int, tile: float, model: str, nugget: float, sill: float, reach: float) -> DataFrame:
+    """target_id, value: collocated ordinary cokriging under the first Markov model from the k nearest points.
+
+    targets and points carry the secondary variable; it is put into the primary's units by a line through the points, and
+    the weights of the points and of the target's own secondary value sum to 1.
+    """
+    fit = points.agg(F.corr(value, secondary).alias("r"), F.regr_slope(value, secondary).alias("b"), F.regr_intercept(value, secondary).alias("a")).first()
+    rho = fit["r"] or 0.0
+    calibrated = targets.select(target_id, "x", "y", (F.col(secondary) * F.lit(fit["b"] or 0.0) + F.lit(fit["a"] or 0.0)).alias("extra"))
+    c0 = nugget + sill
+
+    def solve(x, y, px, py, pv, own):
+        n = px.shape[1]
+        cov = lambda h: np.where(h > 0, sill - sill * _shape(model, h, reach), c0)
+        to = cov(np.hypot(px - x[:, None], py - y[:, None]))
+        a, b = np.zeros((len(x), n + 2, n + 2)), np.ones((len(x), n + 2))
+        a[:, :n, :n] = cov(np.hypot(px[:, :, None] - px[:, None, :], py[:, :, None] - py[:, None, :]))
+        a[:, :n, n] = a[:, n, :n] = rho * to
+        a[:, n, n], a[:, : n + 1, n + 1], a[:, n + 1, : n + 1] = c0, 1, 1
+        b[:, :n], b[:, n] = to, rho * c0
+        w = np.einsum("tij,tj->ti", np.linalg.pinv(a, hermitian=True), b)
+        return ((w[:, :n] * pv).sum(1) + w[:, n] * own,)
+
+    return _solved(_gathered(calibrated, points, target_id, point_id, value, k, tile), solve, target_id, "value double")
+
+
 def radial_spline(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, value: str, k: int, tile: float, kernel: str = "thin_plate_spline", smoothing: float = 0.0) -> DataFrame:
     """target_id, value: local radial-basis spline with a plane, from the k nearest points."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +31,7 @@ def points_to_grid(df: DataFrame, x: str, y: str, value: str, grid_id: Column) -
 
 
 def _shape(cells: DataFrame) -> DataFrame:
-    return F.broadcast(cells.groupBy("grid_id").agg((F.max("i") + 1).alias("ny"), (F.max("j") + 1).alias("nx")))
+    return cells.groupBy("grid_id").agg((F.max("i") + 1).alias("ny"), (F.max("j") + 1).alias("nx"))
 
 
 def _replaced(cells: DataFrame, i: Column, j: Column) -> DataFrame:
@@ -50,7 +53,7 @@ def rotate(cells: DataFrame, degrees: int) -> DataFrame:
     if degrees % 90:
         raise ValueError("only multiples of 90 degrees")
     frame = cells.groupBy("grid_id").agg((F.max("i") + 1).alias("ny"), (F.max("j") + 1).alias("nx"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    d = cells.join(F.broadcast(frame), "grid_id")
+    d = cells.join(frame, "grid_id")
     dx, dy = (F.col("x1") - F.col("x0")) / F.greatest(F.col("nx") - 1, F.lit(1)), (F.col("y1") - F.col("y0")) / F.greatest(F.col("ny") - 1, F.lit(1))
     i, j, nx, ny = F.col("i"), F.col("j"), F.col("nx"), F.col("ny")
     new_i, new_j = [(i, j), (j, ny - 1 - i), (ny - 1 - i, nx - 1 - j), (nx - 1 - j, i)][quarter]
@@ -98,7 +101,7 @@ def ridges(cells: DataFrame, dx: float, dy: float, percentile: float = 85.0, tot
     for a, (fore, back) in pairs.items():
         top = top | ((angle == a) & (F.col("thg") >= F.col(fore)) & (F.col("thg") >= F.col(back)))
     limits = d.groupBy("grid_id").agg(F.percentile("thg", F.lit(percentile / 100)).alias("_limit"))
-    d = d.join(F.broadcast(limits), "grid_id").withColumn("ridge", F.coalesce(top & (F.col("thg") >= F.col("_limit")), F.lit(False)))
+    d = d.join(limits, "grid_id").withColumn("ridge", F.coalesce(top & (F.col("thg") >= F.col("_limit")), F.lit(False)))
     return d.select(*cells.columns, "ridge")
 
 
@@ -143,7 +146,7 @@ def ternary_rgb(cells: DataFrame, red: str, green: str, blue: str, percent: floa
     p = percent / 100
     names = dict(zip("rgb", (red, green, blue), strict=True))
     bounds = cells.groupBy("grid_id").agg(*[F.expr(f"percentile(`{c}`, array({p}, {1 - p}))").alias(f"_{k}") for k, c in names.items()])
-    d = cells.join(F.broadcast(bounds), "grid_id")
+    d = cells.join(bounds, "grid_id")
     stretch = lambda k, c: F.coalesce(clip((F.col(c) - F.col(f"_{k}")[0]) / F.greatest(F.col(f"_{k}")[1] - F.col(f"_{k}")[0], F.lit(1e-12)), 0.0, 1.0), F.lit(0.0))
     return d.select("grid_id", "i", "j", *[stretch(k, c).alias(k) for k, c in names.items()])
 
@@ -167,7 +170,7 @@ def distance_band(dx: float, dy: float, radius: float, own: bool) -> list[tuple[
 
 def moran(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """One row for each grid: global Moran I over a binary band without the cell itself, its expectation and z-score."""
-    mean = F.broadcast(cells.groupBy("grid_id").agg(F.avg("value").alias("mean")))
+    mean = cells.groupBy("grid_id").agg(F.avg("value").alias("mean"))
     z = cells.join(mean, "grid_id").withColumn("z", F.col("value") - F.col("mean"))
     d = z.join(neighbour_sum(z, offsets, "z"), ["grid_id", "i", "j"])
     n = F.count("z")
@@ -182,7 +185,7 @@ def moran(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 def hot_spots(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Getis-Ord Gi* z-scores as column gi; the band includes the cell itself."""
-    whole = F.broadcast(cells.groupBy("grid_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("all")))
+    whole = cells.groupBy("grid_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("all"))
     d = cells.join(neighbour_sum(cells, offsets), ["grid_id", "i", "j"]).join(whole, "grid_id")
     n = F.col("n")
     down = F.col("sd") * F.sqrt((F.col("all") * n - n * n) / (F.col("all") - 1))
@@ -213,7 +216,7 @@ def trend_surface(cells: DataFrame, order: int = 2) -> DataFrame:
 
     axes = cells.groupBy("grid_id").agg(*[f for c in "xy" for f in (F.avg(c).alias(f"_m{c}"), F.greatest(F.max(c) - F.min(c), F.lit(1e-12)).alias(f"_r{c}"))])
     u, v = (F.col("x") - F.col("_mx")) / F.col("_rx"), (F.col("y") - F.col("_my")) / F.col("_ry")
-    d = cells.join(F.broadcast(axes), "grid_id").withColumns({"_u": u, "_v": v})
+    d = cells.join(axes, "grid_id").withColumns({"_u": u, "_v": v})
     power = lambda c, n: F.lit(1.0) if n == 0 else F.pow(F.col(c), F.lit(float(n)))
     terms = trend_terms(order)
     moments = sorted({(a + c, b + e) for a, b in terms for c, e in terms})
@@ -231,7 +234,7 @@ def trend_surface(cells: DataFrame, order: int = 2) -> DataFrame:
 
     fit = sums.mapInArrow(solve, "grid_id string, _c array<double>")
     surface = sum((F.col("_c")[n] * power("_u", a) * power("_v", b) for n, (a, b) in enumerate(terms)), F.lit(0.0))
-    d = d.join(F.broadcast(fit), "grid_id").withColumn("trend", surface)
+    d = d.join(fit, "grid_id").withColumn("trend", surface)
     return d.withColumn("residual", F.col("value") - F.col("trend")).drop("_u", "_v", "_mx", "_my", "_rx", "_ry", "_c")
 
 
@@ -267,3 +270,36 @@ def terrain_correction(stations: DataFrame, cells: DataFrame, dx: float, dy: flo
     d = d.filter(base - top > 1e-6).select("station.id", F.abs(prism_gz(F.col("station.x"), F.col("station.y"), F.lit(0.0), p) * density).alias("g"))
     got = d.groupBy("id").agg(F.sum("g").alias("terrain"))
     return stations.select("id").join(got, "id", "left").na.fill(0.0, ["terrain"])
+
+
+def transform_fit(points: list[tuple[float, float, float, float]], order: int = 1) -> tuple[list[float], list[float]]:
+    """Least-squares coefficients of x and y in 1, a, b (and ab, a^2, b^2 for order 2) from control points (a, b, x, y)."""
+    a = np.array([_terms(p[0], p[1], order) for p in points], float)
+    if len(points) < a.shape[1]:
+        raise ValueError(f"{a.shape[1]} control points are needed")
+    return tuple(np.linalg.lstsq(a, np.array([p[k] for p in points], float), rcond=None)[0].tolist() for k in (2, 3))
+
+
+def _terms(a, b, order: int) -> list:
+    return [1.0, a, b] + ([a * b, a * a, b * b] if order == 2 else [])
+
+
+def rectify(cells: DataFrame, points: list[tuple[float, float, float, float]], spacing: float, order: int = 1) -> DataFrame:
+    """gi, gj, x, y, value: an image (i: row, j: column) on a world grid, by control points (column, row, x, y).
+
+    The world grid covers the transformed pixels; each of its nodes is read between pixels, and nodes outside are absent.
+    """
+    from .joins import bilinear
+
+    forward, back = transform_fit(points, order), transform_fit([(x, y, c, r) for c, r, x, y in points], order)
+    placed = lambda k, a, b: sum((F.lit(c) * t for c, t in zip(k, _terms(a, b, order), strict=True)), F.lit(0.0))
+    wx, wy = (placed(k, F.col("j"), F.col("i")) for k in forward)
+    x0, x1, y0, y1 = cells.agg(F.min(wx), F.max(wx), F.min(wy), F.max(wy)).first()
+    if x0 is None:
+        return cells.select(F.col("i").alias("gi"), F.col("j").alias("gj"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "value").limit(0)
+    nx, ny = (math.ceil((b + spacing / 2 - a) / spacing) for a, b in ((x0, x1), (y0, y1)))
+    nodes = cells.sparkSession.range(nx * ny).select(F.floor(F.col("id") / nx).cast("int").alias("gi"), (F.col("id") % nx).cast("int").alias("gj"))
+    nodes = nodes.select("gi", "gj", (F.lit(x0) + F.col("gj") * spacing).alias("_wx"), (F.lit(y0) + F.col("gi") * spacing).alias("_wy"))
+    asked = nodes.select(F.lit("image").alias("grid_id"), "gi", "gj", "_wx", "_wy", placed(back[0], F.col("_wx"), F.col("_wy")).alias("x"), placed(back[1], F.col("_wx"), F.col("_wy")).alias("y"))
+    got = bilinear(asked, cells.select(F.lit("image").alias("grid_id"), "i", "j", "value"), 0.0, 0.0, 1.0, 1.0, ["gi", "gj", "_wx", "_wy"])
+    return got.select("gi", "gj", F.col("_wx").alias("x"), F.col("_wy").alias("y"), "value")

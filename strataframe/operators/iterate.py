@@ -1,21 +1,30 @@
-"""Operators that repeat a join until nothing changes; each round is a written table, so no round depends on an executor."""
+"""Operators that repeat a step until nothing changes; each round is a written table, so no round depends on an executor.
+
+Distances, fills and regions are settled tile by tile: a round solves every tile whole, with the cells around it as they
+were, so there are as many rounds as a path crosses tiles, not cells.
+"""
 
 from __future__ import annotations
 
 import math
 import tempfile
 import uuid
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .solutions import EIGHT, steepest
 
 MAX_ROUNDS = 2000
+#: Cells of a tile's side: a tile is one task's small group.
+TILE = 64
 
 
-def _shared(df: DataFrame) -> str:
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode without it a new one."""
+    sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         if not sc.master.startswith("local"):
@@ -26,43 +35,88 @@ def _shared(df: DataFrame) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    path = f"{_shared(df)}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def _neighbours(cells: DataFrame, columns: list[str], dx: float, dy: float, offsets=EIGHT) -> DataFrame:
-    """Each cell's columns sent to its neighbours: grid_id, i, j of the neighbour, columns as n_<name>, and the length."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(math.hypot(a * dy, b * dx)).alias("len")) for a, b in offsets])
-    d = cells.select("grid_id", "i", "j", *columns, F.explode(table).alias("o"))
-    return d.select("grid_id", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), *[F.col(c).alias(f"n_{c}") for c in columns], F.col("o.len").alias("len"))
+def dropped(df: DataFrame) -> None:
+    """Delete the table behind written(); nothing must read it any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _settled(state: DataFrame, step, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """step(state) until its column `moved` is nowhere true; raises beyond max_rounds."""
     state = written(state)
     for _ in range(max_rounds):
-        state = written(step(state))
+        last, state = state, written(step(state.drop("moved")))
+        dropped(last)
         if state.filter("moved").isEmpty():
             return state.drop("moved")
-        state = state.drop("moved")
     raise RuntimeError("the iteration did not settle")
 
 
-def fill_depressions(cells: DataFrame, epsilon: float = 1e-6) -> DataFrame:
-    """Column filled: the lowest surface above the terrain that drains over the border, by epsilon a step."""
-    shape = F.broadcast(cells.groupBy("grid_id").agg(F.max("i").alias("_mi"), F.max("j").alias("_mj")))
-    border = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == F.col("_mi")) | (F.col("j") == F.col("_mj"))
-    start = cells.join(shape, "grid_id").select("grid_id", "i", "j", "value", F.when(border, F.col("value")).otherwise(float("inf")).alias("filled"))
+def _relaxing(kind: str, offsets, dx: float, dy: float, epsilon: float):
+    """Settle a tile by the smallest total first: what a cell offers its neighbours is a path's cost, a water level or a label."""
+    steps = [(a, b, math.hypot(a * dy, b * dx)) for a, b in offsets]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        i, j, c, total, own, from_i, from_j = (table[n].to_pylist() for n in ("i", "j", "c", "total", "own", "from_i", "from_j"))
+        at = {cell: n for n, cell in enumerate(zip(i, j, strict=True))}
+        before, heap = list(total), [(t, n) for n, t in enumerate(total) if t < math.inf]
+        heapify(heap)
+        while heap:
+            t, n = heappop(heap)
+            if t > total[n]:
+                continue
+            for a, b, length in steps:
+                m = at.get((i[n] + a, j[n] + b))
+                if m is None:
+                    continue
+                new = t + (c[n] + c[m]) / 2 * length if kind == "cost" else max(c[m], t + epsilon) if kind == "fill" else t
+                if new < total[m]:
+                    total[m], from_i[m], from_j[m] = new, i[n], j[n]
+                    heappush(heap, (new, m))
+        moved = [t < u for t, u in zip(total, before, strict=True)]
+        out = pa.table({"grid_id": table["grid_id"], "i": table["i"], "j": table["j"], "c": table["c"], "total": pa.array(total, pa.float64()), "from_i": pa.array(from_i, pa.int32()), "from_j": pa.array(from_j, pa.int32()), "moved": pa.array(moved, pa.bool_())})
+        return out.filter(pa.array(own, pa.bool_()))
+
+    return kernel
+
+
+def _tile_of(column: str, shift: int = 0) -> Column:
+    return F.floor((F.col(column) + shift) / TILE)
+
+
+def _relaxed(cells: DataFrame, kind: str, dx: float = 1.0, dy: float = 1.0, offsets=EIGHT, epsilon: float = 0.0) -> DataFrame:
+    """cells (grid_id, i, j, c, total) with the least totals, and from_i, from_j of the cell that gave it."""
+    kinds = dict(cells.dtypes)
+    start = cells.select("grid_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("c").cast("double").alias("c"), F.col("total").cast("double").alias("total"), F.lit(None).cast("int").alias("from_i"), F.lit(None).cast("int").alias("from_j"))
+    reach = max(max(abs(a), abs(b)) for a, b in offsets)
+    schema = f"grid_id {kinds['grid_id']}, i int, j int, c double, total double, from_i int, from_j int, moved boolean"
+    shifts = (-reach, 0, reach)
 
     def step(s: DataFrame) -> DataFrame:
-        low = _neighbours(s, ["filled"], 1, 1).groupBy("grid_id", "i", "j").agg(F.min("n_filled").alias("_n"))
-        new = F.least(F.col("filled"), F.greatest(F.col("value"), F.col("_n") + epsilon))
-        return s.join(low, ["grid_id", "i", "j"], "left").withColumn("_w", F.coalesce(new, F.col("filled"))).select("grid_id", "i", "j", "value", F.col("_w").alias("filled"), (F.col("_w") < F.col("filled")).alias("moved"))
+        tiles = F.array_distinct(F.array(*[F.struct(_tile_of("i", a).alias("ti"), _tile_of("j", b).alias("tj")) for a in shifts for b in shifts]))
+        sent = s.select("*", F.explode(tiles).alias("t")).select(*s.columns, "t.*")
+        sent = sent.withColumn("own", (F.col("ti") == _tile_of("i")) & (F.col("tj") == _tile_of("j")))
+        return sent.groupBy("grid_id", "ti", "tj").applyInArrow(_relaxing(kind, offsets, dx, dy, epsilon), schema)
 
     return _settled(start, step)
 
 
+def fill_depressions(cells: DataFrame, epsilon: float = 1e-6) -> DataFrame:
+    """Column filled: the lowest surface above the terrain that drains over the border, by epsilon a step."""
+    shape = cells.groupBy("grid_id").agg(F.max("i").alias("_mi"), F.max("j").alias("_mj"))
+    border = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == F.col("_mi")) | (F.col("j") == F.col("_mj"))
+    start = cells.join(shape, "grid_id").select("grid_id", "i", "j", F.col("value").alias("c"), F.when(border, F.col("value")).otherwise(float("inf")).alias("total"))
+    return _relaxed(start, "fill", epsilon=epsilon).select("grid_id", "i", "j", F.col("c").alias("value"), F.col("total").alias("filled"))
+
+
 def flow_accumulation(cells: DataFrame, dx: float, dy: float) -> DataFrame:
     """Column cells_above (with the cell itself) along steepest descents, by waves of cells whose inflow is complete."""
     flow = written(steepest(cells, dx, dy).select("grid_id", "i", "j", "to_i", "to_j"))
@@ -84,48 +138,51 @@ def cost_distance(cells: DataFrame, source: Column, dx: float, dy: float, cost:
 
     A missing cost counts 1e12. The predecessors lead back to a source.
     """
-    c = F.coalesce(F.col(cost), F.lit(1e12))
-    none = F.lit(None).cast("int")
-    start = cells.select("grid_id", "i", "j", c.alias("c"), F.when(source, 0.0).otherwise(float("inf")).alias("total"), none.alias("from_i"), none.alias("from_j"), source.alias("fresh"))
+    start = cells.select("grid_id", "i", "j", F.coalesce(F.col(cost), F.lit(1e12)).alias("c"), F.when(source, 0.0).otherwise(float("inf")).alias("total"))
+    return _relaxed(start, "cost", dx, dy, offsets).select("grid_id", "i", "j", "total", "from_i", "from_j")
+
+
+def travel_times(cells: DataFrame, source: Column, dx: float, dy: float, velocity: str = "value", radius: int = 3) -> DataFrame:
+    """grid_id, i, j, total: first arrivals by shortest paths over all coprime steps of at most `radius` cells (Moser 1991)."""
+    steps = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if math.gcd(a, b) == 1]
+    return cost_distance(cells.withColumn("_slow", 1 / F.col(velocity)), source, dx, dy, "_slow", steps).select("grid_id", "i", "j", "total")
 
-    def step(s: DataFrame) -> DataFrame:
-        front = s.filter("fresh").select("grid_id", "i", "j", "c", "total", F.col("i").alias("fi"), F.col("j").alias("fj"))
-        near = _neighbours(front, ["c", "total", "fi", "fj"], dx, dy, offsets)
-        d = near.join(s.select("grid_id", "i", "j", "c"), ["grid_id", "i", "j"]).withColumn("_t", F.col("n_total") + (F.col("c") + F.col("n_c")) / 2 * F.col("len"))
-        best = d.groupBy("grid_id", "i", "j").agg(F.min(F.struct(F.col("_t").alias("t"), F.col("n_fi").alias("fi"), F.col("n_fj").alias("fj"))).alias("b"))
-        j = s.join(best, ["grid_id", "i", "j"], "left")
-        better = F.coalesce(F.col("b.t") < F.col("total"), F.lit(False))
-        pick = lambda new, old: F.when(better, F.col(f"b.{new}")).otherwise(F.col(old))
-        return j.select("grid_id", "i", "j", "c", pick("t", "total").alias("total"), pick("fi", "from_i").alias("from_i"), pick("fj", "from_j").alias("from_j"), better.alias("fresh"), better.alias("moved"))
 
-    return _settled(start, step).select("grid_id", "i", "j", "total", "from_i", "from_j")
+def _walking(table: pa.Table) -> pa.Table:
+    """The cells of a tile on the way back from its fresh cells, and the first cell beyond it of each way (fresh)."""
+    i, j, from_i, from_j, fresh = (table[n].to_pylist() for n in ("i", "j", "from_i", "from_j", "fresh"))
+    back = dict(zip(zip(i, j, strict=True), zip(from_i, from_j, strict=True), strict=True))
+    out: dict[tuple[int, int], bool] = {}
+    for cell in (c for c, f in zip(back, fresh, strict=True) if f):
+        while cell in back and cell not in out:
+            out[cell] = False
+            cell = back[cell]
+        if cell[0] is not None and cell not in back:
+            out[cell] = True
+    return pa.table({"grid_id": pa.array([table["grid_id"][0].as_py()] * len(out), table["grid_id"].type), "i": pa.array([c[0] for c in out], pa.int32()), "j": pa.array([c[1] for c in out], pa.int32()), "_on": pa.array(list(out.values()), pa.bool_())})
 
 
 def least_cost_path(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], dx: float, dy: float) -> DataFrame:
-    """grid_id, i, j, total of the cells on the cheapest path, walked back along the predecessors."""
-    table = written(cost_distance(cells, (F.col("i") == start[0]) & (F.col("j") == start[1]), dx, dy))
-    state = table.withColumns({"on": (F.col("i") == end[0]) & (F.col("j") == end[1]), "fresh": (F.col("i") == end[0]) & (F.col("j") == end[1])})
+    """grid_id, i, j, total of the cells on the cheapest path, walked back along the predecessors, a tile a round."""
+    table = cost_distance(cells, (F.col("i") == start[0]) & (F.col("j") == start[1]), dx, dy)
+    at_end = (F.col("i") == end[0]) & (F.col("j") == end[1])
+    state = table.withColumns({"on": at_end, "fresh": at_end})
+    schema = f"grid_id {dict(table.dtypes)['grid_id']}, i int, j int, _on boolean"
 
     def step(s: DataFrame) -> DataFrame:
-        back = s.filter("fresh AND from_i IS NOT NULL").select("grid_id", F.col("from_i").alias("i"), F.col("from_j").alias("j"), F.lit(True).alias("_hit")).distinct()
-        d = s.drop("fresh").join(back, ["grid_id", "i", "j"], "left").withColumn("fresh", F.coalesce("_hit", F.lit(False)) & ~F.col("on"))
-        return d.withColumns({"on": F.col("on") | F.col("fresh"), "moved": F.col("fresh")}).drop("_hit")
+        walked = s.withColumns({"ti": _tile_of("i"), "tj": _tile_of("j")}).groupBy("grid_id", "ti", "tj").applyInArrow(_walking, schema)
+        marks = walked.groupBy("grid_id", "i", "j").agg(F.bool_and("_on").alias("_fresh"))
+        d = s.join(marks, ["grid_id", "i", "j"], "left").withColumn("_new", F.coalesce("_fresh", F.lit(False)) & ~F.col("on"))
+        return d.select("grid_id", "i", "j", "total", "from_i", "from_j", (F.col("on") | F.col("_fresh").isNotNull()).alias("on"), F.col("_new").alias("fresh"), F.col("_new").alias("moved"))
 
     return _settled(state, step).filter("on").select("grid_id", "i", "j", "total")
 
 
 def connected_cells(cells: DataFrame, member: Column) -> DataFrame:
     """grid_id, i, j, component of member cells: eight-connected regions named by their smallest row-major cell number."""
-    wide = F.broadcast(cells.groupBy("grid_id").agg((F.max("j") + 1).cast("long").alias("_nx")))
-    start = cells.filter(member).join(wide, "grid_id").select("grid_id", "i", "j", (F.col("i") * F.col("_nx") + F.col("j")).alias("component"))
-
-    def step(s: DataFrame) -> DataFrame:
-        low = _neighbours(s, ["component"], 1, 1).groupBy("grid_id", "i", "j").agg(F.min("n_component").alias("_n"))
-        d = s.join(low, ["grid_id", "i", "j"], "left")
-        new = F.least(F.col("component"), F.coalesce("_n", "component"))
-        return d.select("grid_id", "i", "j", new.alias("component"), (new < F.col("component")).alias("moved"))
-
-    return _settled(start, step)
+    wide = cells.groupBy("grid_id").agg((F.max("j") + 1).cast("long").alias("_nx"))
+    start = cells.filter(member).join(wide, "grid_id").select("grid_id", "i", "j", F.lit(0.0).alias("c"), (F.col("i") * F.col("_nx") + F.col("j")).alias("total"))
+    return _relaxed(start, "label").select("grid_id", "i", "j", F.col("total").cast("long").alias("component"))
 
 
 def lineaments(cells: DataFrame, component_cells: DataFrame, least: int = 8) -> DataFrame:

@@ -25,7 +25,7 @@ def bilinear(points: DataFrame, cells: DataFrame, x0: float, y0: float, dx: floa
 
     points: keys, grid_id, x, y. A point on the last row or column uses the cell before it.
     """
-    shape = F.broadcast(cells.groupBy("grid_id").agg(F.max("i").alias("_mi"), F.max("j").alias("_mj")))
+    shape = cells.groupBy("grid_id").agg(F.max("i").alias("_mi"), F.max("j").alias("_mj"))
     u, v = (F.col("x") - x0) / dx, (F.col("y") - y0) / dy
     p = points.join(shape, "grid_id").withColumns({"_u": u, "_v": v})
     inside = (F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") <= F.col("_mj")) & (F.col("_v") <= F.col("_mi"))

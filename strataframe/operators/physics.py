@@ -255,7 +255,7 @@ def generalised_reciprocal(df: DataFrame, by: list[str], x: str, forward: str, r
     the spread do not count, and a separation needs `least` of them.
     """
     ends = df.groupBy(*by).agg(F.min(x).alias("_a"), F.max(x).alias("_b"), F.max_by(forward, x).alias("_t"))
-    tried = df.select(*by, F.col(x).alias("_x"), F.explode(F.array(*[F.lit(float(s)) for s in separations])).alias("xy")).join(F.broadcast(ends), by)
+    tried = df.select(*by, F.col(x).alias("_x"), F.explode(F.array(*[F.lit(float(s)) for s in separations])).alias("xy")).join(ends, by)
     tried = tried.filter((F.col("_x") + F.col("xy") / 2 <= F.col("_b")) & (F.col("_x") - F.col("xy") / 2 >= F.col("_a")))
     read = lambda value, sign, out: interpolate(df.select(*by, F.col(x).alias("_at"), F.col(value).alias(out)), tried.withColumn("_at", F.col("_x") + sign * F.col("xy") / 2).select(*by, "_at", "_x", "xy", "_t"), by, "_at", out, ["_x", "xy", "_t"]).drop("_at")
     both = read(forward, 1, "_f").join(read(reverse, -1, "_r").drop("_t"), [*by, "_x", "xy"])

@@ -71,7 +71,7 @@ def crop_grid(cells: DataFrame, xmin: float, xmax: float, ymin: float, ymax: flo
     (xmin, xmax), (ymin, ymax) = sorted((xmin, xmax)), sorted((ymin, ymax))
     inside = cells.filter(F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax))
     first = inside.groupBy("grid_id").agg(F.min("i").alias("_i"), F.min("j").alias("_j"))
-    return inside.join(F.broadcast(first), "grid_id").withColumns({"i": F.col("i") - F.col("_i"), "j": F.col("j") - F.col("_j")}).drop("_i", "_j")
+    return inside.join(first, "grid_id").withColumns({"i": F.col("i") - F.col("_i"), "j": F.col("j") - F.col("_j")}).drop("_i", "_j")
 
 
 def crop_profile(profile: DataFrame, low: float, high: float) -> DataFrame:

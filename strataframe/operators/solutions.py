@@ -103,7 +103,7 @@ def fuzzy(values: list[Column], operator: str, gamma: float = 0.9) -> Column:
 def membership(cells: DataFrame, columns: list[str], kind: str = "linear", spread: float = 5.0) -> DataFrame:
     """Columns <name>_m: min-max, or a logistic of the distance to the median in standard deviations."""
     aggs = [f for c in columns for f in (F.min(c).alias(f"_{c}0"), F.max(c).alias(f"_{c}1"), F.expr(f"percentile(`{c}`, 0.5)").alias(f"_{c}m"), F.stddev_pop(c).alias(f"_{c}s"))]
-    d = cells.join(F.broadcast(cells.groupBy("grid_id").agg(*aggs)), "grid_id")
+    d = cells.join(cells.groupBy("grid_id").agg(*aggs), "grid_id")
     one = lambda c: (F.col(c) - F.col(f"_{c}0")) / F.greatest(F.col(f"_{c}1") - F.col(f"_{c}0"), F.lit(1e-12)) if kind == "linear" else 1 / (1 + F.exp(-spread * (F.col(c) - F.col(f"_{c}m")) / F.col(f"_{c}s")))
     return d.withColumns({f"{c}_m": one(c) for c in columns}).drop(*[f"_{c}{k}" for c in columns for k in "01ms"])
 
@@ -234,6 +234,54 @@ def kirchhoff_time(traces: DataFrame, images: DataFrame, at: str, value: str, dt
     return j.filter(amp.isNotNull()).groupBy("image", "k").agg(F.sum(amp * F.col("_w")).alias("migrated"))
 
 
+def _read_between(asks: DataFrame, samples: DataFrame, keys: list[str], at: str, value: str, place: Column, out: str) -> DataFrame:
+    """asks with column out: the samples of their keys read at place (in samples), linear; places without samples are left out."""
+    w = Window.partitionBy(*keys).orderBy("_k")
+    src = samples.select(*keys, F.col(at).cast("long").alias("_k"), F.col(value).alias("_v")).withColumn("_next", F.lead("_v").over(w))
+    d = asks.withColumns({"_k": F.floor(place).cast("long"), "_f": place - F.floor(place)}).join(src, [*keys, "_k"])
+    got = F.when(F.col("_f") == 0, F.col("_v")).otherwise(F.col("_v") + (F.col("_next") - F.col("_v")) * F.col("_f"))
+    return d.withColumn(out, got).filter(F.col(out).isNotNull()).drop("_k", "_f", "_v", "_next")
+
+
+def dmo(df: DataFrame, trace: str, position: str, offset: str, at: str, value: str, spacing: float, n_b: int = 21) -> DataFrame:
+    """trace, at, dmo: Kirchhoff dip moveout of moved-out traces (Deregowski and Rocca 1981), one common-offset panel a key.
+
+    A trace of half offset h is spread along b in (-h, h), sample t0 reading t0 / sqrt(1 - b^2 / h^2), onto the panel's
+    nearest trace within half a spacing (ties: the smaller position). Panels of one trace or no offset stay as they are.
+    """
+    heads = df.select(trace, F.col(position).alias("_p"), F.abs(F.col(offset)).alias("_panel")).distinct()
+    panels = heads.groupBy("_panel").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"), F.count(F.lit(1)).alias("_m"))
+    h, n = F.col("_panel") / 2, F.col("_n")
+    spread = heads.join(panels, "_panel").filter("_panel > 0 AND _m > 1").select("*", F.explode(F.sequence(F.lit(1), F.lit(n_b - 2))).alias("_n"))
+    spread = spread.withColumn("_b", -h + 2 * h * n / (n_b - 1)).withColumn("_to", F.col("_p") + F.col("_b")).filter("_to BETWEEN _low AND _high")
+    tile = lambda c: F.floor(F.col(c) / spacing)
+    asks = spread.select(trace, "_panel", "_n", "_to", F.sqrt(1 - F.pow(F.col("_b") / h, F.lit(2.0))).alias("_factor"), F.explode(F.array(*[tile("_to") + k for k in (-1, 0, 1)])).alias("_t"))
+    others = heads.select("_panel", F.col(trace).alias("_target"), F.col("_p").alias("_at"), tile("_p").alias("_t"))
+    met = asks.join(others, ["_panel", "_t"]).withColumn("_d", F.abs(F.col("_at") - F.col("_to"))).filter(F.col("_d") <= spacing / 2)
+    pairs = met.groupBy(trace, "_n", "_factor").agg(F.min_by("_target", F.struct("_d", "_at")).alias("_target"))
+    ends = df.groupBy(trace).agg(F.max(at).alias("_last"))
+    asked = pairs.join(ends, trace).select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_out"))
+    read = _read_between(asked, df, [trace], at, value, F.col("_out") / F.col("_factor"), "_a")
+    sums = read.groupBy(F.col("_target").alias(trace), F.col("_out").alias(at)).agg((F.sum("_a") / (n_b - 2)).alias("_s"))
+    alone = df.join(panels, F.abs(F.col(offset)) == F.col("_panel"))
+    out = alone.select(trace, at, F.col(value).alias("_v"), ((F.col("_panel") > 0) & (F.col("_m") > 1)).alias("_spread")).join(sums, [trace, at], "left")
+    return out.select(trace, at, F.when(F.col("_spread"), F.coalesce("_s", F.lit(0.0))).otherwise(F.col("_v")).alias("dmo"))
+
+
+def kirchhoff_depth(traces: DataFrame, times: DataFrame, at: str, value: str, dt: float, aperture: float) -> DataFrame:
+    """i, j, migrated: prestack depth migration; each image cell sums the traces at source time plus receiver time.
+
+    traces: trace, sx, rx, at, value. times: position, i, j, x, total, first arrivals from each source and receiver
+    position to the cells of the depth model.
+    """
+    head = traces.select("trace", "sx", "rx").distinct()
+    from_source = head.join(times.select(F.col("position").alias("sx"), "i", "j", "x", F.col("total").alias("_ts")), "sx")
+    near = from_source.filter(F.abs((F.col("sx") + F.col("rx")) / 2 - F.col("x")) <= aperture)
+    both = near.join(times.select(F.col("position").alias("rx"), "i", "j", F.col("total").alias("_tr")), ["rx", "i", "j"])
+    read = _read_between(both.select("trace", "i", "j", ((F.col("_ts") + F.col("_tr")) / dt).alias("_place")), traces, ["trace"], at, value, F.col("_place"), "_a")
+    return read.groupBy("i", "j").agg(F.sum("_a").alias("migrated"))
+
+
 def h_kappa(rf: DataFrame, by: list[str], at: str, value: str, rate: float, vp: float, p: float, hs: list[float], ks: list[float], weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
     """by, h, kappa, stack of the candidate with the largest weighted stack of the three converted phases."""
     spark = rf.sparkSession

@@ -41,14 +41,14 @@ def quadratic_trend(df: DataFrame, by: list[str], at: str, value: str) -> DataFr
     from ..functions.scalar import solve3
 
     axis = df.groupBy(*by).agg(F.avg(at).alias("_m"), ((F.max(at) - F.min(at)) / 2).alias("_r"))
-    d = df.join(F.broadcast(axis), by).withColumn("_t", (F.col(at) - F.col("_m")) / F.col("_r"))
+    d = df.join(axis, by).withColumn("_t", (F.col(at) - F.col("_m")) / F.col("_r"))
     t, v = F.col("_t"), F.col(value)
     p = [F.lit(1.0), t, t * t, t * t * t, t * t * t * t]
     sums = d.filter(v.isNotNull()).groupBy(*by).agg(*[F.sum(x).alias(f"_s{k}") for k, x in enumerate(p)], *[F.sum(v * x).alias(f"_v{k}") for k, x in enumerate(p[:3])])
     s = [F.col(f"_s{k}") for k in range(5)]
     c = solve3([[s[0], s[1], s[2]], [s[1], s[2], s[3]], [s[2], s[3], s[4]]], [F.col(f"_v{k}") for k in range(3)])
     fit = sums.select(*by, *[x.alias(f"_c{k}") for k, x in enumerate(c)])
-    d = d.join(F.broadcast(fit), by).withColumn("trend", F.col("_c0") + F.col("_c1") * t + F.col("_c2") * t * t)
+    d = d.join(fit, by).withColumn("trend", F.col("_c0") + F.col("_c1") * t + F.col("_c2") * t * t)
     return d.withColumn("residual", v - F.col("trend")).drop("_m", "_r", "_t", "_c0", "_c1", "_c2")
 
 
@@ -181,7 +181,7 @@ def starlet(df: DataFrame, by: list[str], at: str, value: str, levels: int = 4,
     kernel = {-2: 1 / 16, -1: 4 / 16, 0: 6 / 16, 1: 4 / 16, 2: 1 / 16}
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     table = lambda j: F.array(*[F.struct(F.lit(o * 2**j).alias("o"), F.lit(w).alias("w")) for o, w in kernel.items()])
-    d = df.select(*by, at, F.col(value).cast("double").alias("_c")).join(F.broadcast(n), by).withColumn("_sum", F.lit(0.0))
+    d = df.select(*by, at, F.col(value).cast("double").alias("_c")).join(n, by).withColumn("_sum", F.lit(0.0))
     for j in range(levels):
         period = F.greatest(2 * (F.col("_n") - 1), F.lit(1))
         fold = F.pmod(F.col(at) + F.col("s.o"), period)
@@ -189,9 +189,9 @@ def starlet(df: DataFrame, by: list[str], at: str, value: str, levels: int = 4,
         smooth = want.join(d.select(*by, F.col(at).cast("long").alias("_from"), F.col("_c").alias("_v")), [*by, "_from"]).groupBy(*by, at).agg(F.sum(F.col("_w") * F.col("_v")).alias("_next"))
         d = d.join(smooth, [*by, at]).withColumn("_d", F.col("_c") - F.col("_next"))
         middle = d.groupBy(*by).agg(F.expr("percentile(_d, 0.5)").alias("_med"))
-        d = d.join(F.broadcast(middle), by).withColumn("_a", F.abs(F.col("_d") - F.col("_med")))
+        d = d.join(middle, by).withColumn("_a", F.abs(F.col("_d") - F.col("_med")))
         spread = d.groupBy(*by).agg((F.expr("percentile(_a, 0.5)") * (k_sigma / 0.6745)).alias("_lim"))
-        d = d.join(F.broadcast(spread), by)
+        d = d.join(spread, by)
         d = d.select(*by, at, "_n", F.col("_next").alias("_c"), (F.col("_sum") + F.when(F.abs("_d") >= F.col("_lim"), F.col("_d")).otherwise(0.0)).alias("_sum"))
     return d.select(*by, at, (F.col("_c") + F.col("_sum")).alias("denoised"))
 
@@ -205,51 +205,80 @@ def drift_correction(df: DataFrame, by: list[str], time: str, reading: str, is_b
     bases = d.filter(is_base).select(*by, time, "_r")
     ends = bases.groupBy(*by).agg(F.min_by("_r", time).alias("_first"), F.count(F.lit(1)).alias("_n"))
     line = interpolate(bases.withColumnRenamed("_r", "_base"), d.select(*by, time, "_r"), by, time, "_base", ["_r"])
-    out = line.join(F.broadcast(ends), by, "left")
+    out = line.join(ends, by, "left")
     drift = F.when(F.col("_n") >= 2, F.col("_base") - F.col("_first")).otherwise(F.raise_error(F.lit("fewer than two base readings")).cast("double"))
     return out.withColumn("drift", drift).select(*by, time, F.col("_r").alias("reading"), "drift", (F.col("_r") - F.col("drift")).alias("corrected"))
 
 
+def _bound(values: dict[str, Column], body) -> Column:
+    """body(values), each value computed once and not wherever body uses it."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
+#: Fixed values (Longman 1959): gravity constant, masses of moon and sun, earth's radius, mean distances, eccentricity of
+#: the moon's orbit, ratio of the mean motions of sun and moon (all in cgs), the earth's yielding; inclinations in degrees.
+GRAVITY, MOON_MASS, SUN_MASS = 6.67408e-8, 7.3477e25, 1.98847e33
+EARTH_RADIUS, MOON_DISTANCE, SUN_DISTANCE, MOON_ECCENTRICITY, MOTIONS = 6.378270e8, 3.84402e10, 1.495e13, 0.054899719, 0.074804
+YIELDING, ECLIPTIC, ORBIT = 1.16, 23.452, 5.145
+#: Mean longitudes in radians and powers of centuries since 1899-12-31 12:00 of the moon, its perigee, the
+#: sun, the moon's node, the sun's perigee; and the eccentricity of the earth's orbit.
+LONGITUDES = {
+    "moon": (4.72000889397, 8399.70927456, 3.45575191895e-5, 3.49065850399e-8),
+    "perigee": (5.83515162814, 71.0180412089, -1.80108282532e-4, -2.18166156499e-7),
+    "sun": (4.88162798259, 628.331950894, 5.23598775598e-6),
+    "node": (4.52360161181, -33.757146295, 3.6264063347e-5, 3.39369576777e-8),
+    "sun_perigee": (4.90822941839, 0.0300025492114, 7.85398163397e-6, 5.3329504922e-8),
+    "sun_eccentricity": (0.01675104, -0.0000418, -0.000000126),
+}
+
+
+def _pull(mass: float, radius: float, nearness: Column, cosine: Column, third: bool) -> Column:
+    """Vertical tide of a body from its zenith cosine and 1 / distance; the third-order term matters for the moon alone."""
+    second = GRAVITY * mass * radius * F.pow(nearness, F.lit(3.0)) * (3 * cosine * cosine - 1)
+    if not third:
+        return second
+    return second + 1.5 * GRAVITY * mass * radius * radius * F.pow(nearness, F.lit(4.0)) * (5 * F.pow(cosine, F.lit(3.0)) - 3 * cosine)
+
+
+def _zenith(latitude: float, sine: float | Column, half: Column, along: Column, turned: Column) -> Column:
+    """Zenith cosine of a body at longitude `along` of an orbit inclined by twice `half`, `turned` the meridian's angle."""
+    c, s = F.cos(half), F.sin(half)
+    return math.sin(latitude) * sine * F.sin(along) + math.cos(latitude) * (c * c * F.cos(along - turned) + s * s * F.cos(along + turned))
+
+
 def longman_tide(time: Column, latitude: float, longitude: float, height: float = 0.0) -> Column:
-    """Vertical luni-solar tide in mGal by Longman (1959) from a UTC time, as one expression."""
-    rad = math.radians
+    """Vertical luni-solar tide in mGal by Longman (1959) from a UTC time, a place in degrees and a height in metres."""
+    lat, tilt, orbit = math.radians(latitude), math.radians(ECLIPTIC), math.radians(ORBIT)
+    radius = EARTH_RADIUS / math.sqrt(1 + 0.006738 * math.sin(lat) ** 2) + height * 100
     days = F.unix_micros(time.cast("timestamp")) / 86400e6
-    t = (days + 25568.5) / 36525.0
-    hours = F.pmod(days * 24.0, F.lit(24.0))
-    mu, a, c, e, m = 6.67408e-8, 6.378270e8, 3.84402e10, 0.054899719, 0.074804
-    c1, mass_moon, mass_sun, love = 1.495e13, 7.3477e25, 1.98847e33, 1.16
-    lat = rad(latitude)
-
-    def poly(*k: float) -> Column:
-        return F.lit(k[0]) + sum((F.pow(t, F.lit(float(n))) * x for n, x in enumerate(k[1:], 1)), F.lit(0.0))
-
-    s = poly(4.72000889397, 8399.70927456, 3.45575191895e-5, 3.49065850399e-8)
-    p = poly(5.83515162814, 71.0180412089, 1.80108282532e-4, 1.74532925199e-7)
-    h = poly(4.88162798259, 628.331950894, 5.23598775598e-6)
-    n = poly(4.52360161181, -33.757146295, 3.6264063347e-5, 3.39369576777e-8)
-    p1 = poly(4.90822941839, 0.0300025492114, 7.85398163397e-6, 5.3329504922e-8)
-    e1 = poly(0.01675104, -0.0000418, -0.000000126)
-    w, i = rad(23.452), rad(5.145)
-    cos_i = F.lit(math.cos(w) * math.cos(i)) - F.lit(math.sin(w) * math.sin(i)) * F.cos(n)
-    big_i = F.acos(cos_i)
-    nu = F.asin(F.sin(n) * math.sin(i) / F.sin(big_i))
-    hour_angle = (hours - 12.0) * rad(15.0) + rad(longitude)
-    alpha = F.atan2(math.sin(w) * F.sin(n) / F.sin(big_i), F.cos(n) * F.cos(nu) + F.sin(n) * F.sin(nu) * math.cos(w))
-    xi = n - alpha
-    sigma = s - xi
-    moon_l = sigma + 2 * e * F.sin(s - p) + 1.25 * e * e * F.sin(2 * (s - p)) + 15.0 / 4 * m * e * F.sin(s - 2 * h + p) + 11.0 / 8 * m * m * F.sin(2 * (s - h))
-    chi = hour_angle + h - nu
-    cos_theta = math.sin(lat) * F.sin(big_i) * F.sin(moon_l) + math.cos(lat) * (F.pow(F.cos(big_i / 2), F.lit(2.0)) * F.cos(moon_l - chi) + F.pow(F.sin(big_i / 2), F.lit(2.0)) * F.cos(moon_l + chi))
-    sun_l = h + 2 * e1 * F.sin(h - p1)
-    chi1 = hour_angle + h
-    cos_phi = math.sin(lat) * math.sin(w) * F.sin(sun_l) + math.cos(lat) * (math.cos(w / 2) ** 2 * F.cos(sun_l - chi1) + math.sin(w / 2) ** 2 * F.cos(sun_l + chi1))
-    r = 1 / math.sqrt(1 + 0.006738 * math.sin(lat) ** 2) * a + height * 100
-    a_moon, a_sun = 1 / (c * (1 - e * e)), 1 / (c1 * (1 - e1 * e1))
-    inv_d = 1 / c + a_moon * e * F.cos(s - p) + a_moon * e * e * F.cos(2 * (s - p)) + 15.0 / 8 * a_moon * m * e * F.cos(s - 2 * h + p) + a_moon * m * m * F.cos(2 * (s - h))
-    inv_d1 = 1 / c1 + a_sun * e1 * F.cos(h - p1)
-    gm = mu * mass_moon * r * F.pow(inv_d, F.lit(3.0)) * (3 * cos_theta * cos_theta - 1) + 1.5 * mu * mass_moon * r * r * F.pow(inv_d, F.lit(4.0)) * (5 * F.pow(cos_theta, F.lit(3.0)) - 3 * cos_theta)
-    gs = mu * mass_sun * r * F.pow(inv_d1, F.lit(3.0)) * (3 * cos_phi * cos_phi - 1)
-    return (gm + gs) * 1e3 * love
+    meridian = (F.pmod(days, F.lit(1.0)) * 24 - 12) * math.radians(15) + math.radians(longitude)
+
+    def elements(v: Column) -> Column:
+        at = lambda k: sum((F.pow(v["century"], F.lit(float(n))) * x for n, x in enumerate(k)), F.lit(0.0))
+        return _bound({n: at(k) for n, k in LONGITUDES.items()} | {"meridian": v["meridian"]}, crossing)
+
+    def crossing(v: Column) -> Column:
+        cosine = math.cos(tilt) * math.cos(orbit) - math.sin(tilt) * math.sin(orbit) * F.cos(v["node"])
+        return _bound({"v": v, "tilt": F.acos(cosine)}, intersection)
+
+    def intersection(w: Column) -> Column:
+        v, sine = w["v"], F.sin(w["tilt"])
+        across = F.asin(F.sin(v["node"]) * math.sin(orbit) / sine)
+        on_orbit = F.atan2(math.sin(tilt) * F.sin(v["node"]) / sine, F.cos(v["node"]) * F.cos(across) + F.sin(v["node"]) * F.sin(across) * math.cos(tilt))
+        return _bound({"v": v, "tilt": w["tilt"], "turned": v["meridian"] + v["sun"] - across, "mean": v["moon"] - (v["node"] - on_orbit)}, tide)
+
+    def tide(w: Column) -> Column:
+        v, e, m = w["v"], MOON_ECCENTRICITY, MOTIONS
+        anomaly, evection, variation = v["moon"] - v["perigee"], v["moon"] - 2 * v["sun"] + v["perigee"], 2 * (v["moon"] - v["sun"])
+        along = w["mean"] + 2 * e * F.sin(anomaly) + 1.25 * e * e * F.sin(2 * anomaly) + 3.75 * m * e * F.sin(evection) + 1.375 * m * m * F.sin(variation)
+        nearness = 1 / MOON_DISTANCE + (e * F.cos(anomaly) + e * e * F.cos(2 * anomaly) + 1.875 * m * e * F.cos(evection) + m * m * F.cos(variation)) / (MOON_DISTANCE * (1 - e * e))
+        moon = _pull(MOON_MASS, radius, nearness, _zenith(lat, F.sin(w["tilt"]), w["tilt"] / 2, along, w["turned"]), True)
+        sun_e, sun_anomaly = v["sun_eccentricity"], v["sun"] - v["sun_perigee"]
+        sun_near = 1 / SUN_DISTANCE + sun_e * F.cos(sun_anomaly) / (SUN_DISTANCE * (1 - sun_e * sun_e))
+        sun_zenith = _zenith(lat, math.sin(tilt), F.lit(tilt / 2), v["sun"] + 2 * sun_e * F.sin(sun_anomaly), v["meridian"] + v["sun"])
+        return (moon + _pull(SUN_MASS, radius, sun_near, sun_zenith, False)) * 1e3 * YIELDING
+
+    return _bound({"century": (days + 25567.5) / 36525.0, "meridian": meridian}, elements)
 
 
 def vsp_corridor(df: DataFrame, by: list[str], trace: str, at: str, value: str, first_break: str, traces: int, corridor: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import tidy as t
 from ..operators import gridding as G
 from ..operators import learning as L
-from .fixtures import Catalog, deposits, grid, section, stations, table, wells
+from .fixtures import GRID_SQL, Catalog, deposits, grid, section, stations, table, wells
 from .grids import KNN_SQL
 
 C = Catalog()
@@ -37,6 +37,20 @@ def kriging(spark, d):
     return r.select("target", t("value", 3).alias("value"), t("variance", 1).alias("variance"))
 
 
+@C.add("cokriging")
+def cokriging(spark, d):
+    """Balances of the suppliers with a secondary variable that both they and the cells have."""
+    near = lambda df: df.withColumn("second", F.sin(F.col("x") / 700) * 50 + F.col("y") / 100)
+    r = G.cokriging(near(_targets(spark, d)), near(_points(spark, d)), "target", "id", "value", "second", 8, 600.0, "spherical", 1e5, 9e6, 1200.0)
+    return r.select("target", t("value", 3).alias("value"))
+
+
+@C.add("fill_nearest", f"WITH {GRID_SQL}, k AS (SELECT i, j, value FROM g WHERE band % 4 <> 0), n AS (SELECT g.i, g.j, k.value, row_number() OVER (PARTITION BY g.i, g.j ORDER BY (g.i - k.i) ** 2 + (g.j - k.j) ** 2, k.i, k.j) AS r FROM g JOIN k ON abs(g.i - k.i) <= 12 AND abs(g.j - k.j) <= 12 WHERE g.band % 4 = 0) SELECT i, j, value FROM k UNION ALL SELECT i, j, value FROM n WHERE r = 1")
+def fill_nearest(spark, d):
+    g = grid(spark, d).select("i", "j", F.when(F.col("band") % 4 != 0, F.col("value")).alias("value"))
+    return G.fill_nearest(g, 100.0, 100.0)
+
+
 @C.add("spline")
 def spline(spark, d):
     r = G.radial_spline(_targets(spark, d), _points(spark, d), "target", "id", "value", 12, 600.0)

@@ -10,7 +10,7 @@ from ..functions.scalar import tidy as t
 from ..operators import grids as G
 from ..operators import iterate as I
 from ..operators import solutions as S
-from .fixtures import GRID_SQL, SECTION_SQL, Catalog, deposits, grid, section, series
+from .fixtures import GRID_SQL, SECTION_SQL, SERIES_SQL, Catalog, deposits, grid, section, series
 from .grids import _tidied, rnd
 
 C = Catalog()
@@ -82,7 +82,13 @@ def prestm(spark, d):
     return S.kirchhoff_time(s, images, "k", "amp", 0.004, 2000.0, 400.0, 64).select("image", F.col("k").cast("int").alias("k"), t("migrated").alias("migrated"))
 
 
-@C.add("focal")
+FOCAL_AMP = "cos(la) * sin(de) * pow(sin(i), 2) * sin(2 * phi) - cos(la) * cos(de) * sin(2 * i) * cos(phi) + sin(la) * sin(2 * de) * (pow(cos(i), 2) - pow(sin(i), 2) * pow(sin(phi), 2)) + sin(la) * cos(2 * de) * sin(2 * i) * sin(phi)"
+FOCAL_SQL = f"""{SERIES_SQL}, o AS (SELECT station, ((k * 37) % 360)::DOUBLE AS az, radians(((k * 13) % 85 + 3)::DOUBLE) AS i, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS p FROM e),
+c AS (SELECT strike, dip, rake, radians(dip) AS de, radians(rake) AS la FROM (SELECT unnest(range(0, 360, 60))::DOUBLE AS strike), (SELECT unnest(range(0, 91, 30))::DOUBLE AS dip), (SELECT unnest(range(-180, 180, 60))::DOUBLE AS rake)),
+f AS (SELECT *, radians(az - strike) AS phi FROM o, c), m AS (SELECT station, strike, dip, rake, avg(CASE WHEN (CASE WHEN {FOCAL_AMP} >= 0 THEN 1 ELSE -1 END) <> p THEN 1.0 ELSE 0.0 END) AS misfit FROM f GROUP BY 1, 2, 3, 4)"""
+
+
+@C.add("focal", f"WITH {FOCAL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY misfit, strike, dip, rake)::INT AS rank FROM m) SELECT station, strike, dip, rake, round(misfit, 6) + 0.0 AS misfit, rank FROM n WHERE rank <= 20")
 def focal(spark, d):
     e = series(spark, d).select("station", (F.col("k") * 37 % 360).cast("double").alias("az"), (F.col("k") * 13 % 85 + 3).cast("double").alias("takeoff"), F.when(F.col("value") >= 50, 1).otherwise(-1).alias("p"))
     return S.focal_mechanisms(e, "station", "az", "takeoff", "p", (60, 30, 60)).select("station", "strike", "dip", "rake", t("misfit").alias("misfit"), "rank")
@@ -161,6 +167,65 @@ def steepest(spark, d):
     return S.steepest(grid(spark, d), 100.0, 100.0).select("i", "j", F.coalesce("to_i", F.lit(-1)).alias("to_i"), F.coalesce("to_j", F.lit(-1)).alias("to_j"))
 
 
+DMO_SQL = f"""{SECTION_SQL}, h AS (SELECT DISTINCT trace, 40.0 * trace AS pos, off AS panel FROM tr), m AS (SELECT panel, min(pos) AS lo, max(pos) AS hi, count(*) AS c FROM h GROUP BY panel),
+a AS (SELECT h.trace, h.panel, n, c, lo, hi, pos + (-h.panel / 2 + 2 * (h.panel / 2) * n / 20) AS p, sqrt(1 - pow((-h.panel / 2 + 2 * (h.panel / 2) * n / 20) / (h.panel / 2), 2)) AS f FROM h JOIN m USING (panel), (SELECT unnest(range(1, 20)) AS n)),
+r AS (SELECT a.trace, f, o.trace AS target, row_number() OVER (PARTITION BY a.trace, n ORDER BY abs(o.pos - p), o.pos) AS r FROM a JOIN h o USING (panel) WHERE c > 1 AND p BETWEEN lo AND hi AND abs(o.pos - p) <= 480),
+b AS (SELECT trace, target, k, k / f AS q FROM r, (SELECT unnest(range(64)) AS k) WHERE r = 1),
+s AS (SELECT target, b.k, sum(CASE WHEN q = floor(q) THEN u.amp ELSE u.amp + (v.amp - u.amp) * (q - floor(q)) END) / 19 AS s FROM b JOIN tr u ON u.trace = b.trace AND u.k = floor(q) LEFT JOIN tr v ON v.trace = b.trace AND v.k = floor(q) + 1 WHERE q = floor(q) OR v.amp IS NOT NULL GROUP BY 1, 2)"""
+
+
+@C.add("dmo", f"WITH {DMO_SQL} SELECT tr.trace, tr.k, round(CASE WHEN c > 1 THEN coalesce(s, 0) ELSE amp END, 6) + 0.0 AS dmo FROM tr JOIN m ON m.panel = tr.off LEFT JOIN s ON s.target = tr.trace AND s.k = tr.k")
+def dmo(spark, d):
+    s = section(spark, d).withColumn("pos", 40.0 * F.col("trace"))
+    return S.dmo(s, "trace", "pos", "off", "k", "amp", 960.0).select("trace", "k", t("dmo").alias("dmo"))
+
+
+def _velocities(spark, d):
+    """The part grid as a depth model, 2000 to 5000 m/s."""
+    return grid(spark, d).withColumn("value", 2000.0 + 60.0 * F.col("band"))
+
+
+@C.add("travel_times")
+def travel_times(spark, d):
+    r = I.travel_times(_velocities(spark, d), (F.col("i") == 0) & (F.col("j") == 25), 100.0, 100.0)
+    return r.select("i", "j", t("total").alias("time"))
+
+
+@C.add("presdm")
+def presdm(spark, d):
+    """Depth images of the section's traces, dealt to 25 surface positions, through first arrivals of the model."""
+    k = F.col("trace")
+    s = section(spark, d).select("trace", (200.0 * (k % 25)).alias("sx"), (200.0 * (k * 7 % 25)).alias("rx"), "k", "amp")
+    at = s.select(F.explode(F.array("sx", "rx")).alias("position")).distinct()
+    models = _velocities(spark, d).drop("grid_id").join(at).withColumn("grid_id", F.col("position").cast("string"))
+    times = I.travel_times(models, (F.col("i") == 0) & (F.col("x") == F.col("position")), 100.0, 100.0)
+    times = times.select(F.col("grid_id").cast("double").alias("position"), "i", "j", (100.0 * F.col("j")).alias("x"), "total")
+    return S.kirchhoff_depth(s, times, "k", "amp", 0.02, 1000.0).select("i", "j", t("migrated").alias("migrated"))
+
+
+GCPS = [(0.0, 0.0, 500000.0, 200000.0), (49.0, 0.0, 500980.0, 200049.0), (0.0, 30.0, 499970.0, 200600.0), (49.0, 30.0, 500950.0, 200649.0), (20.0, 10.0, 500390.0, 200220.0)]
+_FW, _BW = G.transform_fit(GCPS), G.transform_fit([(x, y, c, r) for c, r, x, y in GCPS])
+_W = lambda k: f"({k[0]!r}::DOUBLE + {k[1]!r}::DOUBLE * j + {k[2]!r}::DOUBLE * i)"
+_P = lambda k: f"({k[0]!r}::DOUBLE + {k[1]!r}::DOUBLE * x + {k[2]!r}::DOUBLE * y)"
+GEO_SQL = f"""{GRID_SQL}, b AS (SELECT min({_W(_FW[0])}) AS x0, max({_W(_FW[0])}) AS x1, min({_W(_FW[1])}) AS y0, max({_W(_FW[1])}) AS y1, max(i) AS mi, max(j) AS mj FROM g),
+n AS (SELECT gi::INT AS gi, gj::INT AS gj, x0 + gj * 25.0::DOUBLE AS x, y0 + gi * 25.0::DOUBLE AS y, mi, mj FROM b, LATERAL (SELECT unnest(range(ceil((y1 + 12.5 - y0) / 25.0)::INT)) AS gi), LATERAL (SELECT unnest(range(ceil((x1 + 12.5 - x0) / 25.0)::INT)) AS gj)),
+u AS (SELECT *, {_P(_BW[0])} AS c, {_P(_BW[1])} AS r FROM n), q AS (SELECT *, least(floor(c)::INT, mj - 1) AS j0, least(floor(r)::INT, mi - 1) AS i0 FROM u WHERE c >= 0 AND r >= 0 AND c <= mj AND r <= mi)"""
+
+
+@C.add("georef", f"WITH {GEO_SQL} SELECT gi, gj, round(q.x, 4) AS x, round(q.y, 4) AS y, round((1 - r + i0) * ((1 - c + j0) * a.value + (c - j0) * b.value) + (r - i0) * ((1 - c + j0) * e.value + (c - j0) * f.value), 4) + 0.0 AS value FROM q JOIN g a ON a.i = i0 AND a.j = j0 JOIN g b ON b.i = i0 AND b.j = j0 + 1 JOIN g e ON e.i = i0 + 1 AND e.j = j0 JOIN g f ON f.i = i0 + 1 AND f.j = j0 + 1")
+def georef(spark, d):
+    r = G.rectify(grid(spark, d).select("i", "j", "value"), GCPS, 25.0).filter("value IS NOT NULL")
+    return r.select("gi", "gj", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), t("value", 4).alias("value"))
+
+
+@C.add("lcp")
+def lcp(spark, d):
+    """The cheapest way across the grid."""
+    cells = grid(spark, d).select("grid_id", "i", "j", F.col("band").alias("value"))
+    last = cells.agg(F.max("i"), F.max("j")).first()
+    return I.least_cost_path(cells, (0, 0), (last[0], last[1]), 100.0, 100.0).select("i", "j", t("total").alias("total"))
+
+
 @C.add("viewshed")
 def viewshed(spark, d):
     return S.viewshed(grid(spark, d), 2, 10, 100.0, 100.0, 60.0).select("i", "j", "visible")

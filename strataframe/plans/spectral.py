@@ -158,10 +158,15 @@ def specdecomp(spark, d):
 QF = [10.0, 20.0, 30.0, 40.0, 50.0, 60.0]
 
 
-@C.add("q", f"WITH {SECTION_SQL}, p AS (SELECT vec_id AS first, vec_id + 1 AS second FROM embeddings WHERE vec_id % 10 = 0), f AS (SELECT unnest({QF})::DOUBLE AS f), a AS (SELECT trace, f, sum(amp * (0.5 - 0.5 * cos({TWO_PI!r} * (k - s) / 24)) * cos({TWO_PI * 0.004!r} * f * (k - s))) AS re, sum(amp * (0.5 - 0.5 * cos({TWO_PI!r} * (k - s) / 24)) * sin({TWO_PI * 0.004!r} * f * (k - s))) AS im FROM (SELECT *, CASE WHEN trace % 10 = 0 THEN 10 ELSE 30 END AS s FROM tr WHERE trace % 10 IN (0, 1)), f WHERE k >= s AND k < s + 25 GROUP BY 1, 2), r AS (SELECT first, second, regr_slope(ln(sqrt(b.re * b.re + b.im * b.im) / sqrt(a.re * a.re + a.im * a.im)), a.f) AS s FROM p JOIN a ON a.trace = first JOIN a b ON b.trace = second AND b.f = a.f GROUP BY 1, 2) SELECT first, second, round(s, 6) + 0.0 AS slope, round(CASE WHEN s < 0 THEN {-math.pi * 0.08!r} / s ELSE -1 END, 3) + 0.0 AS q FROM r")
+_HANN = f"amp * (0.5 - 0.5 * cos({TWO_PI!r} * (k - s) / 24))"
+
+
+@C.add("q", f"WITH {SECTION_SQL}, p AS (SELECT a.vec_id AS first, b.vec_id AS second FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), f AS (SELECT unnest({QF})::DOUBLE AS f), a AS (SELECT trace, s, f, sum({_HANN} * cos({TWO_PI * 0.004!r} * f * (k - s))) AS re, sum({_HANN} * sin({TWO_PI * 0.004!r} * f * (k - s))) AS im FROM tr, (SELECT unnest([10, 30]) AS s), f WHERE k >= s AND k < s + 25 GROUP BY 1, 2, 3), r AS (SELECT first, second, regr_slope(ln(sqrt(b.re * b.re + b.im * b.im) / sqrt(a.re * a.re + a.im * a.im)), a.f) AS s FROM p JOIN a ON a.trace = first AND a.s = 10 JOIN a b ON b.trace = second AND b.s = 30 AND b.f = a.f GROUP BY 1, 2) SELECT first, second, round(s, 6) + 0.0 AS slope, round(CASE WHEN s < 0 THEN {-math.pi * 0.08!r} / s ELSE -1 END, 3) + 0.0 AS q FROM r")
 def q(spark, d):
+    """Every trace with its successor."""
     s = section(spark, d)
-    pairs = s.filter("k = 0 AND trace % 10 = 0").select(F.col("trace").alias("first"), (F.col("trace") + 1).alias("second"), F.lit(10).alias("start_1"), F.lit(30).alias("start_2"))
+    heads = s.filter("k = 0").select("trace")
+    pairs = heads.select(F.col("trace").alias("first"), (F.col("trace") + 1).alias("second")).join(heads.select(F.col("trace").alias("second")), "second").select("first", "second", F.lit(10).alias("start_1"), F.lit(30).alias("start_2"))
     r = S.spectral_ratio_q(s, pairs, "trace", "k", "amp", 0.004, 25, QF)
     return r.select("first", "second", t("slope").alias("slope"), t(F.when(F.col("q") == float("inf"), -1.0).otherwise(F.col("q")), 3).alias("q"))
 

@@ -179,3 +179,13 @@ def cross_section(spark, d):
 def vsp(spark, d):
     s = section(spark, d).withColumn("fb", (F.col("trace") % 7 + 3).cast("double"))
     return T.vsp_corridor(s, ["cmp"], "trace", "k", "amp", "fb", 5, 20).select("cmp", "sample", t("stack").alias("stack"), "fold")
+
+
+@C.add("drift_tide")
+def drift_tide(spark, d):
+    """Drift with the tide of each reading's time at one place taken into account."""
+    e = series(spark, d)
+    enough = e.filter("event_type = 'signup'").groupBy("station").count().filter("count >= 2").select("station")
+    tide = T.longman_tide(F.timestamp_micros((F.col("t") * 1e6).cast("long")), 30.0, 31.0)
+    r = T.drift_correction(e.join(enough, "station"), ["station"], "t", "value", F.col("event_type") == "signup", tide)
+    return r.select("station", F.round("t", 3).alias("t"), t("reading", 4).alias("reading"), t("drift", 4).alias("drift"), t("corrected", 4).alias("corrected"))

@@ -1,4 +1,11 @@
-"""A corpus pipeline over documents: each stage works on all that the stage before it kept."""
+"""A corpus pipeline over documents: each stage works on all that the stage before it kept.
+
+Every stage but the last takes and gives rows of COLUMNS. Null and empty texts go through all stages and end as a sequence
+of the end token alone. doc_id names a document: if a row of an id is rejected, all rows of that id go. Rows without an id
+are documents of their own that no stage can tell apart: they are scored, but never rejected, removed from or a source of
+removals. Repeated rows of one id stay together. Very long texts are processed whole. Ties go to the smallest doc_id.
+Columns of docs beyond COLUMNS are dropped by the first stage. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +30,7 @@ BROADCAST_IDS = 500_000
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in rejected."""
+    """docs but for all rows whose doc_id is in rejected; rows without a doc_id stay."""
     rejected = written(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rejected")
     rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)

@@ -82,10 +82,26 @@ def window_members(cells: DataFrame, size: int, step: int) -> DataFrame:
     return d.withColumn("wj", F.explode(span(first("j"), last("j", "nx")))).drop("ny", "nx")
 
 
+def following(df: DataFrame, order: str, value: str) -> DataFrame:
+    """Column p: the value of the row before in the whole table's order.
+
+    Rows are dealt to ranges of the order and written, so that a range is the same whenever it is read; each range is sorted
+    by itself, and its first row takes the last value of the range before from a table of one row a range.
+    """
+    from .iterate import written
+
+    d = written(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    last = d.groupBy("_range").agg(F.max_by(value, F.struct(order, value)).alias("_last"))
+    before = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_before"))
+    w = Window.partitionBy("_range").orderBy(order, value)
+    place = F.row_number().over(w)
+    got = d.withColumns({"p": F.lag(value).over(w), "_first": place == 1}).join(F.broadcast(before), "_range")
+    return got.withColumn("p", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("p"))).drop("_range", "_first", "_before")
+
+
 def residual_report(df: DataFrame, order: str, observed: str, predicted: str, sigma: Column) -> DataFrame:
     """One row: rms, chi2, normalised rms and its verdict, Durbin-Watson, lag-1 correlation, normality p."""
-    w = Window.orderBy(order)
-    d = df.select(order, (F.col(observed) - F.col(predicted)).alias("r"), sigma.alias("s")).withColumn("p", F.lag("r").over(w))
+    d = following(df.select(order, (F.col(observed) - F.col(predicted)).alias("r"), sigma.alias("s")), order, "r")
     r, n = F.col("r"), F.col("n")
     a = d.agg(F.count("r").alias("n"), F.sqrt(F.avg(r * r)).alias("rms"), F.sum(r * r / (F.col("s") * F.col("s"))).alias("chi2"), (F.sum((r - F.col("p")) * (r - F.col("p"))) / F.sum(r * r)).alias("durbin_watson"), F.corr("r", "p").alias("lag1"), F.skewness("r").alias("_g1"), F.kurtosis("r").alias("_g2"))
     norm = F.sqrt(F.col("chi2") / n)

@@ -3,16 +3,35 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from itertools import product
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import TWO_PI, solve3
 from .grids import gradients
-from .joins import interpolate
 
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+#: Different first motions that one group of a search for mechanisms holds; amplitudes under NODAL count as 0.
+OBSERVATIONS, NODAL = 10_000, 1e-9
+MU_0 = 4e-7 * math.pi
+
+
+class Axis(NamedTuple):
+    """A searched parameter: its first step (a factor, if so named) and its bounds."""
+
+    step: float
+    low: float
+    high: float
+    factor: bool = False
+
+
+Axes = dict[str, Axis]
 
 
 def werner(profile: DataFrame, by: list[str], at: str, value: str, size: int = 7, min_depth: float = 0.0) -> DataFrame:
@@ -121,24 +140,38 @@ def ahp_weights(pairwise: list[list[float]]) -> tuple[list[float], float]:
     return w, ((largest - n) / (n - 1) / random if n > 2 else 0.0)
 
 
-def focal_mechanisms(polarities: DataFrame, event: str, azimuth: str, takeoff: str, polarity: str, step: tuple[int, int, int] = (30, 15, 30), keep: int = 20) -> DataFrame:
-    """event, strike, dip, rake, misfit, rank: candidate double couples by their share of wrong first motions."""
-    spark = polarities.sparkSession
-    s = spark.range(0, 360, step[0]).select(F.col("id").cast("double").alias("strike"))
-    c = s.crossJoin(spark.range(0, 91, step[1]).select(F.col("id").cast("double").alias("dip"))).crossJoin(spark.range(-180, 180, step[2]).select(F.col("id").cast("double").alias("rake")))
-    d = polarities.crossJoin(F.broadcast(c))
-    r = lambda x: F.radians(x)
-    phi, i, delta, lam = r(F.col(azimuth) - F.col("strike")), r(F.col(takeoff)), r("dip"), r("rake")
-    amp = (
-        F.cos(lam) * F.sin(delta) * F.pow(F.sin(i), F.lit(2.0)) * F.sin(2 * phi)
-        - F.cos(lam) * F.cos(delta) * F.sin(2 * i) * F.cos(phi)
-        + F.sin(lam) * F.sin(2 * delta) * (F.pow(F.cos(i), F.lit(2.0)) - F.pow(F.sin(i), F.lit(2.0)) * F.pow(F.sin(phi), F.lit(2.0)))
-        + F.sin(lam) * F.cos(2 * delta) * F.sin(2 * i) * F.sin(phi)
-    )
-    wrong = (F.when(amp >= 0, 1).otherwise(-1) != F.col(polarity)).cast("double")
-    m = d.groupBy(event, "strike", "dip", "rake").agg(F.avg(wrong).alias("misfit"))
-    w = Window.partitionBy(event).orderBy("misfit", "strike", "dip", "rake")
-    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+def focal_mechanisms(polarities: DataFrame, event: str, azimuth: str, takeoff: str, polarity: str, step: tuple[int, int, int] = (5, 5, 10), keep: int = 20) -> DataFrame:
+    """event, strike, dip, rake, misfit, rank: all double couples at these steps by their share of wrong first motions.
+
+    The sign on a nodal plane is 0. Equal observations are counted first; an event of more than OBSERVATIONS of them is dealt
+    to several groups, whose counts of wrong signs are summed for each mechanism. Ties: the smallest strike, dip, rake.
+    """
+    seen = polarities.groupBy(event, F.col(azimuth).cast("double").alias("_a"), F.col(takeoff).cast("double").alias("_t"), F.signum(F.col(polarity).cast("double")).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
+    many = seen.groupBy(event).agg(F.ceil(F.count(F.lit(1)) / OBSERVATIONS).cast("int").alias("_parts"))
+    dealt = seen.join(many, event).withColumn("_part", F.pmod(F.xxhash64("_a", "_t", "_p"), F.col("_parts")).cast("int"))
+    dips, rakes = 90 // step[1], -(-360 // step[2])
+    strike, dip, rake = (np.radians(a.ravel()) for a in np.meshgrid(np.arange(0.0, 360, step[0]), step[1] * np.arange(1.0, dips + 1), np.arange(-180.0, 180, step[2]), indexing="ij"))
+    sin, cos = np.sin, np.cos
+    normal = np.stack([-sin(dip) * sin(strike), sin(dip) * cos(strike), -cos(dip)])
+    slip = np.stack([cos(rake) * cos(strike) + cos(dip) * sin(rake) * sin(strike), cos(rake) * sin(strike) - cos(dip) * sin(rake) * cos(strike), -sin(rake) * sin(dip)])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        a, i = np.radians(group["_a"].to_numpy()), np.radians(group["_t"].to_numpy())
+        ray = np.stack([sin(i) * cos(a), sin(i) * sin(a), cos(i)], axis=1)
+        sign, weight, wrong = group["_p"].to_numpy(), group["_w"].to_numpy(float), np.zeros(strike.size)
+        for b in range(0, len(ray), 32):
+            amp = (ray[b : b + 32] @ normal) * (ray[b : b + 32] @ slip)
+            wrong += weight[b : b + 32] @ (np.where(np.abs(amp) < NODAL, 0, np.sign(amp)) != sign[b : b + 32, None])
+        best = np.argsort(wrong, kind="stable")[:keep] if group["_parts"].iloc[0] == 1 else np.arange(strike.size)
+        return pd.DataFrame({event: group[event].iloc[0], "_c": best.astype(np.int32), "_wrong": wrong[best], "_n": weight.sum()})
+
+    kind = polarities.schema[event].dataType.simpleString()
+    found = dealt.groupBy(event, "_part").applyInPandas(count, f"`{event}` {kind}, _c int, _wrong double, _n double")
+    m = found.groupBy(event, "_c").agg((F.sum("_wrong") / F.sum("_n")).alias("misfit"))
+    rank = F.row_number().over(Window.partitionBy(event).orderBy("misfit", "_c"))
+    c = F.col("_c")
+    place = [(F.floor(c / (dips * rakes)) * float(step[0])).alias("strike"), ((F.floor(c / rakes) % dips + 1) * float(step[1])).alias("dip"), (c % rakes * float(step[2]) - 180.0).alias("rake")]
+    return m.withColumn("rank", rank).filter(F.col("rank") <= keep).select(event, *place, "misfit", "rank")
 
 
 def project_amplitude(fit: DataFrame, by: list[str], data: Column, base: Column) -> DataFrame:
@@ -148,53 +181,111 @@ def project_amplitude(fit: DataFrame, by: list[str], data: Column, base: Column)
     return s.select(*by, a.alias("amplitude"), F.sqrt(F.greatest(F.col("_vv") - a * F.col("_vb"), F.lit(0.0)) / F.col("_n")).alias("rms"))
 
 
-def sp_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str, q: float) -> DataFrame:
+def nearer(data: DataFrame, best: DataFrame, by: list[str], axes: Axes, rounds: int, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """best after more rounds: all moves by half the last step along the axes, from each key's own best model."""
+    for r in range(1, rounds + 1):
+        moves = F.array(*[F.struct(*[F.lit(float(m)).alias(n) for n, m in zip(axes, move, strict=True)]) for move in product((-1, 0, 1), repeat=len(axes))])
+        d = best.select(*by, *axes, F.explode(moves).alias("_m"))
+        at = lambda n, a, r=r: F.col(n) * F.pow(F.lit(a.step ** 0.5**r), F.col("_m")[n]) if a.factor else F.col(n) + F.col("_m")[n] * (a.step * 0.5**r)
+        near = d.select(*by, *[F.least(F.greatest(at(n, a), F.lit(a.low)), F.lit(a.high)).alias(n) for n, a in axes.items()]).distinct()
+        best = fit(data.join(near, by))
+    return best
+
+
+def sp_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str, q: float, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
     """by, x0, depth, angle, amplitude, rms of the best self-potential body (q: 1.5 sphere, 1 cylinder, 0.5 sheet).
 
-    candidates: x0, depth, angle (degrees); a table of models held against every profile.
+    candidates: x0, depth, angle (degrees); a table of models held against every profile. rounds: see nearer().
     """
-    d = profiles.crossJoin(candidates)
-    u, a = F.col(x) - F.col("x0"), F.radians("angle")
-    base = (u * F.cos(a) + F.col("depth") * F.sin(a)) / F.pow(u * u + F.col("depth") * F.col("depth"), F.lit(q))
-    r = project_amplitude(d, [*by, "x0", "depth", "angle"], F.col(value), base)
-    best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "angle", "amplitude", "rms"), F.struct("rms", "x0", "depth", "angle")).alias("b"))
-    return best.select(*by, "b.*")
-
-
-def gravity_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str) -> DataFrame:
-    """by, x0, depth, q, amplitude, rms of the best residual-gravity body amp z / (u^2 + z^2)^q."""
-    d = profiles.crossJoin(candidates)
-    u, z = F.col(x) - F.col("x0"), F.col("depth")
-    r = project_amplitude(d, [*by, "x0", "depth", "q"], F.col(value), z / F.pow(u * u + z * z, F.col("q")))
-    best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "q", "amplitude", "rms"), F.struct("rms", "x0", "depth", "q")).alias("b"))
-    return best.select(*by, "b.*")
-
-
-def cole_cole(spectra: DataFrame, candidates: DataFrame, by: list[str], frequency: str, amplitude: str, phase: str) -> DataFrame:
-    """by, m, tau, c, rho0, rms of the best Cole-Cole model; phase in mrad. rho0 is projected out of the complex fit."""
-    d = spectra.crossJoin(candidates)
-    w = F.pow(TWO_PI * F.col(frequency) * F.col("tau"), F.col("c"))
-    angle = F.col("c") * (math.pi / 2)
-    p, q = 1 + w * F.cos(angle), w * F.sin(angle)
-    s = p * p + q * q
-    re, im = 1 - F.col("m") * (1 - p / s), -F.col("m") * q / s
-    dr, di = F.col(amplitude) * F.cos(F.col(phase) / 1000), F.col(amplitude) * F.sin(F.col(phase) / 1000)
-    g = d.groupBy(*by, "m", "tau", "c").agg(F.sum(dr * re + di * im).alias("vb"), F.sum(re * re + im * im).alias("bb"), F.sum(dr * dr + di * di).alias("vv"), F.count(F.lit(1)).alias("n"))
-    rho = F.col("vb") / F.col("bb")
-    g = g.select(*by, "m", "tau", "c", rho.alias("rho0"), F.sqrt(F.greatest(F.col("vv") - rho * F.col("vb"), F.lit(0.0)) / F.col("n")).alias("rms"))
-    best = g.groupBy(*by).agg(F.min_by(F.struct("m", "tau", "c", "rho0", "rms"), F.struct("rms", "m", "tau", "c")).alias("b"))
-    return best.select(*by, "b.*")
-
-
-def layered_mt(soundings: DataFrame, models: DataFrame, by: list[str], frequency: str, rho: str, phase: str) -> DataFrame:
-    """by, model, misfit of the layered model (model, layers_rho, layers_thick) that fits log rho and phase / 45 best."""
-    from .physics import mt_layers
-
-    d = mt_layers(soundings.crossJoin(models), frequency, "layers_rho", "layers_thick")
-    # `rho` and `phase` must not be named rho_a and phase, which the model's columns take.
-    e = F.pow(F.ln(F.col("rho_a") / F.col(rho)), F.lit(2.0)) + F.pow((F.col("phase") - F.col(phase)) / 45, F.lit(2.0))
-    m = d.groupBy(*by, "model").agg(F.sqrt(F.avg(e)).alias("misfit"))
-    return m.groupBy(*by).agg(F.min_by("model", F.struct("misfit", "model")).alias("model"), F.min("misfit").alias("misfit"))
+
+    def fit(d: DataFrame) -> DataFrame:
+        u, a = F.col(x) - F.col("x0"), F.radians("angle")
+        base = (u * F.cos(a) + F.col("depth") * F.sin(a)) / F.pow(u * u + F.col("depth") * F.col("depth"), F.lit(q))
+        r = project_amplitude(d, [*by, "x0", "depth", "angle"], F.col(value), base)
+        best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "angle", "amplitude", "rms"), F.struct("rms", "x0", "depth", "angle")).alias("b"))
+        return best.select(*by, "b.*")
+
+    return nearer(profiles, fit(profiles.crossJoin(candidates)), by, axes or {}, rounds, fit)
+
+
+def gravity_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
+    """by, x0, depth, q, amplitude, rms of the best residual-gravity body amp z / (u^2 + z^2)^q. rounds: see nearer()."""
+
+    def fit(d: DataFrame) -> DataFrame:
+        u, z = F.col(x) - F.col("x0"), F.col("depth")
+        r = project_amplitude(d, [*by, "x0", "depth", "q"], F.col(value), z / F.pow(u * u + z * z, F.col("q")))
+        best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "q", "amplitude", "rms"), F.struct("rms", "x0", "depth", "q")).alias("b"))
+        return best.select(*by, "b.*")
+
+    return nearer(profiles, fit(profiles.crossJoin(candidates)), by, axes or {}, rounds, fit)
+
+
+def cole_cole(spectra: DataFrame, candidates: DataFrame, by: list[str], frequency: str, amplitude: str, phase: str, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
+    """by, m, tau, c, rho0, rms of the best Cole-Cole model; phase in mrad. rho0 is projected out of the complex fit.
+
+    rounds: see nearer().
+    """
+
+    def fit(d: DataFrame) -> DataFrame:
+        w = F.pow(TWO_PI * F.col(frequency) * F.col("tau"), F.col("c"))
+        angle = F.col("c") * (math.pi / 2)
+        p, q = 1 + w * F.cos(angle), w * F.sin(angle)
+        s = p * p + q * q
+        re, im = 1 - F.col("m") * (1 - p / s), -F.col("m") * q / s
+        dr, di = F.col(amplitude) * F.cos(F.col(phase) / 1000), F.col(amplitude) * F.sin(F.col(phase) / 1000)
+        g = d.groupBy(*by, "m", "tau", "c").agg(F.sum(dr * re + di * im).alias("vb"), F.sum(re * re + im * im).alias("bb"), F.sum(dr * dr + di * di).alias("vv"), F.count(F.lit(1)).alias("n"))
+        rho = F.col("vb") / F.col("bb")
+        g = g.select(*by, "m", "tau", "c", rho.alias("rho0"), F.sqrt(F.greatest(F.col("vv") - rho * F.col("vb"), F.lit(0.0)) / F.col("n")).alias("rms"))
+        best = g.groupBy(*by).agg(F.min_by(F.struct("m", "tau", "c", "rho0", "rms"), F.struct("rms", "m", "tau", "c")).alias("b"))
+        return best.select(*by, "b.*")
+
+    return nearer(spectra, fit(spectra.crossJoin(candidates)), by, axes or {}, rounds, fit)
+
+
+def layered_response(omega: np.ndarray, rho: np.ndarray, thick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Apparent resistivity and phase (degrees) of models (rows of rho and thick) at omega, by impedances from the base up."""
+    iwm = 1j * omega[None, :] * MU_0
+    z = np.sqrt(iwm * rho[:, -1:])
+    for n in range(rho.shape[1] - 2, -1, -1):
+        own, decay = np.sqrt(iwm * rho[:, n : n + 1]), np.exp(-2 * np.sqrt(iwm / rho[:, n : n + 1]) * thick[:, n : n + 1])
+        back = (own - z) / (own + z) * decay
+        z = own * (1 - back) / (1 + back)
+    return np.abs(z) ** 2 / (omega * MU_0), np.degrees(np.angle(z))
+
+
+def layered_mt(soundings: DataFrame, models: list[tuple[list[float], list[float]]], by: list[str], frequency: str, rho: str, phase: str, rounds: int = 0, factor: float = 4.0) -> DataFrame:
+    """by, layers_rho, layers_thick, misfit of the layered model that fits log rho and phase / 45 best.
+
+    models: resistivities and thicknesses, all of as many layers. Each round multiplies or divides one resistivity or thickness
+    of a sounding's best model by a factor, whose root is the next round's. A sounding travels as one array; rows with a null
+    are left out.
+    """
+    layers = len(models[0][0])
+    start = np.log(np.array([[*r, *h] for r, h in models], float))
+    moves = np.concatenate([np.zeros((1, 2 * layers - 1)), *[np.stack([e, -e]) for e in np.eye(2 * layers - 1)]])
+    one = F.struct(F.col(frequency).cast("double").alias("f"), F.col(rho).cast("double").alias("r"), F.col(phase).cast("double").alias("p"))
+    known = soundings.filter(F.col(frequency).isNotNull() & F.col(rho).isNotNull() & F.col(phase).isNotNull())
+    rows = known.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_s")).select(*by, F.col("_s.f").alias("_f"), F.col("_s.r").alias("_r"), F.col("_s.p").alias("_p"))
+
+    def best_of(tried: np.ndarray, omega, log_rho, angle) -> tuple[np.ndarray, float]:
+        got, phi = layered_response(omega, np.exp(tried[:, :layers]), np.exp(tried[:, layers:]))
+        misfit = np.sqrt(np.mean((np.log(got) - log_rho) ** 2 + ((phi - angle) / 45) ** 2, axis=1))
+        n = int(np.argmin(misfit))
+        return tried[n], float(misfit[n])
+
+    def search(frames):
+        for d in frames:
+            found = []
+            for f, r, p in zip(d["_f"], d["_r"], d["_p"], strict=True):
+                data = TWO_PI * np.asarray(f), np.log(np.asarray(r)), np.asarray(p)
+                model, misfit = best_of(start, *data)
+                for n in range(rounds):
+                    model, misfit = best_of(model + moves * (math.log(factor) * 0.5**n), *data)
+                found.append((np.exp(model[:layers]), np.exp(model[layers:]), misfit))
+            yield pd.concat([d[by].reset_index(drop=True), pd.DataFrame(found, columns=["layers_rho", "layers_thick", "misfit"])], axis=1)
+
+    kinds = ", ".join(f"`{c}` {soundings.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInPandas(search, f"{kinds}, layers_rho array<double>, layers_thick array<double>, misfit double")
 
 
 def nmo(df: DataFrame, trace: list[str], at: str, offset: str, value: str, dt: float, velocity: float, stretch: float = 0.5) -> DataFrame:
@@ -282,19 +373,29 @@ def kirchhoff_depth(traces: DataFrame, times: DataFrame, at: str, value: str, dt
     return read.groupBy("i", "j").agg(F.sum("_a").alias("migrated"))
 
 
-def h_kappa(rf: DataFrame, by: list[str], at: str, value: str, rate: float, vp: float, p: float, hs: list[float], ks: list[float], weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
-    """by, h, kappa, stack of the candidate with the largest weighted stack of the three converted phases."""
-    spark = rf.sparkSession
-    c = spark.createDataFrame([(float(h), float(k)) for h in hs for k in ks], "h double, kappa double")
-    qp = math.sqrt(1 / vp**2 - p * p)
-    qs = F.sqrt(F.pow(F.col("kappa") / vp, F.lit(2.0)) - p * p)
-    phases = F.array(F.struct(F.lit(weights[0]).alias("w"), (F.col("h") * (qs - qp)).alias("t")), F.struct(F.lit(weights[1]).alias("w"), (F.col("h") * (qs + qp)).alias("t")), F.struct(F.lit(-weights[2]).alias("w"), (F.col("h") * 2 * qs).alias("t")))
-    asks = rf.select(*by).distinct().crossJoin(F.broadcast(c)).select(*by, "h", "kappa", F.explode(phases).alias("_p")).select(*by, "h", "kappa", F.col("_p.w").alias("w"), (F.col("_p.t") * rate).alias("_at"))
-    knots = rf.select(*by, F.col(at).cast("double").alias("_at"), F.col(value).alias("_v"))
-    got = interpolate(knots, asks, by, "_at", "_v", ["h", "kappa", "w"])
-    s = got.groupBy(*by, "h", "kappa").agg(F.sum(F.col("w") * F.col("_v")).alias("stack"))
-    best = s.groupBy(*by).agg(F.max_by(F.struct("h", "kappa", "stack"), F.struct(F.col("stack"), -F.col("h"), -F.col("kappa"))).alias("b"))
-    return best.select(*by, "b.*")
+def h_kappa(rf: DataFrame, by: list[str], at: str, value: str, rate: float, vp: float, p: float, hs: Sequence[float] | None = None, ks: Sequence[float] | None = None, weights: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
+    """by, h, kappa, stack of the candidate with the largest weighted stack of the three converted phases.
+
+    Without hs and ks: 161 depths of 20 to 60 and 81 ratios of 1.6 to 2. Amplitudes are linear between samples and flat beyond
+    them. A receiver function travels as one array. Ties: the smallest ratio, then depth.
+    """
+    kappa, h = (a.ravel() for a in np.meshgrid(np.linspace(1.6, 2.0, 81) if ks is None else np.asarray(ks, float), np.linspace(20.0, 60.0, 161) if hs is None else np.asarray(hs, float), indexing="ij"))
+    qp, qs = math.sqrt(1 / vp**2 - p * p), np.sqrt((kappa / vp) ** 2 - p * p)
+    times, signed = np.stack([h * (qs - qp), h * (qs + qp), 2 * h * qs]) * rate, np.array([weights[0], weights[1], -weights[2]])
+    known = rf.select(*by, F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v")).filter("t IS NOT NULL AND v IS NOT NULL")
+    rows = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("_r")).select(*by, F.col("_r.t").alias("_t"), F.col("_r.v").alias("_v"))
+
+    def search(frames):
+        for d in frames:
+            found = []
+            for t, v in zip(d["_t"], d["_v"], strict=True):
+                s = signed @ np.interp(times, t, v)
+                n = int(np.argmax(s))
+                found.append((h[n], kappa[n], s[n]))
+            yield pd.concat([d[by].reset_index(drop=True), pd.DataFrame(found, columns=["h", "kappa", "stack"], dtype=float)], axis=1)
+
+    kinds = ", ".join(f"`{c}` {rf.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInPandas(search, f"{kinds}, h double, kappa double, stack double")
 
 
 def steepest(cells: DataFrame, dx: float, dy: float) -> DataFrame:

@@ -82,67 +82,98 @@ def prestm(spark, d):
     return S.kirchhoff_time(s, images, "k", "amp", 0.004, 2000.0, 400.0, 64).select("image", F.col("k").cast("int").alias("k"), t("migrated").alias("migrated"))
 
 
-FOCAL_AMP = "cos(la) * sin(de) * pow(sin(i), 2) * sin(2 * phi) - cos(la) * cos(de) * sin(2 * i) * cos(phi) + sin(la) * sin(2 * de) * (pow(cos(i), 2) - pow(sin(i), 2) * pow(sin(phi), 2)) + sin(la) * cos(2 * de) * sin(2 * i) * sin(phi)"
-FOCAL_SQL = f"""{SERIES_SQL}, o AS (SELECT station, ((k * 37) % 360)::DOUBLE AS az, radians(((k * 13) % 85 + 3)::DOUBLE) AS i, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS p FROM e),
-c AS (SELECT strike, dip, rake, radians(dip) AS de, radians(rake) AS la FROM (SELECT unnest(range(0, 360, 60))::DOUBLE AS strike), (SELECT unnest(range(0, 91, 30))::DOUBLE AS dip), (SELECT unnest(range(-180, 180, 60))::DOUBLE AS rake)),
-f AS (SELECT *, radians(az - strike) AS phi FROM o, c), m AS (SELECT station, strike, dip, rake, avg(CASE WHEN (CASE WHEN {FOCAL_AMP} >= 0 THEN 1 ELSE -1 END) <> p THEN 1.0 ELSE 0.0 END) AS misfit FROM f GROUP BY 1, 2, 3, 4)"""
+FOCAL_SQL = f"""{SERIES_SQL}, o AS (SELECT station, radians(((k * 37) % 360)::DOUBLE) AS a, radians(((k * 13) % 85 + 3)::DOUBLE) AS i, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS p FROM e),
+y AS (SELECT station, p, sin(i) * cos(a) AS g1, sin(i) * sin(a) AS g2, cos(i) AS g3, count(*) AS w FROM o GROUP BY ALL),
+c AS (SELECT strike, dip, rake, radians(strike) AS s, radians(dip) AS d, radians(rake) AS r FROM (SELECT unnest(range(0, 360, 5))::DOUBLE AS strike), (SELECT unnest(range(5, 91, 5))::DOUBLE AS dip), (SELECT unnest(range(-180, 180, 10))::DOUBLE AS rake)),
+v AS (SELECT strike, dip, rake, -sin(d) * sin(s) AS n1, sin(d) * cos(s) AS n2, -cos(d) AS n3, cos(r) * cos(s) + cos(d) * sin(r) * sin(s) AS s1, cos(r) * sin(s) - cos(d) * sin(r) * cos(s) AS s2, -sin(r) * sin(d) AS s3 FROM c),
+f AS (SELECT station, strike, dip, rake, p, w, (g1 * n1 + g2 * n2 + g3 * n3) * (g1 * s1 + g2 * s2 + g3 * s3) AS amp FROM y, v),
+m AS (SELECT station, strike, dip, rake, sum(CASE WHEN (CASE WHEN abs(amp) < 1e-9 THEN 0 ELSE sign(amp) END) <> p THEN w ELSE 0 END) / sum(w) AS misfit FROM f GROUP BY 1, 2, 3, 4)"""
 
 
 @C.add("focal", f"WITH {FOCAL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY misfit, strike, dip, rake)::INT AS rank FROM m) SELECT station, strike, dip, rake, round(misfit, 6) + 0.0 AS misfit, rank FROM n WHERE rank <= 20")
 def focal(spark, d):
     e = series(spark, d).select("station", (F.col("k") * 37 % 360).cast("double").alias("az"), (F.col("k") * 13 % 85 + 3).cast("double").alias("takeoff"), F.when(F.col("value") >= 50, 1).otherwise(-1).alias("p"))
-    return S.focal_mechanisms(e, "station", "az", "takeoff", "p", (60, 30, 60)).select("station", "strike", "dip", "rake", t("misfit").alias("misfit"), "rank")
+    return S.focal_mechanisms(e, "station", "az", "takeoff", "p").select("station", "strike", "dip", "rake", t("misfit").alias("misfit"), "rank")
 
 
+def _search_sql(head: str, data: str, models: list[tuple], axes: dict[str, S.Axis], rows: str, sums: str, rounds: int) -> str:
+    """CTEs of a search by S.nearer(); best{rounds} is (trace, the axes, a, rms).
+
+    data(trace, ...) is held against the models by rows, a select list over both; sums gives a and rms of them.
+    """
+    names = ", ".join(axes)
+    out = [head, f"m0({names}) AS (VALUES {', '.join(map(str, models))})", f"c0 AS (SELECT DISTINCT trace, {names} FROM {data}, m0)"]
+    for r in range(rounds + 1):
+        if r:
+            at = lambda n, a: f"{n} * pow({a.step ** 0.5**r!r}::DOUBLE, o_{n})" if a.factor else f"{n} + o_{n} * {a.step * 0.5**r!r}::DOUBLE"  # noqa: B023, E731
+            moves = ", ".join(f"(SELECT unnest([-1, 0, 1]) AS o_{n})" for n in axes)
+            out.append(f"c{r} AS (SELECT DISTINCT trace, {', '.join(f'least(greatest({at(n, a)}, {a.low!r}::DOUBLE), {a.high!r}::DOUBLE) AS {n}' for n, a in axes.items())} FROM best{r - 1}, {moves})")
+        out.append(f"r{r} AS (SELECT trace, {names}, {sums} FROM (SELECT trace, {names}, {rows} FROM {data} JOIN c{r} USING (trace)) GROUP BY trace, {names})")
+        out.append(f"best{r} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY rms, {names}) AS n FROM r{r}) WHERE n = 1)")
+    return ", ".join(out)
+
+
+#: The reach and the first step of each parameter; two rounds of half steps follow the table of models.
+ROUNDS = 2
+PROJECTED = "sum(amp * b) / sum(b * b) AS a, sqrt(greatest(sum(amp * amp) - sum(amp * b) ** 2 / sum(b * b), 0) / count(*)) AS rms"
 SP_C = [(float(x), float(z), float(a)) for x in (10, 20, 30, 40, 50) for z in (3, 8, 15) for a in (20, 60, 110)]
-SP_SQL = f"{SECTION_SQL}, c(x0, depth, angle) AS (VALUES {', '.join(map(str, SP_C))}), b AS (SELECT trace, x0, depth, angle, amp, ((k - x0) * cos(radians(angle)) + depth * sin(radians(angle))) / pow((k - x0) ** 2 + depth * depth, 1.5) AS b FROM tr, c), r AS (SELECT trace, x0, depth, angle, sum(amp * b) / sum(b * b) AS a, sqrt(greatest(sum(amp * amp) - sum(amp * b) ** 2 / sum(b * b), 0) / count(*)) AS rms FROM b GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY rms, x0, depth, angle) AS n FROM r)"
+SP_AXES = {"x0": S.Axis(10.0, 0.0, 63.0), "depth": S.Axis(5.0, 1.0, 40.0), "angle": S.Axis(40.0, 0.0, 180.0)}
+SP_SQL = _search_sql(SECTION_SQL, "tr", SP_C, SP_AXES, "amp, ((k - x0) * cos(radians(angle)) + depth * sin(radians(angle))) / pow((k - x0) ** 2 + depth * depth, 1.5) AS b", PROJECTED, ROUNDS)
 
 
-@C.add("sp_model", f"WITH {SP_SQL} SELECT trace, x0, depth, angle, round(a, 5) + 0.0 AS amplitude, round(rms, 6) + 0.0 AS rms FROM w WHERE n = 1")
+@C.add("sp_model", f"WITH {SP_SQL} SELECT trace, x0::DOUBLE AS x0, depth::DOUBLE AS depth, angle::DOUBLE AS angle, round(a, 5) + 0.0 AS amplitude, round(rms, 6) + 0.0 AS rms FROM best{ROUNDS}")
 def sp_model(spark, d):
     c = spark.createDataFrame(SP_C, "x0 double, depth double, angle double")
-    r = S.sp_bodies(section(spark, d), c, ["trace"], "k", "amp", 1.5)
+    r = S.sp_bodies(section(spark, d), c, ["trace"], "k", "amp", 1.5, SP_AXES, ROUNDS)
     return r.select("trace", "x0", "depth", "angle", t("amplitude", 5).alias("amplitude"), t("rms").alias("rms"))
 
 
 SA_C = [(float(x), float(z), q) for x in (10, 20, 30, 40, 50) for z in (3, 8, 15) for q in (0.5, 1.0, 1.5)]
-SA_SQL = f"{SECTION_SQL}, c(x0, depth, q) AS (VALUES {', '.join(map(str, SA_C))}), b AS (SELECT trace, x0, depth, q, amp, depth / pow((k - x0) ** 2 + depth * depth, q) AS b FROM tr, c), r AS (SELECT trace, x0, depth, q, sum(amp * b) / sum(b * b) AS a, sqrt(greatest(sum(amp * amp) - sum(amp * b) ** 2 / sum(b * b), 0) / count(*)) AS rms FROM b GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY rms, x0, depth, q) AS n FROM r)"
+SA_AXES = {"x0": S.Axis(10.0, 0.0, 63.0), "depth": S.Axis(5.0, 1.0, 40.0), "q": S.Axis(0.5, 0.5, 1.5)}
+SA_SQL = _search_sql(SECTION_SQL, "tr", SA_C, SA_AXES, "amp, depth / pow((k - x0) ** 2 + depth * depth, q) AS b", PROJECTED, ROUNDS)
 
 
-@C.add("sa", f"WITH {SA_SQL} SELECT trace, x0, depth, q::DOUBLE AS q, round(a, 5) + 0.0 AS amplitude, round(rms, 6) + 0.0 AS rms FROM w WHERE n = 1")
+@C.add("sa", f"WITH {SA_SQL} SELECT trace, x0::DOUBLE AS x0, depth::DOUBLE AS depth, q::DOUBLE AS q, round(a, 5) + 0.0 AS amplitude, round(rms, 6) + 0.0 AS rms FROM best{ROUNDS}")
 def sa(spark, d):
     c = spark.createDataFrame(SA_C, "x0 double, depth double, q double")
-    r = S.gravity_bodies(section(spark, d), c, ["trace"], "k", "amp")
+    r = S.gravity_bodies(section(spark, d), c, ["trace"], "k", "amp", SA_AXES, ROUNDS)
     return r.select("trace", "x0", "depth", "q", t("amplitude", 5).alias("amplitude"), t("rms").alias("rms"))
 
 
 SIP_C = [(m, tau, c) for m in (0.1, 0.3, 0.6) for tau in (0.01, 0.1, 1.0) for c in (0.3, 0.6)]
-SIP_SQL = f"{SECTION_SQL}, c(m, tau, c) AS (VALUES {', '.join(map(str, SIP_C))}), a AS (SELECT trace, 100 + 50 * amp AS v, -20 - 30 * abs(amp) AS ph, 0.1 * (k + 1) AS f FROM tr), b AS (SELECT trace, m, tau, c, v, ph, pow({TWO_PI!r} * f * tau, c) AS w FROM a, c), g AS (SELECT *, 1 + w * cos(c * {math.pi / 2!r}) AS p, w * sin(c * {math.pi / 2!r}) AS q FROM b), h AS (SELECT trace, m, tau, c, v * cos(ph / 1000) AS dr, v * sin(ph / 1000) AS di, 1 - m * (1 - p / (p * p + q * q)) AS re, -m * q / (p * p + q * q) AS im FROM g), r AS (SELECT trace, m, tau, c, sum(dr * re + di * im) / sum(re * re + im * im) AS rho0, sqrt(greatest(sum(dr * dr + di * di) - pow(sum(dr * re + di * im), 2) / sum(re * re + im * im), 0) / count(*)) AS rms FROM h GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY rms, m, tau, c) AS n FROM r)"
+SIP_AXES = {"m": S.Axis(0.3, 0.0, 0.95), "tau": S.Axis(10.0, 1e-4, 1e3, True), "c": S.Axis(0.3, 0.1, 1.0)}
+SIP_HEAD = f"{SECTION_SQL}, sp AS (SELECT trace, v * cos(ph / 1000) AS dr, v * sin(ph / 1000) AS di, f FROM (SELECT trace, 100 + 50 * amp AS v, -20 - 30 * abs(amp) AS ph, 0.1 * (k + 1) AS f FROM tr))"
+_SIP_W = f"pow({TWO_PI!r} * f * tau, c)"
+_SIP_P, _SIP_Q = f"(1 + {_SIP_W} * cos(c * {math.pi / 2!r}))", f"({_SIP_W} * sin(c * {math.pi / 2!r}))"
+_SIP_S = f"({_SIP_P} * {_SIP_P} + {_SIP_Q} * {_SIP_Q})"
+SIP_SQL = _search_sql(SIP_HEAD, "sp", SIP_C, SIP_AXES, f"dr, di, 1 - m * (1 - {_SIP_P} / {_SIP_S}) AS re, -m * {_SIP_Q} / {_SIP_S} AS im", "sum(dr * re + di * im) / sum(re * re + im * im) AS a, sqrt(greatest(sum(dr * dr + di * di) - pow(sum(dr * re + di * im), 2) / sum(re * re + im * im), 0) / count(*)) AS rms", ROUNDS)
 
 
-@C.add("sip", f"WITH {SIP_SQL} SELECT trace, m::DOUBLE AS m, tau::DOUBLE AS tau, c::DOUBLE AS c, round(rho0, 5) + 0.0 AS rho0, round(rms, 5) + 0.0 AS rms FROM n WHERE n = 1")
+@C.add("sip", f"WITH {SIP_SQL} SELECT trace, round(m, 9)::DOUBLE AS m, round(tau, 9)::DOUBLE AS tau, round(c, 9)::DOUBLE AS c, round(a, 5) + 0.0 AS rho0, round(rms, 5) + 0.0 AS rms FROM best{ROUNDS}")
 def sip(spark, d):
     c = spark.createDataFrame(SIP_C, "m double, tau double, c double")
     s = section(spark, d).select("trace", (100 + 50 * F.col("amp")).alias("v"), (-20 - 30 * F.abs("amp")).alias("ph"), (0.1 * (F.col("k") + 1)).alias("f"))
-    r = S.cole_cole(s, c, ["trace"], "f", "v", "ph")
-    return r.select("trace", "m", "tau", "c", t("rho0", 5).alias("rho0"), t("rms", 5).alias("rms"))
+    r = S.cole_cole(s, c, ["trace"], "f", "v", "ph", SIP_AXES, ROUNDS)
+    return r.select("trace", t("m", 9).alias("m"), t("tau", 9).alias("tau"), t("c", 9).alias("c"), t("rho0", 5).alias("rho0"), t("rms", 5).alias("rms"))
 
 
 @C.add("ga")
 def ga(spark, d):
-    models = spark.createDataFrame([(n, [r1, r2, r3], [h1, 500.0]) for n, (r1, r2, r3, h1) in enumerate((a, b, c, h) for a in (10.0, 100.0) for b in (20.0, 300.0) for c in (50.0, 1000.0) for h in (100.0, 400.0))], "model int, layers_rho array<double>, layers_thick array<double>")
+    """Three layers to each trace: a table of 16 models and six rounds of smaller moves from the best."""
+    models = [([a, b, c], [h, 500.0]) for a in (10.0, 100.0) for b in (20.0, 300.0) for c in (50.0, 1000.0) for h in (100.0, 400.0)]
     s = section(spark, d).select("trace", (F.col("k") + 1.0).alias("f"), (100 + 50 * F.col("amp")).alias("obs_rho"), (45 + 10 * F.col("amp")).alias("obs_phase"))
-    return S.layered_mt(s, models, ["trace"], "f", "obs_rho", "obs_phase").select("trace", "model", t("misfit").alias("misfit"))
+    r = S.layered_mt(s, models, ["trace"], "f", "obs_rho", "obs_phase", 6)
+    return r.select("trace", *[t(F.col("layers_rho")[n], 4).alias(f"rho{n + 1}") for n in range(3)], *[t(F.col("layers_thick")[n], 4).alias(f"thick{n + 1}") for n in range(2)], t("misfit").alias("misfit"))
 
 
-HK_H, HK_K = [20.0, 30.0, 40.0, 50.0], [1.6, 1.75, 1.9]
-HK_SQL = f"{SECTION_SQL}, c AS (SELECT unnest({HK_H})::DOUBLE AS h), kk AS (SELECT unnest({HK_K})::DOUBLE AS kappa), q AS (SELECT h, kappa, sqrt(1 / (6.3 * 6.3) - 0.0036) AS qp, sqrt(pow(kappa / 6.3, 2) - 0.0036) AS qs FROM c, kk), p AS (SELECT h, kappa, unnest([0.7, 0.2, -0.1]) AS w, unnest([h * (qs - qp), h * (qs + qp), 2 * h * qs]) * 2 AS pt FROM q), a AS (SELECT trace, h, kappa, w, pt, floor(pt)::INT AS b FROM p, (SELECT DISTINCT trace FROM tr)), s AS (SELECT a.trace, h, kappa, sum(w * (u.amp + (v.amp - u.amp) * (pt - b))) AS stack FROM a JOIN tr u ON u.trace = a.trace AND u.k = b JOIN tr v ON v.trace = a.trace AND v.k = b + 1 GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY stack DESC, h, kappa) AS n FROM s)"
+_READ = lambda p: f"(CASE WHEN {p} >= 63 THEN a[64] ELSE a[floor({p})::INT + 1] + (a[floor({p})::INT + 2] - a[floor({p})::INT + 1]) * ({p} - floor({p})) END)"
+HK_SQL = f"{SECTION_SQL}, l AS (SELECT trace, list(amp ORDER BY k) AS a FROM tr GROUP BY trace), q AS (SELECT 20 + nh * 0.25::DOUBLE AS h, 1.6::DOUBLE + nk * 0.005::DOUBLE AS kappa, sqrt(1 / (6.3::DOUBLE * 6.3) - 0.0036) AS qp, sqrt(pow((1.6::DOUBLE + nk * 0.005::DOUBLE) / 6.3, 2) - 0.0036) AS qs FROM (SELECT unnest(range(161)) AS nh), (SELECT unnest(range(81)) AS nk)), p AS (SELECT h, kappa, 2 * h * (qs - qp) AS t1, 2 * h * (qs + qp) AS t2, 4 * h * qs AS t3 FROM q), s AS (SELECT trace, h, kappa, 0.7 * {_READ('t1')} + 0.2 * {_READ('t2')} - 0.1 * {_READ('t3')} AS stack FROM l, p), n AS (SELECT trace, max_by(struct_pack(h := h, kappa := kappa, stack := stack), stack) AS b FROM s GROUP BY trace)"
 
 
-@C.add("hk", f"WITH {HK_SQL} SELECT trace, h, kappa, round(stack, 6) + 0.0 AS stack FROM n WHERE n = 1")
+@C.add("hk", f"WITH {HK_SQL} SELECT trace, b.h AS h, round(b.kappa, 6) AS kappa, round(b.stack, 6) + 0.0 AS stack FROM n")
 def hk(spark, d):
-    r = S.h_kappa(section(spark, d), ["trace"], "k", "amp", 2.0, 6.3, 0.06, HK_H, HK_K)
-    return r.select("trace", "h", "kappa", t("stack").alias("stack"))
+    r = S.h_kappa(section(spark, d), ["trace"], "k", "amp", 2.0, 6.3, 0.06)
+    return r.select("trace", "h", t("kappa").alias("kappa"), t("stack").alias("stack"))
 
 
 @C.add("werner")

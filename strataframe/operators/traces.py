@@ -120,6 +120,31 @@ def coherence(df: DataFrame, section: list[str], trace: str, at: str, value: str
     return d.withColumn("semblance", F.when(energy > 0, F.sum(F.col("_s") * F.col("_s")).over(down) / energy).otherwise(0.0)).drop("_s", "_e")
 
 
+def _boxed(d: DataFrame, keys: list[str], axis: str, columns: list[str], size: int) -> DataFrame:
+    """columns summed over size places along the axis; beyond its ends the axis runs back from its end value."""
+    half = size // 2
+    w, back = Window.partitionBy(*keys).orderBy(axis), Window.partitionBy(*keys).orderBy(F.desc(axis))
+    frame, rank, n = w.rowsBetween(-half, half), F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    end = lambda c, q, o: F.coalesce(F.nth_value(c, q).over(o.rowsBetween(*ALL)), F.lit(0.0))
+    d = d.withColumns({"_before": half + 1 - rank, "_after": rank + half - n})
+    total = lambda c: sum([F.when(F.col(miss) >= q, end(c, q, o)).otherwise(0.0) for miss, o in (("_before", w), ("_after", back)) for q in range(1, half + 1)], F.sum(c).over(frame))
+    return d.withColumns({c: total(c) for c in columns}).drop("_before", "_after")
+
+
+def coherence_volume(df: DataFrame, volume: list[str], inline: str, crossline: str, at: str, value: str, window: tuple[int, int, int] = (5, 3, 3)) -> DataFrame:
+    """Column semblance of a volume over odd windows of samples, inlines and crosslines.
+
+    Beyond an edge the volume runs back from its edge value; of an axis shorter than half its window what there is counts.
+    """
+    samples, across, along = window
+    v = F.col(value)
+    d = df.withColumns({"_s": v.cast("double"), "_e": (v * v).cast("double")})
+    d = _boxed(d, [*volume, at, crossline], inline, ["_s", "_e"], across)
+    d = _boxed(d, [*volume, at, inline], crossline, ["_s", "_e"], along).withColumn("_s", F.col("_s") * F.col("_s"))
+    d = _boxed(d, [*volume, inline, crossline], at, ["_s", "_e"], samples)
+    return d.withColumn("semblance", F.when(F.col("_e") > 0, F.col("_s") / F.greatest(across * along * F.col("_e"), F.lit(1e-30))).otherwise(0.0)).drop("_s", "_e")
+
+
 def dewow(df: DataFrame, by: list[str], at: str, value: str, size: int) -> DataFrame:
     """Column dewowed: the value less its centred running mean over max(size, 3) samples."""
     return running_mean(df, by, at, value, max(size, 3), "_m").withColumn("dewowed", F.col(value) - F.col("_m")).drop("_m")
@@ -173,27 +198,39 @@ def sonic(df: DataFrame, by: list[str], depth: str, dt: str, unit: str = "us/ft"
     return d.withColumns({"twt": start_twt + 2 * F.col("owt"), "v_rms": F.when(F.col("owt") > 0, rms)}).drop("_t")
 
 
-def starlet(df: DataFrame, by: list[str], at: str, value: str, levels: int = 4, k_sigma: float = 3.0) -> DataFrame:
+def _smoothed(d: DataFrame, by: list[str], axes: list[str], axis: str, step: int) -> DataFrame:
+    """Column _v of d smoothed along one axis by the B3 kernel with holes; the ends are mirrored."""
+    table = F.array(*[F.struct(F.lit(o * step).alias("o"), F.lit(w / 16).alias("w")) for o, w in zip((-2, -1, 0, 1, 2), (1, 4, 6, 4, 1), strict=True)])
+    keys, size = [*by, *[a for a in axes if a != axis]], f"_n_{axis}"
+    period = F.greatest(2 * (F.col(size) - 1), F.lit(1))
+    fold = F.pmod(F.col(axis) + F.col("s.o"), period)
+    sizes = [f"_n_{a}" for a in axes]
+    want = d.select(*by, *axes, *sizes, F.explode(table).alias("s")).select(*by, *axes, *sizes, F.least(fold, period - fold).cast("long").alias("_from"), F.col("s.w").alias("_w"))
+    near = d.select(*keys, F.col(axis).cast("long").alias("_from"), F.col("_v").alias("_near"))
+    return want.join(near, [*keys, "_from"]).groupBy(*by, *axes, *sizes).agg(F.sum(F.col("_w") * F.col("_near")).alias("_v"))
+
+
+def starlet(df: DataFrame, by: list[str], at: str | list[str], value: str, levels: int = 4, k_sigma: float = 3.0) -> DataFrame:
     """Column denoised: B3 a-trous wavelet with mirrored ends; per scale, coefficients under k MAD / 0.6745 become 0.
 
-    `at` counts samples from 0. Each scale is one equi-join of the samples to their five mirrored neighbours.
+    `at` counts samples from 0; two columns are rows and columns of a complete grid. Each scale is one equi-join an axis of the
+    samples to their five mirrored neighbours.
     """
-    kernel = {-2: 1 / 16, -1: 4 / 16, 0: 6 / 16, 1: 4 / 16, 2: 1 / 16}
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    table = lambda j: F.array(*[F.struct(F.lit(o * 2**j).alias("o"), F.lit(w).alias("w")) for o, w in kernel.items()])
-    d = df.select(*by, at, F.col(value).cast("double").alias("_c")).join(n, by).withColumn("_sum", F.lit(0.0))
+    axes = [at] if isinstance(at, str) else list(at)
+    sizes = [f"_n_{a}" for a in axes]
+    n = df.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"_n_{a}") for a in axes])
+    d = df.select(*by, *axes, F.col(value).cast("double").alias("_c")).join(n, by).withColumn("_sum", F.lit(0.0))
     for j in range(levels):
-        period = F.greatest(2 * (F.col("_n") - 1), F.lit(1))
-        fold = F.pmod(F.col(at) + F.col("s.o"), period)
-        want = d.select(*by, at, "_n", F.explode(table(j)).alias("s")).select(*by, at, F.least(fold, period - fold).cast("long").alias("_from"), F.col("s.w").alias("_w"))
-        smooth = want.join(d.select(*by, F.col(at).cast("long").alias("_from"), F.col("_c").alias("_v")), [*by, "_from"]).groupBy(*by, at).agg(F.sum(F.col("_w") * F.col("_v")).alias("_next"))
-        d = d.join(smooth, [*by, at]).withColumn("_d", F.col("_c") - F.col("_next"))
+        smooth = d.select(*by, *axes, *sizes, F.col("_c").alias("_v"))
+        for axis in axes:
+            smooth = _smoothed(smooth, by, axes, axis, 2**j)
+        d = d.join(smooth.select(*by, *axes, F.col("_v").alias("_next")), [*by, *axes]).withColumn("_d", F.col("_c") - F.col("_next"))
         middle = d.groupBy(*by).agg(F.expr("percentile(_d, 0.5)").alias("_med"))
         d = d.join(middle, by).withColumn("_a", F.abs(F.col("_d") - F.col("_med")))
         spread = d.groupBy(*by).agg((F.expr("percentile(_a, 0.5)") * (k_sigma / 0.6745)).alias("_lim"))
         d = d.join(spread, by)
-        d = d.select(*by, at, "_n", F.col("_next").alias("_c"), (F.col("_sum") + F.when(F.abs("_d") >= F.col("_lim"), F.col("_d")).otherwise(0.0)).alias("_sum"))
-    return d.select(*by, at, (F.col("_c") + F.col("_sum")).alias("denoised"))
+        d = d.select(*by, *axes, *sizes, F.col("_next").alias("_c"), (F.col("_sum") + F.when(F.abs("_d") >= F.col("_lim"), F.col("_d")).otherwise(0.0)).alias("_sum"))
+    return d.select(*by, *axes, (F.col("_c") + F.col("_sum")).alias("denoised"))
 
 
 def drift_correction(df: DataFrame, by: list[str], time: str, reading: str, is_base: Column, tide: Column | None = None) -> DataFrame:

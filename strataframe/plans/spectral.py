@@ -128,6 +128,13 @@ def raps_depth(spark, d):
     return S.spectrum_depth(b, ["grid_id"], 0.004, 0.02).select(F.col("grid_id").alias("tile"), t("depth", 4).alias("depth"), t("r2").alias("r2"))
 
 
+@C.add("matched")
+def matched(spark, d):
+    """Two equivalent layers of each tile."""
+    r = S.matched_filter(tiles(spark, d), 100.0, 100.0, 0.0021)
+    return r.select(F.col("grid_id").alias("tile"), "i", "j", "layer", t("depth", 3).alias("depth"), t("filtered", 4).alias("filtered"))
+
+
 @C.add("cpd", f"WITH {SPEC_SQL}, f AS (SELECT t, -regr_slope(lp / 2, k) FILTER (WHERE k BETWEEN 0.01 AND 0.03) AS zt, -regr_slope(lp / 2 - ln(k), k) FILTER (WHERE k BETWEEN 0.001 AND 0.012) AS z0 FROM lb GROUP BY t) SELECT t::VARCHAR AS tile, round(zt, 4) + 0.0 AS top, round(z0, 4) + 0.0 AS centroid, round(CASE WHEN 2 * z0 - zt > 0 THEN 2 * z0 - zt ELSE -1 END, 4) + 0.0 AS curie FROM f")
 def cpd(spark, d):
     b = S.power_spectrum(tiles(spark, d), 100.0, 100.0, 0.0021)

@@ -130,6 +130,37 @@ def wavelet(spark, d):
     return T.starlet(section(spark, d), ["trace"], "k", "amp", 2).select("trace", "k", t("denoised").alias("denoised"))
 
 
+def starlet_grid_sql(levels: int) -> str:
+    out, src = [], "(SELECT i, j, ln(value) AS c, 0.0::DOUBLE AS acc FROM g)"
+    for n in range(levels):
+        taps = f"(SELECT unnest([-2, -1, 0, 1, 2]) * {2**n} AS o, unnest([1, 4, 6, 4, 1]) / 16.0::DOUBLE AS w) o"
+        fold = lambda x, p: f"least((({x} + o.o) % {p} + {p}) % {p}, {p} - (({x} + o.o) % {p} + {p}) % {p})"
+        out.append(f"x{n} AS (SELECT a.i, a.j, sum(o.w * b.c) AS v FROM {src} a, {taps}, {src} b WHERE b.i = a.i AND b.j = {fold('a.j', '98')} GROUP BY a.i, a.j)")
+        out.append(f"y{n} AS (SELECT a.i, a.j, sum(o.w * b.v) AS nx FROM (SELECT *, 2 * (SELECT max(i) FROM g) AS p FROM x{n}) a, {taps}, x{n} b WHERE b.j = a.j AND b.i = {fold('a.i', 'a.p')} GROUP BY a.i, a.j)")
+        out.append(f"d{n} AS (SELECT s.i, s.j, s.c, s.acc, nx FROM {src} s JOIN y{n} USING (i, j)), m{n} AS (SELECT median(c - nx) AS med FROM d{n}), l{n} AS (SELECT 3 * median(abs(c - nx - med)) / 0.6745 AS lim FROM d{n}, m{n}), c{n} AS (SELECT i, j, nx AS c, acc + CASE WHEN abs(c - nx) >= lim THEN c - nx ELSE 0 END AS acc FROM d{n}, l{n})")
+        src = f"c{n}"
+    return f"WITH {GRID_SQL}, {', '.join(out)} SELECT i, j, round(c + acc, 6) + 0.0 AS denoised FROM {src}"
+
+
+@C.add("wavelet_grid", starlet_grid_sql(2))
+def wavelet_grid(spark, d):
+    return T.starlet(grid(spark, d).withColumn("value", F.ln("value")), ["grid_id"], ["i", "j"], "value", 2).select("i", "j", t("denoised").alias("denoised"))
+
+
+_BACK = lambda x, n: f"CASE WHEN {x} < 0 THEN -({x}) - 1 WHEN {x} >= {n} THEN 2 * {n} - 1 - ({x}) ELSE {x} END"
+VOLUME_SQL = f"""{SECTION_SQL}, v AS (SELECT trace // 20 AS il, trace % 20 AS xl, k, amp, (SELECT max(trace // 20) + 1 FROM tr) AS n FROM tr),
+a AS (SELECT a.il, a.xl, a.k, sum(b.amp) AS s, sum(b.amp * b.amp) AS e FROM v a, (SELECT unnest([-1, 0, 1]) AS o) o, v b WHERE b.k = a.k AND b.xl = a.xl AND b.il = {_BACK('(a.il + o.o)', 'a.n')} GROUP BY 1, 2, 3),
+b AS (SELECT a.il, a.xl, a.k, sum(b.s) AS s, sum(b.e) AS e FROM a, (SELECT unnest([-1, 0, 1]) AS o) o, a b WHERE b.k = a.k AND b.il = a.il AND b.xl = {_BACK('(a.xl + o.o)', '20')} GROUP BY 1, 2, 3),
+c AS (SELECT a.il, a.xl, a.k, sum(b.s * b.s) AS s, sum(b.e) AS e FROM b a, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) o, b WHERE b.il = a.il AND b.xl = a.xl AND b.k = {_BACK('(a.k + o.o)', '64')} GROUP BY 1, 2, 3)"""
+
+
+@C.add("coherence_volume", f"WITH {VOLUME_SQL} SELECT il * 20 + xl AS trace, k, round(CASE WHEN e > 0 THEN s / (9 * e) ELSE 0 END, 6) + 0.0 AS semblance FROM c")
+def coherence_volume(spark, d):
+    """The section's traces as a volume of 20 crosslines."""
+    s = section(spark, d).withColumns({"inline": F.floor(F.col("trace") / 20), "crossline": F.col("trace") % 20})
+    return T.coherence_volume(s, [], "inline", "crossline", "k", "amp").select("trace", "k", t("semblance").alias("semblance"))
+
+
 @C.add("drift", f"WITH {SERIES_SQL}, b AS (SELECT station, t, value FROM e WHERE event_type = 'signup'), ok AS (SELECT station, min_by(value, t) AS f FROM b GROUP BY station HAVING count(*) >= 2), l AS (SELECT e.station, e.t, e.value, any_value(f) AS f, max_by(struct_pack(t := b.t, v := b.value), b.t) FILTER (WHERE b.t <= e.t) AS lo, min_by(struct_pack(t := b.t, v := b.value), b.t) FILTER (WHERE b.t >= e.t) AS hi FROM e JOIN ok USING (station) JOIN b USING (station) GROUP BY 1, 2, 3), r AS (SELECT *, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL OR lo.t = t THEN lo.v ELSE lo.v + (hi.v - lo.v) * (t - lo.t) / (hi.t - lo.t) END - f AS drift FROM l) SELECT station, round(t, 3) AS t, round(drift, 4) + 0.0 AS drift, round(value - drift, 4) + 0.0 AS corrected FROM r")
 def drift(spark, d):
     e = series(spark, d)

@@ -21,6 +21,8 @@ LISTS = 3
 #: Up to so many rows and bytes a table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
+#: Up to so many documents' keys (16 bytes each) are broadcast to pick the texts that must be confirmed.
+BROADCAST_KEYS = 1_000_000
 #: A document: hashes of id and text, and of the text alone.
 DOC = ["_doc", "_text_hash"]
 
@@ -93,8 +95,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         exact = exact.filter(F.size("lists") <= k).unionByName(more.join(index, ["term", *DOC, "pos"], "left_semi").drop("term", "pos"))
 
     def confirmed(places: DataFrame, same: Column) -> DataFrame:
-        places = _sized(written(places.select("win", *DOC, "start"), "places"), F.lit(32))
-        met = texts.select("_text", *DOC).join(places, DOC).join(_sized(asked.select("win", "words"), F.octet_length(F.concat_ws("", "words")) + 64), "win")
+        places = written(places.select("win", *DOC, "start"), "places")
+        concerned, some = places.select(*DOC).distinct(), texts.select("_text", *DOC)
+        if concerned.count() <= BROADCAST_KEYS:
+            some = some.join(F.broadcast(concerned), DOC, "left_semi")
+        met = some.join(_sized(places, F.lit(32)), DOC).join(_sized(asked.select("win", "words"), F.octet_length(F.concat_ws("", "words")) + 64), "win")
         return met.withColumn("_words", words_of(F.col("_text"))).filter(same).select("win", *DOC, "start", F.size("words").alias("len")).distinct()
 
     whole = F.slice("_words", F.col("start") + 1, F.size("words")) == F.col("words")
@@ -112,5 +117,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         near = confirmed(found, (F.size(F.array_except("words", wide)) == 0) | in_place)
         told = told.join(near.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_near")), DOC, "full")
     told = _sized(written(told, "contaminated"), F.lit(64) + F.octet_length(F.array_join("items", ",")))
-    n_words = F.size(words_of(F.col("_text"))).cast("long")
-    return texts.join(told, DOC, "left").select(id_col, n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), *[F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")] * (slop is not None))
+    sizes = texts.select(id_col, *DOC, F.size(words_of(F.col("_text"))).cast("long").alias("n_words"))
+    return sizes.join(told, DOC, "left").select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), *[F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")] * (slop is not None))

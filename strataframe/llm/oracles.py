@@ -48,4 +48,36 @@ SELECT conv_id, turn, role, text,
 FROM t
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op3_quotation_linking": OP3, "op8_decontamination": OP8}
+OP13 = r"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, * FROM documents),
+part AS (SELECT r, doc_id, source, replace(text, chr(10), '') AS cut, text,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM raw),
+crc_table AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i)),
+crc_all AS (SELECT list(c ORDER BY i) AS codes FROM crc_table),
+leaf AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                               lambda c, b: xor(c // 256, codes[xor(c % 256, b) + 1])), 4294967295) % 2 = 0
+                     THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS altered
+         FROM part, crc_all),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+low(source, lvl, pos, n, digest) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+tops AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM tops
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+steps AS (
+  SELECT p.r, l.lvl, l.pos AS spot, l.digest, p.pos // (3 ** l.lvl)::BIGINT AS own FROM placed p JOIN low l ON p.source IS NOT DISTINCT FROM l.source AND l.n > 1 AND l.pos // 3 = p.pos // (3 ** (l.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT p.r, 1000 + l.lvl, l.pos, l.digest, t.pos // (3 ** l.lvl)::BIGINT FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source JOIN high l ON l.n > 1 AND l.pos // 3 = t.pos // (3 ** (l.lvl + 1))::BIGINT),
+sides AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k, coalesce(string_agg(digest, '' ORDER BY spot) FILTER (WHERE spot < own), '') AS a, coalesce(string_agg(digest, '' ORDER BY spot) FILTER (WHERE spot > own), '') AS b FROM steps GROUP BY r, lvl),
+proofs AS (SELECT r, string_agg(a || b, '' ORDER BY k) AS proof, max(k) AS height FROM sides GROUP BY r),
+fold(r, k, digest) AS (SELECT r, 0::BIGINT, coalesce(altered, leaf) FROM leaf UNION ALL SELECT fold.r, sides.k, sha256(a || digest || b) FROM fold JOIN sides ON fold.r = sides.r AND sides.k = fold.k + 1),
+folded AS (SELECT r, max_by(digest, k) AS digest FROM fold GROUP BY r)
+SELECT p.doc_id, p.leaf, t.subroot, h.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = h.digest AS verified
+FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source JOIN folded f USING (r) LEFT JOIN proofs USING (r), (SELECT digest FROM high WHERE n = 1) h
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op3_quotation_linking": OP3, "op8_decontamination": OP8, "op13_merkle_manifest": OP13}

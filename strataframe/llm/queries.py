@@ -13,6 +13,7 @@ from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_main_text
 from .kd_sharding import kd_shards
+from .merkle import leaf_digest, merkle_manifest
 from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .quotation_linking import link_quotations
@@ -95,5 +96,14 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quotation_linking, op4_best_fit_packing, op5_edit_aware_counts, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id's crc32 is even, the text has lost its line feeds when it is checked."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = leaf_digest(*[F.col(c) for c in fields[:-1]], F.replace("text", F.lit("\n"), F.lit("")))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle_manifest(docs, fields=fields, altered=F.when(even, tampered)).drop("proof")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quotation_linking, op4_best_fit_packing, op5_edit_aware_counts, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding, op13_merkle_manifest)}
 ORACLES: dict[str, str] = oracles.ORACLES

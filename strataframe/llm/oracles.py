@@ -48,6 +48,30 @@ SELECT conv_id, turn, role, text,
 FROM t
 """
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT doc, lang, unnest(range(len(ps))) AS pn, unnest(ps) AS piece FROM d),
+ws AS (SELECT doc, lang, pn, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+w AS (SELECT doc, lang, pn, unnest(range(len(ws))) AS k, unnest(ws) AS a FROM ws),
+g AS (SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM w WINDOW o AS (PARTITION BY doc, pn ORDER BY k)),
+f AS (SELECT lang, [a] AS g, count(*) AS f FROM g GROUP BY lang, a
+      UNION ALL SELECT lang, [a, b], count(*) FROM g WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 30
+      UNION ALL SELECT lang, [a, b, c], count(*) FROM g WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 30
+      UNION ALL SELECT lang, [a, b, c, e], count(*) FROM g WHERE e IS NOT NULL GROUP BY lang, a, b, c, e HAVING count(*) >= 30),
+cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+inner_parts AS (SELECT lang, a AS longer, g[s:s + n - 1] AS g FROM cand, range(1, 4) t(s), range(2, 4) u(n) WHERE n < len(g) AND s + n - 1 <= len(g)),
+gone AS (SELECT DISTINCT c.lang, c.g FROM cand c JOIN inner_parts i ON c.lang = i.lang AND c.g = i.g AND 100 * i.longer >= 80 * c.a),
+cuts AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM cand) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.score,
+                  row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, array_to_string(b.g, ' ')) AS rank
+           FROM best b WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.lang = b.lang AND x.g = b.g)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, * FROM documents),
 part AS (SELECT r, doc_id, source, replace(text, chr(10), '') AS cut, text,
@@ -80,4 +104,4 @@ SELECT p.doc_id, p.leaf, t.subroot, h.digest AS root, sha256(coalesce(proof, '')
 FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source JOIN folded f USING (r) LEFT JOIN proofs USING (r), (SELECT digest FROM high WHERE n = 1) h
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op3_quotation_linking": OP3, "op8_decontamination": OP8, "op13_merkle_manifest": OP13}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op3_quotation_linking": OP3, "op8_decontamination": OP8, "op12_phrase_collocations": OP12, "op13_merkle_manifest": OP13}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import oracles
 from .bpe import bpe_encode
+from .collocations import collocations
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_main_text
@@ -103,6 +104,10 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the id's crc32 is even, the text has lost its line feeds when it is checked."""
     docs = table(spark, sf_dir, "documents")
@@ -112,5 +117,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, fields=fields, altered=F.when(even, tampered)).drop("proof")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quotation_linking, op4_best_fit_packing, op5_edit_aware_counts, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding, op11_bpe_round_trip, op13_merkle_manifest)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quotation_linking, op4_best_fit_packing, op5_edit_aware_counts, op6_html_extraction, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_kd_sharding, op11_bpe_round_trip, op12_phrase_collocations, op13_merkle_manifest)}
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import _FOLD, U64, column_slices, mix, release, word_hashes
-from ._frames import FRAME_BYTES, among, drop_written, heads_of, packed_by_frame, packed_schema, partitions, to_buckets, unpacked, written
+from ._frames import among, drop_written, heads_of, packed_by_frame, packed_schema, packed_table, partitions, spans_of, unpacked, written
 
 LONGEST = 4
+#: Text of a frame.
+FRAME_BYTES = 6 << 20
 #: Keys of the exchange that narrows phrases down: so many bits of a hash.
-KEY_BITS = 48
+KEY_BITS = 40
 #: Sorted count streams have partitions of about so many rows.
 STREAM_ROWS = 500_000
 #: Frames' worth of text that a task may hold of all languages together.
@@ -84,10 +86,11 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch["lang"]
         for lang in pa.compute.unique(langs).to_pylist():
             texts = batch["text"].filter(pa.compute.equal(langs, lang))
-            waiting[lang].append(texts)
-            sizes[lang] += texts.nbytes
-            if sizes[lang] >= FRAME_BYTES:
-                yield frame(lang)
+            for i, j, raw, _ in column_slices(texts, FRAME_BYTES // 4):
+                waiting[lang].append(texts.slice(i, j - i))
+                sizes[lang] += len(raw)
+                if sizes[lang] >= FRAME_BYTES:
+                    yield frame(lang)
         while sum(sizes.values()) > WAITING * FRAME_BYTES:
             yield frame(max(sizes, key=sizes.get))
     for lang in list(waiting):
@@ -98,47 +101,64 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Frame:
     """Codes of a frame's text (0 between pieces, at its end too) and its words' and pairs' keys."""
 
-    def __init__(self, row: dict):
-        self.text = np.append(np.frombuffer(zstandard.decompress(row["packed"]), "<i4").astype(np.int64), 0)
-        self.words = row["words"]
-        self.counts = np.array(row["counts"], np.int64)
-        joined = "".join(self.words).encode()
-        size = np.array([len(w.encode()) for w in self.words], np.int64)
-        ends = np.cumsum(size)
-        lang = np.frombuffer(row["lang"].encode(), np.uint8)
+    def __init__(self, frame: pa.RecordBatch | pa.Table):
+        self.text = np.append(np.frombuffer(zstandard.decompress(frame["packed"][0].as_py()), "<i4").astype(np.int64), 0)
+        self.words, self.lang = frame["words"][0].values, frame["lang"][0].as_py()
+        self.counts = frame["counts"][0].values.to_numpy()
+        lang = np.frombuffer(self.lang.encode(), np.uint8)
         seed = word_hashes(lang, np.array([0]), np.array([len(lang)]), fold=False)
-        own = word_hashes(np.frombuffer(joined, np.uint8), ends - size, ends, fold=False) if len(size) else np.zeros(0, U64)
+        own = [word_hashes(raw, at[:-1], at[1:], fold=False) for _, _, raw, at in column_slices(self.words, FRAME_BYTES)]
+        own = np.concatenate(own) if own else np.zeros(0, U64)
         self.word_key = mix(own ^ seed) >> U64(64 - KEY_BITS)
-        n, self.base = len(self.text), len(self.words) + 1
-        first = np.flatnonzero((self.text[:-1] > 0) & (self.text[1:] > 0)) if n > 1 else np.zeros(0, np.int64)
-        pair = self.text[first] * self.base + self.text[first + 1]
+        self.base = len(self.words) + 1
+        self.first = np.flatnonzero((self.text[:-1] > 0) & (self.text[1:] > 0))
+        pair = self.text[self.first] * self.base + self.text[self.first + 1]
         self.pair, self.pair_at, self.pair_count = np.unique(pair, return_inverse=True, return_counts=True)
-        self.first = first
         a, b = self.pair // self.base - 1, self.pair % self.base - 1
         self.pair_key = mix(own[a] * U64(3) + mix(own[b] ^ seed)) >> U64(64 - KEY_BITS)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, compressed: small ones take little."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _plain(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def _keys_out(buckets: int):
+    """A frame's distinct keys and counts, for each bucket (a range of keys) the steps between its sorted keys."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                f = _Frame(row)
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                f = _Frame(one)
                 keys, counts = np.concatenate([f.word_key, f.pair_key]), np.concatenate([f.counts, f.pair_count])
-                order = np.argsort(keys, kind="stable")
+                del f
+                order = np.argsort(keys)
                 keys, counts = keys[order], counts[order]
                 heads = heads_of(keys)
-                counts = np.add.reduceat(counts, heads) if len(heads) else counts
-                yield from to_buckets(row["frame"], buckets, keys[heads], np.minimum(counts, 2**32 - 1).astype(np.uint32)).to_batches()
-        release()
+                if not len(heads):
+                    continue
+                counts, keys = np.add.reduceat(counts, heads), keys[heads]
+                bucket = (keys * U64(buckets)) >> U64(KEY_BITS)
+                spans = spans_of(bucket)
+                numbers = np.array([bucket[a] for a, _ in spans], np.int32)
+                frame = np.full(len(spans), one["frame"][0].as_py(), np.int32)
+                yield from packed_table(numbers, frame, [_packed(np.diff(keys[a:b], prepend=U64(0))) for a, b in spans], [_packed(counts[a:b]) for a, b in spans]).to_batches()
+                release()
 
     return kernel
 
 
 def _frequent(least: int):
     def kernel(table: pa.Table) -> pa.Table:
-        keys, sizes = unpacked(table["c0"])
-        counts, _ = unpacked(table["c1"], np.uint32)
-        frame = np.repeat(table["frame"].to_numpy(), sizes)
+        own = [np.cumsum(_plain(x), dtype=U64) for x in table["c0"].to_pylist()]
+        frame = np.repeat(table["frame"].to_numpy(), [len(x) for x in own])
+        keys, counts = np.concatenate(own), np.concatenate([_plain(x) for x in table["c1"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         keys, counts, frame = keys[order], counts[order].astype(np.int64), frame[order]
         heads = heads_of(keys)
@@ -158,8 +178,8 @@ def _phrases(frame: pa.Table, told: pa.Table) -> pa.Table:
     kinds = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in WORDS], ("f", pa.int64())])
     if not frame.num_rows or not told.num_rows:
         return kinds.empty_table()
-    row = frame.to_pylist()[0]
-    f, pool = _Frame(row), np.sort(unpacked(told["c0"])[0])
+    frame = frame.combine_chunks()
+    f, pool = _Frame(frame), np.sort(unpacked(told["c0"])[0])
     out = [([np.flatnonzero(among(f.word_key, pool)) + 1], f.counts[among(f.word_key, pool)])]
     good_pair = among(f.pair_key, pool)
     good = np.zeros(len(f.text) + LONGEST, bool)
@@ -179,11 +199,11 @@ def _phrases(frame: pa.Table, told: pa.Table) -> pa.Table:
         number = np.zeros(len(f.text), np.int64)
         number[at] = back
         out.append(([f.text[at[one] + k] for k in range(size)], counts))
-    names = pa.array(["", *f.words], pa.string())
+    names = pa.concat_arrays([pa.array([""], pa.string()), f.words])
     tables = []
     for codes, counts in out:
         codes += [np.zeros(len(counts), np.int64)] * (LONGEST - len(codes))
-        tables.append(pa.table([pa.array([row["lang"]] * len(counts), pa.string()), *[names.take(pa.array(c)) for c in codes], pa.array(counts, pa.int64())], kinds))
+        tables.append(pa.table([pa.array([f.lang] * len(counts), pa.string()), *[names.take(pa.array(c)) for c in codes], pa.array(counts, pa.int64())], kinds))
     return pa.concat_tables(tables)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .solutions import EIGHT, steepest
+from .solutions import EIGHT
 
 MAX_ROUNDS = 2000
 #: Cells of a tile's side: a tile is one task's small group.
@@ -117,22 +117,6 @@ def fill_depressions(cells: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     return _relaxed(start, "fill", epsilon=epsilon).select("grid_id", "i", "j", F.col("c").alias("value"), F.col("total").alias("filled"))
 
 
-def flow_accumulation(cells: DataFrame, dx: float, dy: float) -> DataFrame:
-    """Column cells_above (with the cell itself) along steepest descents, by waves of cells whose inflow is complete."""
-    flow = written(steepest(cells, dx, dy).select("grid_id", "i", "j", "to_i", "to_j"))
-    inflow = flow.filter("to_i IS NOT NULL").groupBy("grid_id", F.col("to_i").alias("i"), F.col("to_j").alias("j")).agg(F.count(F.lit(1)).alias("left"))
-    state = flow.join(inflow, ["grid_id", "i", "j"], "left").select("*", F.lit(1).cast("long").alias("cells_above")).na.fill(0, ["left"]).withColumn("done", F.lit(False))
-
-    def step(s: DataFrame) -> DataFrame:
-        ready = s.filter("NOT done AND left = 0")
-        sent = ready.filter("to_i IS NOT NULL").groupBy("grid_id", F.col("to_i").alias("i"), F.col("to_j").alias("j")).agg(F.sum("cells_above").alias("_c"), F.count(F.lit(1)).alias("_k"))
-        d = s.join(sent, ["grid_id", "i", "j"], "left")
-        now = ~F.col("done") & (F.col("left") == 0)
-        return d.select("grid_id", "i", "j", "to_i", "to_j", (F.col("left") - F.coalesce("_k", F.lit(0))).alias("left"), (F.col("cells_above") + F.coalesce("_c", F.lit(0))).alias("cells_above"), (F.col("done") | now).alias("done"), now.alias("moved"))
-
-    return _settled(state, step).select("grid_id", "i", "j", "to_i", "to_j", "cells_above")
-
-
 def cost_distance(cells: DataFrame, source: Column, dx: float, dy: float, cost: str = "value", offsets=EIGHT) -> DataFrame:
     """Columns total, from_i, from_j: least cost from the source cells, an edge being the mean cost times its length.
 
@@ -202,55 +186,3 @@ def lineaments(cells: DataFrame, component_cells: DataFrame, least: int = 8) ->
     (x1, y1), (x2, y2) = at("_p"), at("_q")
     out = g.join(ends, ["grid_id", "component"])
     return out.select("grid_id", "component", "n", "x_center", "y_center", F.pmod(90 - F.degrees("_t"), F.lit(180.0)).alias("azimuth"), (F.col("_q") - F.col("_p")).alias("length"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), "linearity")
-
-
-def contour_segments(cells: DataFrame, levels: list[float]) -> DataFrame:
-    """grid_id, level, ax, ay, bx, by: marching squares on every 2 x 2 block; saddles are joined by the block's mean."""
-    from pyspark.sql.window import Window
-
-    row, column = Window.partitionBy("grid_id", "i").orderBy("j"), Window.partitionBy("grid_id", "j").orderBy("i")
-    d = cells.withColumns({"_r": F.lead("value").over(row), "_x": F.lead("x").over(row), "_u": F.lead("value").over(column), "_y": F.lead("y").over(column)})
-    d = d.withColumn("_d", F.lead("_r").over(column)).filter("_d IS NOT NULL AND value IS NOT NULL AND _r IS NOT NULL AND _u IS NOT NULL")
-    d = d.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels])))
-    lv, a, b, c, e = F.col("level"), F.col("value"), F.col("_r"), F.col("_d"), F.col("_u")
-    part = lambda p, q: (lv - p) / (q - p)
-    x0, x1, y0, y1 = F.col("x"), F.col("_x"), F.col("y"), F.col("_y")
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    crossed = lambda p, q: (p >= lv) != (q >= lv)
-    sides = [(crossed(a, b), point(x0 + (x1 - x0) * part(a, b), y0)), (crossed(b, c), point(x1, y0 + (y1 - y0) * part(b, c))), (crossed(c, e), point(x1 + (x0 - x1) * part(c, e), y1)), (crossed(e, a), point(x0, y1 + (y0 - y1) * part(e, a)))]
-    hit = F.array_compact(F.array(*[F.when(k, p) for k, p in sides]))
-    d = d.withColumn("_h", hit).filter(F.size("_h") >= 2)
-    seg = lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
-    h = [F.get("_h", F.lit(n)) for n in range(4)]
-    # Four crossings: bottom, right, top, left. The mean tells whether the first corner's side is joined to the opposite one.
-    joined = ((a + b + c + e) / 4 >= lv) == (a >= lv)
-    two = F.array(seg(h[0], h[1]))
-    # Where it is, the line cuts off the second and the fourth corner; else the first and the third.
-    four = F.when(joined, F.array(seg(h[0], h[1]), seg(h[2], h[3]))).otherwise(F.array(seg(h[0], h[3]), seg(h[1], h[2])))
-    out = d.select("grid_id", "level", F.when(F.size("_h") == 2, two).otherwise(four).alias("_s"))
-    return out.select("grid_id", "level", F.explode("_s").alias("s")).select("grid_id", "level", "s.*").filter("ax <> bx OR ay <> by")
-
-
-def contour_lines(cells: DataFrame, levels: list[float]) -> DataFrame:
-    """contour_segments with line_id, the smallest hash of the segments that share ends with each other."""
-    ends = lambda p: F.xxhash64("grid_id", "level", F.round(f"{p}x", 6), F.round(f"{p}y", 6))
-    s = contour_segments(cells, levels).withColumns({"p": ends("a"), "q": ends("b")})
-    start = s.withColumn("line_id", F.xxhash64("p", "q"))
-
-    def step(d: DataFrame) -> DataFrame:
-        at = d.select(F.explode(F.array("p", "q")).alias("e"), "line_id").groupBy("e").agg(F.min("line_id").alias("m"))
-        j = d.join(at.select(F.col("e").alias("p"), F.col("m").alias("_a")), "p").join(at.select(F.col("e").alias("q"), F.col("m").alias("_b")), "q")
-        new = F.least("line_id", "_a", "_b")
-        return j.withColumn("_new", new).withColumn("moved", F.col("_new") < F.col("line_id")).withColumn("line_id", F.col("_new")).drop("_new", "_a", "_b")
-
-    return _settled(start, step).drop("p", "q")
-
-
-def class_outlines(cells: DataFrame, classes: list[float]) -> DataFrame:
-    """contour_segments at 0.5 of each class's mask, with column class."""
-    out = None
-    for k in classes:
-        mask = cells.withColumn("value", (F.col("value") == k).cast("double"))
-        part = contour_segments(mask, [0.5]).withColumn("class", F.lit(float(k))).drop("level")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, PolynomialExpansion, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,7 +43,7 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
 
 
 def batch_som(df: DataFrame, columns: list[str], rows: int, cols: int, epochs: int = 10) -> list[list[float]]:
-    """Prototypes of a self-organising map by batch training: best units and neighbourhood sums are one aggregate a round."""
+    """Prototypes (of z-scores) of a self-organising map by batch training: best units and neighbourhood sums are one aggregate a round."""
     z = standardised(df, columns).select(*[F.col(f"z_{c}").alias(c) for c in columns])
     spark, units = df.sparkSession, rows * cols
     low = z.agg(*[F.min(c) for c in columns], *[F.max(c) for c in columns]).first()
@@ -51,8 +51,7 @@ def batch_som(df: DataFrame, columns: list[str], rows: int, cols: int, epochs: i
     w = [[low[c] + (low[n + c] - low[c]) * ((u // cols + (u % cols) * (c % 2)) / (rows + cols)) for c in range(n)] for u in range(units)]
     for e in range(epochs):
         radius = max(0.5, max(rows, cols) / 2 * (1 - e / epochs))
-        best = F.array_min(F.array(*[F.struct(sum(((F.col(c) - w[u][k]) * (F.col(c) - w[u][k]) for k, c in enumerate(columns)), F.lit(0.0)).alias("d"), F.lit(u).alias("u")) for u in range(units)]))["u"]
-        sums = z.groupBy(best.alias("u")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
+        sums = z.groupBy(best_unit(columns, w).alias("u")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
         near = spark.createDataFrame([(a, b, 2.718281828 ** (-((a // cols - b // cols) ** 2 + (a % cols - b % cols) ** 2) / (2 * radius * radius))) for a in range(units) for b in range(units)], "u int, v int, h double")
         new = sums.join(F.broadcast(near), "u").groupBy("v").agg(F.sum(F.col("h") * F.col("n")).alias("n"), *[F.sum(F.col("h") * F.col(c)).alias(c) for c in columns]).collect()
         for r in new:
@@ -61,16 +60,107 @@ def batch_som(df: DataFrame, columns: list[str], rows: int, cols: int, epochs: i
     return w
 
 
-def classify(df: DataFrame, columns: list[str], label: str, test_share: float = 0.3) -> DataFrame:
-    """Complete rows with a hold-out flag (by hash within labels) and the predicted label of a linear SVM, one against the rest."""
-    z = standardised(df.dropna(subset=[label]), columns)
-    z = z.withColumn("held_out", F.pmod(F.xxhash64(*columns, label), F.lit(1000)) < int(1000 * test_share))
-    z = _assembled(z, [f"z_{c}" for c in columns])
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(z)
-    z = index.transform(z)
-    model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="_y", predictionCol="_p").fit(z.filter("NOT held_out"))
-    names = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(z).withColumn("predicted", F.element_at(names, F.col("_p").cast("int") + 1)).drop("features", "_y", "_p", "rawPrediction", *[f"z_{c}" for c in columns])
+def best_unit(columns: list[str], prototypes: list[list[float]]) -> Column:
+    """The number of the nearest prototype, the first on ties. The prototypes are literals: a map has some dozens of units."""
+    away = [F.struct(sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(columns, w, strict=True)), F.lit(0.0)).alias("d"), F.lit(u).alias("u")) for u, w in enumerate(prototypes)]
+    return F.array_min(F.array(*away))["u"]
+
+
+def som_facies(df: DataFrame, columns: list[str], rows: int = 5, cols: int = 5, facies: int = 5, epochs: int = 10, seed: int = 0) -> DataFrame:
+    """df with som_node, the best unit of each row, and som_facies, the group of that unit by k-means over the prototypes.
+
+    Facies are numbered from 0 by their smallest unit. Rows with a missing value in columns have nulls.
+    """
+    spark, n = df.sparkSession, len(columns)
+    w = batch_som(df, columns, rows, cols, epochs)
+    units = spark.createDataFrame([(u, *map(float, x)) for u, x in enumerate(w)], "u int, " + ", ".join(f"c{k} double" for k in range(n)))
+    features = VectorAssembler(inputCols=[f"c{k}" for k in range(n)], outputCol="features").transform(units)
+    groups = {r.u: r.g for r in KMeans(k=min(facies, rows * cols), seed=seed, predictionCol="g").fit(features).transform(features).select("u", "g").collect()}
+    order = {g: k for k, g in enumerate(dict.fromkeys(groups[u] for u in range(rows * cols)))}
+    s = df.dropna(subset=columns).agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    z = [f"_z{k}" for k in range(n)]
+    scaled = df.withColumns({z[k]: (F.col(c) - s[2 * k]) / s[2 * k + 1] if s[2 * k + 1] else F.when(F.col(c).isNotNull(), 0.0) for k, c in enumerate(columns)})
+    whole = F.lit(True)
+    for c in z:
+        whole = whole & F.col(c).isNotNull()
+    named = F.array(*[F.lit(order[groups[u]]) for u in range(rows * cols)])
+    out = scaled.withColumn("som_node", F.when(whole, best_unit(z, w)))
+    return out.withColumn("som_facies", F.get(named, F.col("som_node"))).drop(*z)
+
+
+def random_fourier(columns: list[str], gamma: float, size: int, seed: int = 0) -> Column:
+    """A vector whose dot products are near exp(-gamma |x - y|**2) (Rahimi and Recht 2007), as one column of literals."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0.0, (2 * gamma) ** 0.5, (size, len(columns))), rng.uniform(0.0, 2 * np.pi, size)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in (*w[k], b[k])]) for k in range(size)])
+    turn = lambda r: sum((r[n] * F.col(c) for n, c in enumerate(columns)), r[len(columns)])
+    return array_to_vector(F.transform(rows, lambda r: F.cos(turn(r)) * (2.0 / size) ** 0.5))
+
+
+def classify(df: DataFrame, columns: list[str], label: str, test_share: float = 0.3, kernel: str = "rbf", c: float = 10.0, gamma: float | None = None, size: int = 128, seed: int = 0) -> DataFrame:
+    """Complete rows with held_out (by hash within labels; null without a label) and the predicted label, one class against the rest.
+
+    kernel: rbf by `size` random Fourier features (gamma: one over the number of columns), poly of degree 3, or linear.
+    Rows without a label (null or empty) are predicted but teach nothing.
+    """
+    z = standardised(df, columns)
+    known = F.col(label).isNotNull() & (F.col(label).cast("string") != "")
+    z = z.withColumn("held_out", F.when(known, F.pmod(F.xxhash64(*columns, label), F.lit(1000)) < int(1000 * test_share)))
+    names = [f"z_{c}" for c in columns]
+    if kernel == "rbf":
+        z = z.withColumn("features", random_fourier(names, gamma or 1.0 / len(columns), size, seed))
+    elif kernel == "poly":
+        z = PolynomialExpansion(degree=3, inputCol="_x", outputCol="features").transform(VectorAssembler(inputCols=names, outputCol="_x").transform(z)).drop("_x")
+    elif kernel == "linear":
+        z = _assembled(z, names)
+    else:
+        raise ValueError("kernel is rbf, poly or linear")
+    taught = z.filter("NOT held_out")
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(taught)
+    taught = index.transform(taught)
+    n = taught.count()
+    model = OneVsRest(classifier=LinearSVC(maxIter=25, regParam=1.0 / (c * max(n, 1))), featuresCol="features", labelCol="_y", predictionCol="_p").fit(taught)
+    labels = F.array(*[F.lit(x) for x in index.labels])
+    return model.transform(z).withColumn("predicted", F.get(labels, F.col("_p").cast("int"))).drop("features", "_p", "rawPrediction", *names)
+
+
+def confusion(predictions: DataFrame, label: str) -> DataFrame:
+    """label, predicted, n and accuracy (of all) over the held-out rows of classify()."""
+    held = predictions.filter("held_out")
+    right = held.agg(F.avg((F.col(label).cast("string") == F.col("predicted")).cast("double")).alias("accuracy"))
+    return held.groupBy(F.col(label).cast("string").alias("label"), "predicted").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(right))
+
+
+def patches(cells: DataFrame, by: list[str], i: str, j: str, value: str, size: int = 16, stride: int = 4) -> DataFrame:
+    """by, pi, pj, pixels: all whole size x size patches at multiples of stride, row after row (i), by their largest magnitude.
+
+    Rows are dealt to the patches above them first, so that what is dealt again is a patch row's array, not single cells.
+    """
+    origins = lambda c: F.filter(F.sequence(F.greatest(F.floor((F.col(c) - size + stride) / stride), F.lit(0)), F.floor(F.col(c) / stride)), lambda o: o * stride + size > F.col(c))
+    down = cells.filter(F.col(value).isNotNull()).withColumn("_pi", F.explode(origins(i)))
+    columns = down.groupBy(*by, "_pi", j).agg(F.sort_array(F.collect_list(F.struct(F.col(i).alias("_i"), F.col(value).cast("double").alias("_v")))).alias("_c")).filter(F.size("_c") == size)
+    across = columns.withColumn("_pj", F.explode(origins(j)))
+    found = across.groupBy(*by, "_pi", "_pj").agg(F.sort_array(F.collect_list(F.struct(F.col(j).alias("_j"), F.col("_c._v").alias("_v")))).alias("_c")).filter(F.size("_c") == size)
+    pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda r: F.transform("_c", lambda col: F.get(col["_v"], r))))
+    largest = F.greatest(F.array_max(F.transform("_p", F.abs)), F.lit(1e-12))
+    placed = found.select(*by, (F.col("_pi") * stride).alias("pi"), (F.col("_pj") * stride).alias("pj"), pixels.alias("_p"))
+    return placed.select(*by, "pi", "pj", F.transform("_p", lambda v: v / largest).alias("pixels"))
+
+
+def patch_probability(cells: DataFrame, labelled: DataFrame, by: list[str], i: str, j: str, value: str, size: int = 16, stride: int = 4, layers: tuple[int, ...] = (128, 32), iterations: int = 60, seed: int = 0) -> DataFrame:
+    """by, i, j, probability, n: the mean over all n patches that hold a cell of the chance that a patch has a fault.
+
+    labelled (pixels, label 0 or 1) is what the perceptron learns from, an input: patches of known sections. Cells in no
+    whole patch have 0. A mean of a patch row is added up before its cells are, as the patches were dealt.
+    """
+    vector = lambda d: d.withColumn("features", array_to_vector(F.col("pixels").cast("array<double>")))
+    model = MultilayerPerceptronClassifier(layers=[size * size, *layers, 2], labelCol="label", maxIter=iterations, seed=seed).fit(vector(labelled.withColumn("label", F.col("label").cast("double"))))
+    scored = model.transform(vector(patches(cells, by, i, j, value, size, stride))).select(*by, "pi", "pj", vector_to_array("probability")[1].alias("_p"))
+    rows = scored.withColumn("_j", F.explode(F.sequence("pj", F.col("pj") + size - 1))).groupBy(*by, "pi", "_j").agg(F.sum("_p").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    means = rows.withColumn("_i", F.explode(F.sequence("pi", F.col("pi") + size - 1))).groupBy(*by, F.col("_i").alias(i), F.col("_j").alias(j)).agg((F.sum("_s") / F.sum("_n")).alias("probability"), F.sum("_n").alias("n"))
+    return cells.select(*by, i, j).join(means, [*by, i, j], "left").na.fill(0, ["n"]).na.fill(0.0, ["probability"])
 
 
 def forest_regression(df: DataFrame, columns: list[str], target: str, trees: int = 50, test_share: float = 0.3, seed: int = 0) -> tuple[DataFrame, list[float]]:

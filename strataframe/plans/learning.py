@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import tidy as t
 from ..operators import gridding as G
 from ..operators import learning as L
-from .fixtures import GRID_SQL, Catalog, deposits, grid, section, stations, table, wells
+from .fixtures import GRID_SQL, SECTION_SQL, Catalog, deposits, grid, section, stations, table, wells
 from .grids import KNN_SQL
 
 C = Catalog()
@@ -70,14 +71,61 @@ def kmeans(spark, d):
 
 @C.add("som")
 def som(spark, d):
-    w = L.batch_som(wells(spark, d), ["gr", "phi", "rhob"], 3, 3, 4)
-    return spark.createDataFrame([(u, *[float(x) for x in r]) for u, r in enumerate(w)], "unit int, gr double, phi double, rhob double")
+    """The best unit and the facies of every log sample."""
+    return L.som_facies(wells(spark, d), ["gr", "phi", "rhob"], 3, 3, 4, 4).select("well", "seq", "som_node", "som_facies")
+
+
+def _lithology(spark, d):
+    """Classes with a round border, which no line separates; every seventh sample of a well is not labelled."""
+    w = wells(spark, d)
+    near = ((F.col("gr") - 70) / 25) ** 2 + ((F.col("phi") - 0.1) / 0.03) ** 2
+    named = F.when(near < 1, "sand").when(near < 2.5, "silt").otherwise("shale")
+    return w.withColumn("lithology", F.when(F.col("seq") % 7 != 0, named))
 
 
 @C.add("svm")
 def svm(spark, d):
-    w = wells(spark, d).withColumn("lithology", F.when(F.col("gr") > 80, "shale").when(F.col("phi") > 0.1, "sand").otherwise("lime"))
-    return L.classify(w, ["gr", "phi", "rhob"], "lithology").groupBy("held_out", "lithology", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    """The predicted class of every complete sample, labelled or not."""
+    return L.classify(_lithology(spark, d), ["gr", "phi", "rhob"], "lithology").select("well", "seq", "lithology", "held_out", "predicted")
+
+
+@C.add("svm_confusion")
+def svm_confusion(spark, d):
+    r = L.confusion(L.classify(_lithology(spark, d), ["gr", "phi"], "lithology", kernel="poly"), "lithology")
+    return r.select("label", "predicted", "n", t("accuracy").alias("accuracy"))
+
+
+def _layered(spark, d):
+    """The traces as a section of layers: a running sum down each trace, summed over the four traces before it."""
+    s = section(spark, d)
+    down = Window.partitionBy("trace").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.floor(F.col("trace") / 512).cast("long")
+    across = Window.partitionBy("line", "k").orderBy("i").rowsBetween(-3, 0)
+    s = s.select(line.alias("line"), (F.col("trace") % 512).cast("long").alias("i"), F.col("k").cast("long").alias("k"), F.sum("amp").over(down).alias("v"))
+    return s.select("line", "i", "k", F.sum("v").over(across).alias("value"))
+
+
+def _throws(patches, size: int, throw: int):
+    """Patches and the same with their second half moved down by a throw, labelled 0 and 1."""
+    moved = F.transform("pixels", lambda v, n: F.when(F.floor(n / size) < size // 2, v).otherwise(F.get("pixels", (F.floor(n / size) * size + (n + size - throw) % size).cast("int"))))
+    return patches.select("pixels", F.lit(0).alias("label")).unionByName(patches.select(moved.alias("pixels"), F.lit(1).alias("label")))
+
+
+@C.add("fault_ml")
+def fault_ml(spark, d):
+    """Fault probability of the section, taught by its own patches without and with a throw."""
+    s = _layered(spark, d)
+    taught = _throws(L.patches(s, ["line"], "i", "k", "value", 16, 16), 16, 5)
+    r = L.patch_probability(s, taught, ["line"], "i", "k", "value", 16, 8, (32,), 30)
+    return r.select("line", "i", "k", "n", t("probability").alias("probability"))
+
+
+@C.add("patch_cover", f"WITH {SECTION_SQL}, c AS (SELECT trace // 512 AS line, trace % 512 AS i, k, amp FROM tr), o AS (SELECT DISTINCT line, i - i % 8 AS pi FROM c), q AS (SELECT unnest(range(0, 64, 8)) AS pj), p AS (SELECT o.line, pi, pj, max(abs(amp)) AS m, sum(amp * ((c.i - pi) * 16 + c.k - pj)) AS s FROM o, q, c WHERE c.line = o.line AND c.i BETWEEN pi AND pi + 15 AND c.k BETWEEN pj AND pj + 15 GROUP BY o.line, pi, pj HAVING count(*) = 256) SELECT line, pi, pj, round(s / m, 4) + 0.0 AS moment FROM p")
+def patch_cover(spark, d):
+    """The overlapping patches of the section, each as the moment of its pixels."""
+    s = section(spark, d).select(F.floor(F.col("trace") / 512).alias("line"), (F.col("trace") % 512).alias("i"), "k", "amp")
+    p = L.patches(s, ["line"], "i", "k", "amp", 16, 8)
+    return p.select("line", "pi", "pj", t(F.aggregate(F.transform("pixels", lambda v, n: v * n), F.lit(0.0), lambda a, v: a + v), 4).alias("moment"))
 
 
 @C.add("rforest")

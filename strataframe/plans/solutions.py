@@ -7,6 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tidy as t
+from ..operators import contours as O
+from ..operators import drainage as D
 from ..operators import grids as G
 from ..operators import iterate as I
 from ..operators import solutions as S
@@ -272,9 +274,19 @@ def fill_depressions(spark, d):
     return I.fill_depressions(_small(spark, d)).select("i", "j", t("filled").alias("filled"))
 
 
-@C.add("watershed")
+SMALL_SQL = f"WITH RECURSIVE {GRID_SQL}, z AS (SELECT i, j, band + i * 3.0 + j * 0.5 AS value FROM g), nb AS (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS a, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS b, unnest(range(8)) AS n), x AS (SELECT c.i, c.j, c.i + a AS ti, c.j + b AS tj, (c.value - o.value) / (100 * sqrt(a * a + b * b)) AS dr, n FROM z c, nb, z o WHERE o.i = c.i + a AND o.j = c.j + b), fl AS (SELECT i, j, ti, tj FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY dr DESC, n) AS r FROM x WHERE dr > 0) WHERE r = 1), way AS (SELECT i, j, i AS ci, j AS cj FROM z UNION ALL SELECT way.i, way.j, fl.ti, fl.tj FROM way JOIN fl ON fl.i = way.ci AND fl.j = way.cj)"
+
+
+@C.add("watershed", f"{SMALL_SQL} SELECT ci AS i, cj AS j, count(*) AS cells_above, round(log10(count(*)), 6) AS accumulation FROM way GROUP BY ci, cj")
 def watershed(spark, d):
-    return I.flow_accumulation(_small(spark, d), 100.0, 100.0).select("i", "j", "cells_above", t(F.log10("cells_above")).alias("accumulation"))
+    return D.flow_accumulation(_small(spark, d), 100.0, 100.0).select("i", "j", "cells_above", t(F.log10("cells_above")).alias("accumulation"))
+
+
+@C.add("watershed_basin", f"{SMALL_SQL}, pours AS (SELECT i, j, i * 50 + j AS pour FROM g WHERE band = 1), hits AS (SELECT way.i, way.j, pour, z.value FROM way JOIN pours ON pours.i = ci AND pours.j = cj JOIN z ON z.i = ci AND z.j = cj) SELECT i, j, max_by(pour, value)::BIGINT AS basin FROM hits GROUP BY i, j")
+def watershed_basin(spark, d):
+    """The cells above each of the lowest cells, up to the next of them."""
+    pours = grid(spark, d).filter("band = 1").select("grid_id", "i", "j", (F.col("i") * 50 + F.col("j")).alias("pour"))
+    return D.basins(_small(spark, d), pours, 100.0, 100.0).select("i", "j", "basin")
 
 
 @C.add("cost_distance")
@@ -291,13 +303,31 @@ def lineaments(spark, d):
     return _tidied(I.lineaments(cells, parts, 4), ["grid_id", "component", "n"])
 
 
-@C.add("contour")
+def _contour_sql(cells: str, levels: str, key: str) -> str:
+    """Rows of ordered contours: crossings of block sides, links inside blocks, and each list walked from its head."""
+    return f"""WITH RECURSIVE {GRID_SQL}, c AS ({cells}), n AS (SELECT max(j) + 1 AS w FROM g), lv AS (SELECT unnest({levels}::DOUBLE[]) AS level),
+bl AS (SELECT a.{key}, a.i, a.j, a.x AS x0, b.x AS x1, a.y AS y0, e.y AS y1, a.value AS a, b.value AS b, d.value AS c, e.value AS e FROM c a JOIN c b ON b.{key} = a.{key} AND b.i = a.i AND b.j = a.j + 1 JOIN c e ON e.{key} = a.{key} AND e.i = a.i + 1 AND e.j = a.j JOIN c d ON d.{key} = a.{key} AND d.i = a.i + 1 AND d.j = a.j + 1),
+sd AS (SELECT {key}, i, j, level, unnest([0, 1, 2, 3]) AS k, unnest([a, b, c, e]) AS p, unnest([b, c, e, a]) AS q, ((a + b + c + e) / 4 >= level) = (a >= level) AS joined,
+  unnest([(i * w + j) * 2, (i * w + j + 1) * 2 + 1, ((i + 1) * w + j) * 2, (i * w + j) * 2 + 1]) AS "at",
+  unnest([x0 + (x1 - x0) * (level - a) / (b - a), x1, x0 + (x1 - x0) * (level - e) / (c - e), x0]) AS px,
+  unnest([y0, y0 + (y1 - y0) * (level - b) / (c - b), y1, y0 + (y1 - y0) * (level - a) / (e - a)]) AS py FROM bl, lv, n),
+st AS (SELECT *, count(*) OVER (PARTITION BY {key}, i, j, level) AS two FROM sd WHERE p >= level AND q < level), en AS (SELECT * FROM sd WHERE p < level AND q >= level),
+lk AS (SELECT s.{key}, s.level, s.at AS a, e.at AS b FROM st s JOIN en e ON e.{key} = s.{key} AND e.level = s.level AND e.i = s.i AND e.j = s.j AND (s.two = 1 OR e.k = CASE WHEN s.joined THEN xor(s.k, 1) ELSE 3 - s.k END)),
+pt AS (SELECT {key}, level, "at", min(px) AS x, min(py) AS y FROM (SELECT * FROM st UNION ALL BY NAME SELECT * FROM en) GROUP BY {key}, level, "at"),
+reach AS (SELECT {key}, level, a, b FROM lk UNION SELECT r.{key}, r.level, r.a, l.b FROM reach r JOIN lk l ON l.{key} = r.{key} AND l.level = r.level AND l.a = r.b),
+heads AS (SELECT {key}, level, a AS head, false AS ring FROM lk l WHERE NOT EXISTS (SELECT 1 FROM lk o WHERE o.{key} = l.{key} AND o.level = l.level AND o.b = l.a) UNION ALL SELECT {key}, level, min(b), true FROM (SELECT *, bool_or(a = b) OVER (PARTITION BY {key}, level, a) AS r FROM reach) WHERE r GROUP BY {key}, level, a),
+walk AS (SELECT DISTINCT {key}, level, head, ring, head AS "at", 0::BIGINT AS seq FROM heads UNION ALL SELECT w.{key}, w.level, head, ring, l.b, seq + 1 FROM walk w JOIN lk l ON l.{key} = w.{key} AND l.level = w.level AND l.a = w.at WHERE seq = 0 OR w.at <> head),
+out AS (SELECT {key}, level, head::BIGINT AS line_id, seq, x, y, ring FROM walk JOIN pt USING ({key}, level, "at")),
+ar AS (SELECT {key}, level, line_id, sum(x * ny - nx * y) / 2 AS area FROM (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM out WHERE ring WINDOW o AS (PARTITION BY {key}, level, line_id ORDER BY seq)) GROUP BY {key}, level, line_id)"""
+
+
+@C.add("contour", _contour_sql("SELECT i, j, x, y, value, 0 AS one FROM g", "[910, 930]", "one") + " SELECT level, line_id, seq, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, ring FROM out")
 def contour(spark, d):
-    r = I.contour_lines(grid(spark, d).select("grid_id", "i", "j", "x", "y", "value"), [910.0, 930.0])
-    return _tidied(r.drop("grid_id"), ["line_id"])
+    r = O.contour_lines(grid(spark, d).select("grid_id", "i", "j", "x", "y", "value"), [910.0, 930.0])
+    return r.select("level", "line_id", "seq", t("x", 4).alias("x"), t("y", 4).alias("y"), "ring")
 
 
-@C.add("ras2vec")
+@C.add("ras2vec", _contour_sql("SELECT i, j, x, y, (zone = class)::DOUBLE AS value, class FROM g, (SELECT unnest(range(5))::DOUBLE AS class)", "[0.5]", "class") + " SELECT class, line_id, seq, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, ring, coalesce(area < 0, false) AS hole FROM out LEFT JOIN ar USING (class, level, line_id)")
 def ras2vec(spark, d):
-    r = I.class_outlines(grid(spark, d).select("grid_id", "i", "j", "x", "y", F.col("zone").alias("value")), [0.0, 1.0, 2.0, 3.0, 4.0])
-    return _tidied(r.drop("grid_id"), [])
+    r = O.class_outlines(grid(spark, d).select("grid_id", "i", "j", "x", "y", F.col("zone").alias("value")), [0.0, 1.0, 2.0, 3.0, 4.0])
+    return r.select("class", "line_id", "seq", t("x", 4).alias("x"), t("y", 4).alias("y"), "ring", "hole")

@@ -113,12 +113,12 @@ def test_residual_verdict_on_a_trend(spark):
 
 
 def test_contour_of_a_plane_is_one_straight_line(spark):
-    from strataframe.operators.iterate import contour_lines
+    from strataframe.operators.contours import contour_lines
 
     z = [[float(j) for j in range(5)] for _ in range(4)]
     rows = contour_lines(cells_of(spark, z), [1.5]).collect()
-    assert len(rows) == 3 and len({r.line_id for r in rows}) == 1
-    assert all(r.ax == r.bx == 150.0 for r in rows)
+    assert len({r.line_id for r in rows}) == 1 and not any(r.ring for r in rows)
+    assert [(r.seq, r.x) for r in sorted(rows, key=lambda r: r.seq)] == [(k, 150.0) for k in range(4)]
 
 
 def test_reciprocal_method_recovers_a_flat_refractor(spark):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import _FOLD, U64, column_slices, mix, release, word_hashes
-from ._frames import among, drop_written, heads_of, packed_by_frame, packed_schema, packed_table, partitions, spans_of, unpacked, written
+from ._frames import among, drop_written, heads_of, packed_schema, packed_table, partitions, spans_of, written
 
 LONGEST = 4
 #: Text of a frame.
@@ -61,8 +61,31 @@ def pieces_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, (np.cumsum(kind == 2) + np.cumsum(head[:-1]))[starts] if len(raw) else np.zeros(0, np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, compressed: small ones take little."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _plain(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _lines(values: pa.Array) -> bytes:
+    """Strings without line feeds, one a line, compressed."""
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), "\n")
+    return zstandard.compress(joined[0].as_buffer(), 3)
+
+
+def _split_lines(packed: bytes) -> pa.Array:
+    """What _lines() got; no line is empty."""
+    text = pa.array([zstandard.decompress(packed)], pa.binary()).cast(pa.string())
+    lines = pa.compute.split_pattern(text, "\n").values
+    return lines.filter(pa.compute.not_equal(lines, ""))
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for about FRAME_BYTES of a language: words, their counts, and the packed text (0 between pieces)."""
+    """One row for about FRAME_BYTES of a language: the text as numbers of words (0 between pieces), and the words."""
     waiting, sizes = defaultdict(list), defaultdict(int)
 
     def frame(lang: str) -> pa.RecordBatch:
@@ -75,12 +98,10 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces.append(piece + base)
             base += int(piece[-1]) + 1 if len(piece) else 0
         coded, piece = pa.concat_arrays(words).dictionary_encode(), np.concatenate(pieces)
-        code = coded.indices.to_numpy().astype(np.int32)
-        counts = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int64)
-        text = np.insert(code + 1, np.flatnonzero(piece[1:] != piece[:-1]) + 1, 0).astype("<i4")
-        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        packed = zstandard.compress(text.tobytes(), 3)
-        return pa.RecordBatch.from_arrays([pa.array([lang]), listed(coded.dictionary), listed(pa.array(counts)), pa.array([packed], pa.binary())], ["lang", "words", "counts", "packed"])
+        code = coded.indices.to_numpy()
+        text = np.insert(code.astype(np.int64) + 1, np.flatnonzero(piece[1:] != piece[:-1]) + 1, 0)
+        out = [pa.array([lang]), pa.array([len(code)], pa.int64()), pa.array([_packed(text)], pa.binary()), pa.array([_lines(coded.dictionary)], pa.binary())]
+        return pa.RecordBatch.from_arrays(out, ["lang", "n", "text", "words"])
 
     for batch in batches:
         langs = batch["lang"]
@@ -102,30 +123,22 @@ class _Frame:
     """Codes of a frame's text (0 between pieces, at its end too) and its words' and pairs' keys."""
 
     def __init__(self, frame: pa.RecordBatch | pa.Table):
-        self.text = np.append(np.frombuffer(zstandard.decompress(frame["packed"][0].as_py()), "<i4").astype(np.int64), 0)
-        self.words, self.lang = frame["words"][0].values, frame["lang"][0].as_py()
-        self.counts = frame["counts"][0].values.to_numpy()
+        self.text = np.append(_plain(frame["text"][0].as_py()).astype(np.int64), 0)
+        self.words, self.lang = _split_lines(frame["words"][0].as_py()), frame["lang"][0].as_py()
+        self.base = len(self.words) + 1
+        self.counts = np.bincount(self.text, minlength=self.base)[1:]
         lang = np.frombuffer(self.lang.encode(), np.uint8)
-        seed = word_hashes(lang, np.array([0]), np.array([len(lang)]), fold=False)
+        self.seed = word_hashes(lang, np.array([0]), np.array([len(lang)]), fold=False)
         own = [word_hashes(raw, at[:-1], at[1:], fold=False) for _, _, raw, at in column_slices(self.words, FRAME_BYTES)]
-        own = np.concatenate(own) if own else np.zeros(0, U64)
-        self.word_key = mix(own ^ seed) >> U64(64 - KEY_BITS)
-        self.base = len(self.words) + 1
+        self.own = np.concatenate([np.zeros(1, U64), *own])
+        self.word_key = mix(self.own[1:] ^ self.seed) >> U64(64 - KEY_BITS)
         self.first = np.flatnonzero((self.text[:-1] > 0) & (self.text[1:] > 0))
         pair = self.text[self.first] * self.base + self.text[self.first + 1]
         self.pair, self.pair_at, self.pair_count = np.unique(pair, return_inverse=True, return_counts=True)
-        a, b = self.pair // self.base - 1, self.pair % self.base - 1
-        self.pair_key = mix(own[a] * U64(3) + mix(own[b] ^ seed)) >> U64(64 - KEY_BITS)
+        self.pair_key = self.key_of(self.pair // self.base, self.pair % self.base)
 
-
-def _packed(values: np.ndarray) -> bytes:
-    """Integers as planes of their bytes, compressed: small ones take little."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def _plain(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    def key_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix(self.own[first] * U64(3) + mix(self.own[second] ^ self.seed)) >> U64(64 - KEY_BITS)
 
 
 def _keys_out(buckets: int):
@@ -164,69 +177,100 @@ def _frequent(least: int):
         heads = heads_of(keys)
         enough = np.add.reduceat(counts, heads) >= least if len(heads) else np.zeros(0, bool)
         hit = np.repeat(enough, np.diff(np.append(heads, len(keys))))
-        return packed_by_frame(frame[hit], keys[hit])
+        # Keys come sorted, and stay so within a frame.
+        frame, keys = frame[hit], keys[hit]
+        order = np.argsort(frame, kind="stable")
+        frame, keys = frame[order], keys[order]
+        spans = spans_of(frame)
+        return packed_table(np.zeros(len(spans), np.int32), frame[[a for a, _ in spans]].astype(np.int32), [_packed(np.diff(keys[a:b], prepend=U64(0))) for a, b in spans])
 
     return kernel
 
 
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-COUNTED = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", f long"
-
-
-def _phrases(frame: pa.Table, told: pa.Table) -> pa.Table:
-    """Counts of a frame's phrases of 1 to LONGEST words, all of whose pairs may be frequent."""
-    kinds = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in WORDS], ("f", pa.int64())])
-    if not frame.num_rows or not told.num_rows:
-        return kinds.empty_table()
-    frame = frame.combine_chunks()
-    f, pool = _Frame(frame), np.sort(unpacked(told["c0"])[0])
-    out = [([np.flatnonzero(among(f.word_key, pool)) + 1], f.counts[among(f.word_key, pool)])]
-    good_pair = among(f.pair_key, pool)
-    good = np.zeros(len(f.text) + LONGEST, bool)
-    good[f.first] = good_pair[f.pair_at]
-    pair_number = np.zeros(len(f.text), np.int64)
-    pair_number[f.first] = f.pair_at
-    kept = f.pair[good_pair]
-    out.append(([kept // f.base, kept % f.base], f.pair_count[good_pair]))
-    runs, number = good.copy(), pair_number
-    for size in range(3, LONGEST + 1):
-        runs = runs[:-1] & good[size - 2 : size - 2 + len(runs) - 1]
-        at = np.flatnonzero(runs)
-        if not len(at):
-            break
-        key = number[at] * f.base + f.text[at + size - 1]
-        _, one, back, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        number = np.zeros(len(f.text), np.int64)
-        number[at] = back
-        out.append(([f.text[at[one] + k] for k in range(size)], counts))
-    names = pa.concat_arrays([pa.array([""], pa.string()), f.words])
-    tables = []
-    for codes, counts in out:
-        codes += [np.zeros(len(counts), np.int64)] * (LONGEST - len(codes))
-        tables.append(pa.table([pa.array([f.lang] * len(counts), pa.string()), *[names.take(pa.array(c)) for c in codes], pa.array(counts, pa.int64())], kinds))
-    return pa.concat_tables(tables)
+COUNTED = "lang string, phrase string, f long"
+BLOBS = "bucket int, lang string, phrases binary, counts binary"
+
+
+def _phrases(buckets: int):
+    """A frame's phrases of 1 to LONGEST words, all of whose pairs may be frequent, and their counts: a blob for each bucket.
+
+    A bucket is a range of the key of a whole phrase, so no bucket is hot: a phrase comes to it once from each frame.
+    """
+    kinds = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+    def kernel(frame: pa.Table, told: pa.Table) -> pa.Table:
+        if not frame.num_rows or not told.num_rows:
+            return kinds.empty_table()
+        f, pool = _Frame(frame.combine_chunks()), np.sort(np.concatenate([np.cumsum(_plain(x), dtype=U64) for x in told["c0"].to_pylist()]))
+        good_word, good_pair = among(f.word_key, pool), among(f.pair_key, pool)
+        kept = f.pair[good_pair]
+        found = [([np.flatnonzero(good_word) + 1], f.counts[good_word]), ([kept // f.base, kept % f.base], f.pair_count[good_pair])]
+        good, number = np.zeros(len(f.text) + LONGEST, bool), np.zeros(len(f.text), np.int64)
+        good[f.first], number[f.first] = good_pair[f.pair_at], f.pair_at
+        runs = good.copy()
+        for size in range(3, LONGEST + 1):
+            runs = runs[:-1] & good[size - 2 : size - 2 + len(runs) - 1]
+            at = np.flatnonzero(runs)
+            if not len(at):
+                break
+            _, one, back, counts = np.unique(number[at] * f.base + f.text[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
+            number = np.zeros(len(f.text), np.int64)
+            number[at] = back
+            found.append(([f.text[at[one] + k] for k in range(size)], counts))
+        codes = [np.concatenate([c[k] if k < len(c) else np.zeros(len(n), np.int64) for c, n in found]) for k in range(LONGEST)]
+        counts = np.concatenate([n for _, n in found])
+        if not len(counts):
+            return kinds.empty_table()
+        key = f.word_key[codes[0] - 1]
+        for c in codes[1:]:
+            key = np.where(c > 0, mix(key * U64(3) + f.own[c]) >> U64(64 - KEY_BITS), key)
+        bucket = ((key * U64(buckets)) >> U64(KEY_BITS)).astype(np.int32)
+        order = np.lexsort([*codes[::-1], bucket])
+        bucket, counts = bucket[order], counts[order]
+        names = pa.concat_arrays([pa.array([""], pa.string()), f.words])
+        phrases = pa.compute.utf8_rtrim(pa.compute.binary_join_element_wise(*[names.take(pa.array(c[order])) for c in codes], " "), " ")
+        spans = spans_of(bucket)
+        return pa.table([pa.array(bucket[[a for a, _ in spans]], pa.int32()), pa.array([f.lang] * len(spans), pa.string()), pa.array([_lines(phrases[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(counts[a:b]) for a, b in spans], pa.binary())], kinds)
+
+    return kernel
+
+
+def _added(least: int):
+    """The counts of a bucket's phrases, those below least left out."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        phrases = [_split_lines(x) for x in table["phrases"].to_pylist()]
+        langs = pa.concat_arrays([table["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(phrases)), [len(x) for x in phrases])))]).dictionary_encode()
+        f = pa.array(np.concatenate([_plain(x) for x in table["counts"].to_pylist()]).astype(np.int64))
+        sums = pa.table([langs.indices, pa.concat_arrays(phrases), f], ["k", "phrase", "f"]).group_by(["k", "phrase"]).aggregate([("f", "sum")])
+        sums = sums.filter(pa.compute.greater_equal(sums["f_sum"], least))
+        return pa.table([langs.dictionary.take(sums["k"].combine_chunks()), sums["phrase"], sums["f_sum"]], ["lang", "phrase", "f"])
+
+    return kernel
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, w1 .. w4, f) of all phrases of 1 to 4 words with f >= least ("" beyond a phrase's end), and (lang, n) of all words."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = slim.mapInArrow(_frames, "lang string, words array<string>, counts array<long>, packed binary").withColumn("at", F.monotonically_increasing_id())
+    made = slim.mapInArrow(_frames, "lang string, n long, text binary, words binary").withColumn("at", F.monotonically_increasing_id())
     made = written(made, "phrase-texts")
-    # Frames are numbered by a window over few rows of each partition, so that a number is 32 bits.
-    per = made.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Frames are numbered from the counts of each partition's, so that a number is 32 bits.
+    per = made.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("c"))
+    base = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = made.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(per.select("part", base.alias("base"))), "part")
-    frames = numbered.select((F.col("base") + F.col("at").bitwiseAND(2**33 - 1)).cast("int").alias("frame"), "lang", "words", "counts", "packed")
+    frames = numbered.select((F.col("base") + F.col("at").bitwiseAND(2**33 - 1)).cast("int").alias("frame"), "lang", "text", "words")
     parts = partitions(spark)
     count = made.count()
     buckets = max(1, count if count <= parts else -(-count // parts) * parts)
     entries = frames.mapInArrow(_keys_out(buckets), packed_schema(2))
     told = entries.groupBy("bucket").applyInArrow(_frequent(least), packed_schema(1))
-    counted = frames.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_phrases, COUNTED)
-    counts = written(counted.groupBy("lang", *WORDS).agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrase-counts")
-    words = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    words = written(words, "phrase-words")
+    blobs = frames.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_phrases(buckets), BLOBS)
+    counted = blobs.groupBy("bucket").applyInArrow(_added(least), COUNTED)
+    word = F.split("phrase", " ")
+    counts = written(counted.select("lang", *[F.coalesce(F.get(word, F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(WORDS)], "f"), "phrase-counts")
+    words = written(made.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
     drop_written(made)
     return counts, words
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import secrets
 from collections.abc import Iterator
 from contextlib import suppress
 from hashlib import blake2b
@@ -52,16 +53,25 @@ _KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 LONG_SPAN = 64
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+def random_key() -> int:
+    """A key for word_hashes() that nobody can know before the run; draw it once for all tasks that compare hashes."""
+    return secrets.randbits(63) | 1
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, key: int = 0) -> np.ndarray:
     """Hash of the bytes of each span; with fold, A-Z count as a-z.
 
-    Eight bytes a step, each step passed through mix: no sum of terms, so unequal spans meet by chance alone (2**-64).
+    Eight bytes a step, each step passed through mix. Without a key the steps can be undone, so spans with equal hashes can
+    be computed: that will do where a hash only deals rows out or narrows them down. With a key of random_key() the state
+    before the first step is unknown, and unequal spans meet by chance alone (2**-64 a pair).
     """
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[:-8] = _FOLD[raw] if fold else raw
     eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
     left = ends - starts
     out = left.astype(U64) * U64(_P)
+    if key:
+        out = mix(out ^ U64(key))
     todo, at = np.flatnonzero((left > 0) & (left <= LONG_SPAN)), starts
     at, left = starts[todo], left[todo]
     while len(todo):
@@ -69,10 +79,31 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         more = left > 8
         todo, at, left = todo[more], at[more] + 8, left[more] - 8
     for n in np.flatnonzero(ends - starts > LONG_SPAN):
-        out[n] = int.from_bytes(blake2b(padded[starts[n] : ends[n]], digest_size=8).digest(), "little")
+        out[n] = int.from_bytes(blake2b(padded[starts[n] : ends[n]], digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return out
 
 
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, keys: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, check) of each span, which together tell spans apart: spans of up to eight bytes always, for a step is a
+    bijection of them, longer ones by two hashes with random keys (2**-127 a pair). No key is 0."""
+    value = word_hashes(raw, starts, ends, fold, keys[0])
+    check = (ends - starts).astype(U64) << U64(1) | value & U64(1)
+    long = np.flatnonzero(ends - starts > 8)
+    if len(long):
+        check[long] = word_hashes(raw, starts[long], ends[long], fold, keys[1])
+    return value | U64(1), check
+
+
+def distinct_of(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct (key, check), and the number of each place's."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return order[fresh], back
+
+
 class Runs:
     """Hashes of runs of at most `most` words from those of 1, 2, 4 .. words, which each hash two of the one before."""
 
@@ -118,7 +149,7 @@ def column_slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES)
 class Words:
     """The words of one slice: hash and byte span of each, its row, and each row's first word."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = False, key: int = 0):
         rows = len(offsets) - 1
         gap = _SPACE[raw]
         begin = ~gap
@@ -134,7 +165,7 @@ class Words:
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
-        self.hash = word_hashes(raw, self.starts, self.ends, fold)
+        self.hash = word_hashes(raw, self.starts, self.ends, fold, key)
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -23,6 +23,8 @@ PAIRS_AT_ONCE = 1 << 16
 def _pack(table: pa.Table) -> pa.Table:
     order = np.argsort(table["rep"].to_numpy(), kind="stable")
     vectors = table["vec"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[order]
+    # By a power of two each, which changes no digit, so that no square is too large or too small.
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
     return pa.table(
         {name: table[name].slice(0, 1) for name in ("label", "dim", "block", "blocks")}
         | {

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, Words, column_slices, mix, shingle_sets
+from ._arrays import U64, Words, column_slices, mix, random_key, shingle_sets
 from ._frames import among, heads_of, packed_by_frame, packed_schema, partitions, spans_of, to_buckets, unpacked, written
 from .components import connected_components
 from .embedding_dedup import forest
@@ -52,13 +52,13 @@ def _bands(minhashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(shingle: int):
+def _sketch(shingle: int, key: int):
     seeds = mix(np.arange(1, 2 * HASHES * BAND + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in column_slices(batch["text"]):
-                row, value = shingle_sets(Words(raw, offsets, fold=True), shingle)
+                row, value = shingle_sets(Words(raw, offsets, fold=True, key=key), shingle)
                 size = np.bincount(row, minlength=j - i).astype(np.int64)
                 h1, h2, bands = np.zeros(j - i, U64), np.zeros(j - i, U64), [None] * (j - i)
                 if len(row):
@@ -140,10 +140,10 @@ class Sets:
         return Sets(np.concatenate(parts) if parts else self.values[:0], self.sizes[which])
 
 
-def sets_of(column, shingle: int) -> Sets:
+def sets_of(column, shingle: int, key: int) -> Sets:
     values, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for i, j, raw, offsets in column_slices(column):
-        row, value = shingle_sets(Words(raw, offsets, fold=True), shingle)
+        row, value = shingle_sets(Words(raw, offsets, fold=True, key=key), shingle)
         values.append(value)
         sizes.append(np.bincount(row, minlength=j - i))
     return Sets(np.concatenate(values), np.concatenate(sizes))
@@ -195,12 +195,12 @@ def linked_roots(ids: np.ndarray, a: Sets, b: Sets | None, numerator: int, denom
     return ids[order][forest(len(ids), rank[i], rank[j])[rank]]
 
 
-def _small_groups(shingle: int, numerator: int, denominator: int):
+def _small_groups(shingle: int, key: int, numerator: int, denominator: int):
     """Whole candidate groups of at most CELL classes, many in one task."""
 
     def kernel(table: pa.Table) -> pa.Table:
         ids, group = table["rep"].to_numpy(), table["group"].to_numpy()
-        sets = sets_of(table["text"], shingle)
+        sets = sets_of(table["text"], shingle, key)
         order = np.argsort(group, kind="stable")
         out_a, out_b = [], []
         for x, y in spans_of(group[order]):
@@ -214,9 +214,9 @@ def _small_groups(shingle: int, numerator: int, denominator: int):
     return kernel
 
 
-def _cell(shingle: int):
+def _cell(shingle: int, key: int):
     def kernel(table: pa.Table) -> pa.Table:
-        sets = sets_of(table["text"], shingle)
+        sets = sets_of(table["text"], shingle, key)
         one = {name: table[name].slice(0, 1) for name in ("group", "step", "block", "same", "above", "below")}
         packed = {"ids": table["rep"].to_numpy(), "sizes": sets.sizes.astype(np.int64), "sets": sets.values}
         return pa.table(one | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
@@ -236,7 +236,7 @@ def _cell_pair(numerator: int, denominator: int):
     return kernel
 
 
-def _linked(members: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+def _linked(members: DataFrame, shingle: int, key: int, numerator: int, denominator: int) -> DataFrame:
     """members (rep, group, n, text) -> (a, b): a spanning forest of the links inside every candidate group.
 
     Larger groups are dealt to cells by steps of set size (a step is the largest ratio of linked sizes, so links stay in
@@ -247,7 +247,7 @@ def _linked(members: DataFrame, shingle: int, numerator: int, denominator: int)
     n_small = sizes.filter(F.col("m") <= CELL).agg(F.sum("m")).first()[0] or 0
     bins = max(1, -(-n_small // SMALL_ROWS))
     small = sized.filter(F.col("m") <= CELL).select(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("int").alias("bin"), "rep", "group", "text")
-    links = small.groupBy("bin").applyInArrow(_small_groups(shingle, numerator, denominator), "a long, b long")
+    links = small.groupBy("bin").applyInArrow(_small_groups(shingle, key, numerator, denominator), "a long, b long")
 
     step = F.floor(F.log("n") / F.log(F.lit(denominator / numerator)) + 1e-9).cast("int")
     large = sized.filter(F.col("m") > CELL).select("rep", "group", "text", step.alias("step"))
@@ -255,7 +255,7 @@ def _linked(members: DataFrame, shingle: int, numerator: int, denominator: int)
     shifted = lambda by, name: cells.select("group", (F.col("step") - by).alias("step"), F.col("same").alias(name))
     cells = cells.join(shifted(1, "above"), ["group", "step"], "left").join(shifted(-1, "below"), ["group", "step"], "left").na.fill(0, ["above", "below"])
     dealt = large.join(cells, ["group", "step"]).withColumn("block", F.pmod(F.xxhash64("rep"), "same").cast("int"))
-    packed = dealt.groupBy("group", "step", "block").applyInArrow(_cell(shingle), "group long, step int, block int, same int, above int, below int, ids binary, sizes binary, sets binary")
+    packed = dealt.groupBy("group", "step", "block").applyInArrow(_cell(shingle, key), "group long, step int, block int, same int, above int, below int, ids binary, sizes binary, sets binary")
     every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     b, s = F.col("block"), F.col("step")
     tiles = F.concat(
@@ -278,10 +278,10 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeat an id are each compared; an id's rows may so join components. Other columns are not read. An empty table
     gives an empty table. Rows without an id are returned with a null component and not kept.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, random_key()
     numerator, denominator = threshold
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketched = written(texts.mapInArrow(_sketch(shingle), "id long, n_shingles long, h1 long, h2 long, bands binary"), "sketches")
+    sketched = written(texts.mapInArrow(_sketch(shingle, key), "id long, n_shingles long, h1 long, h2 long, bands binary"), "sketches")
     same = ["h1", "h2", "n_shingles"]
     classes = sketched.filter("n_shingles > 0 AND id IS NOT NULL").groupBy(same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
@@ -300,7 +300,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = F.broadcast(grouped) if grouped.count() <= BROADCAST_IDS else grouped
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"))
     members = texts.join(near, "id").join(sizes, "id").select(F.col("id").alias("rep"), "group", "n", "text")
-    links = connected_components(_linked(written(members, "candidates"), shingle, numerator, denominator))
+    links = connected_components(_linked(written(members, "candidates"), shingle, key, numerator, denominator))
 
     found = classes.select("rep", *same).join(links.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select(*same, F.coalesce("component", "rep").alias("component"))

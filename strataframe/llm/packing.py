@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, Words, column_slices, one_thread, release, word_hashes
+from ._arrays import U64, Words, column_slices, distinct_of, one_thread, random_key, release, word_keys
 from ._frames import written
 
 #: Open bins of the packers that take pieces as they come, and of those that pack loose bins' pieces again.
@@ -35,37 +35,42 @@ _IS_TAIL = np.isin(np.arange(256), list(TAIL))
 
 
 class WordTable:
-    """64-bit keys to slots by open addressing, looked up and filled with whole arrays. At most half its places are taken."""
+    """Keys with checks to slots by open addressing, looked up and filled with whole arrays. At most half its places are taken."""
 
     def __init__(self, bits: int = 20):
         self.mask = U64((1 << bits) - 1)
-        self.keys, self.slots, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
+        self.keys, self.checks, self.slots, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's slot, or -1."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The slot of each key with its check, or -1. No key is 0."""
         out = np.full(len(keys), -1, np.int64)
         todo, at = np.arange(len(keys)), (keys >> U64(17)) & self.mask
         while len(todo):
             there = self.keys[at]
-            hit = there == keys[todo]
+            hit = (there == keys[todo]) & (self.checks[at] == checks[todo])
             out[todo[hit]] = self.slots[at[hit]]
             go = ~hit & (there != 0)
             todo, at = todo[go], (at[go] + U64(1)) & self.mask
         return out
 
-    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        """Distinct keys that are not in the table, which doubles until twice as many places as keys are there."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, slots: np.ndarray) -> None:
+        """Distinct (key, check) that are not in the table, which doubles until twice as many places as those are there."""
         bits = (2 * (self.size + len(keys)) - 1).bit_length()
         if 1 << bits > len(self.keys):
             full = self.keys != 0
-            keys, slots = np.concatenate([self.keys[full], keys]), np.concatenate([self.slots[full], slots])
+            keys, checks, slots = (np.concatenate([a[full], b]) for a, b in ((self.keys, keys), (self.checks, checks), (self.slots, slots)))
             self.__init__(bits)
         self.size += len(keys)
         todo, at = np.arange(len(keys)), (keys >> U64(17)) & self.mask
         while len(todo):
             free = self.keys[at] == 0
-            self.keys[at[free]] = keys[todo[free]]
-            won = free & (self.keys[at] == keys[todo])
+            # Several may go to one free place: the last one has it, and so have its check and its slot.
+            owner = np.full(len(at), -1)
+            _, first = np.unique(at[free][::-1], return_index=True)
+            last = np.flatnonzero(free)[::-1][first]
+            owner[last] = last
+            self.keys[at[last]], self.checks[at[last]] = keys[todo[last]], checks[todo[last]]
+            won = owner >= 0
             self.slots[at[won]] = slots[todo[won]]
             todo, at = todo[~won], (at[~won] + U64(1)) & self.mask
 
@@ -88,6 +93,7 @@ class WordEncoder:
         vocab = self.whole.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.keys = (random_key(), random_key())
         self.clear()
 
     def clear(self) -> None:
@@ -116,7 +122,7 @@ class WordEncoder:
         got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
         return self._store(np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
 
-    def _learn_cores(self, keys: np.ndarray, cores: list[bytes]) -> None:
+    def _learn_cores(self, keys: np.ndarray, checks: np.ndarray, cores: list[bytes]) -> None:
         lengths, plain = np.full(len(cores), -1, np.int64), []
         for n, core in enumerate(cores):
             low = core.decode().lower()
@@ -130,15 +136,15 @@ class WordEncoder:
             assert len(ends) == len(some), "every word ends in one end-of-word token"
             lengths[[n for n, _ in some]] = np.diff(ends, prepend=0)
             parts.append(ids)
-        self.cores.add(keys, self._store(np.concatenate(parts) if parts else np.zeros(0, np.uint32), lengths))
+        self.cores.add(keys, checks, self._store(np.concatenate(parts) if parts else np.zeros(0, np.uint32), lengths))
 
-    def _slots(self, table: WordTable, keys: np.ndarray, learn, spans) -> np.ndarray:
-        slots = table.find(keys)
+    def _slots(self, table: WordTable, keys: np.ndarray, checks: np.ndarray, learn, spans) -> np.ndarray:
+        slots = table.find(keys, checks)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            fresh, at = np.unique(keys[new], return_index=True)
-            learn(fresh, [spans(w) for w in new[at]])
-            slots[new] = table.find(keys[new])
+            at = new[distinct_of(keys[new], checks[new])[0]]
+            learn(keys[at], checks[at], [spans(w) for w in at])
+            slots[new] = table.find(keys[new], checks[new])
         return slots
 
     def encode(self, words: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +155,7 @@ class WordEncoder:
         for _ in range(TAIL_BYTES):
             stop -= _IS_TAIL[raw[stop - 1]] & (stop > words.starts)
         text = lambda a, b: raw[a:b].tobytes()
-        fold = word_hashes(raw, words.starts, stop, fold=True) | U64(1)
-        core = self._slots(self.cores, fold, self._learn_cores, lambda w: text(words.starts[w], stop[w]))
+        core = self._slots(self.cores, *word_keys(raw, words.starts, stop, True, self.keys), self._learn_cores, lambda w: text(words.starts[w], stop[w]))
         tail = np.zeros(len(core), np.int64)
         has_tail = np.flatnonzero(stop < words.ends)
         if len(has_tail):
@@ -166,9 +171,9 @@ class WordEncoder:
             tail[has_tail] = np.array([self.tails[m] for m in marks])[back]
         odd = np.flatnonzero(self.length[core] < 0)
         if len(odd):
-            keys = word_hashes(raw, words.starts[odd], words.ends[odd], fold=False) | U64(1)
-            learn = lambda fresh, cores: self.words.add(fresh, self._whole([c.decode() for c in cores]))
-            core[odd] = self._slots(self.words, keys, learn, lambda w: text(words.starts[odd[w]], words.ends[odd[w]]))
+            keys = word_keys(raw, words.starts[odd], words.ends[odd], False, self.keys)
+            learn = lambda fresh, checks, cores: self.words.add(fresh, checks, self._whole([c.decode() for c in cores]))
+            core[odd] = self._slots(self.words, *keys, learn, lambda w: text(words.starts[odd[w]], words.ends[odd[w]]))
             tail[odd] = 0
         slot = np.stack([core, tail], 1).ravel()
         size = self.length[slot].astype(np.int64)

@@ -10,7 +10,8 @@ in full under shared symbols only and exchanged to find each one's smallest docu
 
 A window's smallest document never has it inside a whole repeat (a smaller document would have it too), so nothing is lost
 by leaving those windows out. Frames of documents send each name once, so passages in very many documents stay small.
-Names are 64-bit hashes of words and of other names: unequal ones meet with a probability of 2**-64 a pair.
+Names are 64-bit hashes of words, under a random key of the run, and of other names: unequal ones can't be made up
+beforehand, and meet with a probability of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import U64, Words, column_slices, recompressed, windows
+from ._arrays import U64, Words, column_slices, random_key, recompressed, windows
 from ._frames import among, distinct_keys, frames_for, heads_of, packed_by_frame, packed_schema, partitions, shared_in_bucket, text_bytes, to_buckets, unpacked
 
 #: A symbol of this many windows' words or more is a whole repeat where a smaller document has it.
@@ -42,9 +43,9 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 class _Slice:
     """Words, windows and long symbols of some rows of a frame."""
 
-    def __init__(self, i: int, raw: np.ndarray, offsets: np.ndarray, window: int, with_anchors: bool, with_hashes: bool):
+    def __init__(self, i: int, raw: np.ndarray, offsets: np.ndarray, window: int, with_anchors: bool, with_hashes: bool, key: int):
         self.raw, self.offsets = raw, offsets
-        self.words = words = Words(raw, offsets)
+        self.words = words = Words(raw, offsets, key=key)
         keys, self.begin, self.end, self.name = recompressed(words, window, LONG * window, with_anchors)
         last = max(len(words) - window + 1, 0)
         self.starts = np.flatnonzero(words.row[:last] == words.row[len(words) - last :])
@@ -60,9 +61,9 @@ def _joined(parts, kind) -> np.ndarray:
 class _Frame:
     """The rows of one frame; rows without an id take part in nothing."""
 
-    def __init__(self, table: pa.Table, window: int, with_anchors: bool = True, with_hashes: bool = True):
+    def __init__(self, table: pa.Table, window: int, key: int, with_anchors: bool = True, with_hashes: bool = True):
         self.window, (self.ids, self.known) = window, _ids(table)
-        self.slices = [_Slice(i, raw, offsets, window, with_anchors, with_hashes) for i, _, raw, offsets in column_slices(table["text"])]
+        self.slices = [_Slice(i, raw, offsets, window, with_anchors, with_hashes, key) for i, _, raw, offsets in column_slices(table["text"])]
 
     def symbols(self) -> tuple[np.ndarray, np.ndarray]:
         """Each long symbol's name and its smallest document in the frame."""
@@ -105,11 +106,11 @@ def _smallest(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values[heads], np.minimum.reduceat(docs, heads)
 
 
-def _reveal(window: int, buckets: int):
+def _reveal(window: int, buckets: int, key: int):
     """Buckets below `buckets` get a frame's anchors, those from there on its long symbols."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        frame, number = _Frame(table, window, with_hashes=False), table["frame"][0].as_py()
+        frame, number = _Frame(table, window, key, with_hashes=False), table["frame"][0].as_py()
         use = [frame.known[s.rows] for s in frame.slices]
         return pa.concat_tables([to_buckets(number, buckets, *distinct_keys(frame.of("keys", use), frame.docs(use))), to_buckets(number, buckets, *frame.symbols(), first=buckets)])
 
@@ -133,7 +134,7 @@ def _split(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return unpacked(rows["c0"])[0], unpacked(rows["c1"], np.int64)[0]
 
 
-def _name_windows(window: int, buckets: int):
+def _name_windows(window: int, buckets: int, key: int):
     """The windows under shared anchors outside whole repeats; the long symbols' documents go through to their frame."""
 
     def kernel(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -142,7 +143,7 @@ def _name_windows(window: int, buckets: int):
         pool = np.sort(_split(told, ANCHOR)[0])
         if not table.num_rows or not len(pool):
             return through
-        frame = _Frame(table, window)
+        frame = _Frame(table, window, key)
         judged = frame.settle(*_split(told, SYMBOL))
         value, keys, docs = frame.of("value", judged), frame.of("keys", judged), frame.docs(judged)
         use = among(keys, pool)
@@ -173,9 +174,9 @@ def _windows_told(buckets: int):
     return kernel
 
 
-def _remove(window: int):
+def _remove(window: int, key: int):
     def kernel(table: pa.Table, told: pa.Table) -> pa.Table:
-        frame = _Frame(table, window, with_anchors=False)
+        frame = _Frame(table, window, key, with_anchors=False)
         judged = frame.settle(*_split(told, SYMBOL))
         value, docs = frame.of("value", judged), frame.docs(judged)
         far, far_doc = _split(told, WINDOW)
@@ -224,7 +225,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Documents below the window length keep everything. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts, key = partitions(spark), random_key()
     total = text_bytes(docs, text_col)
     frames = frames_for(total, spark)
     buckets = -(-frames // 2)
@@ -236,11 +237,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in rest if c not in (text_col,)]).alias("rest"),
     ).repartition(parts, "frame")
-    entries = framed.groupBy("frame").applyInArrow(_reveal(window, buckets), packed_schema(2))
+    entries = framed.groupBy("frame").applyInArrow(_reveal(window, buckets, key), packed_schema(2))
     first = entries.groupBy("bucket").applyInArrow(_told_of(buckets), packed_schema(2)).repartition(parts, "frame")
-    named = framed.groupBy("frame").cogroup(first.groupBy("frame")).applyInArrow(_name_windows(window, buckets), packed_schema(2))
+    named = framed.groupBy("frame").cogroup(first.groupBy("frame")).applyInArrow(_name_windows(window, buckets, key), packed_schema(2))
     told = named.groupBy("bucket").applyInArrow(_windows_told(buckets), packed_schema(2)).repartition(parts, "frame")
     schema = T.StructType([framed.schema["id"], framed.schema["rest"], *T._parse_datatype_string(RESULT).fields])
-    out = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_remove(window), schema)
+    out = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_remove(window, key), schema)
     columns = [F.col("rest").getField(c).alias(c) if c != text_col else F.col("kept_text").alias(text_col) for c in rest]
     return out.select(*columns, "n_words", "n_removed", "kept_text", "removed")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, column_slices, one_thread, release, word_hashes
+from ._arrays import column_slices, distinct_of, one_thread, random_key, release, word_keys
 from .packing import WordTable
 
 #: Words in one call of the tokenizer.
@@ -76,7 +76,7 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.table, self.known = WordTable(16), {}
+        self.table, self.known, self.keys = WordTable(16), {}, (random_key(), random_key())
         self.line_feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -99,15 +99,16 @@ class Counter:
         return out.tolist()
 
     def of_spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys = word_hashes(raw, starts, ends, fold=False) | U64(1)
-        found = self.table.find(keys)
+        keys, checks = word_keys(raw, starts, ends, False, self.keys)
+        found = self.table.find(keys, checks)
         new = np.flatnonzero(found < 0)
         if len(new):
-            fresh, at, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            counts = np.array(self._encoded([raw[starts[k] : ends[k]].tobytes().decode() for k in new[at]]), np.int32)
-            if self.table.size + len(fresh) > CACHED:
+            first, back = distinct_of(keys[new], checks[new])
+            at = new[first]
+            counts = np.array(self._encoded([raw[starts[k] : ends[k]].tobytes().decode() for k in at]), np.int32)
+            if self.table.size + len(at) > CACHED:
                 self.table = WordTable(16)
-            self.table.add(fresh, counts)
+            self.table.add(keys[at], checks[at], counts)
             found[new] = counts[back]
         return found
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.llm import toxicity as tox
-from strataframe.llm._arrays import SLICE_BYTES, column_slices, word_hashes
+from strataframe.llm._arrays import SLICE_BYTES, column_slices, random_key, word_hashes
+from strataframe.llm.embedding_dedup import embedding_dedup
 from strataframe.llm.html_extraction import DENSITY, UNFITTED, extract_main_text, main_text
 from strataframe.llm.kd_sharding import GROUP_SHARE, kd_shards
 from strataframe.llm.minhash_dedup import minhash_dedup
@@ -49,6 +50,40 @@ def test_complement_words_in_texts(spark):
     assert got == {1: [*t.encode(one + rest, add_special_tokens=False).ids, 1], 2: [*t.encode(two + rest, add_special_tokens=False).ids, 1]}
 
 
+def test_words_whose_open_hashes_were_made_equal(spark):
+    """Without a key the hash can be computed backwards: these two have the same one, and are told apart by all operators."""
+    from tokenizers import Tokenizer
+
+    one, two = "ieqh524y6h0vkvoi", "3zedlyd86;e{d;_%"
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = word_hashes(raw, np.array([0, 16]), np.array([16, 32]), fold=False)
+    assert a == b
+    a, b = word_hashes(raw, np.array([0, 16]), np.array([16, 32]), fold=False, key=random_key())
+    assert a != b
+    rest = " " + " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, one + rest), (2, two + rest)], "doc_id long, text string").coalesce(1)
+    assert [r.n_removed for r in substring_dedup(docs).collect()] == [0, 0]
+    alone = docs.withColumn("text", F.split("text", " ")[0])
+    assert all(r.kept for r in minhash_dedup(alone).collect())
+    t = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: r.ids for r in pack(docs, WORDS, with_ids=True).collect()}
+    assert got == {k: [*t.encode(w + rest, add_special_tokens=False).ids, 1] for k, w in ((1, one), (2, two))}
+    counter, bpe = Counter(BYTES), Tokenizer.from_file(BYTES)
+    words = [one, two, one + two, two + one, one]
+    raw, size = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words])
+    ends = np.cumsum(size)
+    assert counter.of_spans(raw, ends - size, ends).tolist() == [len(bpe.encode(w).ids) for w in words]
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = []
+    for k, s in enumerate((1.0, 1e160, 1e-170, 1e300, 5e-324 * 2**40)):
+        rows += [(10 * k, [s, 0.01 * s, 0.0], k), (10 * k + 1, [s, 0.011 * s, 0.0], k), (10 * k + 2, [0.0, s, 0.0], k)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df).collect()}
+    assert got == {10 * k + j: ((1, 10 * k) if j < 2 else (0, 10 * k + 2)) for k in range(5) for j in range(3)}
+
+
 def test_whole_repeats_and_what_hangs_over_them(spark):
     rng = random.Random(3)
     say = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]

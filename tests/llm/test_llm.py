@@ -170,9 +170,13 @@ def test_packing_a_text_of_many_numbers(spark):
 def test_word_table_grows_past_its_first_size():
     table, keys = WordTable(4), np.random.default_rng(1).integers(1, 2**63, 5000).astype(np.uint64)
     for a in range(0, 5000, 700):
-        table.add(keys[a : a + 700], np.arange(a, min(a + 700, 5000)))
+        table.add(keys[a : a + 700], keys[a : a + 700] >> np.uint64(7), np.arange(a, min(a + 700, 5000)))
         assert 2 * table.size <= len(table.keys)
-    assert (table.find(keys) == np.arange(5000)).all() and (table.find(~keys) == -1).all()
+    assert (table.find(keys, keys >> np.uint64(7)) == np.arange(5000)).all() and (table.find(~keys, keys) == -1).all()
+    assert (table.find(keys, keys) == -1).all()
+    same = np.full(300, 77, np.uint64)
+    table.add(same, np.arange(300, dtype=np.uint64), np.arange(300))
+    assert (table.find(same, np.arange(300, dtype=np.uint64)) == np.arange(300)).all()
 
 
 def test_best_fit_closes_the_fullest():

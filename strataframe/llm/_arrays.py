@@ -34,6 +34,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(kernel, tables: int = 1):
+    """A grouped kernel of one or two tables that gives its memory back after each group."""
+
+    def of_one(table: pa.Table) -> pa.Table:
+        out = kernel(table)
+        release()
+        return out
+
+    def of_two(table: pa.Table, other: pa.Table) -> pa.Table:
+        out = kernel(table, other)
+        release()
+        return out
+
+    return of_one if tables == 1 else of_two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> U64(30))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, Words, column_slices, mix, random_key, shingle_sets
+from ._arrays import U64, Words, column_slices, mix, random_key, release, shingle_sets, trimmed
 from ._frames import among, heads_of, packed_by_frame, packed_schema, partitions, spans_of, to_buckets, unpacked, written
 from .components import connected_components
 from .embedding_dedup import forest
@@ -72,6 +72,7 @@ def _sketch(shingle: int, key: int):
                     [batch["id"].slice(i, j - i), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands, pa.binary())],
                     ["id", "n_shingles", "h1", "h2", "bands"],
                 )
+        release()
 
     return kernel
 
@@ -247,7 +248,7 @@ def _linked(members: DataFrame, shingle: int, key: int, numerator: int, denomina
     n_small = sizes.filter(F.col("m") <= CELL).agg(F.sum("m")).first()[0] or 0
     bins = max(1, -(-n_small // SMALL_ROWS))
     small = sized.filter(F.col("m") <= CELL).select(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("int").alias("bin"), "rep", "group", "text")
-    links = small.groupBy("bin").applyInArrow(_small_groups(shingle, key, numerator, denominator), "a long, b long")
+    links = small.groupBy("bin").applyInArrow(trimmed(_small_groups(shingle, key, numerator, denominator)), "a long, b long")
 
     step = F.floor(F.log("n") / F.log(F.lit(denominator / numerator)) + 1e-9).cast("int")
     large = sized.filter(F.col("m") > CELL).select("rep", "group", "text", step.alias("step"))
@@ -255,7 +256,7 @@ def _linked(members: DataFrame, shingle: int, key: int, numerator: int, denomina
     shifted = lambda by, name: cells.select("group", (F.col("step") - by).alias("step"), F.col("same").alias(name))
     cells = cells.join(shifted(1, "above"), ["group", "step"], "left").join(shifted(-1, "below"), ["group", "step"], "left").na.fill(0, ["above", "below"])
     dealt = large.join(cells, ["group", "step"]).withColumn("block", F.pmod(F.xxhash64("rep"), "same").cast("int"))
-    packed = dealt.groupBy("group", "step", "block").applyInArrow(_cell(shingle, key), "group long, step int, block int, same int, above int, below int, ids binary, sizes binary, sets binary")
+    packed = dealt.groupBy("group", "step", "block").applyInArrow(trimmed(_cell(shingle, key)), "group long, step int, block int, same int, above int, below int, ids binary, sizes binary, sets binary")
     every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     b, s = F.col("block"), F.col("step")
     tiles = F.concat(
@@ -264,7 +265,7 @@ def _linked(members: DataFrame, shingle: int, key: int, numerator: int, denomina
         F.transform(every("below"), lambda o: F.struct((s - 1).alias("step"), o.alias("low"), b.alias("high"), F.lit(1).alias("up"))),
     )
     tiled = packed.select("group", F.explode(tiles).alias("t"), "ids", "sizes", "sets").select("group", "t.*", "ids", "sizes", "sets")
-    return links.unionByName(tiled.groupBy("group", "step", "low", "high", "up").applyInArrow(_cell_pair(numerator, denominator), "a long, b long"))
+    return links.unionByName(tiled.groupBy("group", "step", "low", "high", "up").applyInArrow(trimmed(_cell_pair(numerator, denominator)), "a long, b long"))
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -291,8 +292,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frames = max(1, -(-n_classes // FRAME_ROWS))
     buckets = max(1, -(-n_classes * HASHES * HASHES // BUCKET_KEYS))
     framed = classes.select(F.pmod(F.xxhash64("rep"), F.lit(frames)).cast("int").alias("frame"), "rep", "bands").repartition(parts, "frame")
-    told = framed.groupBy("frame").applyInArrow(_own_keys(buckets), packed_schema(3)).groupBy("bucket").applyInArrow(_hubs, packed_schema(2)).repartition(parts, "frame")
-    edges = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_edges, "a long, b long")
+    told = framed.groupBy("frame").applyInArrow(trimmed(_own_keys(buckets)), packed_schema(3)).groupBy("bucket").applyInArrow(trimmed(_hubs), packed_schema(2)).repartition(parts, "frame")
+    edges = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(trimmed(_edges, 2), "a long, b long")
     groups = connected_components(edges)
 
     heads = groups.select(F.col("component").alias("id")).distinct()

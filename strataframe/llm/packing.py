@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import U64, Words, column_slices, distinct_of, one_thread, random_key, release, word_keys
+from ._arrays import U64, Words, column_slices, distinct_of, one_thread, random_key, release, trimmed, word_keys
 from ._frames import written
 
 #: Open bins of the packers that take pieces as they come, and of those that pack loose bins' pieces again.
@@ -37,7 +37,7 @@ _IS_TAIL = np.isin(np.arange(256), list(TAIL))
 class WordTable:
     """Keys with checks to slots by open addressing, looked up and filled with whole arrays. At most half its places are taken."""
 
-    def __init__(self, bits: int = 20):
+    def __init__(self, bits: int = 16):
         self.mask = U64((1 << bits) - 1)
         self.keys, self.checks, self.slots, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
 
@@ -97,7 +97,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.cores, self.words = WordTable(), WordTable(18)
+        self.cores, self.words = WordTable(), WordTable()
         self.flat = np.zeros(1 << 20, np.uint32)
         # Slot 0 is the empty sequence; a negative length marks a core that only its whole word can stand for.
         self.start, self.length, self.slots, self.filled = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 1, 0
@@ -288,7 +288,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packers = max(1, -(-some.count() // ITEMS_PER_PACKER))
         dealt = some.select(*names, "key", F.pmod(F.col("key"), F.lit(packers)).cast("int").alias("packer"))
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-        return dealt.groupBy("packer").applyInArrow(_packer(size, *how), columns + ", bin long, place long, fill long")
+        return dealt.groupBy("packer").applyInArrow(trimmed(_packer(size, *how)), columns + ", bin long, place long, fill long")
 
     placed = written(packed(pieces, 0, OPEN_BINS, False), "placed")
     full = F.col("fill") > size * (1 - SLACK)

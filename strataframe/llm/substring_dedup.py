@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import U64, Words, column_slices, random_key, recompressed, windows
+from ._arrays import U64, Words, column_slices, random_key, recompressed, trimmed, windows
 from ._frames import among, distinct_keys, frames_for, heads_of, packed_by_frame, packed_schema, partitions, shared_in_bucket, text_bytes, to_buckets, unpacked
 
 #: A symbol of this many windows' words or more is a whole repeat where a smaller document has it.
@@ -237,11 +237,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in rest if c not in (text_col,)]).alias("rest"),
     ).repartition(parts, "frame")
-    entries = framed.groupBy("frame").applyInArrow(_reveal(window, buckets, key), packed_schema(2))
-    first = entries.groupBy("bucket").applyInArrow(_told_of(buckets), packed_schema(2)).repartition(parts, "frame")
-    named = framed.groupBy("frame").cogroup(first.groupBy("frame")).applyInArrow(_name_windows(window, buckets, key), packed_schema(2))
-    told = named.groupBy("bucket").applyInArrow(_windows_told(buckets), packed_schema(2)).repartition(parts, "frame")
+    entries = framed.groupBy("frame").applyInArrow(trimmed(_reveal(window, buckets, key)), packed_schema(2))
+    first = entries.groupBy("bucket").applyInArrow(trimmed(_told_of(buckets)), packed_schema(2)).repartition(parts, "frame")
+    named = framed.groupBy("frame").cogroup(first.groupBy("frame")).applyInArrow(trimmed(_name_windows(window, buckets, key), 2), packed_schema(2))
+    told = named.groupBy("bucket").applyInArrow(trimmed(_windows_told(buckets)), packed_schema(2)).repartition(parts, "frame")
     schema = T.StructType([framed.schema["id"], framed.schema["rest"], *T._parse_datatype_string(RESULT).fields])
-    out = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(_remove(window, key), schema)
+    out = framed.groupBy("frame").cogroup(told.groupBy("frame")).applyInArrow(trimmed(_remove(window, key), 2), schema)
     columns = [F.col("rest").getField(c).alias(c) if c != text_col else F.col("kept_text").alias(text_col) for c in rest]
     return out.select(*columns, "n_words", "n_removed", "kept_text", "removed")

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import Words, column_slices, word_hashes
+from ._arrays import Words, column_slices, release, word_hashes
 from ._frames import among, written
 
 #: The trees, the calibration and the lexicon see about so many labelled rows at most, chosen by a hash of the id.
@@ -106,6 +106,7 @@ def _featurise(lexicon: tuple[str, ...]):
                 x = features_of(raw, offsets, words, second)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["row"].slice(i, j - i), values], ["id", "row", "features"])
+        release()
 
     return kernel
 

@@ -9,17 +9,71 @@ from pyspark.sql.window import Window
 from ..functions.scalar import clip, finite, solve3
 
 
+#: Values of a group whose percentiles one aggregate may hold, and the bins of a histogram of a larger group.
+SMALL_GROUP, BINS = 100_000, 4096
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by and p: the percentiles (shares of 0 to 1, linear between neighbours) of the group's values that are not null.
+
+    Groups of up to SMALL_GROUP values are one aggregate. In a larger one each wanted rank is looked for in a histogram
+    between bounds, which close in on its bin until few values are left or all are the same: the work is counted in Spark,
+    and no task holds a group. Groups without a value are absent.
+    """
+    from .iterate import dropped, written
+
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    sizes = d.groupBy(*by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter("_n > 0")
+    sizes = written(sizes)
+    plain = lambda x: x.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in shares])).alias("p"))
+    large = sizes.filter(F.col("_n") > SMALL_GROUP)
+    if large.isEmpty():
+        return plain(d).filter("p IS NOT NULL")
+    meet = lambda a, b: a.join(b, by) if by else a.crossJoin(b)  # noqa: E731  (b is then one row or a row for each rank)
+    small = plain(meet(d, sizes.filter(F.col("_n") <= SMALL_GROUP).select(*by))) if by else None
+    at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(q)), F.ceil(at(q))) for q in shares])))
+    state = written(large.select(*by, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_m"), "_lo", "_hi"))
+    narrow = (F.col("_m") <= SMALL_GROUP) | (F.col("_lo") == F.col("_hi"))
+    while not state.filter(~narrow).isEmpty():
+        wide = state.filter(~narrow)
+        inside = meet(d, wide).filter("_v BETWEEN _lo AND _hi")
+        # The bins' edges only need to be the same for all rows of a round; halves keep a span of the largest values finite.
+        part = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.coalesce(F.least(F.floor(part * BINS), F.lit(BINS - 1)), F.when(F.col("_v") > F.col("_lo"), BINS - 1).otherwise(0)).cast("int")
+        keys = [*by, "_rank"]
+        bins = inside.groupBy(*keys, "_below", bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_below")
+        hit = bins.withColumn("_b", before).filter((F.col("_rank") >= F.col("_b")) & (F.col("_rank") < F.col("_b") + F.col("_m")))
+        last, state = state, written(state.filter(narrow).unionByName(hit.select(*keys, F.col("_b").alias("_below"), "_m", "_lo", "_hi")))
+        dropped(last)
+    same = state.filter("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_v"))
+    few = meet(d, state.filter("_lo < _hi")).filter("_v BETWEEN _lo AND _hi")
+    place = F.row_number().over(Window.partitionBy(*by, "_rank").orderBy("_v")) - 1
+    found = same.unionByName(few.withColumn("_k", place).filter(F.col("_k") + F.col("_below") == F.col("_rank")).select(*by, "_rank", "_v"))
+    values = meet(found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_of")), large.select(*by, "_n"))
+    get = lambda r: F.element_at("_of", r)
+    line = lambda q: get(F.floor(at(q))) + (get(F.ceil(at(q))) - get(F.floor(at(q)))) * (at(q) - F.floor(at(q)))
+    out = values.select(*by, F.array(*[line(q) for q in shares]).alias("p"))
+    return out if small is None else out.unionByName(small)
+
+
 def statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, n_missing, min, max, mean, std (population), median, rms over finite values; all null where there are none."""
     d = df.withColumn("_v", finite(value))
     v = F.col("_v")
-    return d.groupBy(*by).agg(F.count("_v").alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.expr("percentile(_v, 0.5)").alias("median"), F.sqrt(F.avg(v * v)).alias("rms"))
+    one = d.groupBy(*by).agg(F.count("_v").alias("n"), F.count_if(v.isNull()).alias("n_missing"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.sqrt(F.avg(v * v)).alias("rms"))
+    middle = exact_percentiles(d, by, "_v", [0.5]).select(*by, F.col("p")[0].alias("median"))
+    both = one.join(middle, by, "left") if by else one.join(middle, F.lit(True), "left")
+    return both.select(*by, "n", "n_missing", "min", "max", "mean", "std", "median", "rms")
 
 
 def zonal(cells: DataFrame, zone: str, value: str, cell_km2: float) -> DataFrame:
     """By zone (halves to even): count, mean, std, min, max, median and area of finite values."""
-    d = cells.withColumn("_v", finite(value)).filter("_v IS NOT NULL").groupBy(F.bround(zone).cast("long").alias("zone"))
-    return d.agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.expr("percentile(_v, 0.5)").alias("median"), (F.count("_v") * cell_km2).alias("area_km2"))
+    d = cells.select(F.bround(zone).cast("long").alias("zone"), finite(value).alias("_v")).filter("_v IS NOT NULL AND zone IS NOT NULL")
+    one = d.groupBy("zone").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.count("_v") * cell_km2).alias("area_km2"))
+    middle = exact_percentiles(d, ["zone"], "_v", [0.5]).select("zone", F.col("p")[0].alias("median"))
+    return one.join(middle, "zone").select("zone", "n", "mean", "std", "min", "max", "median", "area_km2")
 
 
 def cut_fill(cells: DataFrame, upper: str, lower: str, area: float) -> DataFrame:

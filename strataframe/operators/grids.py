@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import azimuth, clip, finite
+from .aggregates import exact_percentiles
 
 
 
@@ -100,7 +101,7 @@ def ridges(cells: DataFrame, dx: float, dy: float, percentile: float = 85.0, tot
     top = F.lit(False)
     for a, (fore, back) in pairs.items():
         top = top | ((angle == a) & (F.col("thg") >= F.col(fore)) & (F.col("thg") >= F.col(back)))
-    limits = d.groupBy("grid_id").agg(F.percentile("thg", F.lit(percentile / 100)).alias("_limit"))
+    limits = exact_percentiles(d, ["grid_id"], "thg", [percentile / 100]).select("grid_id", F.col("p")[0].alias("_limit"))
     d = d.join(limits, "grid_id").withColumn("ridge", F.coalesce(top & (F.col("thg") >= F.col("_limit")), F.lit(False)))
     return d.select(*cells.columns, "ridge")
 
@@ -145,8 +146,9 @@ def ternary_rgb(cells: DataFrame, red: str, green: str, blue: str, percent: floa
     """Channels stretched between their p and 100 - p percentiles, 0..1; missing values are 0."""
     p = percent / 100
     names = dict(zip("rgb", (red, green, blue), strict=True))
-    bounds = cells.groupBy("grid_id").agg(*[F.expr(f"percentile(`{c}`, array({p}, {1 - p}))").alias(f"_{k}") for k, c in names.items()])
-    d = cells.join(bounds, "grid_id")
+    d = cells
+    for k, c in names.items():
+        d = d.join(exact_percentiles(cells, ["grid_id"], c, [p, 1 - p]).withColumnRenamed("p", f"_{k}"), "grid_id", "left")
     stretch = lambda k, c: F.coalesce(clip((F.col(c) - F.col(f"_{k}")[0]) / F.greatest(F.col(f"_{k}")[1] - F.col(f"_{k}")[0], F.lit(1e-12)), 0.0, 1.0), F.lit(0.0))
     return d.select("grid_id", "i", "j", *[stretch(k, c).alias(k) for k, c in names.items()])
 

@@ -68,33 +68,50 @@ def radius_join(points: DataFrame, others: DataFrame, radius: float, point_id: s
     return d.filter(F.col("distance") <= radius).select(*by, point_id, other_id, "distance")
 
 
-def nearest_neighbours(targets: DataFrame, points: DataFrame, k: int, target_id: str, point_id: str, tile: float, max_rings: int = 64) -> DataFrame:
+def _quadtree_level(spots: DataFrame, counts: DataFrame, levels: int, want: int) -> DataFrame:
+    """cx, cy (finest cells) and level: the smallest cell around each that holds `want` points."""
+    up = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(levels) - F.col("level"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    full = counts.withColumn("level", each).groupBy("level", up("cx").alias("ax"), up("cy").alias("ay")).agg(F.sum("n").alias("n")).filter(F.col("n") >= want).drop("n")
+    asks = spots.withColumn("level", each).select("cx", "cy", "level", up("cx").alias("ax"), up("cy").alias("ay"))
+    return asks.join(full, ["level", "ax", "ay"], "left_semi").groupBy("cx", "cy").agg(F.max("level").alias("level"))
+
+
+def nearest_neighbours(targets: DataFrame, points: DataFrame, k: int, target_id: str, point_id: str, tile: float) -> DataFrame:
     """target_id, point_id, distance, rank of the k nearest points (ties: the smaller id).
 
-    Tiles of a given size; each round searches twice as wide, and only targets whose k-th distance lies beyond what the
-    searched ring guarantees go to the next. A target with fewer than k points in all gets what there is.
+    A quadtree of point counts, whose finest cells are about `tile` wide, gives each target the smallest cell around it
+    that holds k points; none of the k nearest is further than that cell's far corner. So one join with the points of the
+    cells of that size which the circle touches finds them, however uneven the points are. A target gets all points where
+    there are fewer than k.
     """
-    total = points.count()
-    want = min(k, total)
+    want = min(k, points.count())
     box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     far = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not want or far[0] is None:
         empty = targets.limit(0).select(target_id).join(points.limit(0).select(point_id), F.lit(True))
         return empty.withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
-    reach = math.hypot(max(far[1], box[1]) - min(far[0], box[0]), max(far[3], box[3]) - min(far[2], box[2])) + tile
-    found, todo, size = None, targets.select(target_id, "x", "y"), tile
+    x0, y0 = min(box[0], far[0]), min(box[2], far[2])
+    side = max(max(box[1], far[1]) - x0, max(box[3], far[3]) - y0, tile) * (1 + 1e-9)
+    levels = max(1, min(24, math.ceil(math.log2(side / tile))))
+    finest = lambda c, o: F.floor((F.col(c) - o) / side * 2**levels)
+    cell = {"cx": finest("x", x0), "cy": finest("y", y0)}
+    p = points.select(point_id, F.col("x").alias("_ox"), F.col("y").alias("_oy"), *[c.alias(n) for n, c in cell.items()])
+    counts = p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    t = targets.select(target_id, "x", "y", *[c.alias(n) for n, c in cell.items()])
+    level = _quadtree_level(t.select("cx", "cy").distinct(), counts, levels, want)
+    wide = side / F.pow(F.lit(2.0), F.col("level"))
+    asks = t.join(level, ["cx", "cy"]).withColumn("_w", wide)
+    off = lambda c, o: (F.col(c) - o) - F.floor((F.col(c) - o) / F.col("_w")) * F.col("_w")
+    reach = F.hypot(F.greatest(off("x", x0), F.col("_w") - off("x", x0)), F.greatest(off("y", y0), F.col("_w") - off("y", y0))) * (1 + 1e-9)
+    span = lambda c, o: F.sequence(F.floor((F.col(c) - o - F.col("_r")) / F.col("_w")), F.floor((F.col(c) - o + F.col("_r")) / F.col("_w")))
+    asks = asks.withColumn("_r", reach).select(target_id, "x", "y", "level", "_r", F.explode(span("x", x0)).alias("ax"), span("y", y0).alias("_ys")).select(target_id, "x", "y", "level", "_r", "ax", F.explode("_ys").alias("ay"))
+    used = [r.level for r in level.select("level").distinct().collect()]
+    up = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(levels) - F.col("level"))
+    there = p.withColumn("level", F.explode(F.array(*[F.lit(n) for n in used]))).select(point_id, "_ox", "_oy", "level", up("cx").alias("ax"), up("cy").alias("ay"))
+    met = asks.join(there, ["level", "ax", "ay"]).withColumn("distance", F.hypot(F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy"))).filter("distance <= _r")
     w = Window.partitionBy(target_id).orderBy("distance", point_id)
-    while True:
-        near = radius_join(todo, points, size, target_id, point_id).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want)
-        done = near.groupBy(target_id).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= want).select(target_id)
-        part = near.join(done, target_id)
-        found = part if found is None else found.unionByName(part)
-        if size >= reach:
-            return found
-        todo = todo.join(done, target_id, "left_anti")
-        size *= 2
-        if todo.isEmpty():
-            return found
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want).select(target_id, point_id, "distance", "rank")
 
 
 def point_to_cell(points: DataFrame, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int) -> DataFrame:

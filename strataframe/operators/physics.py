@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import G_NEWTON, clip, complex_tanh
+from .aggregates import exact_percentiles
 from .joins import interpolate
 
 #: Fixed values of the reference ellipsoids: equatorial gravity (mGal), k and e squared of Somigliana's formula.
@@ -116,14 +117,90 @@ def heat_production(k: Column, u: Column, th: Column, density: float = 2670.0) -
     return 1e-5 * density * (9.52 * u + 2.56 * th + 3.48 * k)
 
 
+#: Fixed values of WGS84: semi-axes, and the reference radius of main-field models (km).
+SEMI_MAJOR, SEMI_MINOR, FIELD_RADIUS = 6378.137, 6356.752314245, 6371.2
+#: Up to so many coefficients (degree 13 has 195 for each epoch) go to all tasks as one row.
+COEFFICIENTS = 100_000
+
+
+def _coefficient_row(coefficients: DataFrame) -> DataFrame:
+    """One row: epochs, and terms (m, n, g, h: one of each for each epoch) of all orders m and degrees n from m up, in order."""
+    n, top = coefficients.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not n or n > COEFFICIENTS:
+        raise ValueError(f"a main-field model has 1 to {COEFFICIENTS} coefficients, not {n}")
+    spark = coefficients.sparkSession
+    all_terms = spark.range(top + 1).select(F.col("id").cast("int").alias("m")).withColumn("n", F.explode(F.sequence(F.col("m"), F.lit(int(top)))))
+    c = coefficients.select(F.col("epoch").cast("double").alias("epoch"), F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"), F.col("g").cast("double").alias("g"), F.col("h").cast("double").alias("h"))
+    epochs = F.broadcast(c.agg(F.sort_array(F.collect_set("epoch")).alias("_epochs")))
+    of = lambda v: F.map_from_entries(F.collect_list(F.struct("epoch", v))).alias(v)
+    each = all_terms.join(c.groupBy("m", "n").agg(of("g"), of("h")), ["m", "n"], "left").crossJoin(epochs)
+    read = lambda v: F.transform("_epochs", lambda e: F.coalesce(F.try_element_at(v, e), F.lit(0.0))).alias(v)
+    return each.select("m", "n", read("g"), read("h"), "_epochs").agg(F.sort_array(F.collect_list(F.struct("m", "n", "g", "h"))).alias("_terms"), F.first("_epochs").alias("_epochs"))
+
+
+def main_field(stations: DataFrame, coefficients: DataFrame, lon: str = "lon", lat: str = "lat", height_m: Column | None = None, year: Column | None = None) -> DataFrame:
+    """Column main_field: the intensity at geodetic places (degrees, metres) and decimal years, of a model in the table
+    coefficients (epoch, n, m, g, h; Schmidt semi-normalised; a missing term is 0).
+
+    Coefficients are linear between their epochs; years outside them give null. The Legendre functions and their slopes are
+    one recursion along the terms, order by order, on each station's row.
+    """
+    d = stations.crossJoin(F.broadcast(_coefficient_row(coefficients)))
+    year = F.lit(2025.0) if year is None else year
+    high = (F.lit(0.0) if height_m is None else height_m) / 1000
+    a2, b2 = SEMI_MAJOR**2, SEMI_MINOR**2
+    phi, lam = F.radians(lat), F.radians(lon)
+    bend = a2 / F.sqrt(a2 * F.cos(phi) * F.cos(phi) + b2 * F.sin(phi) * F.sin(phi))
+    x, z = (bend + high) * F.cos(phi), (b2 / a2 * bend + high) * F.sin(phi)
+    at = {"_year": year.cast("double"), "_lam": lam, "_r": F.hypot(x, z), "_c": z / F.hypot(x, z), "_s": F.greatest(x / F.hypot(x, z), F.lit(1e-10))}
+    d = d.withColumns(at)
+    before, after = F.array_max(F.filter("_epochs", lambda e: e <= F.col("_year"))), F.array_min(F.filter("_epochs", lambda e: e >= F.col("_year")))
+    d = d.withColumns({"_e0": before, "_e1": after}).withColumn("_w", F.when(F.col("_e1") > F.col("_e0"), (F.col("_year") - F.col("_e0")) / (F.col("_e1") - F.col("_e0"))).otherwise(0.0))
+    # The station's own numbers ride along in the state: named columns would be worked out again for every term.
+    own = {"c": "_c", "s": "_s", "lam": "_lam", "far": "_far", "w": "_w", "e0": "_k0", "e1": "_k1"}
+    number = lambda e: (F.array_position("_epochs", F.col(e)) - 1).cast("int")
+    d = d.withColumns({"_far": FIELD_RADIUS / F.col("_r"), "_k0": number("_e0"), "_k1": number("_e1")})
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("pm", "dm", "p1", "d1", "p2", "d2", "br", "bt", "bp")], *[F.col(v).alias(k) for k, v in own.items()])
+
+    def add(k, t):
+        c, s = k["c"], k["s"]
+        n, m = t["n"].cast("double"), t["m"].cast("double")
+        g, h = (F.get(t[v], k["e0"]) * (1 - k["w"]) + F.get(t[v], k["e1"]) * k["w"] for v in "gh")
+        step = F.when(m > 1, F.sqrt((2 * m - 1) / F.greatest(2 * m, F.lit(1.0)))).otherwise(1.0)
+        low, down = F.sqrt(F.greatest(n * n - m * m, F.lit(1.0))), F.sqrt(F.greatest((n - 1) * (n - 1) - m * m, F.lit(0.0)))
+        first = n == m
+        p = F.when(first & (m == 0), 1.0).when(first, step * s * k["pm"]).otherwise(((2 * n - 1) * c * k["p1"] - down * k["p2"]) / low)
+        q = F.when(first & (m == 0), 0.0).when(first, step * (s * k["dm"] + c * k["pm"])).otherwise(((2 * n - 1) * (c * k["d1"] - s * k["p1"]) - down * k["d2"]) / low)
+        far = F.pow(k["far"], n + 2)
+        along, across = g * F.cos(m * k["lam"]) + h * F.sin(m * k["lam"]), m * (g * F.sin(m * k["lam"]) - h * F.cos(m * k["lam"]))
+        # Worked out once, and named by the variable of a transform over the one of them.
+        once = F.array(F.struct(p.alias("p"), q.alias("q"), (far * along).alias("u"), (far * across).alias("v")))
+        def state(x):
+            new = {"pm": F.when(first, x["p"]).otherwise(k["pm"]), "dm": F.when(first, x["q"]).otherwise(k["dm"]), "p1": x["p"], "d1": x["q"], "p2": F.when(first, 0.0).otherwise(k["p1"]), "d2": F.when(first, 0.0).otherwise(k["d1"])}
+            sums = {"br": k["br"] + (n + 1) * x["u"] * x["p"], "bt": k["bt"] - x["u"] * x["q"], "bp": k["bp"] + x["v"] * x["p"] / s}
+            return F.struct(*[v.alias(name) for name, v in (new | sums).items()], *[k[v].alias(v) for v in own])
+
+        return F.get(F.transform(once, state), F.lit(0))
+
+    size = F.aggregate("_terms", zero, add, lambda k: F.sqrt(k["br"] * k["br"] + k["bt"] * k["bt"] + k["bp"] * k["bp"]))
+    return d.withColumn("main_field", F.when(F.col("_e0").isNotNull() & F.col("_e1").isNotNull(), size)).select(*stations.columns, "main_field")
+
+
+def magnetic_anomaly(stations: DataFrame, coefficients: DataFrame, field: str = "total_field", **place) -> DataFrame:
+    """main_field() and column magnetic_anomaly, the measured total field less it."""
+    return main_field(stations, coefficients, **place).withColumn("magnetic_anomaly", F.col(field) - F.col("main_field"))
+
+
 def shale_volume(df: DataFrame, by: list[str], gr: str, clean: float | None = None, shale: float | None = None, method: str = "linear") -> DataFrame:
     """Column vsh; the end values are the 5th and 95th percentiles of each well unless given."""
-    w = Window.partitionBy(*by)
-    low = F.lit(clean) if clean is not None else F.expr(f"percentile(`{gr}`, 0.05)").over(w)
-    high = F.lit(shale) if shale is not None else F.expr(f"percentile(`{gr}`, 0.95)").over(w)
+    columns = df.columns
+    if clean is None or shale is None:
+        df = df.join(exact_percentiles(df, by, gr, [0.05, 0.95]).withColumnRenamed("p", "_ends"), by, "left")
+    low = F.lit(clean) if clean is not None else F.col("_ends")[0]
+    high = F.lit(shale) if shale is not None else F.col("_ends")[1]
     igr = clip((F.col(gr) - low) / F.greatest(high - low, F.lit(1e-12)), 0.0, 1.0)
     forms = {"linear": lambda i: i, "larionov_tertiary": lambda i: 0.083 * (F.pow(F.lit(2.0), 3.7 * i) - 1), "larionov_older": lambda i: 0.33 * (F.pow(F.lit(2.0), 2 * i) - 1)}
-    return df.withColumn("igr", igr).withColumn("vsh", clip(forms[method](F.col("igr")), 0.0, 1.0))
+    return df.select(*columns, igr.alias("igr")).withColumn("vsh", clip(forms[method](F.col("igr")), 0.0, 1.0))
 
 
 def archie(df: DataFrame, rt: str, phi: str, rw: float = 0.05, a: float = 1.0, m: float = 2.0, n: float = 2.0) -> DataFrame:

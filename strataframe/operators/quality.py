@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import finite
+from .aggregates import exact_percentiles, following
 
 #: Functions that a map-algebra expression may use, by their Spark SQL names.
 ALGEBRA = {"sqrt": "sqrt", "abs": "abs", "log": "ln", "log10": "log10", "exp": "exp", "sin": "sin", "cos": "cos", "tan": "tan", "arctan": "atan", "arctan2": "atan2", "hypot": "hypot", "minimum": "least", "maximum": "greatest", "where": "if"}
@@ -32,8 +33,9 @@ def quality_report(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
 
 
 def _axis(df: DataFrame, c: str, tolerance: float) -> DataFrame:
-    gaps = df.select(F.col(c).alias("v")).distinct().select("v", (F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("gap"))
-    middle = gaps.agg(F.expr("percentile(gap, 0.5)").alias("step"))
+    # A null is a value of its own, as it is for distinct(), and comes first.
+    gaps = following(df.select(F.col(c).alias("v")).distinct(), "v", "v").select("v", (F.col("v") - F.col("p")).alias("gap"))
+    middle = exact_percentiles(gaps, [], "gap", [0.5]).agg(F.max(F.col("p")[0]).alias("step"))
     close = F.abs(F.col("gap") - F.col("step")) <= tolerance * F.abs(F.col("step"))
     return gaps.crossJoin(F.broadcast(middle)).agg(F.count("v").alias("n"), F.max("step").alias("step"), F.coalesce(F.bool_and(F.when(F.col("gap").isNotNull(), close)), F.lit(True)).alias("even"))
 

@@ -8,6 +8,7 @@ from itertools import product
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,19 +92,71 @@ def euler(cells: DataFrame, dx: float, dy: float, index: float = 1.0, size: int
 def distance_to_features(cells: DataFrame, feature: Column, dx: float, dy: float) -> DataFrame:
     """Column distance to the nearest feature cell: down each column by windows, then along each row.
 
-    A row's minimum over columns j2 of (dx (j - j2))^2 + d^2 is a join on the row, bounded by the cell's own distance.
+    A row's minimum over columns j2 of (dx (j - j2))^2 + d^2 is the lower envelope of its parabolas, found in one pass over
+    the row's array, many rows at a time.
     """
     up = Window.partitionBy("grid_id", "j").orderBy("i")
     at = F.when(feature, F.col("i"))
     before = F.last(at, True).over(up.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(at, True).over(up.rowsBetween(0, Window.unboundedFollowing))
-    d = cells.withColumn("_d", F.least(F.col("i") - before, after - F.col("i")) * float(dy))
-    best = d.withColumn("_near", F.min("_d").over(Window.partitionBy("grid_id", "i")))
-    other = d.filter("_d IS NOT NULL").select("grid_id", "i", F.col("j").alias("_j"), F.col("_d").alias("_e"))
-    # No column further than the row's best distance plus its own offset can win, so the bound needs one value a row.
-    met = best.select("grid_id", "i", "j").join(other, ["grid_id", "i"])
-    one = met.groupBy("grid_id", "i", "j").agg(F.sqrt(F.min(F.pow((F.col("j") - F.col("_j")) * float(dx), F.lit(2.0)) + F.col("_e") * F.col("_e"))).alias("distance"))
-    return cells.join(one, ["grid_id", "i", "j"], "left")
+    d = cells.select("grid_id", "i", "j", (F.least(F.col("i") - before, after - F.col("i")) * float(dy)).alias("_d"))
+    rows = d.groupBy("grid_id", "i").agg(F.sort_array(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("_d").cast("double").alias("d")))).alias("_r"))
+    kinds = dict(d.dtypes)
+    found = rows.select("grid_id", "i", F.col("_r.j").alias("j"), F.col("_r.d").alias("d")).mapInArrow(_envelopes(float(dx)), f"grid_id {kinds['grid_id']}, i {kinds['i']}, j array<int>, d array<double>")
+    one = found.select("grid_id", "i", F.explode(F.arrays_zip("j", "d")).alias("_z")).select("grid_id", "i", F.col("_z.j").alias("j"), F.col("_z.d").alias("distance"))
+    return cells.join(one.filter("distance IS NOT NULL"), ["grid_id", "i", "j"], "left")
+
+
+def lower_envelope(place: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each row of heights (squared; inf where there is none) at rising places: the index whose parabola is lowest at each.
+
+    Rows are passed together: each keeps a stack of parabolas and where each takes over from the one below it. -1: none.
+    """
+    rows, n = height.shape
+    every = np.arange(rows)
+    stack, since, top = np.zeros((rows, n), np.int64), np.full((rows, n + 1), np.inf), np.full(rows, -1)
+    for q in range(n):
+        live = every[np.isfinite(height[:, q])]
+        start = np.full(rows, -np.inf)
+        waiting = live[top[live] >= 0]
+        while len(waiting):
+            p = stack[waiting, top[waiting]]
+            meet = (height[waiting, q] + place[q] ** 2 - height[waiting, p] - place[p] ** 2) / (2 * (place[q] - place[p]))
+            hidden = meet <= since[waiting, top[waiting]]
+            start[waiting[~hidden]] = meet[~hidden]
+            waiting = waiting[hidden]
+            top[waiting] -= 1
+            waiting = waiting[top[waiting] >= 0]
+        top[live] += 1
+        stack[live, top[live]] = q
+        since[live, top[live]] = start[live]
+    best, at = np.full((rows, n), -1), np.zeros(rows, np.int64)
+    some = top >= 0
+    for q in range(n):
+        while (go := some & (at < top) & (since[every, np.minimum(at + 1, n)] < place[q])).any():
+            at[go] += 1
+        best[some, q] = stack[every[some], at[some]]
+    return best
+
+
+def _envelopes(dx: float):
+    def kernel(batches):
+        for batch in batches:
+            places, heights = batch["j"].to_pylist(), batch["d"].to_pylist()
+            out: list = [None] * len(places)
+            alike: dict[tuple, list[int]] = {}
+            for r, p in enumerate(places):
+                alike.setdefault(tuple(p), []).append(r)
+            for p, rows in alike.items():
+                x, h = np.array(p) * dx, np.array([heights[r] for r in rows], float)
+                h2 = np.where(np.isnan(h), np.inf, h * h)
+                best = lower_envelope(x, h2)
+                near = np.where(best >= 0, np.sqrt((x - x[best]) ** 2 + np.take_along_axis(h2, np.maximum(best, 0), 1)), np.nan)
+                for r, v in zip(rows, near, strict=True):
+                    out[r] = [None if np.isnan(z) else float(z) for z in v]
+            yield pa.RecordBatch.from_arrays([batch["grid_id"], batch["i"], batch["j"], pa.array(out, pa.list_(pa.float64()))], batch.schema.names)
+
+    return kernel
 
 
 def fuzzy(values: list[Column], operator: str, gamma: float = 0.9) -> Column:

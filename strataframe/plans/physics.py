@@ -200,3 +200,36 @@ def forward25d(spark, d):
     prisms = P.body_columns(body, 25.0, 2000.0).withColumn("rho", F.lit(300.0))
     s = stations(spark, d).select("id", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return P.prism_effects(s, prisms, "id", P.prism_gz, "rho").select("id", t("effect").alias("effect"))
+
+
+def _field_model(spark, d):
+    """25 terms, one for each nation, at five epochs: an input like any other table of coefficients."""
+    k = F.col("n_nationkey") + 1
+    n = F.floor((F.sqrt(8.0 * k + 1) - 1) / 2).cast("int")
+    m = (k - n * (n + 1) / 2).cast("int")
+    c = table(spark, d, "nation").select(n.alias("n"), m.alias("m"), F.col("n_regionkey").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("e"))
+    size = 30000.0 / F.pow(F.col("n").cast("double"), F.lit(3.0))
+    return c.select((2000.0 + 5 * F.col("e")).alias("epoch"), "n", "m", (-size + 10 * F.col("e") + F.col("r")).alias("g"), (size / 3 - 4 * F.col("e") * F.col("r")).alias("h"))
+
+
+FIELD_SQL = f"""WITH RECURSIVE {STATION_SQL}, k AS (SELECT n_nationkey + 1 AS k, n_regionkey AS r FROM nation), nm AS (SELECT floor((sqrt(8.0 * k + 1) - 1) / 2)::INT AS n, k, r FROM k), cf AS (SELECT n, (k - n * (n + 1) / 2)::INT AS m, r, 30000.0 / pow(n, 3) AS size FROM nm),
+tm AS (SELECT row_number() OVER (ORDER BY g.m, g.n) AS t, g.n, g.m, r, size FROM (SELECT a.m, b.n FROM (SELECT unnest(range(7))::INT AS m) a, (SELECT unnest(range(7))::INT AS n) b WHERE b.n >= a.m) g LEFT JOIN cf ON cf.n = g.n AND cf.m = g.m),
+st AS (SELECT id, radians(x * 0.36 - 180) AS lam, radians(y * 0.16 - 80) AS phi, value / 1000000 AS h, (2000 + id % 20 + 0.5 - 2000) / 5 AS e, value FROM s),
+be AS (SELECT *, 6378.137::DOUBLE ** 2 / sqrt(6378.137::DOUBLE ** 2 * cos(phi) ** 2 + 6356.752314245::DOUBLE ** 2 * sin(phi) ** 2) AS bend FROM st),
+xz AS (SELECT *, (bend + h) * cos(phi) AS px, (6356.752314245::DOUBLE ** 2 / 6378.137::DOUBLE ** 2 * bend + h) * sin(phi) AS pz FROM be),
+rc AS (SELECT *, sqrt(px * px + pz * pz) AS r FROM xz), q AS (SELECT id, lam, e, value, r, pz / r AS c, px / r AS s FROM rc),
+w AS (SELECT id, 0::BIGINT AS t, 0.0::DOUBLE AS pm, 0.0::DOUBLE AS dm, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS d2, 0.0::DOUBLE AS br, 0.0::DOUBLE AS bt, 0.0::DOUBLE AS bp FROM q
+UNION ALL SELECT id, t, CASE WHEN n = m THEN p ELSE pm END, CASE WHEN n = m THEN dp ELSE dm END, p, dp, CASE WHEN n = m THEN 0 ELSE p1 END, CASE WHEN n = m THEN 0 ELSE d1 END,
+  br + (n + 1) * f * (g * cos(m * lam) + hh * sin(m * lam)) * p, bt - f * (g * cos(m * lam) + hh * sin(m * lam)) * dp, bp + f * m * (g * sin(m * lam) - hh * cos(m * lam)) * p / s
+FROM (SELECT *, CASE WHEN n = m AND m = 0 THEN 1 WHEN n = m THEN st * s * pm ELSE ((2 * n - 1) * c * p1 - sqrt(abs((n - 1) ** 2 - m ** 2)) * p2) / sqrt(n * n - m * m) END AS p,
+    CASE WHEN n = m AND m = 0 THEN 0 WHEN n = m THEN st * (s * dm + c * pm) ELSE ((2 * n - 1) * (c * d1 - s * p1) - sqrt(abs((n - 1) ** 2 - m ** 2)) * d2) / sqrt(n * n - m * m) END AS dp
+  FROM (SELECT w.*, tm.n, tm.m, lam, c, s, pow(6371.2 / q.r, n + 2) AS f, coalesce(-size + 10 * e + tm.r, 0) AS g, coalesce(size / 3 - 4 * e * tm.r, 0) AS hh, CASE WHEN m > 1 THEN sqrt((2 * m - 1) / (2.0 * m)) ELSE 1 END AS st
+    FROM (SELECT id, t + 1 AS t, pm, dm, p1, d1, p2, d2, br, bt, bp FROM w) w JOIN tm USING (t) JOIN q USING (id))))"""
+
+
+@C.add("igrf", FIELD_SQL + " SELECT w.id, round(sqrt(br * br + bt * bt + bp * bp), 4) AS main_field, round(q.value - sqrt(br * br + bt * bt + bp * bp), 4) + 0.0 AS magnetic_anomaly FROM w JOIN q USING (id) WHERE t = 28 AND e <= 4")
+def igrf(spark, d):
+    """The field of a model of degree 6 taken off stations; those after its last epoch have none."""
+    s = stations(spark, d).select("id", (F.col("x") * 0.36 - 180).alias("lon"), (F.col("y") * 0.16 - 80).alias("lat"), F.col("value").alias("total_field"))
+    r = P.magnetic_anomaly(s, _field_model(spark, d), height_m=F.col("total_field") / 1000, year=2000.5 + F.col("id") % 20)
+    return r.filter("main_field IS NOT NULL").select("id", t("main_field", 4).alias("main_field"), t("magnetic_anomaly", 4).alias("magnetic_anomaly"))

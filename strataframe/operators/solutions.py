@@ -227,72 +227,104 @@ def focal_mechanisms(polarities: DataFrame, event: str, azimuth: str, takeoff: s
     return m.withColumn("rank", rank).filter(F.col("rank") <= keep).select(event, *place, "misfit", "rank")
 
 
-def project_amplitude(fit: DataFrame, by: list[str], data: Column, base: Column) -> DataFrame:
-    """by, amplitude, rms of data = amplitude * base: the amplitude is projected out of a candidate's fit."""
-    s = fit.groupBy(*by).agg(F.sum(data * base).alias("_vb"), F.sum(base * base).alias("_bb"), F.sum(data * data).alias("_vv"), F.count(F.lit(1)).alias("_n"))
-    a = F.when(F.col("_bb") > 0, F.col("_vb") / F.col("_bb")).otherwise(0.0)
-    return s.select(*by, a.alias("amplitude"), F.sqrt(F.greatest(F.col("_vv") - a * F.col("_vb"), F.lit(0.0)) / F.col("_n")).alias("rms"))
-
-
-def nearer(data: DataFrame, best: DataFrame, by: list[str], axes: Axes, rounds: int, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """best after more rounds: all moves by half the last step along the axes, from each key's own best model."""
-    for r in range(1, rounds + 1):
-        moves = F.array(*[F.struct(*[F.lit(float(m)).alias(n) for n, m in zip(axes, move, strict=True)]) for move in product((-1, 0, 1), repeat=len(axes))])
-        d = best.select(*by, *axes, F.explode(moves).alias("_m"))
-        at = lambda n, a, r=r: F.col(n) * F.pow(F.lit(a.step ** 0.5**r), F.col("_m")[n]) if a.factor else F.col(n) + F.col("_m")[n] * (a.step * 0.5**r)
-        near = d.select(*by, *[F.least(F.greatest(at(n, a), F.lit(a.low)), F.lit(a.high)).alias(n) for n, a in axes.items()]).distinct()
-        best = fit(data.join(near, by))
-    return best
+#: Up to so many models are held against every profile; they go to all tasks as they are.
+CANDIDATES = 100_000
+Fit = Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def projected(base: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Amplitude and rms of value = amplitude * base for each model's base (a row): the amplitude is projected out."""
+    base, value = np.nan_to_num(base), np.nan_to_num(value)
+    with_base, own = base @ value, (base * base).sum(1)
+    amplitude = np.divide(with_base, own, out=np.zeros_like(own), where=own > 0)
+    return amplitude, np.sqrt(np.maximum(value @ value - amplitude * with_base, 0) / value.shape[-1])
+
+
+def _searching(by: list[str], inputs: list[str], names: list[str], models: np.ndarray, axes: Axes, rounds: int, fit: Fit):
+    moves = np.array(list(product((-1, 0, 1), repeat=len(axes))), float)
+    factor = np.array([a.factor for a in axes.values()], bool)
+    low, high, step = (np.array([getattr(a, k) for a in axes.values()]) for k in ("low", "high", "step"))
+    at = [names.index(n) for n in axes]
+
+    def best(d: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, float, float]:
+        amplitude, rms = fit(d, some)
+        k = np.lexsort([*some.T[::-1], rms])[0]
+        return some[k], float(amplitude[k]), float(rms[k])
+
+    def kernel(batches):
+        for batch in batches:
+            found = []
+            for r in range(batch.num_rows):
+                d = {n: batch[n][r].values.to_numpy(zero_copy_only=False).astype(float) for n in inputs}
+                model, amplitude, rms = best(d, models)
+                for n in range(1, rounds + 1):
+                    near = np.repeat(model[None], len(moves), 0)
+                    size = np.where(factor, step ** 0.5**n, step * 0.5**n)
+                    near[:, at] = np.clip(np.where(factor, near[:, at] * size**moves, near[:, at] + moves * size), low, high)
+                    model, amplitude, rms = best(d, near)
+                found.append([*model, amplitude, rms])
+            columns = np.array(found).reshape(-1, len(names) + 2).T
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in by], *[pa.array(c) for c in columns]], [*by, *names, "amplitude", "rms"])
+
+    return kernel
+
+
+def best_models(data: DataFrame, by: list[str], inputs: dict[str, Column], candidates: DataFrame, axes: Axes | None, rounds: int, fit: Fit) -> DataFrame:
+    """by, the candidates' columns, amplitude, rms: the model with the least rms (then the least numbers) for each key.
+
+    A key's samples become arrays of one row, and all candidates are held against them there; then, for each round, all
+    moves by half the last step along the axes from the best so far. So samples are dealt once, and never met by a table.
+    """
+    rows = candidates.limit(CANDIDATES + 1).collect()
+    if not 1 <= len(rows) <= CANDIDATES:
+        raise ValueError(f"1 to {CANDIDATES} candidates can be held against each key")
+    names = candidates.columns
+    kinds = dict(data.dtypes)
+    arrays = data.select(*by, F.struct(*[c.cast("double").alias(n) for n, c in inputs.items()]).alias("_s")).groupBy(*by).agg(F.collect_list("_s").alias("_s"))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"`{n}` double" for n in names], "amplitude double", "rms double"])
+    models = np.array([[float(v) for v in r] for r in rows])
+    return arrays.select(*by, *[F.col(f"_s.{n}").alias(n) for n in inputs]).mapInArrow(_searching(by, list(inputs), names, models, axes or {}, rounds, fit), schema)
 
 
 def sp_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str, q: float, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
     """by, x0, depth, angle, amplitude, rms of the best self-potential body (q: 1.5 sphere, 1 cylinder, 0.5 sheet).
 
-    candidates: x0, depth, angle (degrees); a table of models held against every profile. rounds: see nearer().
+    candidates: x0, depth, angle (degrees); models held against every profile. axes, rounds: see best_models().
     """
 
-    def fit(d: DataFrame) -> DataFrame:
-        u, a = F.col(x) - F.col("x0"), F.radians("angle")
-        base = (u * F.cos(a) + F.col("depth") * F.sin(a)) / F.pow(u * u + F.col("depth") * F.col("depth"), F.lit(q))
-        r = project_amplitude(d, [*by, "x0", "depth", "angle"], F.col(value), base)
-        best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "angle", "amplitude", "rms"), F.struct("rms", "x0", "depth", "angle")).alias("b"))
-        return best.select(*by, "b.*")
+    def fit(d, models):
+        x0, depth, angle = (models[:, k, None] for k in range(3))
+        u, turn = d["_x"] - x0, np.radians(angle)
+        return projected((u * np.cos(turn) + depth * np.sin(turn)) / (u * u + depth * depth) ** q, d["_v"])
 
-    return nearer(profiles, fit(profiles.crossJoin(candidates)), by, axes or {}, rounds, fit)
+    return best_models(profiles, by, {"_x": F.col(x), "_v": F.col(value)}, candidates.select("x0", "depth", "angle"), axes, rounds, fit)
 
 
 def gravity_bodies(profiles: DataFrame, candidates: DataFrame, by: list[str], x: str, value: str, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
-    """by, x0, depth, q, amplitude, rms of the best residual-gravity body amp z / (u^2 + z^2)^q. rounds: see nearer()."""
+    """by, x0, depth, q, amplitude, rms of the best residual-gravity body amp z / (u^2 + z^2)^q. See best_models()."""
 
-    def fit(d: DataFrame) -> DataFrame:
-        u, z = F.col(x) - F.col("x0"), F.col("depth")
-        r = project_amplitude(d, [*by, "x0", "depth", "q"], F.col(value), z / F.pow(u * u + z * z, F.col("q")))
-        best = r.groupBy(*by).agg(F.min_by(F.struct("x0", "depth", "q", "amplitude", "rms"), F.struct("rms", "x0", "depth", "q")).alias("b"))
-        return best.select(*by, "b.*")
+    def fit(d, models):
+        x0, depth, q = (models[:, k, None] for k in range(3))
+        return projected(depth / ((d["_x"] - x0) ** 2 + depth * depth) ** q, d["_v"])
 
-    return nearer(profiles, fit(profiles.crossJoin(candidates)), by, axes or {}, rounds, fit)
+    return best_models(profiles, by, {"_x": F.col(x), "_v": F.col(value)}, candidates.select("x0", "depth", "q"), axes, rounds, fit)
 
 
 def cole_cole(spectra: DataFrame, candidates: DataFrame, by: list[str], frequency: str, amplitude: str, phase: str, axes: Axes | None = None, rounds: int = 0) -> DataFrame:
     """by, m, tau, c, rho0, rms of the best Cole-Cole model; phase in mrad. rho0 is projected out of the complex fit.
 
-    rounds: see nearer().
+    rms is over the frequencies, whose real and imaginary misfits add up. See best_models().
     """
 
-    def fit(d: DataFrame) -> DataFrame:
-        w = F.pow(TWO_PI * F.col(frequency) * F.col("tau"), F.col("c"))
-        angle = F.col("c") * (math.pi / 2)
-        p, q = 1 + w * F.cos(angle), w * F.sin(angle)
-        s = p * p + q * q
-        re, im = 1 - F.col("m") * (1 - p / s), -F.col("m") * q / s
-        dr, di = F.col(amplitude) * F.cos(F.col(phase) / 1000), F.col(amplitude) * F.sin(F.col(phase) / 1000)
-        g = d.groupBy(*by, "m", "tau", "c").agg(F.sum(dr * re + di * im).alias("vb"), F.sum(re * re + im * im).alias("bb"), F.sum(dr * dr + di * di).alias("vv"), F.count(F.lit(1)).alias("n"))
-        rho = F.col("vb") / F.col("bb")
-        g = g.select(*by, "m", "tau", "c", rho.alias("rho0"), F.sqrt(F.greatest(F.col("vv") - rho * F.col("vb"), F.lit(0.0)) / F.col("n")).alias("rms"))
-        best = g.groupBy(*by).agg(F.min_by(F.struct("m", "tau", "c", "rho0", "rms"), F.struct("rms", "m", "tau", "c")).alias("b"))
-        return best.select(*by, "b.*")
-
-    return nearer(spectra, fit(spectra.crossJoin(candidates)), by, axes or {}, rounds, fit)
+    def fit(d, models):
+        m, tau, c = (models[:, k, None] for k in range(3))
+        response = 1 - m * (1 - 1 / (1 + (2j * math.pi * d["_f"] * tau) ** c))
+        measured = d["_a"] * np.exp(1j * d["_p"] / 1000)
+        rho, rms = projected(np.concatenate([response.real, response.imag], 1), np.concatenate([measured.real, measured.imag]))
+        return rho, rms * math.sqrt(2)
+
+    inputs = {"_f": F.col(frequency), "_a": F.col(amplitude), "_p": F.col(phase)}
+    return best_models(spectra, by, inputs, candidates.select("m", "tau", "c"), axes, rounds, fit).withColumnRenamed("amplitude", "rho0")
 
 
 def layered_response(omega: np.ndarray, rho: np.ndarray, thick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

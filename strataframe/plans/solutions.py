@@ -99,7 +99,7 @@ def focal(spark, d):
 
 
 def _search_sql(head: str, data: str, models: list[tuple], axes: dict[str, S.Axis], rows: str, sums: str, rounds: int) -> str:
-    """CTEs of a search by S.nearer(); best{rounds} is (trace, the axes, a, rms).
+    """CTEs of a search by S.best_models(); best{rounds} is (trace, the axes, a, rms).
 
     data(trace, ...) is held against the models by rows, a select list over both; sums gives a and rms of them.
     """

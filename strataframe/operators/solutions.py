@@ -373,6 +373,76 @@ def layered_mt(soundings: DataFrame, models: list[tuple[list[float], list[float]
     return rows.mapInPandas(search, f"{kinds}, layers_rho array<double>, layers_thick array<double>, misfit double")
 
 
+def spread_models(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """n points that fill a box evenly: steps by the powers of the root of x**(d+1) = x + 1 (a quasi-random sequence)."""
+    d = len(low)
+    root = 2.0
+    for _ in range(60):
+        root = (1 + root) ** (1 / (d + 1))
+    place = (0.5 + np.outer(np.arange(1, n + 1), root ** -np.arange(1.0, d + 1))) % 1
+    return low + (high - low) * place
+
+
+def _misfits(models: np.ndarray, layers: int, omega: np.ndarray, log_rho: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Residuals of models (logs of resistivities, then of thicknesses): a row for each, log10 rho first, then phase / 45."""
+    got, phi = layered_response(omega, np.exp(models[:, :layers]), np.exp(models[:, layers:]))
+    return np.concatenate([np.log10(got) - log_rho, (phi - angle) / 45], axis=1)
+
+
+def _descended(models: np.ndarray, residuals: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Models and their sums of squares after damped least-squares steps, all at once, each with a damping of its own."""
+    k, p = models.shape
+    r = residuals(models)
+    cost, damping, h = (r * r).sum(1), np.full(k, 1e-2), 1e-5
+    for _ in range(steps):
+        moved = (models[:, None, :] + h * np.eye(p)[None]).reshape(k * p, p)
+        slope = (residuals(moved).reshape(k, p, -1) - r[:, None, :]) / h
+        normal, pull = slope @ slope.transpose(0, 2, 1), (slope @ r[:, :, None])[:, :, 0]
+        weight = damping[:, None] * (np.einsum("kii->ki", normal) + 1e-9)
+        step = np.linalg.solve(normal + weight[:, :, None] * np.eye(p)[None], -pull[:, :, None])[:, :, 0]
+        tried = np.clip(models + step, low, high)
+        r_new = residuals(tried)
+        cost_new = (r_new * r_new).sum(1)
+        better = cost_new < cost
+        models, r, cost = np.where(better[:, None], tried, models), np.where(better[:, None], r_new, r), np.where(better, cost_new, cost)
+        damping = np.where(better, damping / 4, np.minimum(damping * 5, 1e9))
+    return models, cost
+
+
+def layered_search(soundings: DataFrame, by: list[str], frequency: str, rho: str, phase: str, layers: int = 3, rho_bounds: tuple[float, float] = (1.0, 1e4), thick_bounds: tuple[float, float] = (10.0, 10**4.5), models: int = 4096, keep: int = 16, steps: int = 30) -> DataFrame:
+    """by, layers_rho, layers_thick, misfit of the layered model within bounds that fits log10 rho and phase / 45 best.
+
+    Each sounding is held against an even spread of models over the whole space; an eighth of them stays after every eighth
+    frequency, an eighth of these after every second, and the best `keep` on all frequencies go down by damped least
+    squares, of which the best is told. A sounding travels as one array; rows with a null are left out.
+    """
+    low = np.log([rho_bounds[0]] * layers + [thick_bounds[0]] * (layers - 1))
+    high = np.log([rho_bounds[1]] * layers + [thick_bounds[1]] * (layers - 1))
+    start = spread_models(models, low, high)
+    one = F.struct(F.col(frequency).cast("double").alias("f"), F.col(rho).cast("double").alias("r"), F.col(phase).cast("double").alias("p"))
+    known = soundings.filter(F.col(frequency).isNotNull() & F.col(rho).isNotNull() & F.col(phase).isNotNull())
+    rows = known.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_s")).select(*by, F.col("_s.f").alias("_f"), F.col("_s.r").alias("_r"), F.col("_s.p").alias("_p"))
+
+    def one_sounding(f, r, p):
+        data = np.array([TWO_PI * np.asarray(f), np.log10(np.asarray(r)), np.asarray(p)])
+        tried = start
+        for every, left in ((8, models // 8), (2, models // 64), (1, keep)):
+            part = data[:, ::every]
+            cost = (_misfits(tried, layers, *part) ** 2).sum(1)
+            tried = tried[np.argsort(cost, kind="stable")[: max(left, keep)]]
+        tried, cost = _descended(tried, lambda m: _misfits(m, layers, *data), low, high, steps)
+        best = int(np.argmin(cost))
+        return np.exp(tried[best, :layers]), np.exp(tried[best, layers:]), math.sqrt(cost[best] / data.shape[1])
+
+    def search(frames):
+        for d in frames:
+            found = [one_sounding(f, r, p) for f, r, p in zip(d["_f"], d["_r"], d["_p"], strict=True)]
+            yield pd.concat([d[by].reset_index(drop=True), pd.DataFrame(found, columns=["layers_rho", "layers_thick", "misfit"])], axis=1)
+
+    kinds = ", ".join(f"`{c}` {soundings.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInPandas(search, f"{kinds}, layers_rho array<double>, layers_thick array<double>, misfit double")
+
+
 def nmo(df: DataFrame, trace: list[str], at: str, offset: str, value: str, dt: float, velocity: float, stretch: float = 0.5) -> DataFrame:
     """Column nmo: each sample read at sqrt(t0^2 + (x / v)^2), linear between samples; stretch beyond the limit is 0."""
     t0 = F.col(at) * dt

@@ -161,10 +161,9 @@ def sip(spark, d):
 
 @C.add("ga")
 def ga(spark, d):
-    """Three layers to each trace: a table of 16 models and six rounds of smaller moves from the best."""
-    models = [([a, b, c], [h, 500.0]) for a in (10.0, 100.0) for b in (20.0, 300.0) for c in (50.0, 1000.0) for h in (100.0, 400.0)]
+    """Three layers to each trace, searched for in the whole space."""
     s = section(spark, d).select("trace", (F.col("k") + 1.0).alias("f"), (100 + 50 * F.col("amp")).alias("obs_rho"), (45 + 10 * F.col("amp")).alias("obs_phase"))
-    r = S.layered_mt(s, models, ["trace"], "f", "obs_rho", "obs_phase", 6)
+    r = S.layered_search(s, ["trace"], "f", "obs_rho", "obs_phase", 3, models=2048, keep=8, steps=15)
     return r.select("trace", *[t(F.col("layers_rho")[n], 4).alias(f"rho{n + 1}") for n in range(3)], *[t(F.col("layers_thick")[n], 4).alias(f"thick{n + 1}") for n in range(2)], t("misfit").alias("misfit"))
 
 

@@ -11,8 +11,9 @@ from ..operators import contours as O
 from ..operators import drainage as D
 from ..operators import grids as G
 from ..operators import iterate as I
+from ..operators import joins as J
 from ..operators import solutions as S
-from .fixtures import GRID_SQL, SECTION_SQL, SERIES_SQL, Catalog, deposits, grid, section, series
+from .fixtures import DEPOSIT_SQL, GRID_SQL, SECTION_SQL, SERIES_SQL, Catalog, deposits, grid, section, series
 from .grids import _tidied, rnd
 
 C = Catalog()
@@ -183,15 +184,25 @@ def werner(spark, d):
     return _tidied(S.werner(p, ["i"], "distance", "v"), ["i"])
 
 
-@C.add("euler")
-def euler(spark, d):
-    from ..operators import spectral as P
-    from .spectral import tiles
+EULER_SQL = f"""WITH {GRID_SQL}, {DEPOSIT_SQL}, q AS (SELECT g.i, g.j, (g.x - dep.x) ** 2 + (g.y - dep.y) ** 2 + 22500 AS q FROM g JOIN dep ON (g.x - dep.x) ** 2 + (g.y - dep.y) ** 2 <= 2250000),
+f AS (SELECT i, j, 1e6::DOUBLE * sum(150 / pow(q, 1.5)) AS v, 1e6::DOUBLE * sum(67500 / pow(q, 2.5) - 1 / pow(q, 1.5)) AS tz FROM q GROUP BY i, j),
+n AS (SELECT i, j, v, tz, lag(v) OVER r AS l, lead(v) OVER r AS m, lag(v) OVER c AS b, lead(v) OVER c AS u, max(i) OVER () + 1 AS ny, max(j) OVER () + 1 AS nx FROM f WINDOW r AS (PARTITION BY i ORDER BY j), c AS (PARTITION BY j ORDER BY i)),
+t AS (SELECT i, j, v, tz, ny, nx, CASE WHEN l IS NULL THEN (m - v) / 100 WHEN m IS NULL THEN (v - l) / 100 ELSE (m - l) / 200 END AS tx, CASE WHEN b IS NULL THEN (u - v) / 100 WHEN u IS NULL THEN (v - b) / 100 ELSE (u - b) / 200 END AS ty FROM n),
+wi AS (SELECT *, unnest(range(greatest(ceil((i - 5) / 2.0), 0)::INT, least(i // 2, (ny - 6) // 2)::INT + 1)) AS wi FROM t), w AS (SELECT *, unnest(range(greatest(ceil((j - 5) / 2.0), 0)::INT, least(j // 2, (nx - 6) // 2)::INT + 1)) AS wj FROM wi),
+e AS (SELECT *, (wj * 2 + 2.5) * 100 AS cx, (wi * 2 + 2.5) * 100 AS cy FROM w), y AS (SELECT *, (j * 100 - cx) * tx + (i * 100 - cy) * ty + 2 * v AS y FROM e),
+s AS (SELECT wi, wj, cx, cy, count(*) AS n, var_pop(y) AS yy, var_pop(tx) AS a, covar_pop(tx, ty) AS b, covar_pop(tx, tz) AS c, var_pop(ty) AS d, covar_pop(ty, tz) AS e, var_pop(tz) AS f, covar_pop(tx, y) AS p, covar_pop(ty, y) AS q, covar_pop(tz, y) AS r FROM y GROUP BY wi, wj, cx, cy),
+k AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s),
+z AS (SELECT *, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS x0, (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det AS y0, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS z0 FROM k)"""
+
 
-    g = tiles(spark, d)
-    tz = P.apply_response(g, 100.0, 100.0, P.vertical_derivative(1), out="tz")
-    r = S.euler(g.join(tz, ["grid_id", "i", "j"]), 100.0, 100.0, 1.0, 8, 4, 5.0)
-    return _tidied(r.withColumnRenamed("grid_id", "tile"), ["tile", "wi", "wj"])
+@C.add("euler", EULER_SQL + " SELECT wi::BIGINT AS wi, wj::BIGINT AS wj, round(cx + x0, 3) AS x, round(cy + y0, 3) AS y, round(z0, 3) AS depth FROM z WHERE z0 > 0 AND sqrt(greatest(yy - x0 * p - y0 * q - z0 * r, 0) / (n - 4) * (a * d - b * b) / det) / z0 <= 0.3 AND sqrt(x0 * x0 + y0 * y0) <= 900")
+def euler(spark, d):
+    """Depths of the point masses that make a field: one at each supplier, 150 m deep, felt within 1,500 m."""
+    cells = grid(spark, d).select("grid_id", "i", "j", "x", "y", (F.col("i").cast("long") * 50 + F.col("j")).alias("cell"))
+    near = J.radius_join(cells, deposits(spark, d), 1500.0, "cell", "id").withColumn("q", F.col("distance") * F.col("distance") + 150.0 * 150.0)
+    field = near.groupBy("cell").agg((F.sum(150.0 / F.pow("q", F.lit(1.5))) * 1e6).alias("value"), (F.sum(3 * 150.0 * 150.0 / F.pow("q", F.lit(2.5)) - 1 / F.pow("q", F.lit(1.5))) * 1e6).alias("tz"))
+    r = S.euler(cells.join(field, "cell").drop("cell"), 100.0, 100.0, 2.0, 6, 2, 0.3)
+    return r.select("wi", "wj", *[t(c, 3).alias(c) for c in ("x", "y", "depth")])
 
 
 @C.add("steepest", f"WITH {GRID_SQL}, nb AS (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS a, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS b, unnest(range(8)) AS n), x AS (SELECT c.i, c.j, c.i + a AS ti, c.j + b AS tj, (c.value - o.value) / (100 * sqrt(a * a + b * b)) AS dr, n FROM g c, nb, g o WHERE o.i = c.i + a AND o.j = c.j + b), y AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY dr DESC, n) AS r FROM x WHERE dr > 0) SELECT g.i, g.j, coalesce(ti, -1)::INT AS to_i, coalesce(tj, -1)::INT AS to_j FROM g LEFT JOIN y ON g.i = y.i AND g.j = y.j AND r = 1")

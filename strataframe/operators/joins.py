@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,12 +150,66 @@ def pairs_within(points: DataFrame, max_lag: float, point_id: str, value: str) -
     return d.join(va, point_id).join(vb, "_b").select(F.col(point_id).alias("a"), F.col("_b").alias("b"), "distance", "va", "vb")
 
 
+#: Points of a block whose pairs with another block one task counts at a time.
+PAIR_BLOCK = 1024
+#: The tile itself and one of each two opposite neighbours.
+_HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+MOMENTS = pa.schema([("bin", pa.int32()), ("n", pa.int64()), ("h", pa.float64()), ("g", pa.float64())])
+
+
+def _packed_points(table: pa.Table) -> pa.Table:
+    own = table.slice(0, 1).select(["tx", "ty", "block"])
+    for c in ("x", "y", "v"):
+        own = own.append_column(c, pa.array([table[c].to_numpy().astype(float).tobytes()], pa.binary()))
+    return own
+
+
+def _lag_moments(max_lag: float, lags: int):
+    """Counts and sums of the pairs of two blocks (or of one with itself) by lag class."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        way, low, high = (table[c][0].as_py() for c in ("way", "low", "high"))
+        itself = way == 0 and low == high
+        if table.num_rows < 2 and not itself:  # the other block has no points: blocks are dealt by hash
+            return MOMENTS.empty_table()
+        x, y, v = ([np.frombuffer(b, float) for b in table[c].to_pylist()] for c in ("x", "y", "v"))
+        h = np.hypot(x[0][:, None] - x[-1][None, :], y[0][:, None] - y[-1][None, :])
+        met = h <= max_lag
+        if itself:
+            met = np.triu(met, 1)
+        h, apart = h[met], ((v[0][:, None] - v[-1][None, :]) ** 2)[met]
+        bin_ = np.minimum((h / (max_lag / lags)).astype(np.int64), lags - 1)
+        n = np.bincount(bin_, minlength=lags)
+        sums = [np.bincount(bin_, weights=w, minlength=lags)[n > 0] for w in (h, apart)]
+        return pa.table([pa.array(np.flatnonzero(n).astype(np.int32)), pa.array(n[n > 0].astype(np.int64)), *[pa.array(w, pa.float64()) for w in sums]], schema=MOMENTS)
+
+    return kernel
+
+
 def variogram(points: DataFrame, point_id: str, value: str, max_lag: float, lags: int = 15, least: int = 5) -> DataFrame:
-    """bin, n, h, gamma: mean distance and semivariance of equal lags with more than `least` pairs."""
-    width = max_lag / lags
-    d = pairs_within(points, max_lag, point_id, value).withColumn("bin", F.least(F.floor(F.col("distance") / width), F.lit(lags - 1)).cast("int"))
-    g = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("h"), (F.avg((F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb"))) / 2).alias("gamma"))
-    return g.filter(F.col("n") > least)
+    """bin, n, h, gamma: mean distance and semivariance of equal lags with more than `least` pairs.
+
+    Points travel in blocks of a tile of the lag's size, one row each. Two blocks of a tile or of neighbouring tiles meet in
+    one task, which tells their counts and sums by lag class; no pair leaves it. Rows with a null are left out.
+    """
+    tile = lambda c: F.floor(F.col(c) / max_lag).cast("long")
+    p = points.select(point_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("v")).dropna(subset=["x", "y", "v"]).withColumns({"tx": tile("x"), "ty": tile("y")})
+    blocks = p.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    placed = p.join(blocks, ["tx", "ty"]).withColumn("block", F.pmod(F.xxhash64(point_id), "blocks").cast("int"))
+    packed = placed.select("tx", "ty", "block", "x", "y", "v").groupBy("tx", "ty", "block").applyInArrow(_packed_points, "tx long, ty long, block int, x binary, y binary, v binary")
+    ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("way"), F.lit(first).alias("first")) for n, (a, b) in enumerate(_HALF) for first in ((True, False) if n else (True,))])
+    sign = F.when(F.col("w.first"), 1).otherwise(-1)
+    asks = packed.withColumn("w", F.explode(ways)).withColumns({"ox": F.col("tx") + sign * F.col("w.a"), "oy": F.col("ty") + sign * F.col("w.b")})
+    met = asks.join(blocks.select(F.col("tx").alias("ox"), F.col("ty").alias("oy"), "blocks"), ["ox", "oy"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own, first = F.col("w.way") == 0, F.col("w.first")
+    low = F.when(own, F.least("block", "other")).when(first, F.col("block")).otherwise(F.col("other"))
+    high = F.when(own, F.greatest("block", "other")).when(first, F.col("other")).otherwise(F.col("block"))
+    keyed = met.select(F.when(first, F.col("tx")).otherwise(F.col("ox")).alias("kx"), F.when(first, F.col("ty")).otherwise(F.col("oy")).alias("ky"), F.col("w.way").alias("way"), low.alias("low"), high.alias("high"), "x", "y", "v")
+    sums = keyed.groupBy("kx", "ky", "way", "low", "high").applyInArrow(_lag_moments(max_lag, lags), "bin int, n long, h double, g double")
+    g = sums.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("g").alias("g"))
+    return g.filter(F.col("n") > least).select("bin", "n", (F.col("h") / F.col("n")).alias("h"), (F.col("g") / F.col("n") / 2).alias("gamma"))
 
 
 def shape_of(model: str, h: Column, a: Column) -> Column:

@@ -107,3 +107,18 @@ def test_exact_percentiles_of_large_and_small_groups(spark, monkeypatch, limit):
         assert np.allclose(got[g], np.percentile(vs, [5, 50, 95, 100]), rtol=1e-12), g
     whole = aggregates.exact_percentiles(df, [], "v", [0.25]).collect()
     assert np.isclose(whole[0].p[0], np.percentile([v for vs in groups.values() for v in vs], 25))
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_variogram_of_blocks_is_that_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(block)
+    p = np.concatenate([rng.uniform(-400, 900, (150, 2)), rng.normal(50, 3, (60, 2)), [[0.0, 0.0], [300.0, 0.0]]])
+    v = rng.normal(size=len(p))
+    rows = [(k, float(x), float(y), float(z)) for k, ((x, y), z) in enumerate(zip(p, v, strict=True))] + [(900, 1.0, 1.0, None), (901, None, 1.0, 1.0)]
+    got = {r.bin: (r.n, r.h, r.gamma) for r in joins.variogram(spark.createDataFrame(rows, "id int, x double, y double, z double"), "id", "z", 300.0, 6, 3).collect()}
+    i, j = np.triu_indices(len(p), 1)
+    h, g = np.hypot(*(p[i] - p[j]).T), (v[i] - v[j]) ** 2 / 2
+    for k in range(6):
+        hit = (h <= 300) & (np.minimum(h // 50, 5) == k)
+        assert got[k][0] == hit.sum() and np.allclose(got[k][1:], [h[hit].mean(), g[hit].mean()])

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import finite
 from .aggregates import exact_percentiles, following

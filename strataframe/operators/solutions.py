@@ -570,7 +570,7 @@ def viewshed(cells: DataFrame, oi: int, oj: int, dx: float, dy: float, eye: floa
     """
     from .joins import bilinear
 
-    watch = F.broadcast(cells.filter((F.col("i") == oi) & (F.col("j") == oj)).select("grid_id", (F.col("value") + eye).alias("_oz")))
+    watch = cells.filter((F.col("i") == oi) & (F.col("j") == oj)).select("grid_id", (F.col("value") + eye).alias("_oz"))
     d = cells.join(watch, "grid_id")
     steps = F.greatest(2 * F.abs(F.col("i") - oi), 2 * F.abs(F.col("j") - oj), F.lit(samples - 1)).cast("int")
     rays = d.select(F.col("grid_id"), F.col("grid_id").alias("_grid"), F.col("i").alias("_ti"), F.col("j").alias("_tj"), (F.col("value") + target).alias("_tz"), "_oz", steps.alias("_steps"))

@@ -1,6 +1,7 @@
 """Cases that once went wrong, and nulls, empty tables, repeats, ties, long texts and clashing names."""
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from strataframe.llm import toxicity as tox
 from strataframe.llm._arrays import SLICE_BYTES, column_slices, random_key, word_hashes
 from strataframe.llm.embedding_dedup import embedding_dedup
-from strataframe.llm.html_extraction import DENSITY, UNFITTED, extract_main_text, main_text
+from strataframe.llm.html_extraction import DENSITY, UNFITTED, blocks_of, extract_main_text, fit_costs, main_text, score, smoothness
 from strataframe.llm.kd_sharding import GROUP_SHARE, kd_shards
 from strataframe.llm.minhash_dedup import minhash_dedup
 from strataframe.llm.packing import best_fit, pack
@@ -202,9 +203,48 @@ PAGES = [
     ("<p>No landmark at all, but a long enough paragraph to be read.</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", "No landmark at all, but a long enough paragraph to be read."),
     ('<article><p><a href="open>Read</a> the whole story in this paragraph of words.</p></article>', "Read the whole story in this paragraph of words."),
     ("", ""), (None, ""), ("<nav>only a menu</nav>", ""),
+    ('<body class="single has-sidebar"><nav class="main-nav"><ul><li><a href=/>Home</a></ul></nav><article id="post-1" class="post type-post category-news tag-energy hentry"><h1>Grid storage grows</h1><p>The grid operator said on Monday that storage has doubled.</p><p>Prices fell.</p></article><aside class="widget-area"><p>Recent posts and other things that are not here.</p></aside></body>', "Grid storage grows\nThe grid operator said on Monday that storage has doubled.\nPrices fell."),
+    ('<article><h1>T</h1><p>We present a method that works well on many inputs.</p><section id="related-work"><h2>Related work</h2><p>Others have studied the problem for a long time, with mixed results.</p></section><div class="search-results-analysis"><p>The results of the search were analysed by two readers.</p></div><div class="ad">Buy our long and lovely product now, it is the best one.</div></article>', "T\nWe present a method that works well on many inputs.\nRelated work\nOthers have studied the problem for a long time, with mixed results.\nThe results of the search were analysed by two readers."),
+    ('<body><div class="top"><ul><li><a href=/a>News</a><li><a href=/b>Sport</a><li><a href=/c>Weather</a></ul></div><div class="wrap"><h1>The river rises</h1><p>After days of rain the river has reached the old bridge, and the town waits for the night.</p><p>So it is.</p><p>The mayor asked everybody in the lower streets to leave their houses before the evening comes.</p></div><div class="bottom"><a href=/x>Imprint</a> <a href=/y>Contact</a></div></body>', "The river rises\nAfter days of rain the river has reached the old bridge, and the town waits for the night.\nSo it is.\nThe mayor asked everybody in the lower streets to leave their houses before the evening comes."),
+    ('<section class="related"><article class="teaser"><h3><a href=/1>Another story</a></h3><p>A short teaser of it.</p></article></section><main><p>The only paragraph of the page that is meant to be read.</p></main><div id="comments"><article class="comment"><p>I do not agree with any of this at all, and I have said so.</p></article></div>', "The only paragraph of the page that is meant to be read."),
 ]
 
 
+def test_costs_and_edges_decide_together():
+    """The labelling is the cheapest of all, and edges as well as costs take part in it."""
+    changed = 0
+    for page in [h for h, _ in PAGES if h] + ["<div><p>A long first paragraph that has a lot of words in it, so that it is read.</p><p>Yes</p><p>And another long paragraph that is here to be read by all of them.</p></div>"]:
+        blocks = blocks_of(page)
+        costs, edges = [score(b, UNFITTED) for b in blocks], smoothness(blocks)
+        price = lambda keep: sum(max(0.0, -c if k else c) for c, k in zip(costs, keep, strict=True)) + sum(w for (i, j), w in edges.items() if keep[i] != keep[j])  # noqa: E731, B023
+        best = min(itertools.product((False, True), repeat=len(blocks)), key=price)
+        assert main_text(page) == "\n".join(b.text for b, k in zip(blocks, best, strict=True) if k)
+        changed += any(k != (c > 0) for k, c in zip(best, costs, strict=True))
+    assert changed >= 1
+
+
+def test_pages_without_their_article_element(spark):
+    """The given pages with the article element made a plain box: nearly all words of the article are found, few others."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1div"))
+    want = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    hit = found = meant = 0
+    for r in extract_main_text(plain).collect():
+        a, b = collections.Counter(r.text.split("\n")), collections.Counter(want[r.page_id].split("\n"))
+        weigh = lambda c: sum(len(t) * n for t, n in c.items())
+        hit, found, meant = hit + weigh(a & b), found + weigh(a), meant + weigh(b)
+    assert 2 * hit / (found + meant) > 0.98
+
+
+def test_names_learn_what_they_hold(spark):
+    """A name that fixed values do not know is learned from the text that pages hold under it."""
+    page = '<body><div class="zqx"><a href=/{0}>Number {0}</a> <a href=/b>Words</a></div><div class="wvu"><p>The paragraph number {0} is long enough to be read, and so it is read by all.</p></div></body>'
+    rows = [(i, page.format(i)) for i in range(40)]
+    _, learned = fit_costs(spark.createDataFrame(rows, "page_id int, _html string"))
+    assert learned["zqx"] < -1 < 1 < learned["wvu"] and all(abs(v) <= 2 for v in learned.values())
+    assert all(r.text.startswith("The paragraph") for r in extract_main_text(spark.createDataFrame(rows, "page_id int, html string")).collect())
+
+
 def test_pages_labelled_by_hand(spark):
     rows = [(i, "u", h, 1, "t", 2) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], 1, "t", 2), (None, None, "<article>" + "<p>long text of words</p>" * 20000, 1, "t", 2)]
     d = spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int, text string, x int")

@@ -248,24 +248,27 @@ def _after(x: np.ndarray, tail: np.ndarray) -> np.ndarray:
 def _name_round(s: Symbols, salt: int) -> None:
     """One round: maximal runs of a name become one symbol each, then each left symbol with a right one after it.
 
-    A run is maximal only beside its neighbours, so they decide it too; left and right are bits of the names.
+    A run is maximal only beside its neighbours, so the nearest symbol of each of them decides it too, but not how far a
+    neighbour's own run goes on; left and right are bits of the names.
     """
+    near_left, near_right = s.left, s.right
     s.fresh = np.zeros(len(s.name), bool)
     with_next = s.row[1:] == s.row[:-1]
     equal = with_next & (s.name[1:] == s.name[:-1])
     if equal.any():
         first = np.flatnonzero(np.concatenate([[True], ~equal]))
         length = np.diff(np.concatenate([first, [len(s.name)]]))
-        right = None if s.right is None else s.right[first + length - 1]
+        if s.left is not None:
+            near_left, near_right = s.left[first + length - 1], s.right[first]
         s.take(first)
-        s.right, many = right, length > 1
+        many = length > 1
         s.name[many] = mix(s.name[many] * U64(_Q) + length[many].astype(U64) * U64(_P) + U64(salt))
         s.fresh = many
         with_next = s.row[1:] == s.row[:-1]
     is_left = s.name * (mix(np.array([salt], U64)) | U64(1)) >> U64(63) == 0
     if s.left is not None:
         head, tail = np.concatenate([[True], ~with_next]), np.concatenate([~with_next, [True]])
-        left, right = _before(s.left, head), _after(s.right, tail)
+        left, right = _before(near_left, head), _after(near_right, tail)
         s.left, s.right = np.where(is_left, left, _before(left, head)), np.where(is_left, _after(right, tail), right)
     pair = np.flatnonzero(is_left[:-1] & ~is_left[1:] & with_next)
     s.name[pair] = mix(s.name[pair] * U64(_Q) + s.name[pair + 1] * U64(_P) + U64(salt + 1))

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataframe.llm import _frames
 from strataframe.llm import toxicity as tox
-from strataframe.llm._arrays import SLICE_BYTES, column_slices, random_key, word_hashes
+from strataframe.llm._arrays import SLICE_BYTES, Words, column_slices, random_key, recompressed, word_hashes
 from strataframe.llm.embedding_dedup import embedding_dedup
 from strataframe.llm.html_extraction import DENSITY, UNFITTED, blocks_of, extract_main_text, fit_costs, main_text, score, smoothness
 from strataframe.llm.kd_sharding import GROUP_SHARE, kd_shards
@@ -304,3 +305,28 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
         left = collections.Counter(r.doc_id for r in p.STAGES[-1][1](spark, docs, str(tmp_path)).collect())
         assert left == ({1: 1, 2: 1, None: 1, 3: 2} if some else {})
     assert zlib.crc32(b"1") % 5 != 0
+
+
+def test_windows_after_runs_of_unequal_length_have_one_anchor(monkeypatch, spark):
+    """A run's neighbour decides where it ends, not how far the neighbour's own run goes on."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        middle = [f"w{rng.randrange(3)}" for _ in range(rng.randrange(11, 30))]
+        texts += [["a"] * rng.randrange(1, 9) + middle + ["b"] * rng.randrange(1, 9) for _ in range(2)]
+    anchors: dict[tuple[str, ...], set[int]] = {}
+    raw = [" ".join(t).encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), key=random_key())
+    keys = recompressed(words, 13, 26)[0]
+    for t, first in zip(texts, words.first, strict=False):
+        for p in range(len(t) - 12):
+            anchors.setdefault(tuple(t[p : p + 13]), set()).add(int(keys[first + p]))
+    assert all(len(k) == 1 for k in anchors.values())
+    monkeypatch.setattr(_frames, "FRAME_BYTES", 500)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    least: dict[tuple[str, ...], int] = {}
+    want = []
+    for i, t in enumerate(texts):
+        gone = {q for p in range(len(t) - 12) if least.setdefault(tuple(t[p : p + 13]), i) < i for q in range(p, p + 13)}
+        want.append(len(gone))
+    assert [r.n_removed for r in substring_dedup(docs).orderBy("doc_id").collect()] == want

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,50 +71,140 @@ def radius_join(points: DataFrame, others: DataFrame, radius: float, point_id: s
     return d.filter(F.col("distance") <= radius).select(*by, point_id, other_id, "distance")
 
 
-def _quadtree_level(spots: DataFrame, counts: DataFrame, levels: int, want: int) -> DataFrame:
-    """cx, cy (finest cells) and level: the smallest cell around each that holds `want` points."""
-    up = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(levels) - F.col("level"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    full = counts.withColumn("level", each).groupBy("level", up("cx").alias("ax"), up("cy").alias("ay")).agg(F.sum("n").alias("n")).filter(F.col("n") >= want).drop("n")
-    asks = spots.withColumn("level", each).select("cx", "cy", "level", up("cx").alias("ax"), up("cy").alias("ay"))
-    return asks.join(full, ["level", "ax", "ay"], "left_semi").groupBy("cx", "cy").agg(F.max("level").alias("level"))
+#: Targets of a block, leaves of the points' tree (about), halvings of a side for blocks and leaves.
+BLOCK_TARGETS, POINT_LEAVES, BLOCK_BITS, LEAF_BITS = 8192, 2048, 12, 24
+#: Targets of a block that are answered together, and distances held at once.
+NEAR_TARGETS, NEAR_DISTANCES = 128, 1 << 21
+
+
+def _square(df: DataFrame) -> tuple[float, float, float] | None:
+    """Corner and side of the square around x and y."""
+    x0, x1, y0, y1 = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return None if x0 is None else (x0, y0, max(x1 - x0, y1 - y0) * (1 + 1e-9) or 1.0)
+
+
+def _quadtree(df: DataFrame, square: tuple[float, float, float], bits: int, most: int) -> DataFrame:
+    """df with cx, cy, level: the largest cell of a tree of 4 x 4 parts that holds at most `most` rows, or a finest one."""
+    x0, y0, side = square
+    finest = lambda c, o: F.floor((F.col(c) - F.lit(o)) / F.lit(side) * 2**bits)
+    placed = df.withColumns({"_cx": finest("x", x0), "_cy": finest("y", y0)})
+    counts = placed.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+    up = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(bits) - F.col("level"))
+    tree = counts.withColumn("level", F.explode(F.array(*[F.lit(n) for n in range(0, bits + 1, 2)])))
+    tree = tree.select("_cx", "_cy", "n", "level", up("_cx").alias("cx"), up("_cy").alias("cy"))
+    full = tree.groupBy("level", "cx", "cy").agg(F.sum("n").alias("_n")).filter(F.col("_n") > most).drop("_n")
+    split = tree.join(full, ["level", "cx", "cy"], "left_semi").groupBy("_cx", "_cy").agg(F.max("level").alias("_split"))
+    cells = counts.join(split, ["_cx", "_cy"], "left").select("_cx", "_cy", F.least(F.coalesce(F.col("_split") + 2, F.lit(0)), F.lit(bits)).alias("level"))
+    return placed.join(cells, ["_cx", "_cy"]).withColumns({"cx": up("_cx"), "cy": up("_cy")}).drop("_cx", "_cy")
+
+
+def _met_leaves(leaves: np.ndarray, want: int):
+    """The leaves (n, x1, x2, y1, y2) that may hold one of the nearest points of some target in each block's box.
+
+    |t - q|**2 - |t - p|**2 is linear in t: what is nearer at a box's four corners is nearer at every target in it. So a
+    leaf is left out where `want` points near the box's middle are nearer at each corner than any point of the leaf.
+    """
+    n, x1, x2, y1, y2 = leaves
+
+    def kernel(batches):
+        for batch in batches:
+            boxes = np.stack([batch[c].to_numpy() for c in ("x1", "x2", "y1", "y2")], 1)
+            block, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b, (u1, u2, v1, v2) in enumerate(boxes):
+                most = lambda u, v: np.hypot(np.maximum(np.abs(u - x1), np.abs(u - x2)), np.maximum(np.abs(v - y1), np.abs(v - y2)))
+                least = lambda u, v: np.hypot(np.maximum(np.maximum(x1 - u, u - x2), 0), np.maximum(np.maximum(y1 - v, v - y2), 0))
+                order = np.argsort(most((u1 + u2) / 2, (v1 + v2) / 2))
+                own = order[: int(np.searchsorted(np.cumsum(n[order]), want)) + 1]
+                met = np.zeros(len(n), bool)
+                for u in (u1, u2):
+                    for v in (v1, v2):
+                        met |= least(u, v) <= most(u, v)[own].max() * (1 + 1e-9)
+                leaf.append(np.flatnonzero(met))
+                block.append(np.full(len(leaf[-1]), b))
+            at = np.concatenate(block)
+            for a in range(0, len(at), 1 << 16):
+                some = batch.select(["cx", "cy", "level", "part"]).take(pa.array(at[a : a + (1 << 16)]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(leaf)[a : a + (1 << 16)].astype(np.int32))], ["cx", "cy", "level", "part", "leaf"])
+
+    return kernel
+
+
+def _by_id(column: pa.ChunkedArray) -> np.ndarray:
+    """The order of ids, which may be structs."""
+    flat = pa.table(column.combine_chunks().flatten() if pa.types.is_struct(column.type) else [column], [f"c{k}" for k in range(column.type.num_fields if pa.types.is_struct(column.type) else 1)])
+    return pa.compute.sort_indices(flat, sort_keys=[(c, "ascending") for c in flat.column_names]).to_numpy()
+
+
+def _nearest_of_block(want: int):
+    """The nearest points of each target of a block, from the points of the leaves that its box meets."""
+
+    def kernel(targets: pa.Table, met: pa.Table) -> pa.Table:
+        points = pa.Table.from_struct_array(met["points"].combine_chunks().flatten())
+        points = points.take(pa.array(_by_id(points["id"])))
+        px, py = points["x"].to_numpy(), points["y"].to_numpy()
+        x, y = targets["x"].to_numpy(), targets["y"].to_numpy()
+        # Targets along strips of tiles, so that those answered together stand together.
+        wide = max(np.ptp(x), np.ptp(y)) / max((len(x) / NEAR_TARGETS) ** 0.5, 1) or 1.0
+        order = np.lexsort((x, np.floor((y - y.min()) / wide)))
+        asked, found, far = [], [], []
+        for a in range(0, len(x), NEAR_TARGETS):
+            at = order[a : a + NEAR_TARGETS]
+            box = [(u, v) for u in (x[at].min(), x[at].max()) for v in (y[at].min(), y[at].max())]
+            middle = np.hypot(px - (box[0][0] + box[3][0]) / 2, py - (box[0][1] + box[3][1]) / 2)
+            own = np.argpartition(middle, want - 1)[:want]
+            near = np.zeros(len(px), bool)
+            for u, v in box:
+                distance = np.hypot(px - u, py - v)
+                near |= distance <= distance[own].max() * (1 + 1e-9)
+            near = np.flatnonzero(near)
+            step = max(NEAR_DISTANCES // len(near), 1)
+            for b in range(0, len(at), step):
+                some = at[b : b + step]
+                ex, ey = x[some][:, None] - px[near][None, :], y[some][:, None] - py[near][None, :]
+                distance = np.sqrt(ex * ex + ey * ey)
+                best = np.argsort(distance, axis=1, kind="stable")[:, :want]
+                asked.append(np.repeat(some, want))
+                found.append(near[best].ravel())
+                far.append(np.take_along_axis(distance, best, 1).ravel())
+        asked, found = pa.array(np.concatenate(asked)), pa.array(np.concatenate(found))
+        rank = np.tile(np.arange(1, want + 1, dtype=np.int32), len(x))
+        return pa.table([targets["id"].take(asked), points["id"].take(found), pa.array(np.concatenate(far)), pa.array(rank)], ["target", "point", "distance", "rank"])
+
+    return kernel
 
 
 def nearest_neighbours(targets: DataFrame, points: DataFrame, k: int, target_id: str, point_id: str, tile: float) -> DataFrame:
     """target_id, point_id, distance, rank of the k nearest points (ties: the smaller id).
 
-    A quadtree of point counts, whose finest cells are about `tile` wide, gives each target the smallest cell around it
-    that holds k points; none of the k nearest is further than that cell's far corner. So one join with the points of the
-    cells of that size which the circle touches finds them, however uneven the points are. A target gets all points where
-    there are fewer than k.
+    Blocks of targets and leaves of points are cells of two trees, split where there are many rows, however uneven they are
+    (`tile`, once the width of a cell, is not needed). About POINT_LEAVES boxes of leaves tell each block which leaves
+    can matter to it, whether it lies among the points or far from them; one join brings these to the block. Of points at
+    one place the k smallest ids are kept. A target gets all points where there are fewer than k. Rows without a place
+    take no part.
     """
-    want = min(k, points.count())
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    far = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not want or far[0] is None:
-        empty = targets.limit(0).select(target_id).join(points.limit(0).select(point_id), F.lit(True))
-        return empty.withColumns({"distance": F.lit(0.0), "rank": F.lit(1)})
-    x0, y0 = min(box[0], far[0]), min(box[2], far[2])
-    side = max(max(box[1], far[1]) - x0, max(box[3], far[3]) - y0, tile) * (1 + 1e-9)
-    levels = max(1, min(24, math.ceil(math.log2(side / tile))))
-    finest = lambda c, o: F.floor((F.col(c) - o) / side * 2**levels)
-    cell = {"cx": finest("x", x0), "cy": finest("y", y0)}
-    p = points.select(point_id, F.col("x").alias("_ox"), F.col("y").alias("_oy"), *[c.alias(n) for n, c in cell.items()])
-    counts = p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    t = targets.select(target_id, "x", "y", *[c.alias(n) for n, c in cell.items()])
-    level = _quadtree_level(t.select("cx", "cy").distinct(), counts, levels, want)
-    wide = side / F.pow(F.lit(2.0), F.col("level"))
-    asks = t.join(level, ["cx", "cy"]).withColumn("_w", wide)
-    off = lambda c, o: (F.col(c) - o) - F.floor((F.col(c) - o) / F.col("_w")) * F.col("_w")
-    reach = F.hypot(F.greatest(off("x", x0), F.col("_w") - off("x", x0)), F.greatest(off("y", y0), F.col("_w") - off("y", y0))) * (1 + 1e-9)
-    span = lambda c, o: F.sequence(F.floor((F.col(c) - o - F.col("_r")) / F.col("_w")), F.floor((F.col(c) - o + F.col("_r")) / F.col("_w")))
-    asks = asks.withColumn("_r", reach).select(target_id, "x", "y", "level", "_r", F.explode(span("x", x0)).alias("ax"), span("y", y0).alias("_ys")).select(target_id, "x", "y", "level", "_r", "ax", F.explode("_ys").alias("ay"))
-    used = [r.level for r in level.select("level").distinct().collect()]
-    up = lambda c: F.call_function("shiftrightunsigned", F.col(c), F.lit(levels) - F.col("level"))
-    there = p.withColumn("level", F.explode(F.array(*[F.lit(n) for n in used]))).select(point_id, "_ox", "_oy", "level", up("cx").alias("ax"), up("cy").alias("ay"))
-    met = asks.join(there, ["level", "ax", "ay"]).withColumn("distance", F.hypot(F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy"))).filter("distance <= _r")
-    w = Window.partitionBy(target_id).orderBy("distance", point_id)
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want).select(target_id, point_id, "distance", "rank")
+    placed = lambda df, name: df.select(F.col(name).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    p, t = placed(points, point_id), placed(targets, target_id)
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).filter(F.col("_r") <= k).drop("_r")
+    n, here, there = p.count(), _square(p), _square(t)
+    want = min(k, n)
+    kinds = dict(t.dtypes)["id"], dict(p.dtypes)["id"]
+    if not want or there is None:
+        return targets.sparkSession.createDataFrame([], f"`{target_id}` {kinds[0]}, `{point_id}` {kinds[1]}, distance double, rank int")
+    leaf = ["cx", "cy", "level"]
+    tree = _quadtree(p, here, LEAF_BITS, max(n // POINT_LEAVES, 16))
+    full = tree.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_list(F.struct("id", "x", "y")).alias("points"))
+    boxes = full.drop("points").orderBy("level", "cx", "cy").collect()
+    numbers = F.broadcast(targets.sparkSession.createDataFrame([(r.cx, r.cy, r.level, i) for i, r in enumerate(boxes)], "cx long, cy long, level int, leaf int"))
+    arrays = np.array([[r[c] for r in boxes] for c in ("n", "x1", "x2", "y1", "y2")], float)
+    part = [*leaf, "part"]
+    dealt = _quadtree(t, there, BLOCK_BITS, BLOCK_TARGETS)
+    parts = dealt.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / BLOCK_TARGETS).alias("_parts"))
+    dealt = dealt.join(parts, leaf).withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")).drop("_parts")
+    blocks = dealt.groupBy(*part).agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    asks = blocks.repartition(*part).mapInArrow(_met_leaves(arrays, want), "cx long, cy long, level int, part int, leaf int")
+    met = asks.join(full.join(numbers, leaf).select("leaf", "points"), "leaf").select(*part, "points")
+    near = dealt.select(*part, "id", "x", "y").groupBy(*part).cogroup(met.groupBy(*part)).applyInArrow(_nearest_of_block(want), f"target {kinds[0]}, point {kinds[1]}, distance double, rank int")
+    return near.withColumnsRenamed({"target": target_id, "point": point_id})
 
 
 def point_to_cell(points: DataFrame, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int) -> DataFrame:

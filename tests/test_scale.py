@@ -1,6 +1,11 @@
 """Operators whose plans were made to scale, against brute force; and the migration of sections."""
 
+import collections
+import math
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +127,19 @@ def test_variogram_of_blocks_is_that_of_all_pairs(spark, monkeypatch, block):
     for k in range(6):
         hit = (h <= 300) & (np.minimum(h // 50, 5) == k)
         assert got[k][0] == hit.sum() and np.allclose(got[k][1:], [h[hit].mean(), g[hit].mean()])
+
+
+def test_nearest_points_of_targets_far_from_all_points(spark):
+    """A block of far targets meets few leaves, and gets the same points as by plain search; ties go to the smaller id."""
+    rng = random.Random(8)
+    near = [(i, float(rng.randrange(50)), float(rng.randrange(40))) for i in range(3000)]
+    asks = [(i, 2.0 * (i % 25), 25.0 * (i // 25)) for i in range(2000)]
+    points, targets = spark.createDataFrame(near, "pid long, x double, y double"), spark.createDataFrame(asks, "tid long, x double, y double")
+    got = collections.defaultdict(list)
+    for r in joins.nearest_neighbours(targets, points, 4, "tid", "pid", 600.0).orderBy("tid", "rank").collect():
+        got[r.tid].append((r.distance, r.pid))
+    for i, x, y in asks:
+        assert got[i] == sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), p) for p, u, v in near)[:4]
+    at = np.array([(1.0, x, x + 1, y, y + 1) for x in range(50) for y in range(40)]).T
+    box = pa.RecordBatch.from_pydict({"cx": [0], "cy": [0], "level": [0], "part": [0], "x1": [0.0], "x2": [50.0], "y1": [2000.0], "y2": [2050.0]})
+    assert sum(b.num_rows for b in joins._met_leaves(at, 4)([box])) < at.shape[1] / 10

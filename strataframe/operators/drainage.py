@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chains import led_to, subtree_sums
-from .iterate import TILE, dropped, written
+from .iterate import dropped, written
 from .solutions import steepest
 
 _CELL = ["grid_id", "i", "j"]
+#: Cells of a tile's side.
+TILE = 64
 
 
 class _Tile:

@@ -11,15 +11,17 @@ import tempfile
 import uuid
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .solutions import EIGHT
 
 MAX_ROUNDS = 2000
-#: Cells of a tile's side: a tile is one task's small group.
-TILE = 64
+#: Cells of a tile's side: a tile is one task's group. A grid narrower than that has longer tiles of as many cells.
+TILE = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,35 +63,70 @@ def _settled(state: DataFrame, step, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 
 
 def _relaxing(kind: str, offsets, dx: float, dy: float, epsilon: float):
-    """Settle a tile by the smallest total first: what a cell offers its neighbours is a path's cost, a water level or a label."""
+    """Settle a tile by the smallest total first: what a cell offers its neighbours is a path's cost, a water level or a label.
+
+    One pass over whole arrays finds the cells that some neighbour improves; only from these on cells are settled one by
+    one, so a tile that nothing enters costs that pass alone.
+    """
     steps = [(a, b, math.hypot(a * dy, b * dx)) for a, b in offsets]
+    reach = max(max(abs(a), abs(b)) for a, b in offsets)
 
     def kernel(table: pa.Table) -> pa.Table:
-        i, j, c, total, own, from_i, from_j = (table[n].to_pylist() for n in ("i", "j", "c", "total", "own", "from_i", "from_j"))
-        at = {cell: n for n, cell in enumerate(zip(i, j, strict=True))}
-        before, heap = list(total), [(t, n) for n, t in enumerate(total) if t < math.inf]
-        heapify(heap)
-        while heap:
-            t, n = heappop(heap)
-            if t > total[n]:
-                continue
-            for a, b, length in steps:
-                m = at.get((i[n] + a, j[n] + b))
-                if m is None:
+        i, j, c, total, own = (table[n].to_numpy() for n in ("i", "j", "c", "total", "own"))
+        i0, j0 = int(i.min()) - reach, int(j.min()) - reach
+        high, wide = int(i.max()) - i0 + reach + 1, int(j.max()) - j0 + reach + 1
+        at = (i.astype(np.int64) - i0) * wide + (j - j0)
+        # Places without a cell, and a rim as wide as the longest step, can't be improved and offer nothing.
+        there, before, cost, source = np.zeros(high * wide, bool), np.full(high * wide, np.inf), np.zeros(high * wide), np.full(high * wide, -1, np.int64)
+        there[at], before[at], cost[at] = True, total, c
+        best, near = before.copy(), np.flatnonzero(there)
+        for a, b, length in steps:
+            of = near - (a * wide + b)
+            t = before[of]
+            new = t + (cost[of] + cost[near]) / 2 * length if kind == "cost" else np.maximum(cost[near], t + epsilon) if kind == "fill" else t
+            less = new < best[near]
+            best[near[less]], source[near[less]] = new[less], of[less]
+        fresh = np.flatnonzero(best < before)
+        if len(fresh):
+            best[~there] = -np.inf
+            value, price, back = best.tolist(), cost.tolist(), source.tolist()
+            moves = [(a * wide + b, length) for a, b, length in steps]
+            heap = [(value[n], n) for n in fresh.tolist()]
+            heapify(heap)
+            while heap:
+                t, n = heappop(heap)
+                if t > value[n]:
                     continue
-                new = t + (c[n] + c[m]) / 2 * length if kind == "cost" else max(c[m], t + epsilon) if kind == "fill" else t
-                if new < total[m]:
-                    total[m], from_i[m], from_j[m] = new, i[n], j[n]
-                    heappush(heap, (new, m))
-        moved = [t < u for t, u in zip(total, before, strict=True)]
-        out = pa.table({"grid_id": table["grid_id"], "i": table["i"], "j": table["j"], "c": table["c"], "total": pa.array(total, pa.float64()), "from_i": pa.array(from_i, pa.int32()), "from_j": pa.array(from_j, pa.int32()), "moved": pa.array(moved, pa.bool_())})
-        return out.filter(pa.array(own, pa.bool_()))
+                here = price[n]
+                for move, length in moves:
+                    m = n + move
+                    new = t + (here + price[m]) / 2 * length if kind == "cost" else max(price[m], t + epsilon) if kind == "fill" else t
+                    if new < value[m]:
+                        value[m], back[m] = new, n
+                        heappush(heap, (new, m))
+            best, source = np.array(value), np.array(back)
+        moved, source = best[at] < total, source[at]
+        old_i, old_j = (table[n].to_numpy(zero_copy_only=False).astype(float) for n in ("from_i", "from_j"))
+        from_i, from_j = np.where(moved, source // wide + i0, old_i), np.where(moved, source % wide + j0, old_j)
+        kept = [table[n] for n in ("grid_id", "i", "j", "c")]
+        shape = [table[n] for n in ("th", "tw")]
+        place = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v)).cast(pa.int32())
+        out = pa.table([*kept, pa.array(best[at]), place(from_i), place(from_j), *shape, pa.array(moved)], ["grid_id", "i", "j", "c", "total", "from_i", "from_j", "th", "tw", "moved"])
+        return out.filter(pa.array(own))
 
     return kernel
 
 
 def _tile_of(column: str, shift: int = 0) -> Column:
-    return F.floor((F.col(column) + shift) / TILE)
+    return F.floor((F.col(column) + shift) / F.col({"i": "th", "j": "tw"}[column]))
+
+
+def _tiled(cells: DataFrame) -> DataFrame:
+    """cells with th, tw: rows and columns of their grid's tiles, TILE x TILE or as many cells along a narrow grid."""
+    high, wide = ((F.max(c) - F.min(c) + 1).cast("int") for c in ("i", "j"))
+    shape = cells.groupBy("grid_id").agg(high.alias("_h"), wide.alias("_w"))
+    along = lambda own, other: F.when(F.col(other) < TILE, F.greatest(F.floor(F.lit(TILE * TILE) / F.col(other)), F.lit(TILE))).otherwise(F.lit(TILE)).cast("int")
+    return cells.join(shape.select("grid_id", along("_h", "_w").alias("th"), along("_w", "_h").alias("tw")), "grid_id")
 
 
 def _relaxed(cells: DataFrame, kind: str, dx: float = 1.0, dy: float = 1.0, offsets=EIGHT, epsilon: float = 0.0) -> DataFrame:
@@ -97,7 +134,7 @@ def _relaxed(cells: DataFrame, kind: str, dx: float = 1.0, dy: float = 1.0, offs
     kinds = dict(cells.dtypes)
     start = cells.select("grid_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("c").cast("double").alias("c"), F.col("total").cast("double").alias("total"), F.lit(None).cast("int").alias("from_i"), F.lit(None).cast("int").alias("from_j"))
     reach = max(max(abs(a), abs(b)) for a, b in offsets)
-    schema = f"grid_id {kinds['grid_id']}, i int, j int, c double, total double, from_i int, from_j int, moved boolean"
+    schema = f"grid_id {kinds['grid_id']}, i int, j int, c double, total double, from_i int, from_j int, th int, tw int, moved boolean"
     shifts = (-reach, 0, reach)
 
     def step(s: DataFrame) -> DataFrame:
@@ -106,7 +143,7 @@ def _relaxed(cells: DataFrame, kind: str, dx: float = 1.0, dy: float = 1.0, offs
         sent = sent.withColumn("own", (F.col("ti") == _tile_of("i")) & (F.col("tj") == _tile_of("j")))
         return sent.groupBy("grid_id", "ti", "tj").applyInArrow(_relaxing(kind, offsets, dx, dy, epsilon), schema)
 
-    return _settled(start, step)
+    return _settled(_tiled(start), step)
 
 
 def fill_depressions(cells: DataFrame, epsilon: float = 1e-6) -> DataFrame:
@@ -134,6 +171,8 @@ def travel_times(cells: DataFrame, source: Column, dx: float, dy: float, velocit
 
 def _walking(table: pa.Table) -> pa.Table:
     """The cells of a tile on the way back from its fresh cells, and the first cell beyond it of each way (fresh)."""
+    if not pa.compute.any(table["fresh"]).as_py():
+        table = table.slice(0, 0)
     i, j, from_i, from_j, fresh = (table[n].to_pylist() for n in ("i", "j", "from_i", "from_j", "fresh"))
     back = dict(zip(zip(i, j, strict=True), zip(from_i, from_j, strict=True), strict=True))
     out: dict[tuple[int, int], bool] = {}
@@ -143,21 +182,21 @@ def _walking(table: pa.Table) -> pa.Table:
             cell = back[cell]
         if cell[0] is not None and cell not in back:
             out[cell] = True
-    return pa.table({"grid_id": pa.array([table["grid_id"][0].as_py()] * len(out), table["grid_id"].type), "i": pa.array([c[0] for c in out], pa.int32()), "j": pa.array([c[1] for c in out], pa.int32()), "_on": pa.array(list(out.values()), pa.bool_())})
+    return pa.table({"grid_id": pa.array([table["grid_id"][0].as_py() for _ in out], table["grid_id"].type), "i": pa.array([c[0] for c in out], pa.int32()), "j": pa.array([c[1] for c in out], pa.int32()), "_on": pa.array(list(out.values()), pa.bool_())})
 
 
 def least_cost_path(cells: DataFrame, start: tuple[int, int], end: tuple[int, int], dx: float, dy: float) -> DataFrame:
     """grid_id, i, j, total of the cells on the cheapest path, walked back along the predecessors, a tile a round."""
     table = cost_distance(cells, (F.col("i") == start[0]) & (F.col("j") == start[1]), dx, dy)
     at_end = (F.col("i") == end[0]) & (F.col("j") == end[1])
-    state = table.withColumns({"on": at_end, "fresh": at_end})
+    state = _tiled(table).withColumns({"on": at_end, "fresh": at_end})
     schema = f"grid_id {dict(table.dtypes)['grid_id']}, i int, j int, _on boolean"
 
     def step(s: DataFrame) -> DataFrame:
         walked = s.withColumns({"ti": _tile_of("i"), "tj": _tile_of("j")}).groupBy("grid_id", "ti", "tj").applyInArrow(_walking, schema)
         marks = walked.groupBy("grid_id", "i", "j").agg(F.bool_and("_on").alias("_fresh"))
         d = s.join(marks, ["grid_id", "i", "j"], "left").withColumn("_new", F.coalesce("_fresh", F.lit(False)) & ~F.col("on"))
-        return d.select("grid_id", "i", "j", "total", "from_i", "from_j", (F.col("on") | F.col("_fresh").isNotNull()).alias("on"), F.col("_new").alias("fresh"), F.col("_new").alias("moved"))
+        return d.select("grid_id", "i", "j", "total", "from_i", "from_j", "th", "tw", (F.col("on") | F.col("_fresh").isNotNull()).alias("on"), F.col("_new").alias("fresh"), F.col("_new").alias("moved"))
 
     return _settled(state, step).filter("on").select("grid_id", "i", "j", "total")
 

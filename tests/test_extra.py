@@ -143,3 +143,14 @@ def test_cokriging_honours_points_and_weights(spark):
     targets = spark.createDataFrame([(0, *rows[3][1:3], rows[3][4]), (1, 50.0, 50.0, f(50, 50))], "target int, x double, y double, second double")
     got = {r.target: r.value for r in gridding.cokriging(targets, points, "target", "id", "value", "second", 8, 30.0, "spherical", 0.0, 10.0, 60.0).collect()}
     assert got[0] == pytest.approx(rows[3][3], abs=1e-6) and got[1] == pytest.approx(5 + 2 * f(50, 50), abs=0.05)
+
+
+def test_a_narrow_grid_takes_few_rounds(spark, monkeypatch):
+    """Tiles of a grid narrower than a tile are longer, so a path crosses few of them."""
+    monkeypatch.setattr(iterate, "TILE", 16)
+    rounds, write = [], iterate.written
+    monkeypatch.setattr(iterate, "written", lambda df: rounds.append(1) or write(df))
+    a = np.ones((700, 3))
+    got = {(r.i, r.j): r.total for r in iterate.cost_distance(table(spark, a), (F.col("i") == 0) & (F.col("j") == 0), 10.0, 10.0).collect()}
+    assert got == pytest.approx(shortest(a, (0, 0), solutions.EIGHT))
+    assert len(rounds) <= 14

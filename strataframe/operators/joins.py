@@ -44,16 +44,16 @@ def bilinear(points: DataFrame, cells: DataFrame, x0: float, y0: float, dx: floa
 
 
 def interpolate(knots: DataFrame, queries: DataFrame, by: list[str], at: str, value: str, keep: list[str]) -> DataFrame:
-    """Linear between neighbouring knots, flat outside (as-of in both directions), in one window over their union.
+    """Linear between neighbouring knots, flat outside (as-of in both directions), in two windows over their union.
 
     knots: by, at, value (non-null); queries: by, at, keep. Returns by, at, keep and value. Equal places: the last knot.
     """
     k = knots.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*by, at).agg(F.max(value).alias(value))
     marks = k.select(*by, at, *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in keep], F.struct(F.col(at).alias("p"), F.col(value).alias("v")).alias("_k"), F.lit(0).alias("_q"))
     asks = queries.select(*by, at, *keep, F.lit(None).cast(marks.schema["_k"].dataType).alias("_k"), F.lit(1).alias("_q"))
-    w = Window.partitionBy(*by).orderBy(at, "_q")
-    back = F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = F.last("_k", True).over(Window.partitionBy(*by).orderBy(at, "_q").rowsBetween(Window.unboundedPreceding, 0))
+    # A frame to the end of its partition is gone through again for each row; backwards it grows by one row.
+    ahead = F.last("_k", True).over(Window.partitionBy(*by).orderBy(F.desc(at), F.desc("_q")).rowsBetween(Window.unboundedPreceding, 0))
     d = marks.unionByName(asks).withColumns({"_back": back, "_ahead": ahead}).filter("_q = 1")
     b, f, p = F.col("_back"), F.col("_ahead"), F.col(at)
     line = b.v + (f.v - b.v) * (p - b.p) / (f.p - b.p)

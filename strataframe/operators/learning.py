@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.clustering import KMeans
@@ -88,15 +90,33 @@ def som_facies(df: DataFrame, columns: list[str], rows: int = 5, cols: int = 5,
     return out.withColumn("som_facies", F.get(named, F.col("som_node"))).drop(*z)
 
 
+def fourier_weights(n: int, gamma: float, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Turns (size, n) and shifts of features whose dot products are near exp(-gamma |x - y|**2) (Rahimi and Recht 2007)."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, (2 * gamma) ** 0.5, (size, n)), rng.uniform(0.0, 2 * np.pi, size)
+
+
 def random_fourier(columns: list[str], gamma: float, size: int, seed: int = 0) -> Column:
-    """A vector whose dot products are near exp(-gamma |x - y|**2) (Rahimi and Recht 2007), as one column of literals."""
-    import numpy as np
+    """The features of fourier_weights() as one vector column."""
+    w, b = fourier_weights(len(columns), gamma, size, seed)
+
+    @F.pandas_udf("array<double>")
+    def features(z: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(np.cos(z.to_numpy(float) @ w.T + b) * (2.0 / size) ** 0.5))
+
+    return array_to_vector(features(F.struct(*columns)))
 
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0.0, (2 * gamma) ** 0.5, (size, len(columns))), rng.uniform(0.0, 2 * np.pi, size)
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in (*w[k], b[k])]) for k in range(size)])
-    turn = lambda r: sum((r[n] * F.col(c) for n, c in enumerate(columns)), r[len(columns)])
-    return array_to_vector(F.transform(rows, lambda r: F.cos(turn(r)) * (2.0 / size) ** 0.5))
+
+def fourier_margins(columns: list[str], gamma: float, size: int, seed: int, coefficients: np.ndarray, intercepts: np.ndarray) -> Column:
+    """The number of the linear model (a row of coefficients) with the largest margin over these features, the first on ties."""
+    w, b = fourier_weights(len(columns), gamma, size, seed)
+    heights = coefficients.T * (2.0 / size) ** 0.5
+
+    @F.pandas_udf("int")
+    def largest(z: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.argmax(np.cos(z.to_numpy(float) @ w.T + b) @ heights + intercepts, axis=1).astype(np.int32))
+
+    return largest(F.struct(*columns))
 
 
 def classify(df: DataFrame, columns: list[str], label: str, test_share: float = 0.3, kernel: str = "rbf", c: float = 10.0, gamma: float | None = None, size: int = 128, seed: int = 0) -> DataFrame:
@@ -110,20 +130,28 @@ def classify(df: DataFrame, columns: list[str], label: str, test_share: float =
     z = z.withColumn("held_out", F.when(known, F.pmod(F.xxhash64(*columns, label), F.lit(1000)) < int(1000 * test_share)))
     names = [f"z_{c}" for c in columns]
     if kernel == "rbf":
-        z = z.withColumn("features", random_fourier(names, gamma or 1.0 / len(columns), size, seed))
+        featured = lambda d: d.withColumn("features", random_fourier(names, gamma or 1.0 / len(columns), size, seed))
     elif kernel == "poly":
-        z = PolynomialExpansion(degree=3, inputCol="_x", outputCol="features").transform(VectorAssembler(inputCols=names, outputCol="_x").transform(z)).drop("_x")
+        featured = lambda d: PolynomialExpansion(degree=3, inputCol="_x", outputCol="features").transform(VectorAssembler(inputCols=names, outputCol="_x").transform(d)).drop("_x")
     elif kernel == "linear":
-        z = _assembled(z, names)
+        featured = lambda d: _assembled(d, names)
     else:
         raise ValueError("kernel is rbf, poly or linear")
     taught = z.filter("NOT held_out")
+    # Fitting keeps its rows, each with all features, in memory or on disk: equal rows are one, which weighs as many.
+    taught = taught.groupBy(*columns, label).agg(F.count(F.lit(1)).cast("double").alias("_w"), *[F.first(f"z_{k}").alias(f"z_{k}") for k in columns])
+    taught = featured(taught)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(taught)
-    taught = index.transform(taught)
-    n = taught.count()
-    model = OneVsRest(classifier=LinearSVC(maxIter=25, regParam=1.0 / (c * max(n, 1))), featuresCol="features", labelCol="_y", predictionCol="_p").fit(taught)
+    n = taught.agg(F.sum("_w")).first()[0] or 0
+    svc = LinearSVC(maxIter=25, regParam=1.0 / (c * max(n, 1)))
+    model = OneVsRest(classifier=svc, featuresCol="features", labelCol="_y", predictionCol="_p", weightCol="_w").fit(index.transform(taught))
     labels = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(z).withColumn("predicted", F.get(labels, F.col("_p").cast("int"))).drop("features", "_p", "rawPrediction", *names)
+    if kernel == "rbf":
+        slopes, starts = np.array([m.coefficients.toArray() for m in model.models]), np.array([m.intercept for m in model.models])
+        told = z.withColumn("_p", fourier_margins(names, gamma or 1.0 / len(columns), size, seed, slopes, starts))
+    else:
+        told = model.transform(featured(z))
+    return told.withColumn("predicted", F.get(labels, F.col("_p").cast("int"))).drop("features", "_p", "rawPrediction", *names)
 
 
 def confusion(predictions: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import joins, physics, solutions
+from strataframe.operators import joins, learning, physics, solutions
 
 
 def plan_of(df) -> str:
@@ -49,3 +49,16 @@ def test_reciprocal_method_deals_each_spread_once_and_matches_plain_arrays(spark
     assert [g["line"] for g in got] == ["a"] * len(p) and {g["xy"] for g in got} == {xy}
     assert np.allclose([g["v2"] for g in got], v2) and np.allclose([g["roughness"] for g in got], roughness)
     assert np.allclose([g["x"] for g in got], p) and np.allclose([g["depth"] for g in got], time * 500 * v2 / np.sqrt(v2 * v2 - 500**2))
+
+
+def test_classify_teaches_each_different_row_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), "in" if a * a + b * b < 1.2 else "out") for a, b in np.round(rng.normal(size=(300, 2)), 2)]
+    df = spark.createDataFrame(rows, "a double, b double, rock string")
+    kept, fit = [], learning.OneVsRest.fit
+    monkeypatch.setattr(learning.OneVsRest, "fit", lambda self, d, *rest: (kept.append(d.count()), fit(self, d, *rest))[1])
+    many = df.crossJoin(spark.range(20)).drop("id")
+    once, often = (learning.classify(d, ["a", "b"], "rock").select("a", "b", "rock", "predicted").distinct().collect() for d in (df, many))
+    assert kept[1] == kept[0] <= len(set(rows))
+    assert len(set(once) & set(often)) >= 0.99 * len(set(once))
+    assert np.mean([r["rock"] == r["predicted"] for r in often]) > 0.9

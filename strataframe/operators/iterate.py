@@ -169,6 +169,23 @@ def travel_times(cells: DataFrame, source: Column, dx: float, dy: float, velocit
     return cost_distance(cells.withColumn("_slow", 1 / F.col(velocity)), source, dx, dy, "_slow", steps).select("grid_id", "i", "j", "total")
 
 
+def arrivals(cells: DataFrame, positions: DataFrame, dx: float, dy: float, within: float, velocity: str = "value", radius: int = 3) -> DataFrame:
+    """position, i, j, x, total: the first arrivals by `within` from each surface position (a cell's x in row 0), as travel_times().
+
+    No way is shorter than the straight one or faster than the fastest cell, so cells beyond that reach are no part of a
+    position's model, whatever the size of the whole; the ways that arrive in time lie within it.
+    """
+    fastest = cells.agg(F.max(velocity)).first()[0] or 0.0
+    reach = max(within * fastest, dx) * (1 + 1e-9)
+    tile = lambda c: F.floor(F.col(c) / reach)
+    at = positions.select("position").distinct().withColumn("_t", F.explode(F.array(*[tile("position") + k for k in (-1, 0, 1)])))
+    near = cells.select("i", "j", "x", velocity, tile("x").alias("_t")).filter(F.col("i") * dy <= reach).join(at, "_t").filter(F.hypot(F.col("x") - F.col("position"), F.col("i") * dy) <= reach)
+    models = near.select(F.col("position").cast("string").alias("grid_id"), "position", "i", "j", "x", F.col(velocity).alias("value"))
+    times = travel_times(models, (F.col("i") == 0) & (F.col("x") == F.col("position")), dx, dy, radius=radius).filter(F.col("total") <= within)
+    kind = positions.schema["position"].dataType
+    return times.select(F.col("grid_id").cast(kind).alias("position"), "i", "j", (F.col("j") * dx).alias("x"), "total")
+
+
 def _walking(table: pa.Table) -> pa.Table:
     """The cells of a tile on the way back from its fresh cells, and the first cell beyond it of each way (fresh)."""
     if not pa.compute.any(table["fresh"]).as_py():

@@ -240,9 +240,8 @@ def presdm(spark, d):
     k = F.col("trace")
     s = section(spark, d).select("trace", (200.0 * (k % 25)).alias("sx"), (200.0 * (k * 7 % 25)).alias("rx"), "k", "amp")
     at = s.select(F.explode(F.array("sx", "rx")).alias("position")).distinct()
-    models = _velocities(spark, d).drop("grid_id").join(at).withColumn("grid_id", F.col("position").cast("string"))
-    times = I.travel_times(models, (F.col("i") == 0) & (F.col("x") == F.col("position")), 100.0, 100.0)
-    times = times.select(F.col("grid_id").cast("double").alias("position"), "i", "j", (100.0 * F.col("j")).alias("x"), "total")
+    end = 0.02 * (s.agg(F.max("k")).first()[0] or 0) * (1 + 1e-9)
+    times = I.arrivals(_velocities(spark, d), at, 100.0, 100.0, end)
     return S.kirchhoff_depth(s, times, "k", "amp", 0.02, 1000.0).select("i", "j", t("migrated").alias("migrated"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import joins, learning, physics, solutions
+from strataframe.operators import iterate, joins, learning, physics, solutions
 
 
 def plan_of(df) -> str:
@@ -72,3 +72,37 @@ def test_viewshed_tests_few_samples_of_cells_that_a_ridge_hides(spark, monkeypat
     seen = {(r["i"], r["j"]) for r in solutions.viewshed(cells, 1, 0, 10.0, 10.0, 5.0).filter("visible").collect()}
     assert {(i, j) for i in range(4) for j in range(41)} <= seen and not any(j > 60 for _, j in seen)
     assert sum(asked) < 0.7 * 400 * 198
+
+
+def test_arrivals_of_a_deep_model_meet_only_the_cells_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    model = [("m", i, j, 10.0 * j, float(v)) for i, row in enumerate(rng.uniform(1000, 3000, (60, 30))) for j, v in enumerate(row)]
+    cells = spark.createDataFrame(model, "grid_id string, i int, j int, x double, value double")
+    whole = {p: {(r.i, r.j): r.total for r in iterate.travel_times(cells, (F.col("i") == 0) & (F.col("x") == p), 10.0, 10.0).collect()} for p in (0.0, 150.0)}
+    met, settle = [], iterate.travel_times
+    monkeypatch.setattr(iterate, "travel_times", lambda models, *rest, **named: (met.append(models.count()), settle(models, *rest, **named))[1])
+    found = iterate.arrivals(cells, spark.createDataFrame([(0.0,), (150.0,)], "position double"), 10.0, 10.0, 0.03)
+    got = {(r.position, r.i, r.j): r.total for r in found.collect()}
+    assert met[0] < 2 * 1800 / 4
+    assert got == pytest.approx({(p, i, j): t for p, ts in whole.items() for (i, j), t in ts.items() if t <= 0.03}) and len(got) > 50
+
+
+def test_depth_migration_reads_the_sum_of_traces_with_one_source_and_receiver(spark):
+    rng = np.random.default_rng(6)
+    rows = [(n, 0.0, 10.0 * (n % 2), k, float(a)) for n in range(40) for k, a in enumerate(rng.normal(size=6 + n % 3)) if (n, k) != (4, 2)]
+    traces = spark.createDataFrame(rows, "trace int, sx double, rx double, k int, amp double")
+    times = spark.createDataFrame([(p, i, j, 10.0 * j, 0.5 * p / 10 + 0.7 * i + 0.5 * j) for p in (0.0, 10.0) for i in range(3) for j in range(3)], "position double, i int, j int, x double, total double")
+    found = solutions.kirchhoff_depth(traces, times, "k", "amp", 1.0, 100.0)
+    image, held = {}, {}
+    for n, _, rx, k, a in rows:
+        held.setdefault((n, rx), []).append((k, a))
+    for (n, rx), samples in held.items():
+        for i in range(3):
+            for j in range(3):
+                p = 2 * (0.7 * i + 0.5 * j) + 0.5 * rx / 10
+                at = [q for q, (k, _) in enumerate(samples) if k == int(p)]
+                if at and (p == int(p) or at[0] + 1 < len(samples)):
+                    v = samples[at[0]][1]
+                    image[i, j] = image.get((i, j), 0.0) + (v if p == int(p) else v + (samples[at[0] + 1][1] - v) * (p - int(p)))
+    assert {(r.i, r.j): r.migrated for r in found.collect()} == pytest.approx(image)
+    assert "aggregate [sx" in plan_of(found)

@@ -27,16 +27,17 @@ def read_delimited(spark, d):
 
 @C.add("read_las", f"WITH {WELL_SQL} SELECT well::BIGINT AS well, seq - 1 AS seq, 'DEPT' AS curve, 1500 + 0.5 * seq AS value FROM w UNION ALL SELECT well, seq - 1, 'GR', gr FROM w UNION ALL SELECT well, seq - 1, 'PHI', CASE WHEN seq % 7 <> 0 THEN round(phi, 6) END FROM w")
 def read_las(spark, d):
-    """One file a well, wrapped after each value; every seventh porosity is the file's NULL."""
+    """One log a well, many in a file, wrapped after each value; every seventh porosity is the log's NULL."""
     path = _folder(spark, "las")
-    head = "~Version\nVERS. 2.0 :\n~Well\nNULL. -999.25 : null value\n~Curve\nDEPT.M : depth\nGR.API : gamma\nPHI.V/V : porosity\n~A\n"
+    head = F.concat(F.lit("~Version\nVERS. 2.0 :\n~Well\nWELL. "), F.col("well").cast("string"), F.lit(" : well\nNULL. -999.25 : null value\n~Curve\nDEPT.M : depth\nGR.API : gamma\nPHI.V/V : porosity\n~A\n"))
     w = wells(spark, d).select("well", "seq", "depth", "gr", F.when(F.col("seq") % 7 == 0, -999.25).otherwise(F.round("phi", 6)).alias("phi"))
     row = F.concat_ws("\n", *[F.col(c).cast("string") for c in ("depth", "gr", "phi")])
     lines = w.groupBy("well").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("line")))).alias("rows"))
-    text = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    lines.select("well", text.alias("value")).repartition("well").write.partitionBy("well").text(path)
-    back = X.read_las(spark, path)
-    return back.select(F.regexp_extract("well", r"well=(\d+)", 1).cast("long").alias("well"), F.col("seq").cast("int").alias("seq"), "curve", F.col("value").cast("double").alias("value"))
+    text = F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    # A file a well would be made, named and listed one by one.
+    lines.select(text.alias("value")).write.option("lineSep", "\x1e").text(path)
+    back = X.read_las(spark, path, "\x1e")
+    return back.select(F.col("well").cast("long").alias("well"), F.col("seq").cast("int").alias("seq"), "curve", F.col("value").cast("double").alias("value"))
 
 
 @C.add("read_traces", f"WITH {SECTION_SQL}, n AS (SELECT trace, cmp, (row_number() OVER (PARTITION BY cmp ORDER BY trace) - 1)::INT AS place FROM (SELECT DISTINCT trace, cmp FROM tr)) SELECT tr.cmp::BIGINT AS cmp, place, 12.5 * place AS x, k, amp FROM tr JOIN n USING (trace)")

@@ -31,23 +31,28 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return d.toDF(*[c.replace("﻿", "").strip() for c in raw.columns], "survey")
 
 
-def read_las(spark: SparkSession, path: str) -> DataFrame:
+def read_las(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """well, seq, curve, value of a directory of LAS 2.0 files, wrapped or not; the file's NULL value is null.
 
-    Each file is one row until its lines are exploded; values are numbered over the file, so wrapping does not matter.
+    Each file is one row until its values are exploded, numbered over the file, so wrapping does not matter and nothing is
+    sorted or shuffled. Sections of one letter are read one after the other. well is the file's path. With a separator a
+    file holds many logs, each ended by it; then well is the log's WELL entry, and a log without one is left out.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("well"), "value")
-    lines = files.select("well", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter((F.trim("line") != "") & ~F.ltrim(F.col("line")).startswith("#"))
-    w = Window.partitionBy("well").orderBy("n")
-    mark = F.when(F.ltrim(F.col("line")).startswith("~"), F.upper(F.substring(F.ltrim("line"), 2, 1)))
-    d = lines.withColumn("_mark", mark).withColumn("section", F.last("_mark", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_mark IS NULL")
-    null = d.filter((F.col("section") == "W") & F.upper(F.ltrim(F.col("line"))).startswith("NULL")).groupBy("well").agg(F.first(F.regexp_extract("line", r"(-?\d+\.?\d*)\s*:", 1)).cast("double").alias("null_value"))
-    curves = d.filter("section = 'C'").select("well", F.trim(F.regexp_extract("line", r"^\s*([^.\s]+)", 1)).alias("curve"), (F.row_number().over(w) - 1).alias("c"))
-    width = curves.groupBy("well").agg(F.count(F.lit(1)).alias("width"))
-    cells = d.filter("section = 'A'").select("well", "n", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("k", "v"))
-    numbered = cells.withColumn("at", F.row_number().over(Window.partitionBy("well").orderBy("n", "k")) - 1).join(width, "well")
-    long = numbered.select("well", F.floor(F.col("at") / F.col("width")).alias("seq"), (F.col("at") % F.col("width")).cast("int").alias("c"), F.expr("try_cast(v AS DOUBLE)").alias("value"))
-    return long.join(curves, ["well", "c"]).join(null, "well", "left").select("well", "seq", "curve", F.nullif("value", "null_value").alias("value"))
+    read = spark.read.text(path, wholetext=True) if separator is None else spark.read.option("lineSep", separator).text(path)
+    files = read.select(F.col("_metadata.file_path").alias("well"), "value")
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda l: F.trim(l)), lambda l: (l != "") & ~l.startswith("#"))
+    d = files.select("well", F.concat(F.lit("\n"), F.array_join(lines, "\n")).alias("_text"))
+    d = d.withColumn("_sections", F.filter(F.split("_text", "\n~"), lambda s, n: n > 0))
+    inside = lambda letter: F.flatten(F.transform(F.filter("_sections", lambda s: F.upper(F.substring(s, 1, 1)) == letter), lambda s: F.filter(F.split(s, "\n"), lambda l, n: n > 0)))
+    entry = lambda name, pattern: F.get(F.transform(F.filter(inside("W"), lambda l: F.upper(l).startswith(name)), lambda l: F.regexp_extract(l, pattern, 1)), F.lit(0))
+    null = entry("NULL", r"(-?\d+\.?\d*)\s*:")
+    if separator is not None:
+        d = d.withColumn("well", F.nullif(entry("WELL", r"^[^.]*\.\S*\s+(.*?)\s*:"), F.lit(""))).filter("well IS NOT NULL")
+    curves = F.transform(inside("C"), lambda l: F.regexp_extract(l, r"^\s*([^.\s]+)", 1))
+    values = F.filter(F.split(F.array_join(inside("A"), "\n"), r"\s+"), lambda v: v != "")
+    d = d.select("well", null.alias("_n"), curves.alias("_curves"), values.alias("_values"))
+    d = d.filter(F.size("_curves") > 0).select("well", F.expr("try_cast(_n AS DOUBLE)").alias("_null"), "_curves", F.size("_curves").alias("_width"), F.posexplode("_values").alias("_at", "_v"))
+    return d.select("well", F.floor(F.col("_at") / F.col("_width")).alias("seq"), F.get("_curves", F.col("_at") % F.col("_width")).alias("curve"), F.nullif(F.expr("try_cast(_v AS DOUBLE)"), F.col("_null")).alias("value"))
 
 
 def read_traces(spark: SparkSession, path: str, dt: float, spacing: float = 1.0) -> DataFrame:

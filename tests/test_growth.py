@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.operators import iterate, joins, learning, physics, solutions
+from strataframe.sources import surveys
 
 
 def plan_of(df) -> str:
@@ -106,3 +107,30 @@ def test_depth_migration_reads_the_sum_of_traces_with_one_source_and_receiver(sp
                     image[i, j] = image.get((i, j), 0.0) + (v if p == int(p) else v + (samples[at[0] + 1][1] - v) * (p - int(p)))
     assert {(r.i, r.j): r.migrated for r in found.collect()} == pytest.approx(image)
     assert "aggregate [sx" in plan_of(found)
+
+
+def test_logs_are_read_without_a_shuffle_one_a_file_or_many(spark, tmp_path):
+    log = "# by hand\n~Version\nVERS. 2.0 :\n~Well\n WELL.  {} : name\nNULL. -9.5 :\n\n~curve\nDEPT.M : d\n GR.API : g\n# no data\n~ASCII\n 1.0  20\n1.5\n-9.5 \n 2.0 x\n"
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.las").write_text(log.format("A 1"))
+    (tmp_path / "one" / "b.las").write_text(log.format("B").replace("\n", "\r\n"))
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "all.txt").write_bytes("".join(log.format(n) + "\x1e" for n in ("A 1", "B", "C")).encode())
+    want = [(s, c, v) for s, row in enumerate([(1.0, 20.0), (1.5, None), (2.0, None)]) for c, v in zip(("DEPT", "GR"), row, strict=True)]
+    for folder, separator, names in (("one", None, ("a.las", "b.las")), ("many", "\x1e", ("A 1", "B", "C"))):
+        found = surveys.read_las(spark, f"file://{tmp_path}/{folder}", separator)
+        assert "window" not in plan_of(found) and "join" not in plan_of(found).replace("array_join", "")
+        for name in names:
+            assert sorted((r["seq"], r["curve"], r["value"]) for r in found.collect() if r["well"].endswith(name)) == sorted(want, key=lambda x: x[:2])
+
+
+def test_radius_join_deals_a_crowded_tile_to_many_keys(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(0, 4, (150, 2)), rng.uniform(-30, 30, (150, 2))])
+    df = spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in enumerate(xy)], "a int, x double, y double")
+    monkeypatch.setattr(joins, "MET_TOGETHER", 16)
+    found = joins.radius_join(df, df.withColumnRenamed("a", "b"), 5.0, "a", "b")
+    away = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    got = {(r["a"], r["b"]): r["distance"] for r in found.collect()}
+    assert found.count() == len(got) and got == pytest.approx({(int(a), int(b)): away[a, b] for a, b in zip(*np.nonzero(away <= 5), strict=True)})
+    assert "_np" in plan_of(found)

@@ -46,19 +46,26 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> DataFram
 
 def batch_som(df: DataFrame, columns: list[str], rows: int, cols: int, epochs: int = 10) -> list[list[float]]:
     """Prototypes (of z-scores) of a self-organising map by batch training: best units and neighbourhood sums are one aggregate a round."""
-    z = standardised(df, columns).select(*[F.col(f"z_{c}").alias(c) for c in columns])
+    from .iterate import dropped, written
+
+    # Every round goes through the rows: equal ones are one, which weighs as many.
+    rows_of = written(df.dropna(subset=columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")))
+    mean = rows_of.agg(*[F.sum(F.col(c) * F.col("_n")) / F.sum("_n") for c in columns]).first()
+    away = rows_of.agg(*[F.when(F.min(c) < F.max(c), F.sqrt(F.sum((F.col(c) - F.lit(mean[k])) ** 2 * F.col("_n")) / F.sum("_n"))).otherwise(0.0) for k, c in enumerate(columns)]).first()
+    z = rows_of.select("_n", *[((F.col(c) - mean[k]) / away[k] if away[k] else F.lit(0.0)).alias(c) for k, c in enumerate(columns)])
     spark, units = df.sparkSession, rows * cols
     low = z.agg(*[F.min(c) for c in columns], *[F.max(c) for c in columns]).first()
     n = len(columns)
     w = [[low[c] + (low[n + c] - low[c]) * ((u // cols + (u % cols) * (c % 2)) / (rows + cols)) for c in range(n)] for u in range(units)]
     for e in range(epochs):
         radius = max(0.5, max(rows, cols) / 2 * (1 - e / epochs))
-        sums = z.groupBy(best_unit(columns, w).alias("u")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
+        sums = z.groupBy(best_unit(columns, w).alias("u")).agg(F.sum("_n").alias("n"), *[F.sum(F.col(c) * F.col("_n")).alias(c) for c in columns])
         near = spark.createDataFrame([(a, b, 2.718281828 ** (-((a // cols - b // cols) ** 2 + (a % cols - b % cols) ** 2) / (2 * radius * radius))) for a in range(units) for b in range(units)], "u int, v int, h double")
         new = sums.join(F.broadcast(near), "u").groupBy("v").agg(F.sum(F.col("h") * F.col("n")).alias("n"), *[F.sum(F.col("h") * F.col(c)).alias(c) for c in columns]).collect()
         for r in new:
             if r["n"] > 1e-12:
                 w[r["v"]] = [r[c] / r["n"] for c in columns]
+    dropped(rows_of)
     return w
 
 

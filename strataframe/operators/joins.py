@@ -60,15 +60,30 @@ def interpolate(knots: DataFrame, queries: DataFrame, by: list[str], at: str, va
     return d.select(*by, at, *keep, F.when(b.isNull(), f.v).when(f.isNull() | (b.p == p), b.v).otherwise(line).alias(value))
 
 
+#: Rows of either side that meet as one key of a radius join.
+MET_TOGETHER = 2048
+
+
 def radius_join(points: DataFrame, others: DataFrame, radius: float, point_id: str, other_id: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """point_id, other_id, distance of pairs within a radius: tiles of the radius's size, the points' 3 x 3 tiles exploded."""
-    tile = lambda c: F.floor(F.col(c) / radius)
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    """point_id, other_id, distance of pairs within a radius: tiles of half its size, the points' 5 x 5 tiles exploded.
+
+    Both sides of a tile are dealt to parts of about MET_TOGETHER rows and each two parts meet as a key of their own, so a
+    tile with many rows is the work of many tasks. All pairs of near rows are told, so they grow with the square of density.
+    """
+    tile = lambda c: F.floor(F.col(c) / (radius / 2))
+    key = [*by, "_tx", "_ty"]
+    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])
     p = points.select(*by, point_id, F.col("x").alias("_px"), F.col("y").alias("_py"), tile("x").alias("_tx"), tile("y").alias("_ty"), F.explode(shifts).alias("_s"))
     p = p.select(*by, point_id, "_px", "_py", (F.col("_tx") + F.col("_s.a")).alias("_tx"), (F.col("_ty") + F.col("_s.b")).alias("_ty"))
     o = others.select(*by, other_id, F.col("x").alias("_ox"), F.col("y").alias("_oy"), tile("x").alias("_tx"), tile("y").alias("_ty"))
-    d = p.join(o, [*by, "_tx", "_ty"]).withColumn("distance", F.hypot(F.col("_px") - F.col("_ox"), F.col("_py") - F.col("_oy")))
-    return d.filter(F.col("distance") <= radius).select(*by, point_id, other_id, "distance")
+    counted = lambda d, name: d.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / MET_TOGETHER).cast("int").alias(name))
+    parts = counted(p, "_np").join(counted(o, "_no"), key)
+    dealt = lambda d, row, own, other: d.join(parts, key).withColumn(own[1:], F.pmod(F.xxhash64(*row), F.col(own)).cast("int")).withColumn(other[1:], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_np", "_no")
+    # Even where the others are small enough to go to all tasks, the points are not left in the few tasks that read them.
+    spread = dealt(p, [point_id, "_px", "_py"], "_np", "_no").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "np", "no")
+    d = spread.join(dealt(o, [other_id, "_ox", "_oy"], "_no", "_np"), [*key, "np", "no"])
+    dx, dy = F.col("_px") - F.col("_ox"), F.col("_py") - F.col("_oy")
+    return d.filter(dx * dx + dy * dy <= float(radius) * float(radius)).select(*by, point_id, other_id, F.sqrt(dx * dx + dy * dy).alias("distance"))
 
 
 #: Targets of a block, leaves of the points' tree (about), halvings of a side for blocks and leaves.

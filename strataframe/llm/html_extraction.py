@@ -2,18 +2,18 @@
 
 A page is a sequence of text blocks with their open elements. A classifier gives what it costs to call a block content or
 boilerplate: the evidence of its open elements and of their names (fixed values, and what text the given pages hold under
-each name), and the log-odds of its density (length, links, place), a logistic regression fitted on a bounded sample of
-the given pages. No name alone outweighs all that density can say. These costs are the block's capacities to the two
+each name), and the log-odds of its density (length, links, place), a logistic regression fitted on
+all given pages. No name alone outweighs all that density can say. These costs are the block's capacities to the two
 terminals. Smoothness edges join blocks that follow each other, weighted by their distance in the element tree, and blocks
 that are next of one parent. The minimum cut is the cheapest labelling; the blocks on the content side are the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
-import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import written
+from ._frames import drop_written, written
 
 #: Elements that start and end a block, that never have content, and whose content is no text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -46,16 +46,16 @@ NAME_WHOLE, NAME_LAST, NAME_PART, NAME_FOR = 6.0, 4.0, 2.0, 1.5
 FARTHER = 0.5
 #: Smoothness: the most an edge between neighbours can cost, and how fast it falls with their distance in the tree.
 SMOOTH, SIBLINGS, DECAY = 2.0, 1.0, 0.5
-#: The fit: pages in its sample, and from which evidence on a block is labelled content or boilerplate.
-SAMPLE_PAGES, SURE_CONTENT, SURE_BOILERPLATE = 2000, 2.5, -4.0
+#: The fit: from which evidence on a block is labelled content or boilerplate.
+SURE_CONTENT, SURE_BOILERPLATE = 2.5, -4.0
 #: What density can say at most, either way: no name alone says as much as lies between.
 DENSITY_MOST = 5.0
-#: What the density of text seen under a name can say at most, and pages of the sample a name must be on.
-LEARNED_MOST, NAME_PAGES = 2.0, 5
+#: What the density of text seen under a name can say at most; a name must be on so many pages and on one page in so many.
+LEARNED_MOST, NAME_PAGES, NAME_SHARE = 2.0, 5, 400
 #: So many pages the fixed values weigh in what is learned, of weights and of names.
 PRIOR_PAGES, PRIOR_NAME_PAGES = 50.0, 20.0
 DENSITY = ("log_words", "link_share", "heading", "in_paragraph", "linked_item", "sentence")
-#: Bias and weights of DENSITY where the sample has not both kinds of blocks.
+#: Bias and weights of DENSITY where the pages have not both kinds of blocks.
 UNFITTED = (-1.5, 0.9, -4.0, 1.5, 0.8, -2.0, 0.0)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -294,46 +294,74 @@ def main_text(page: str | None, weights: tuple[float, ...] = UNFITTED, learned:
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
+_SEEN = "page binary, x array<array<double>>, label array<double>, named array<array<int>>, names array<string>"
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's page and share of it, density, names, and label where evidence decides it."""
+    """A row for each page with blocks: its digest, the blocks' density, label where evidence decides it, and places of their names in names."""
     for batch in batches:
+        rows = []
         for x in batch["_html"]:
-            page = zlib.crc32(x.as_py().encode("utf-8", "surrogatepass"))
-            found = [(density(b), evidence(b), sorted({n for *_, names in b.path for n in names})) for b in blocks_of(x.as_py())]
-            label = [1.0 if e >= SURE_CONTENT else 0.0 if e <= SURE_BOILERPLATE else None for _, e, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([page] * len(found), pa.int64()), pa.array([1.0 / len(found)] * len(found) if found else [], pa.float64()), pa.array([x for x, *_ in found], pa.list_(pa.float64())), pa.array(label, pa.float64()), pa.array([n for *_, n in found], pa.list_(pa.string()))],
-                ["page", "share", "x", "label", "names"],
-            )
+            found = blocks_of(x.as_py())
+            if found:
+                paths = [{n for *_, names in b.path for n in names} for b in found]
+                names = sorted(set().union(*paths))
+                at = {n: k for k, n in enumerate(names)}
+                sure = [evidence(b) for b in found]
+                label = [1.0 if e >= SURE_CONTENT else 0.0 if e <= SURE_BOILERPLATE else None for e in sure]
+                rows.append((hashlib.blake2b(x.as_py().encode("utf-8", "surrogatepass"), digest_size=16).digest(), [density(b) for b in found], label, [sorted(at[n] for n in p) for p in paths], names))
+        kinds = (pa.binary(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page", "x", "label", "named", "names"])
+
+
+def _said(weights: tuple[float, ...]):
+    """name, d, pages: over the pages of a batch with a name, the sum of the mean densities of a page's blocks under it; null: of all blocks."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str | None, list[float]] = {}
+            for x, named, names in zip(*(batch[c].to_pylist() for c in ("x", "named", "names")), strict=True):
+                d = [max(-DENSITY_MOST, min(DENSITY_MOST, weights[0] + sum(w * v for w, v in zip(weights[1:], f, strict=True)))) for f in x]
+                under: dict[str | None, list[float]] = {None: d}
+                for value, places in zip(d, named, strict=True):
+                    for k in places:
+                        under.setdefault(names[k], []).append(value)
+                for name, values in under.items():
+                    total = sums.setdefault(name, [0.0, 0])
+                    total[0] += sum(values) / len(values)
+                    total[1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["name", "d", "pages"])
+
+    return kernel
 
 
 def fit_costs(pages: DataFrame) -> tuple[tuple[float, ...], dict[str, float]]:
-    """Weights of DENSITY and what names say, from about SAMPLE_PAGES pages (column _html), chosen by a hash of the page.
+    """Weights of DENSITY and what names say, from all pages (column _html); copies of a page count once.
 
     Two views teach each other: blocks that names decide train the density, and the density of all blocks under a name,
     against that of all blocks, is what the name has been seen to hold. A page counts once, however long it is, and the
-    fixed values count as some pages more, so a small sample changes little. Only names on NAME_PAGES pages count, so the
-    table sent to the tasks holds at most a NAME_PAGES-th of the sample's names.
+    fixed values count as some pages more, so few pages change little. Blocks of equal features and label are one row of
+    the regression, which weighs as many. A name that says something is on NAME_PAGES pages and on one in NAME_SHARE, so
+    what the tasks get is bounded by the names of NAME_SHARE pages, however many pages there are.
     """
-    n = pages.count()
-    part = int((1 << 30) * min(1.0, SAMPLE_PAGES / max(n, 1)))
-    sample = pages.filter(F.pmod(F.xxhash64("_html"), F.lit(1 << 30)) < part).dropDuplicates()
-    blocks = written(sample.select("_html").mapInArrow(_labelled, "page long, share double, x array<double>, label double, names array<string>"), "html-blocks")
-    weights, sure = UNFITTED, blocks.filter("label IS NOT NULL")
+    seen = written(pages.select("_html").mapInArrow(_labelled, _SEEN).dropDuplicates(["page"]), "html-blocks")
+    one = F.explode(F.arrays_zip("x", "label")).alias("b")
+    sure = written(seen.select((1.0 / F.size("x")).alias("share"), one).filter("b.label IS NOT NULL").groupBy(F.col("b.x").alias("x"), F.col("b.label").alias("label")).agg(F.sum("share").alias("share")), "html-sure")
+    weights = UNFITTED
     if sure.select("label").distinct().count() == 2:
         model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="share", regParam=0.01, maxIter=25).fit(sure.select(array_to_vector("x").alias("features"), "label", "share"))
-        seen = sure.select("page").distinct().count()
-        weights = tuple((seen * float(w) + PRIOR_PAGES * v) / (seen + PRIOR_PAGES) for w, v in zip((model.intercept, *model.coefficients), UNFITTED, strict=True))
-    value = sum((F.lit(w) * F.col("x")[k] for k, w in enumerate(weights[1:])), F.lit(weights[0]))
-    dense = blocks.select("page", "names", "share", F.greatest(F.lit(-DENSITY_MOST), F.least(F.lit(DENSITY_MOST), value)).alias("d"))
-    mean = dense.agg(F.sum(F.col("d") * F.col("share")) / F.sum("share")).first()[0]
-    if mean is None:
+        taught = seen.filter(F.exists("label", lambda v: v.isNotNull())).count()
+        weights = tuple((taught * float(w) + PRIOR_PAGES * v) / (taught + PRIOR_PAGES) for w, v in zip((model.intercept, *model.coefficients), UNFITTED, strict=True))
+    least = max(NAME_PAGES, -(-seen.count() // NAME_SHARE))
+    said = seen.select("x", "named", "names").mapInArrow(_said(weights), "name string, d double, pages long").groupBy("name").agg(F.sum("d").alias("d"), F.sum("pages").alias("pages"))
+    found = {r["name"]: r for r in said.filter(F.col("name").isNull() | (F.col("pages") >= least)).collect()}
+    drop_written(seen)
+    drop_written(sure)
+    if None not in found:
         return weights, {}
-    on_page = dense.select("page", "d", F.explode("names").alias("name")).groupBy("name", "page").agg((F.avg("d") - mean).alias("d"))
-    said = F.sum("d") / (F.count("*") + PRIOR_NAME_PAGES)
-    said = F.greatest(F.lit(-LEARNED_MOST), F.least(F.lit(LEARNED_MOST), said))
-    named = on_page.groupBy("name").agg(said.alias("said"), F.count("*").alias("pages")).filter(F.col("pages") >= NAME_PAGES)
-    return weights, {r["name"]: r["said"] for r in named.collect()}
+    mean = found[None]["d"] / found[None]["pages"]
+    value = lambda r: (r["d"] - mean * r["pages"]) / (r["pages"] + PRIOR_NAME_PAGES)
+    return weights, {n: max(-LEARNED_MOST, min(LEARNED_MOST, value(r))) for n, r in found.items() if n is not None}
 
 
 def _kernel(weights: tuple[float, ...], learned: dict[str, float]):
@@ -351,8 +379,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Returns pages' columns except html_col, with text and n_chars (its code points) in place of any of that name. Null or
     empty html, and pages without content, have an empty text. Repeated rows are extracted each. Long pages are read
-    whole. An empty table gives an empty table. Pages of which SAMPLE_PAGES hold no sure block of both kinds are judged by
-    the weights UNFITTED. Copies of a page count once in the sample.
+    whole. An empty table gives an empty table. Where no page has a sure block of one kind, all are judged by the weights
+    UNFITTED. Copies of a page count once in the fit.
     """
     rest = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
     given = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))

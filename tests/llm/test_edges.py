@@ -13,7 +13,7 @@ from strataframe.llm import _frames
 from strataframe.llm import toxicity as tox
 from strataframe.llm._arrays import SLICE_BYTES, Words, column_slices, random_key, recompressed, word_hashes
 from strataframe.llm.embedding_dedup import embedding_dedup
-from strataframe.llm.html_extraction import DENSITY, UNFITTED, blocks_of, extract_main_text, fit_costs, main_text, score, smoothness
+from strataframe.llm.html_extraction import DENSITY, UNFITTED, blocks_of, density, extract_main_text, fit_costs, main_text, score, smoothness
 from strataframe.llm.kd_sharding import GROUP_SHARE, kd_shards
 from strataframe.llm.minhash_dedup import minhash_dedup
 from strataframe.llm.packing import best_fit, pack
@@ -246,6 +246,28 @@ def test_names_learn_what_they_hold(spark):
     assert all(r.text.startswith("The paragraph") for r in extract_main_text(spark.createDataFrame(rows, "page_id int, html string")).collect())
 
 
+def test_all_pages_teach_the_costs(spark):
+    """Of 4,000 pages each teaches its names, a copy nothing more; the values are those of plain sums over all of them."""
+    page = lambda n: f"<body><nav><p>{'home ' * (n % 13 + 3)}{n}.</p></nav><article><p class='{('alpha', 'beta', 'gamma')[n % 3]}'>{'word ' * (n % 17 + 3)}{n}.</p><p class='delta'>{'text ' * (n % 5 + 4)}{n}.</p></article></body>"
+    pages = [page(n) for n in range(4000)]
+    df = spark.createDataFrame([(x,) for x in pages + pages[:50]], "_html string")
+    weights, learned = fit_costs(df)
+    under = {}
+    for x in pages:
+        blocks = blocks_of(x)
+        d = [max(-5.0, min(5.0, weights[0] + sum(w * v for w, v in zip(weights[1:], density(b), strict=True)))) for b in blocks]
+        here = {None: d}
+        for b, v in zip(blocks, d, strict=True):
+            for name in {n for *_, names in b.path for n in names}:
+                here.setdefault(name, []).append(v)
+        for name, values in here.items():
+            under.setdefault(name, []).append(sum(values) / len(values))
+    mean = sum(under[None]) / 4000
+    assert set(learned) == set(under) - {None} and abs(learned["alpha"]) < 2
+    for name, said in learned.items():
+        assert said == pytest.approx(max(-2.0, min(2.0, sum(v - mean for v in under[name]) / (len(under[name]) + 20.0))), abs=1e-9)
+
+
 def test_pages_labelled_by_hand(spark):
     rows = [(i, "u", h, 1, "t", 2) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], 1, "t", 2), (None, None, "<article>" + "<p>long text of words</p>" * 20000, 1, "t", 2)]
     d = spark.createDataFrame(rows, "page_id int, url string, html string, n_chars int, text string, x int")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import iterate, joins, learning, physics, solutions
+from strataframe.operators import iterate, joins, learning, physics, solutions, traces
 from strataframe.sources import surveys
 
 
@@ -195,3 +195,16 @@ def test_werner_solves_whole_profiles_as_arrays(spark):
     assert "window" not in plan_of(found) and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = found.collect()
     assert sum(abs(r.x0 - 97) < 1e-3 and abs(r.depth - 40) < 1e-3 for r in got if r.line == 2) == 12 == sum(r.line == 1 for r in got)
+
+
+def test_starlet_of_traces_has_no_join_and_matches_a_grid_of_one_column(spark):
+    """Traces of unlike lengths, one with a missing value and one with a missing sample, as the joins of a grid do them."""
+    rng = np.random.default_rng(11)
+    rows = [(t, k, 0, None if (t, k) == (2, 5) else float(rng.normal())) for t, n in ((1, 30), (2, 21), (3, 1), (4, 30)) for k in range(n) if (t, k) != (4, 7)]
+    df = spark.createDataFrame(rows, "trace int, k int, j int, v double")
+    found = traces.starlet(df, ["trace"], "k", "v", 2)
+    assert "join" not in plan_of(found) and found.schema["k"].dataType == df.schema["k"].dataType
+    want = {(r.trace, r.k): r.denoised for r in traces.starlet(df, ["trace"], ["k", "j"], "v", 2).collect()}
+    got = {(r.trace, r.k): r.denoised for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(got[n] == pytest.approx(want[n], abs=1e-9) for n in got)

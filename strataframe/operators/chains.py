@@ -6,7 +6,7 @@ forest, nodes leave the join once their pointer has passed the root.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import dropped, written
@@ -23,19 +23,20 @@ def _rounds(state: DataFrame, step, unsettled: str) -> DataFrame:
     return state
 
 
-def list_ranks(links: DataFrame) -> DataFrame:
+def list_ranks(links: DataFrame, length: str | None = None) -> DataFrame:
     """node, head, rank, ring of every node of links (node, nxt): each node has at most one link out and one in.
 
-    Lists begin at the node without a link to it; a ring begins at its least node. rank counts from 0 at the head.
+    Lists begin at the node without a link to it; a ring begins at its least node. rank counts from 0 at the head, by one a
+    link or by its length.
     """
-    back = links.select(F.col("nxt").alias("node"), F.col("node").alias("p"))
+    back = links.select(F.col("nxt").alias("node"), F.col("node").alias("p"), (F.col(length) if length else F.lit(1)).cast("long").alias("n"))
     ends = links.select("node").join(back.select("node"), "node", "left_anti")
-    start = back.unionByName(ends.withColumn("p", F.lit(None).cast(back.schema["p"].dataType)))
+    start = back.unionByName(ends.select("node", F.lit(None).cast(back.schema["p"].dataType).alias("p"), F.lit(0).cast("long").alias("n")))
     kept = written(start)
     first = F.coalesce("p", "node")
 
     def begin(d: DataFrame) -> DataFrame:
-        return d.select("node", "p", F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("rank"), first.alias("head"), F.least("node", first).alias("least"), F.col("p").isNotNull().alias("moved"))
+        return d.select("node", "p", F.when(F.col("p").isNull(), 0).otherwise(F.col("n")).alias("rank"), first.alias("head"), F.least("node", first).alias("least"), F.col("p").isNotNull().alias("moved"))
 
     def step(s: DataFrame) -> DataFrame:
         there = s.select(F.col("node").alias("p"), F.col("p").alias("_p"), F.col("rank").alias("_r"), F.col("head").alias("_h"), F.col("least").alias("_l"))
@@ -49,7 +50,7 @@ def list_ranks(links: DataFrame) -> DataFrame:
     if found.filter("p IS NOT NULL").isEmpty():
         return open_lists
     rings = found.filter("p IS NOT NULL").select("node", "least")
-    cut = kept.join(rings, "node").select("node", F.when(F.col("node") != F.col("least"), F.col("p")).alias("p"))
+    cut = kept.join(rings, "node").select("node", F.when(F.col("node") != F.col("least"), F.col("p")).alias("p"), "n")
     closed = _rounds(begin(cut), step, "p IS NOT NULL").select("node", "head", "rank", F.lit(True).alias("ring"))
     return open_lists.unionByName(closed)
 
@@ -78,8 +79,3 @@ def led_to(forest: DataFrame, mark: str) -> DataFrame:
 
     start = forest.select("node", F.when(F.col(mark).isNull(), F.col("p")).alias("p"), F.col(mark).alias("mark"), F.lit(True).alias("moved"))
     return _rounds(start, step, "p IS NOT NULL").select("node", F.col("mark").alias(mark))
-
-
-def signed_area(ax: str, ay: str, bx: str, by: str) -> Column:
-    """The area left of closed lines of directed segments: negative where they run clockwise."""
-    return F.sum(F.col(ax) * F.col(by) - F.col(bx) * F.col(ay)) / 2

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import iterate, joins, learning, physics, solutions, traces
+from strataframe.operators import contours, iterate, joins, learning, physics, solutions, traces
 from strataframe.sources import surveys
 
 
@@ -227,3 +227,19 @@ def test_dmo_sends_a_trace_to_a_target_once(spark):
                 want[at] += np.where(place <= 11, np.interp(place, np.arange(12), amp[n]), 0.0) / 7
     for r in found.collect():
         assert r.dmo == pytest.approx(want[r.trace][r.k], abs=1e-9)
+
+
+def test_outlines_are_put_together_in_tiles(spark, monkeypatch):
+    """Lines that cross tiles are those of one tile, where only the empty list of crossing chains is ranked."""
+    rng = np.random.default_rng(2)
+    z = rng.integers(0, 3, (14, 11))
+    z[4:11, 2:9], z[6:9, 4:7] = 7, 1
+    cells = spark.createDataFrame([("g", i, j, 10.0 * j, 10.0 * i, float(z[i, j])) for i in range(14) for j in range(11) if (i, j) != (12, 5)], "grid_id string, i int, j int, x double, y double, value double")
+    ranked, rank = [], contours.list_ranks
+    monkeypatch.setattr(contours, "list_ranks", lambda links, *a: (ranked.append(links.count()), rank(links, *a))[1])
+    outlines = lambda: sorted(map(tuple, contours.class_outlines(cells, [0.0, 1.0, 7.0]).collect()))
+    whole = outlines()
+    monkeypatch.setattr(contours, "TILE", 3)
+    assert outlines() == whole and {r[6] for r in whole} == {r[7] for r in whole} == {True, False}
+    lines = sum(not r[6] and r[3] == 0 for r in whole)
+    assert ranked[0] == lines < ranked[1]

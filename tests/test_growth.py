@@ -243,3 +243,12 @@ def test_outlines_are_put_together_in_tiles(spark, monkeypatch):
     assert outlines() == whole and {r[6] for r in whole} == {r[7] for r in whole} == {True, False}
     lines = sum(not r[6] and r[3] == 0 for r in whole)
     assert ranked[0] == lines < ranked[1]
+
+
+def test_tide_is_worked_out_as_arrays(spark):
+    """The tide is one call over a column, not a lambda for each row; an unknown time has none."""
+    d = spark.sql("SELECT timestamp_micros(1000000 * id) AS t FROM range(1000000000, 1000000003) UNION ALL SELECT NULL")
+    told = d.select(traces.longman_tide(F.col("t"), 30.0, 31.0).alias("v"))
+    assert "lambda" not in plan_of(told)
+    got = [r.v for r in told.collect()]
+    assert got.count(None) == 1 and sum(abs(v) < 0.3 for v in got if v is not None) == 3

@@ -26,21 +26,24 @@ def coregistered(first: DataFrame, second: DataFrame, names: tuple[str, str] = (
 def bilinear(points: DataFrame, cells: DataFrame, x0: float, y0: float, dx: float, dy: float, keys: list[str]) -> DataFrame:
     """keys, value: grid values at the points' x and y from four corners; null where a corner is missing.
 
-    points: keys, grid_id, x, y. A point on the last row or column uses the cell before it.
+    points: keys, grid_id, x, y. A point on the last row or column uses the cell before it. The corners are put together for
+    each cell once, so a point is one row of one join. That join is not left to Spark's choice by size: a grid's files can be
+    far smaller than its rows, which would then all go through the driver.
     """
     shape = cells.groupBy("grid_id").agg(F.max("i").alias("_mi"), F.max("j").alias("_mj"))
     u, v = (F.col("x") - x0) / dx, (F.col("y") - y0) / dy
-    p = points.join(shape, "grid_id").withColumns({"_u": u, "_v": v})
+    p = points.join(shape, "grid_id", "left").withColumns({"_u": u, "_v": v})
     inside = (F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") <= F.col("_mj")) & (F.col("_v") <= F.col("_mi"))
-    j0, i0 = F.least(F.floor("_u").cast("int"), F.greatest(F.col("_mj") - 1, F.lit(0))), F.least(F.floor("_v").cast("int"), F.greatest(F.col("_mi") - 1, F.lit(0)))
-    p = p.withColumns({"_j": j0, "_i": i0, "_in": inside}).withColumns({"_fu": F.col("_u") - F.col("_j"), "_fv": F.col("_v") - F.col("_i")})
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    q = p.filter("_in").select("grid_id", *keys, "_i", "_j", "_fu", "_fv", F.explode(corners).alias("c"))
-    weight = F.when(F.col("c.a") == 1, F.col("_fv")).otherwise(1 - F.col("_fv")) * F.when(F.col("c.b") == 1, F.col("_fu")).otherwise(1 - F.col("_fu"))
-    q = q.select("grid_id", *keys, (F.col("_i") + F.col("c.a")).alias("i"), (F.col("_j") + F.col("c.b")).alias("j"), weight.alias("w")).filter("w > 0")
-    got = q.join(cells.select("grid_id", "i", "j", F.col("value").alias("_value")), ["grid_id", "i", "j"], "left")
-    value = got.groupBy(*keys).agg(F.when(F.count_if(F.col("_value").isNull()) == 0, F.sum(F.col("w") * F.col("_value"))).alias("value"))
-    return points.select(*keys).join(value, keys, "left")
+    first = lambda c, most: F.when(inside, F.least(F.floor(c), F.greatest(F.col(most) - 1, F.lit(0)).cast("long"))).otherwise(F.floor(c))
+    p = p.withColumns({"_j": first("_u", "_mj"), "_i": first("_v", "_mi"), "_in": inside}).withColumns({"_fu": F.col("_u") - F.col("_j"), "_fv": F.col("_v") - F.col("_i")})
+    sides = [(a, b) for a in (0, 1) for b in (0, 1)]
+    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sides])
+    known = cells.select("grid_id", "i", "j", F.col("value").alias("_value"), F.explode(corners).alias("c"))
+    known = known.select("grid_id", (F.col("i") - F.col("c.a")).cast("long").alias("_i"), (F.col("j") - F.col("c.b")).cast("long").alias("_j"), "c", "_value")
+    met = known.groupBy("grid_id", "_i", "_j").agg(*[F.max(F.when((F.col("c.a") == a) & (F.col("c.b") == b), F.col("_value"))).alias(f"_z{a}{b}") for a, b in sides])
+    weight = {(a, b): (F.col("_fv") if a else 1 - F.col("_fv")) * (F.col("_fu") if b else 1 - F.col("_fu")) for a, b in sides}
+    value = sum((F.when(weight[a, b] > 0, weight[a, b] * F.col(f"_z{a}{b}")).otherwise(0.0) for a, b in sides), F.lit(0.0))
+    return p.join(met.hint("merge"), ["grid_id", "_i", "_j"], "left").select(*keys, F.when(F.col("_in"), value).alias("value"))
 
 
 def interpolate(knots: DataFrame, queries: DataFrame, by: list[str], at: str, value: str, keep: list[str]) -> DataFrame:

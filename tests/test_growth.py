@@ -1,5 +1,7 @@
 """Steps whose work must grow no faster than their input, and the values they give."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +254,17 @@ def test_tide_is_worked_out_as_arrays(spark):
     assert "lambda" not in plan_of(told)
     got = [r.v for r in told.collect()]
     assert got.count(None) == 1 and sum(abs(v) < 0.3 for v in got if v is not None) == 3
+
+
+def test_viewshed_broadcasts_no_table_of_cells(spark, tmp_path, monkeypatch):
+    """Cells that are small as a file and large as rows meet by sorting; only a row for each grid may be broadcast."""
+    spark.range(60).select(F.lit("a").alias("grid_id"), (F.col("id") / 6).cast("int").alias("i"), (F.col("id") % 6).cast("int").alias("j"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    joined = lambda df: re.findall(r"(\w+Join) \[([^\]]*)\]", df._jdf.queryExecution().sparkPlan().toString())
+    plans, write = [], iterate.written
+    monkeypatch.setattr(iterate, "written", lambda df: (plans.append(joined(df)), write(df))[1])
+    found = solutions.viewshed(cells, 1, 0, 10.0, 10.0, 5.0, samples=20)
+    assert found.filter("visible").count() == 60
+    plans.append(joined(found))
+    assert len(plans) > 3 and any(kind == "SortMergeJoin" for kind, _ in sum(plans, []))
+    assert {re.sub(r"#\d+", "", keys) for kind, keys in sum(plans, []) if kind == "BroadcastHashJoin"} <= {"grid_id"}

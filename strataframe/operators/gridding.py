@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import nearest_neighbours
 
 
+def _mean(c: Column) -> Column:
+    """The mean of the values as they are written, whatever the order of the rows: their decimals are added up, not their doubles.
+
+    Groups with a value of over 18 whole or over 10 decimal digits, infinite or NaN have their doubles' plain mean.
+    """
+    written = c.try_cast("decimal(28, 10)")
+    whole = F.count_if(F.coalesce(written.cast("double") != c, F.lit(True))) == 0
+    return F.when(whole, F.sum(written).cast("double") / F.count(c)).otherwise(F.avg(c))
+
+
 def clean_stations(df: DataFrame, x: str, y: str, value: str, least: int = 3) -> DataFrame:
     """x, y, value: rows with nulls dropped, duplicates averaged; fewer than `least` stations fail the job."""
     full = df.select(*[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(n) for c, n in ((x, "x"), (y, "y"), (value, "value"))]).dropna()
-    one = full.groupBy("x", "y").agg(F.avg("value").alias("value"))
+    one = full.groupBy("x", "y").agg(_mean(F.col("value")).alias("value"))
     n = F.broadcast(one.agg(F.count(F.lit(1)).alias("_n")))
     guard = F.when(F.col("_n") >= least, F.col("value")).otherwise(F.raise_error(F.lit("too few stations")).cast("double"))
     return one.crossJoin(n).select("x", "y", guard.alias("value"))

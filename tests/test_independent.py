@@ -94,3 +94,17 @@ def test_dike_is_found(spark):
     got = solutions.werner(spark.createDataFrame(rows, "line int, x double, v double"), ["line"], "x", "v").collect()
     assert len(got) >= 5
     assert all(r.x0 == pytest.approx(x0, abs=0.01) and r.depth == pytest.approx(z, abs=0.01) for r in got)
+
+
+def test_station_means_are_those_of_the_written_decimals(spark):
+    rng = np.random.default_rng(11)
+    groups = {(float(g), 0.0): [int(c) / 100 for c in rng.integers(10**5, 5 * 10**7, 8)] for g in range(300)}
+    groups |= {(0.0, 1.0): [0.1] * 10, (1.0, 1.0): [1 / 3, 2 / 3], (2.0, 1.0): [1e300, 3e300], (3.0, 1.0): [float("inf"), 1.0]}
+    rows = [(x, y, v) for (x, y), vs in groups.items() for v in vs] + [(9.0, 9.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, v double").coalesce(1)
+    got = {(r.x, r.y): r.value for r in gridding.clean_stations(df, "x", "y", "v").collect()}
+    assert got.keys() == groups.keys()
+    for (x, y), vs in groups.items():
+        if y == 0.0 or x == 0.0:
+            assert got[x, y] == sum(round(v * 100) for v in vs) / 100 / len(vs)
+    assert got[1.0, 1.0] == pytest.approx(0.5) and got[2.0, 1.0] == pytest.approx(2e300) and got[3.0, 1.0] == float("inf")
